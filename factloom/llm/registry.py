@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import base, decontaminate, jaccard, language, pieces, pii, quality, tokens, toxicity
+from factloom.llm import base, decontaminate, jaccard, language, pieces, pii, quality, simhash, tokens, toxicity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -31,6 +31,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", base.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(base.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     # A bounded sample of the labelled rows shows misleading words and the share of toxic documents.
@@ -66,6 +70,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs.select("doc_id", "text"), items))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
