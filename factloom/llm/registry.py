@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import base, decontaminate, jaccard, language, pieces, pii, quality, simhash, tokens, toxicity
+from factloom.llm import base, decontaminate, jaccard, language, licenses, pieces, pii, quality, simhash, tokens, toxicity
 
 PIECES = "piece_bpe_32k.model"
 
@@ -35,6 +35,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(base.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def document_path():
+    """Documents as a tree of files: source, thousands, fifties; the first of each fifty stands as that directory's licence file."""
+    i = F.col("doc_id")
+    name = F.when(i % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.lit("doc-"), i.cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 1000).cast("string"), F.floor(i / 50).cast("string"), name)
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files; a document without an id has no path and no licence."""
+    docs = base.read_table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), document_path()).alias("path"))
+    return licenses.scan(docs, keep=("doc_id",))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     # A bounded sample of the labelled rows shows misleading words and the share of toxic documents.
@@ -70,6 +83,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs.select("doc_id", "text"), items))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op4_licenses, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
 
 ORACLES: dict[str, str] = {}
