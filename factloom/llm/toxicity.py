@@ -78,24 +78,36 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, voters: int, share: float | None = None, rounds: int = 200):
         self.voters, self.share, self.fixed = voters, share or 0.1, share is not None
         bits = (patterns[:, None] >> np.arange(voters)) & 1
-        self.groups = [[k] for k in range(voters)]
-        # Start: documents with more votes are likelier to be toxic.
-        post = np.where(bits.sum(1) > 0, 0.9, 0.02)
-        self._em(bits, counts, post, rounds)
-        post = self.posterior(patterns)
-        self.correlated = self._correlations(bits, counts, post)
-        for a, b in self.correlated:
-            ga, gb = (next(g for g in self.groups if x in g) for x in (a, b))
-            if ga is not gb and len(ga) + len(gb) <= LARGEST_GROUP:
-                self.groups.remove(gb)
-                ga += gb
-        self._em(bits, counts, post, rounds)
+        self.groups, self.correlated = [[k] for k in range(voters)], []
+        best = self._em(bits, counts, rounds)
+        # Join the voters whose joint table explains the counts best, while it is worth its parameters (BIC).
+        used = [k for k in range(voters) if bits[:, k] @ counts > 0]
+        while True:
+            found = []
+            for a, b in combinations([g for g in self.groups if g[0] in used], 2):
+                if len(a) + len(b) <= LARGEST_GROUP:
+                    kept, self.groups = self.groups, [g for g in self.groups if g is not a and g is not b] + [a + b]
+                    cost = (2 ** (len(a) + len(b)) - 2 ** len(a) - 2 ** len(b) + 1) * np.log(max(counts.sum(), 2))
+                    found.append((self._em(bits, counts, rounds) - best - cost, a + b))
+                    self.groups = kept
+            if not found or (gain := max(found))[0] <= 0:
+                break
+            self.groups = [g for g in self.groups if not set(g) <= set(gain[1])] + [gain[1]]
+            best = self._em(bits, counts, rounds)
+        self.correlated = [g for g in self.groups if len(g) > 1]
+        self._em(bits, counts, rounds)
+
+    def _start(self, bits: np.ndarray) -> np.ndarray:
+        """Documents with votes of more groups are likelier to be toxic."""
+        n = sum((c > 0).astype(int) for c in self._codes(bits))
+        return np.select([n > 1, n == 1], [0.95, 0.4], 0.01)
 
     def _codes(self, bits: np.ndarray) -> list[np.ndarray]:
         return [sum(bits[:, k] << i for i, k in enumerate(g)) for g in self.groups]
 
-    def _em(self, bits, counts, post, rounds) -> None:
-        codes = self._codes(bits)
+    def _em(self, bits, counts, rounds) -> float:
+        """Fit the tables of the present groups; the log likelihood of the counts."""
+        codes, post = self._codes(bits), self._start(bits)
         for _ in range(rounds):
             own = np.stack([(1 - post) * counts, post * counts])
             if not self.fixed:
@@ -106,11 +118,22 @@ class LabelModel:
                 # Prior counts: clean documents rarely get a vote, toxic ones often.
                 votes = (np.arange(size)[:, None] >> np.arange(len(g)) & 1).sum(1)
                 t = np.stack([np.bincount(code, own[0], size) + 20 * 0.001**votes, np.bincount(code, own[1], size) + 5 * 0.3**votes * 0.7 ** (len(g) - votes)])
-                self.tables.append(t / t.sum(1, keepdims=True))
+                self.tables.append(self._monotone(t / t.sum(1, keepdims=True)))
             new = self._posterior(codes)
-            if np.abs(new - post).max() < 1e-7:
+            if np.abs(new - post).max() < 1e-5:
                 break
             post = new
+        joint = [np.log(p) + sum(np.log(t[k][c]) for t, c in zip(self.tables, codes, strict=True)) for k, p in enumerate((1 - self.share, self.share))]
+        return float(counts @ np.logaddexp(*joint))
+
+    @staticmethod
+    def _monotone(t: np.ndarray) -> np.ndarray:
+        """More votes of a group are no weaker evidence than fewer: lower the clean rate where they are."""
+        for code in sorted(range(1, t.shape[1]), key=int.bit_count):
+            fewer = [t[1][c] / t[0][c] for i in range(code.bit_length()) if code >> i & 1 and (c := code & ~(1 << i))]
+            if fewer and t[1][code] < max(fewer) * t[0][code]:
+                t[0][code] = t[1][code] / max(fewer)
+        return t / t.sum(1, keepdims=True)
 
     def _posterior(self, codes) -> np.ndarray:
         odds = np.log(self.share / (1 - self.share)) + sum(np.log(t[1][c] / t[0][c]) for t, c in zip(self.tables, codes, strict=True))
@@ -119,20 +142,6 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         return self._posterior(self._codes((np.asarray(patterns)[:, None] >> np.arange(self.voters)) & 1))
 
-    def _correlations(self, bits, counts, post, least: float = 0.25) -> list[tuple[int, int]]:
-        """Pairs of voters still correlated given the class, strongest first."""
-        found = []
-        for a, b in combinations(range(self.voters), 2):
-            strength = 0.0
-            for w in (post * counts, (1 - post) * counts):
-                n = w.sum() + 1e-9
-                pa, pb, pab = (w @ bits[:, a]) / n, (w @ bits[:, b]) / n, (w @ (bits[:, a] & bits[:, b])) / n
-                if n > 20 and pa * (1 - pa) * pb * (1 - pb) > 1e-9:
-                    strength = max(strength, abs(pab - pa * pb) / np.sqrt(pa * (1 - pa) * pb * (1 - pb)))
-            if strength > least:
-                found.append((strength, a, b))
-        return [(a, b) for _, a, b in sorted(found, reverse=True)]
-
     def odds(self) -> dict[str, float]:
         return {k: float(np.log(b / a)) for k, (a, b) in self.accuracy().items()}
 
