@@ -177,20 +177,30 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
     def seen(batches):
         candidates = shared.value
         known: dict[str, bool] = {}
+        counts: dict[str, int] = {}
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
+            counts.clear()
+            return out
+
         for b in batches:
-            out: list[str] = []
             for t in b.column(0):
                 for w in _terms(t.as_py()):
                     ok = known.get(w)
                     if ok is None:
-                        if len(known) > 300_000:
+                        if len(known) > 150_000:
                             known.clear()
                         ok = known[w] = w in candidates
                     if ok:
-                        out.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["term"])
-
-    df = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(seen, "term string").groupBy("term").agg(F.count("*").alias("term_docs"))
+                        counts[w] = counts.get(w, 0) + 1
+            if len(counts) > 200_000:
+                yield flush()
+        if counts:
+            yield flush()
+
+    # Counted within the task first: a row for each term and task, not for each occurrence.
+    df = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
     n = F.lit(float(total))
     joined = pair.join(df, "term").join(mention, "entity")
     pmi = F.log2(F.col("together") * n / (F.col("term_docs") * F.col("entity_docs")))
