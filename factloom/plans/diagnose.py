@@ -73,7 +73,7 @@ def unresolved_constants(p) -> DataFrame:
     rest = refs.join(found.select("name", "nesting"), ["name", "nesting"], "left_anti")
     spark = p.spark
     first = F.substring_index("bare", "::", 1)
-    always = spark.createDataFrame([(x,) for x in core.CORE_CONSTANTS], "head string")
+    always = spark.createDataFrame([(x,) for x in [*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS]], "head string")
     rest = rest.withColumn("head", first).join(always, "head", "left_anti")
     # Inherited constants exist: innermost scope's ancestors.
     inner = rest.withColumn("root", F.element_at(F.when(F.size("nesting") > 0, F.col("nesting")).otherwise(F.array(F.lit(""))), -1))
@@ -91,6 +91,15 @@ def unresolved_constants(p) -> DataFrame:
     # Below an opaque or open namespace anything may exist.
     parent = F.regexp_replace("bare", "(^|::)[^:]+$", "")
     rest = rest.withColumn("space", parent).join(p.classes.filter("open").select(F.col("class_path").alias("space")), "space", "left_anti")
+    # A name that is no class (a value, or an alias of something unknown) may have anything below it.
+    plain = p.table("consts").select(F.col("name").alias("target")).join(p.aliases.select(F.col("name").alias("target")), "target", "left_anti").distinct()
+    heads = refs.select(F.regexp_replace("name", "::[^:]+$", "").alias("name"), "nesting", F.col("name").alias("whole")).filter("name <> whole").distinct()
+    vague = p.lexical(heads).join(plain, "target", "left_semi").join(heads, ["name", "nesting"]).select(F.col("whole").alias("name"), "nesting").distinct()
+    rest = rest.join(vague, ["name", "nesting"], "left_anti")
+    # So may a namespace that answers for missing constants, to itself and to what is written inside it.
+    hooks = p.anywhere.filter("kind = 'const_missing'").select(F.col("name").alias("hook"))
+    around = rest.select("name", "nesting", "space", F.explode(F.concat("nesting", F.array("space"))).alias("hook")).join(hooks, "hook", "left_semi").select("name", "nesting").distinct()
+    rest = rest.join(around, ["name", "nesting"], "left_anti")
     named = resolve.suggest(rest.select("path", "start", "end", "name", "bare"), p.known.select(F.col("name").alias("candidate")), "bare", "candidate")
     return _row(named, "E0104", F.concat(F.lit("unresolved constant `"), "bare", F.lit("`")), "warning", F.col("suggestion"))
 

@@ -79,7 +79,14 @@ class Program:
         if self.evidence is not None:
             own = frag.select("class_path").distinct()
             rows = rows.unionAll(source_facts.table(self.evidence, "fragments").join(own, "class_path", "left_semi").select("class_path", (F.col("kind") == "module").alias("m"), F.lit(True).alias("o")))
-        return cut(rows.groupBy("class_path").agg(F.bool_and("m").alias("is_module"), F.bool_or("o").alias("open"), F.count_distinct("m").alias("kinds")).withColumn("open", F.col("open") | (F.col("kinds") > 1)).drop("kinds"), "classes")
+        got = rows.groupBy("class_path").agg(F.bool_and("m").alias("is_module"), F.bool_or("o").alias("open"), F.count_distinct("m").alias("kinds"))
+        # Reopening what the language or its library defines says nothing about all that it has.
+        outside = F.substring_index("class_path", "::", 1).isin(*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS)
+        return cut(got.withColumn("open", F.col("open") | (F.col("kinds") > 1) | outside).drop("kinds"), "classes")
+
+    @cached_property
+    def anywhere(self) -> DataFrame:
+        return cut(self.table("anywhere").distinct(), "anywhere")
 
     @cached_property
     def known(self) -> DataFrame:
@@ -124,7 +131,8 @@ class Program:
         conflict = parents.groupBy("node").agg(F.count_distinct("class_path").alias("n")).filter("n > 1").select("node")
         mix = self.table("mixins").select(F.col("class_path").alias("node"), "kind", F.col("target").alias("name"), "nesting", "path", "ord")
         mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin("Kernel")).join(self.to_class(mix), ["name", "nesting"], "left")
-        unknown = parents.filter("class_path is null").select("node").unionAll(mixed.filter("class_path is null").select("node")).unionAll(conflict).distinct()
+        # `class Scope < Scope` names an inherited class, before the new one is there.
+        unknown = parents.filter("class_path is null or class_path = node").select("node").unionAll(mixed.filter("class_path is null").select("node")).unionAll(conflict).distinct()
         later = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.desc("path"), F.desc("ord")))
         ranked = mixed.filter("class_path is not null").withColumn("r", later)
         edges = ranked.filter("kind = 'include'").select("node", F.col("r").cast("long").alias("slot"), F.col("class_path").alias("target"))
@@ -157,7 +165,12 @@ class Program:
     @cached_property
     def incomplete(self) -> DataFrame:
         """(class_path): classes whose ancestry has an open class or an unknown edge."""
-        bad = self._direct[2].unionAll(self.classes.filter("open").select("class_path")).distinct()
+        hooks = self.anywhere.filter("kind = 'hook'").select(F.col("name").alias("target"))
+        edges, extends, _ = self._direct
+        hosts = edges.select("node", "target").unionAll(extends.select("node", "target")).join(hooks, "target", "left_semi").select("node")
+        opened = self.anywhere.filter("kind = 'open'")
+        opened = self.to_class(opened).select("class_path")
+        bad = self._direct[2].unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct()
         return cut(self.mro.join(bad.select("node"), "node", "left_semi").select(F.col("root").alias("class_path")).distinct(), "incomplete")
 
     # -- methods ----------------------------------------------------------
@@ -299,7 +312,7 @@ class Program:
         every = self._answered()
         rows = rows.join(every, ["name", "singleton"], "left")
         below = self._below()
-        rows = rows.join(below, ["class_path", "name"], "left")
+        rows = rows.join(below, ["class_path", "name"], "left").join(self._loose_below(), "class_path", "left")
         on_self = F.col("recv_kind").isin("implicit", "self")
         verdict = (
             F.when(F.col("target").isNotNull(), resolve.FOUND)
@@ -307,23 +320,32 @@ class Program:
             .when(F.col("recv_type").contains(" | "), "unknown")
             .when(F.col("is_module").isNull(), "core")
             .when(F.coalesce("__open", F.lit(False)) | F.coalesce("__every", F.lit(False)), resolve.INCONCLUSIVE)
-            .when(on_self & (F.col("is_module") | F.coalesce("__below", F.lit(False))), resolve.INCONCLUSIVE)
+            .when(on_self & (F.col("is_module") | F.coalesce("__below", "__loose", F.lit(False))), resolve.INCONCLUSIVE)
             .when(on_self & F.col("name").isin(*core.KERNEL_FUNCTIONS), resolve.INCONCLUSIVE)
             .when(~is_class & F.col("is_module"), resolve.INCONCLUSIVE)
             .otherwise(resolve.NOT_FOUND)
         )
-        return cut(rows.withColumn("verdict", verdict).drop("__open", "__every", "__below"), "sites")
+        return cut(rows.withColumn("verdict", verdict).drop("__open", "__every", "__below", "__loose"), "sites")
 
     def _answered(self) -> DataFrame:
         """(name, singleton): answered by every object, or every class object."""
-        names_ = [(x, False) for x in core.OBJECT_METHODS] + [(x, True) for x in {*core.OBJECT_METHODS, *core.CLASS_METHODS}]
+        names_ = [(x, False) for x in [*core.OBJECT_METHODS, *core.MOCK_METHODS]] + [(x, True) for x in {*core.OBJECT_METHODS, *core.MOCK_METHODS, *core.CLASS_METHODS}]
         top = self.methods.filter("class_path in ('Object', 'Kernel', 'BasicObject') and not singleton").select("name", F.explode(F.array(F.lit(False), F.lit(True))).alias("singleton"))
-        return self.spark.createDataFrame(names_, "name string, singleton boolean").unionAll(top).distinct().withColumn("__every", F.lit(True))
+        loose = self.anywhere.filter("kind = 'module'")
+        modules = self.to_class(loose).select("class_path").distinct()
+        both = F.explode(F.array(F.lit(False), F.lit(True))).alias("singleton")
+        added = self.methods.join(modules, "class_path", "left_semi").select("name", both).unionAll(self.anywhere.filter("kind = 'name'").select("name", both))
+        return self.spark.createDataFrame(names_, "name string, singleton boolean").unionAll(top).unionAll(added).distinct().withColumn("__every", F.lit(True))
 
     def _below(self) -> DataFrame:
-        """(class_path, name): defined in some descendant."""
-        m = self.methods.filter("not singleton").select(F.col("class_path").alias("root"), "name").distinct()
-        return self.mro.filter("root <> node").join(m, "root").select(F.col("node").alias("class_path"), "name").distinct().withColumn("__below", F.lit(True))
+        """(class_path, name): some descendant answers, by itself or through what it mixes in."""
+        m = self.methods.filter("not singleton").select(F.col("class_path").alias("at"), "name").distinct()
+        has = self.mro.select("root", F.col("node").alias("at")).join(m, "at").select("root", "name").distinct()
+        return self.mro.filter("root <> node").join(has, "root").select(F.col("node").alias("class_path"), "name").distinct().withColumn("__below", F.lit(True))
+
+    def _loose_below(self) -> DataFrame:
+        """(class_path): classes with a descendant that is not closed."""
+        return self.mro.filter("root <> node").join(self.incomplete.select(F.col("class_path").alias("root")), "root", "left_semi").select(F.col("node").alias("class_path")).distinct().withColumn("__loose", F.lit(True))
 
     # -- diagnostics ------------------------------------------------------
     @cached_property

@@ -27,6 +27,7 @@ TABLES = {
     "calls": [("id", _S), ("recv", _S), ("recv_kind", _S), ("name", _S), ("given", _L), ("exact", _B), ("args", _A), ("literals", _A), ("start", _L), ("end", _L), ("class_path", _S), ("singleton", _B), ("scope", _S), ("local", _S), ("silent", _B)],
     "exprs": [("id", _S), ("op", _S), ("name", _S), ("operands", _A), ("nesting", _A), ("start", _L), ("end", _L)],
     "ivars": [("class_path", _S), ("name", _S), ("expr", _S)],
+    "anywhere": [("kind", _S), ("name", _S), ("nesting", _A)],
     "errors": [("code", _S), ("start", _L), ("end", _L), ("message", _S)],
 }
 STRUCTS = {k: T.StructType([T.StructField(n, t) for n, t in v]) for k, v in TABLES.items()}
@@ -35,6 +36,10 @@ SCHEMA = T.StructType([T.StructField("path", _S), *(T.StructField(k, T.ArrayType
 _OPAQUE = re.compile(r"^\s*(class|module)\s+((?:::)?[A-Z]\w*(?:::[A-Z]\w*)*)", re.M)
 # Calls in a class body that define methods in ways the walk knows, or that change nothing it reads.
 PLAIN_MACROS = frozenset("private public protected private_constant private_class_method public_class_method module_function attr_reader attr_writer attr_accessor include extend prepend require require_relative autoload freeze puts raise define_method alias_method".split())
+# Calls by which code gives a class more methods.
+DEFINERS = frozenset("include extend prepend define_method define_singleton_method attr_reader attr_writer attr_accessor class_eval module_eval class_exec module_exec instance_eval instance_exec alias_method delegate class_attribute mattr_accessor cattr_accessor".split())
+# Methods a module answers when it is mixed in; what they do to the host is not followed.
+HOOKS = frozenset("included extended prepended inherited method_added append_features extend_object".split())
 # Calls that make the locals of a scope unreadable.
 OPAQUE_CALLS = frozenset("eval binding instance_eval class_eval local_variable_set instance_exec".split())
 
@@ -134,7 +139,7 @@ class Walk:
         if name in ("include", "prepend", "extend"):
             for a in args:
                 if a[0] == "const":
-                    self.add("mixins", class_path, name, a[3], nesting, a[1])
+                    self.add("mixins", class_path, "extend" if in_singleton else name, a[3], nesting, a[1])
                     self.add("const_refs", a[3], nesting, a[1], a[2])
                 elif a[0] == "self" and name == "extend":
                     self.add("mixins", class_path, name, "::" + class_path, nesting, a[1])
@@ -162,6 +167,14 @@ class Walk:
                 add(literal[0], 0, True, True)
         elif name == "module_function" and not args:
             return "module_function"
+        elif name == "module_function":
+            for x in literal:
+                self.add("methods", class_path, x, True, 0, 0, True, True, False, [], [], None, None, *at)
+            for a in args:
+                if a[0] == "def":
+                    self.method(a, nesting, class_path, True)
+                    self.method(a, nesting, class_path, False)
+            return None
         elif name in ("private", "public", "protected") and args and args[0][0] == "def":
             self.method(args[0], nesting, class_path, in_singleton)
             return None
@@ -208,6 +221,10 @@ class Walk:
         ret = self.union([tail, *scope.returns]) if not sig_unknown else None
         names = [p for kind, p, _ in params if kind in ("req", "opt")]
         self.add("methods", class_path or "Object", name, singleton, kinds.count("req"), kinds.count("opt"), "rest" in kinds, unknown, abstract, names, types, declared, ret, start, end, ns, ne, nesting)
+        if name in HOOKS and singleton:
+            self.add("anywhere", "hook", class_path, nesting)
+        if name == "const_missing" and singleton:
+            self.add("anywhere", "const_missing", class_path, nesting)
         if name == "method_missing" or name == "respond_to_missing?":
             for frag in self.out["fragments"]:
                 if frag["class_path"] == class_path:
@@ -317,6 +334,7 @@ class Walk:
         local = recv[4] if kind == "call" and recv[3] is None and not recv[5] and env.has(recv[4]) else None
         key = self.expr("call", name, [r or "", *got], scope.nesting, at) if r else None
         self.add("calls", key or f"{self.path}@{span[0]}", r, "local" if local else kind, name, len(args), exact, got, literals, *span, scope.class_path, not scope.instance, scope.name, local, bool(silent))
+        self.definer(recv, name, args, env, scope)
         if block:
             core = name in ("each", "map", "select", "reject", "times", "each_with_index", "tap", "find", "any?", "all?", "inject", "reduce", "each_with_object", "then")
             scope.asserted += name in ("assert_raises", "assert_raise") or (name == "expect")
@@ -326,6 +344,23 @@ class Walk:
                 return None
         return key
 
+    def definer(self, recv, name, args, env, scope) -> None:
+        """Calls in code that add methods to some class: it is opened, or what they add may be answered anywhere."""
+        if name in ("send", "public_send", "__send__") and args and args[0][0] == "literal":
+            name, args = args[0][5], args[1:]
+        if name not in DEFINERS:
+            return
+        if recv is not None and recv[0] == "const":
+            self.add("anywhere", "open", recv[3], scope.nesting)
+        elif scope.class_path is not None:
+            self.add("anywhere", "open", "::" + scope.class_path, scope.nesting)
+        for a in args:
+            if a[0] == "const":
+                self.add("anywhere", "module", a[3], scope.nesting)
+            elif a[0] == "literal" and len(a) > 5 and a[5]:
+                self.add("anywhere", "name", a[5], scope.nesting)
+                self.add("anywhere", "name", a[5] + "=", scope.nesting)
+
     def block(self, node, env, scope, rebinds: bool) -> None:
         inner = env.child(node[3])
         old, scope.rebound = scope.rebound, scope.rebound or rebinds
@@ -382,6 +417,8 @@ class Walk:
             return None
         if cond[4] == "nil?":
             env.set(v, self.atom("nil") if truth else self.expr("strip", None, [env.get(v)]) if env.get(v) else None)
+        elif cond[4] in ("is_a?", "kind_of?", "instance_of?") and len(cond[5]) == 1 and cond[5][0][0] == "const" and cond[5][0][3] in ("Class", "Module"):
+            env.set(v, None)
         elif cond[4] in ("is_a?", "kind_of?", "instance_of?") and len(cond[5]) == 1 and cond[5][0][0] == "const":
             c = self.expr("const", cond[5][0][3], [], scope.nesting)
             if truth:
@@ -403,6 +440,7 @@ class Walk:
         del scope.guards[marks[0] :], scope.responds[marks[1] :]
         if _diverges(body):
             env.take(b)
+            self.narrow(cond, env.copy(), scope, negated)  # its guards hold for the rest of the scope
         elif other is not None and _diverges(other):
             env.take(a)
         else:
