@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names
 from factloom.operators import drift, lattice, resolve, sequence
+from factloom.plans import corpus
 from factloom.plans.tables import read
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = dict(corpus.QUERIES)
+ORACLES: dict[str, str] = dict(corpus.ORACLES)
 FLAGSHIP = "census_rollup"
 
 
