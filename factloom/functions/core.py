@@ -14,9 +14,11 @@ CLASS_METHODS = "new allocate superclass subclasses name to_s ancestors instance
 # Constants that are always there.
 CORE_CONSTANTS = "Object BasicObject Kernel Module Class Comparable Enumerable Enumerator NilClass TrueClass FalseClass Integer Float Numeric Rational Complex String Symbol Array Hash Range Regexp MatchData Proc Method UnboundMethod Binding Exception StandardError ArgumentError TypeError NameError NoMethodError RuntimeError FrozenError KeyError IndexError StopIteration RangeError FloatDomainError ZeroDivisionError IOError EOFError SystemCallError Errno LoadError NotImplementedError ScriptError SyntaxError SecurityError SystemExit SystemStackError NoMemoryError SignalException Interrupt RegexpError EncodingError FiberError ThreadError LocalJumpError UncaughtThrowError ClosedQueueError NoMatchingPatternError NoMatchingPatternKeyError Struct Data Time Random Process Signal Thread Mutex Queue SizedQueue ConditionVariable Fiber Ractor IO File Dir FileTest GC ObjectSpace Marshal Math Encoding ENV ARGV ARGF STDIN STDOUT STDERR RUBY_VERSION RUBY_PLATFORM RUBY_ENGINE RUBY_PATCHLEVEL DATA TOPLEVEL_BINDING Warning TracePoint RubyVM Refinement Set".split()
 # Top constants of libraries that come with the language.
-LIBRARY_CONSTANTS = "FileUtils Digest JSON SecureRandom Logger Date DateTime URI Net OpenStruct Pathname ERB YAML CSV StringIO StringScanner Tempfile BigDecimal Forwardable SingleForwardable Singleton Observable Timeout Benchmark OpenSSL Zlib Socket TCPSocket TCPServer UDPSocket UNIXSocket Monitor MonitorMixin Open3 Shellwords Etc OptionParser PP Psych Ripper RbConfig Gem Bundler DRb ObjectSpace Matrix Prime Base64 Find Resolv IPAddr Readline Reline IRB Coverage Delegator SimpleDelegator DelegateClass WeakRef TSort PTY Syslog Fiddle Racc Rake Minitest Test English Tmpdir ExtendedDescriptor RDoc".split()
+LIBRARY_CONSTANTS = "FileUtils Digest JSON SecureRandom Logger Date DateTime URI Net OpenStruct Pathname ERB YAML CSV StringIO StringScanner Tempfile BigDecimal Forwardable SingleForwardable Singleton Observable Timeout Benchmark OpenSSL Zlib Socket TCPSocket TCPServer UDPSocket UNIXSocket Monitor MonitorMixin Open3 Shellwords Etc OptionParser PP Psych Ripper RbConfig Gem Bundler DRb ObjectSpace Matrix Prime Base64 Find Resolv IPAddr Readline Reline IRB Coverage Delegator SimpleDelegator DelegateClass WeakRef TSort PTY Syslog Fiddle Racc Rake Minitest Test English Tmpdir RDoc T".split()
 # What test frameworks make every object answer.
 MOCK_METHODS = "stub stubs expects unstub should should_not should_receive stub_chain must_equal must_be wont_equal expect_any_instance_of any_instance mocha".split()
+# Modules of signature libraries, which add nothing a class could be missing.
+SIGNATURE_MODULES = ("Kernel", "T::Sig", "T::Helpers", "T::Generic")
 #: Superclass names that add nothing a class could be missing.
 ROOTS = ("Object", "BasicObject")
 CORE_TYPES = ("Integer", "Float", "String", "Symbol", "Array", "Hash", "nil", "bool")

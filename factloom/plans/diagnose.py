@@ -17,9 +17,9 @@ def _row(df: DataFrame, code: str, message, severity: str = "error", suggestion=
 
 
 def source_errors(p) -> DataFrame:
-    """E0001 and E0105: what the source alone shows."""
+    """E0001, E0105 and a ``T.must`` of nil: what the source alone shows."""
     e = p.table("errors")
-    severity = F.when(F.col("code") == "E0001", "error").otherwise("warning")
+    severity = F.when(F.col("code").isin("E0001", "E0103"), "error").otherwise("warning")
     return e.select("path", "start", "end", "code", severity.alias("severity"), "message", F.lit(None).cast("string").alias("suggestion"))
 
 
@@ -49,21 +49,42 @@ def wrong_arity(p) -> DataFrame:
     return _row(bad, "E0102", F.concat(F.lit("`"), "name", F.lit("` expects "), some, unit, F.lit(", got "), F.col("given").cast("string")))
 
 
+def _misfits(p, bound: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (``keys``, literal, declared, nesting) whose literal no member of the declared type admits.
+
+    A member that is neither a core type nor a closed class could admit anything; an
+    integer may stand for a float.
+    """
+    members = bound.select(*keys, "literal", "declared", "nesting", F.explode(F.split("declared", " \\| ")).alias("member"))
+    closed = p.classes.filter("not is_module and not open").select("class_path")
+    known = p.to_class(members.select(F.col("member").alias("name"), "nesting")).withColumnRenamed("name", "member").join(closed, "class_path", "left_semi")
+    own = members.join(known, ["member", "nesting"], "left")
+    core_name = F.col("member").isin(*core.CORE_TYPES)
+    same = (F.col("member") == F.col("literal")) | ((F.col("member") == "Float") & (F.col("literal") == "Integer"))
+    admits = F.when(core_name, same).otherwise(F.col("class_path").isNull())
+    return own.groupBy(*keys, "literal", "declared").agg(F.bool_or(admits).alias("fits")).filter("not fits")
+
+
 def broken_signatures(p) -> DataFrame:
-    """E0103: a literal argument that no member of the declared type admits."""
-    m = p.methods.filter(F.size("param_types") > 0).select(F.col("method").alias("target"), "param_types", F.col("nesting").alias("m_nesting"))
+    """E0103: a literal argument that no member of the declared type admits (inline and library signatures)."""
     args = p.sites.filter("target is not null and not silent").select("path", "start", "end", "name", "target", F.posexplode("literals").alias("k", "literal")).filter("literal <> ''")
     args = args.withColumn("literal", F.substring_index("literal", ":", 1)).filter(F.col("literal").isin(*core.CORE_TYPES))
-    params = m.select("target", "m_nesting", F.posexplode("param_types").alias("k", "declared"))
-    bound = args.join(params, ["target", "k"]).filter("declared <> 'untyped'")
-    members = bound.select("path", "start", "end", "name", "k", "literal", "declared", F.col("m_nesting").alias("nesting"), F.explode(F.split("declared", " \\| ")).alias("member"))
-    known = p.to_class(members.select(F.col("member").alias("name"), "nesting")).withColumnRenamed("name", "member").join(p.classes.filter("not is_module and not open").select("class_path"), "class_path", "left_semi")
-    own = members.join(known, ["member", "nesting"], "left")
-    core_name = F.col("member").isin(*core.CORE_TYPES)
-    # A member that is neither a core type nor a closed class could admit anything; an integer may stand for a float.
-    admits = (core_name & ((F.col("member") == F.col("literal")) | ((F.col("member") == "Float") & (F.col("literal") == "Integer")))) | (~core_name & F.col("class_path").isNull())
-    bad = own.groupBy("path", "start", "end", "name", "k", "literal", "declared").agg(F.bool_or(admits).alias("fits")).filter("not fits")
-    return _row(bad, "E0103", F.concat(F.lit("argument "), (F.col("k") + 1).cast("string"), F.lit(" of `"), "name", F.lit("` expects "), "declared", F.lit(", got "), "literal"))
+    m = p.methods.select(F.col("method").alias("target"), "param_types", "sig_types", "params", "nesting")
+    inline = m.filter(F.size("param_types") > 0).select("target", "nesting", F.posexplode("param_types").alias("k", "declared")).withColumn("param", F.lit(None).cast("string"))
+    library = m.filter("sig_types is not null").select("target", "nesting", F.posexplode(F.arrays_zip("sig_types", "params")).alias("k", "x")).select("target", "nesting", "k", F.col("x.sig_types").alias("declared"), F.col("x.params").alias("param"))
+    bound = args.join(inline.unionByName(library), ["target", "k"]).filter("declared <> 'untyped'")
+    bad = _misfits(p, bound, ["path", "start", "end", "name", "k", "param"])
+    which = F.coalesce(F.concat(F.lit("`"), "param", F.lit("`")), (F.col("k") + 1).cast("string"))
+    return _row(bad, "E0103", F.concat(F.lit("argument "), which, F.lit(" of `"), "name", F.lit("` expects "), "declared", F.lit(", got "), "literal"))
+
+
+def broken_returns(p) -> DataFrame:
+    """E0109: every way a method returns is a literal, and none fits its library signature."""
+    m = p.methods.filter("sig_returns is not null and sig_returns <> 'untyped' and size(points) > 0 and not array_contains(points, '')")
+    m = m.select("path", F.col("name_start").alias("start"), F.col("name_end").alias("end"), "name", F.col("sig_returns").alias("declared"), "nesting", F.array_sort(F.array_distinct("points")).alias("points"))
+    each = m.filter(F.forall("points", lambda x: x.isin(*core.CORE_TYPES))).select("path", "start", "end", "name", "declared", "nesting", "points", F.explode("points").alias("literal"))
+    bad = _misfits(p, each, ["path", "start", "end", "name", "points"]).groupBy("path", "start", "end", "name", "points", "declared").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("points"))
+    return _row(bad, "E0109", F.concat(F.lit("return of `"), "name", F.lit("` expects "), "declared", F.lit(", got "), F.array_join("points", " | ")))
 
 
 def unresolved_constants(p) -> DataFrame:
@@ -147,7 +168,7 @@ def operands(p) -> DataFrame:
 
 def all_of(p) -> DataFrame:
     rows = source_errors(p)
-    for part in (undefined_methods, wrong_arity, broken_signatures, unresolved_constants, lost_values, contradictions, operands):
+    for part in (undefined_methods, wrong_arity, broken_signatures, broken_returns, unresolved_constants, lost_values, contradictions, operands):
         rows = rows.unionByName(part(p))
     return located(rows.distinct(), p.project)
 

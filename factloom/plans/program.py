@@ -130,7 +130,7 @@ class Program:
         parents = frag.filter(~F.regexp_replace("name", "^::", "").isin(*core.ROOTS)).join(self.to_class(frag), ["name", "nesting"], "left")
         conflict = parents.groupBy("node").agg(F.count_distinct("class_path").alias("n")).filter("n > 1").select("node")
         mix = self.table("mixins").select(F.col("class_path").alias("node"), "kind", F.col("target").alias("name"), "nesting", "path", "ord")
-        mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin("Kernel")).join(self.to_class(mix), ["name", "nesting"], "left")
+        mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin(*core.SIGNATURE_MODULES)).join(self.to_class(mix), ["name", "nesting"], "left")
         # `class Scope < Scope` names an inherited class, before the new one is there.
         unknown = parents.filter("class_path is null or class_path = node").select("node").unionAll(mixed.filter("class_path is null").select("node")).unionAll(conflict).distinct()
         later = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.desc("path"), F.desc("ord")))
@@ -230,7 +230,8 @@ class Program:
         writes = self.table("ivars").select(F.concat("class_path", "name").alias("name"), "expr").groupBy("name").agg(F.collect_set(F.coalesce("expr", F.lit(""))).alias("operands"))
         closed = self.classes.join(self.incomplete, "class_path", "left_anti").select("class_path")
         ivars = e.filter("op = 'ivar'").select("id", "op", "name").withColumn("class_path", F.substring_index("name", "@", 1)).join(closed, "class_path", "left_semi").join(writes, "name").select("id", "op", "name", "operands")
-        # A class whose ancestry is not closed may have its variables written elsewhere: these stay unknown.
+        # Never written here, or of a class that may be written to elsewhere: unknown, and known to be.
+        values = values.unionAll(e.filter("op = 'ivar'").select("id").join(ivars.select("id"), "id", "left_anti").select("id", F.lit(UNTYPED)))
         pending = cut(e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call')").select("id", "op", "name", "operands").unionAll(ivars), "pending")
         values = cut(values, "values")
         result = self._results()
@@ -240,7 +241,8 @@ class Program:
                 break
             values = cut(values.unionAll(new), "values")
             pending = cut(pending.join(new.select("id"), "id", "left_anti"), "pending")
-        return values
+        # What is left depends on itself, or lies deeper than the rounds reach.
+        return values.unionAll(pending.select("id", F.lit(UNTYPED)))
 
     def _results(self) -> DataFrame:
         """(method, declared, ret): what a method's result is known by."""
@@ -249,7 +251,11 @@ class Program:
         core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string").withColumn("__core", F.lit(True))
         got = names_.join(self.to_class(names_.filter("nesting is not null")), ["name", "nesting"], "left").join(core_names, "name", "left")
         declared = got.groupBy("method").agg(_union(F.collect_set(F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED)))).alias("declared"))
-        return cut(m.select("method", "ret").join(declared, "method", "left"), "results")
+        # A library signature only speaks where inference is silent.
+        sigs = self.methods.filter("sig_returns is not null").select("method", "nesting", F.explode(F.split("sig_returns", " \\| ")).alias("name"))
+        said = sigs.join(self.to_class(sigs), ["name", "nesting"], "left").join(core_names, "name", "left")
+        said = said.groupBy("method").agg(_union(F.collect_set(F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED)))).alias("sig"))
+        return cut(m.select("method", "ret").join(declared, "method", "left").join(said, "method", "left"), "results")
 
     def _round(self, pending: DataFrame, values: DataFrame, result: DataFrame) -> DataFrame:
         parts = pending.filter("op <> 'call'").select("id", "op", F.posexplode("operands").alias("k", "of"))
@@ -280,7 +286,7 @@ class Program:
             .when(F.col("recv").contains(" | "), UNTYPED)
             .when(made, F.when(F.coalesce("is_module", F.lit(True)), UNTYPED).otherwise(F.col("class_path")))
             .when(F.col("declared").isNotNull(), F.col("declared"))
-            .when(F.col("method").isNotNull(), F.when(F.col("ret").isNull(), UNTYPED).otherwise(F.col("body")))
+            .when(F.col("method").isNotNull(), F.when(F.col("ret").isNull() | (F.col("body") == UNTYPED), F.coalesce("sig", F.lit(UNTYPED))).otherwise(F.col("body")))
             .when(F.col("core") == "number", number)
             .otherwise(F.coalesce("core", F.lit(UNTYPED)))
         )

@@ -77,3 +77,18 @@ def candidates(program) -> DataFrame:
     closed = program.classes.join(program.incomplete, "class_path", "left_anti").select(F.col("class_path").alias("root"))
     answers = program.mro.join(closed, "root", "left_semi").join(program.methods.filter("not singleton").select(F.col("class_path").alias("node"), "name"), "node").select("name", F.col("root").alias("provider")).distinct()
     return resolve.candidate_intersection(calls, answers, "binding", "name", "provider")
+
+
+def agent_blocks(program) -> DataFrame:
+    """Markdown for what the calls on untyped locals prove: one block for each binding."""
+    calls = program.sites.filter("local is not null and recv_type = 'untyped'").select("path", "start", F.concat_ws("|", "scope", "local").alias("binding"), "local", "name")
+    closed = program.classes.join(program.incomplete, "class_path", "left_anti").select(F.col("class_path").alias("root"))
+    answers = program.mro.join(closed, "root", "left_semi").join(program.methods.filter("not singleton").select(F.col("class_path").alias("node"), "name"), "node").select("name", F.col("root").alias("provider")).distinct()
+    outcome = candidates(program).filter("outcome <> 'nothing'").select("binding", "needs", "outcome")
+    want = calls.select("binding", "name").distinct().join(answers, "name").groupBy("binding", "provider").agg(F.count("*").alias("n"))
+    able = outcome.join(want, "binding").filter("n = needs").groupBy("binding").agg(F.array_sort(F.collect_set("provider")).alias("able"))
+    used = calls.join(outcome.select("binding"), "binding", "left_semi").groupBy("binding", "path", "local").agg(F.min("start").alias("start"), F.array_sort(F.collect_set("name")).alias("names"))
+    rows = used.join(outcome, "binding").join(able, "binding", "left")
+    tick = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    text = F.concat(F.lit("## `"), "local", F.lit("` in "), "path", F.lit("\n\n- calls: "), tick(F.col("names")), F.lit("\n- outcome: "), "outcome", F.coalesce(F.concat(F.lit("\n- types: "), tick(F.col("able"))), F.lit("")), F.lit("\n"))
+    return rows.select("path", "start", "outcome", text.alias("text"))

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.sources import rbs
+from factloom.sources import rbs, sorbet
 from factloom.sources.ruby import Malformed, Unsupported, parse
 
 _S, _L, _B, _A = T.StringType(), T.LongType(), T.BooleanType(), T.ArrayType(T.StringType())
 TABLES = {
     "fragments": [("class_path", _S), ("kind", _S), ("superclass", _S), ("nesting", _A), ("open_reason", _S), ("start", _L)],
     "mixins": [("class_path", _S), ("kind", _S), ("target", _S), ("nesting", _A), ("ord", _L)],
-    "methods": [("class_path", _S), ("name", _S), ("singleton", _B), ("required", _L), ("optional", _L), ("rest", _B), ("arity_unknown", _B), ("abstract", _B), ("params", _A), ("param_types", _A), ("declared", _S), ("ret", _S), ("start", _L), ("end", _L), ("name_start", _L), ("name_end", _L), ("nesting", _A)],
+    "methods": [("class_path", _S), ("name", _S), ("singleton", _B), ("required", _L), ("optional", _L), ("rest", _B), ("arity_unknown", _B), ("abstract", _B), ("params", _A), ("param_types", _A), ("declared", _S), ("ret", _S), ("start", _L), ("end", _L), ("name_start", _L), ("name_end", _L), ("nesting", _A), ("sig_types", _A), ("sig_returns", _S), ("points", _A)],
     "consts": [("name", _S), ("alias_of", _S), ("nesting", _A), ("start", _L)],
     "const_refs": [("name", _S), ("nesting", _A), ("start", _L), ("end", _L)],
     "calls": [("id", _S), ("recv", _S), ("recv_kind", _S), ("name", _S), ("given", _L), ("exact", _B), ("args", _A), ("literals", _A), ("start", _L), ("end", _L), ("class_path", _S), ("singleton", _B), ("scope", _S), ("local", _S), ("silent", _B)],
@@ -50,7 +50,8 @@ class Walk:
         self.out: dict[str, list] = {k: [] for k in TABLES}
 
     def add(self, table: str, *row) -> None:
-        self.out[table].append(dict(zip((n for n, _ in TABLES[table]), row, strict=True)))
+        names = [n for n, _ in TABLES[table]]
+        self.out[table].append(dict(zip(names, [*row, *[None] * (len(names) - len(row))], strict=True)))
 
     def expr(self, op: str, name: str | None, operands: list[str], nesting=(), at: tuple[int, int] = (0, 0)) -> str:
         self.n += 1
@@ -136,6 +137,9 @@ class Walk:
         all_literal = len(literal) == len(args) and not node[8].get("splat")
         at = (node[1], node[2], *node[6], nesting)
         add = lambda n, req, rest=False, unknown=False: self.add("methods", class_path, n, in_singleton, req, 0, rest, unknown, False, [], [], None, None, at[0], at[1], at[2], at[3], nesting)
+        if name == "sig" and node[7]:
+            self.contract = sorbet.contract(node[7][4])
+            return None
         if name in ("include", "prepend", "extend"):
             for a in args:
                 if a[0] == "const":
@@ -192,6 +196,7 @@ class Walk:
     def method(self, node, nesting, class_path, singleton) -> None:
         _, start, end, name, (ns, ne), own, params, body = node
         singleton = singleton or own
+        contract, self.contract = getattr(self, "contract", None), None
         kinds = [k for k, _, _ in params]
         unknown = "forward" in kinds or "key" in kinds or "keyopt" in kinds or "kwrest" in kinds
         sig = self.sigs.get(self.line(start) - 1)
@@ -220,7 +225,7 @@ class Walk:
         tail = self.block_value(body, env, scope)
         ret = self.union([tail, *scope.returns]) if not sig_unknown else None
         names = [p for kind, p, _ in params if kind in ("req", "opt")]
-        self.add("methods", class_path or "Object", name, singleton, kinds.count("req"), kinds.count("opt"), "rest" in kinds, unknown, abstract, names, types, declared, ret, start, end, ns, ne, nesting)
+        self.add("methods", class_path or "Object", name, singleton, kinds.count("req"), kinds.count("opt"), "rest" in kinds, unknown, abstract, names, types, declared, ret, start, end, ns, ne, nesting, [contract.params.get(n, "untyped") for n in names] if contract else None, contract.returns if contract else None, points(body) if contract else None)
         if name in HOOKS and singleton:
             self.add("anywhere", "hook", class_path, nesting)
         if name == "const_missing" and singleton:
@@ -296,6 +301,9 @@ class Walk:
     def _assign(self, node, env, scope, at):
         _, _, _, target, op, right = node
         v = self.value(right, env, scope)
+        cast = self.casts.get(self.line(max(node[2] - 1, 0)))
+        if cast and op == "=":
+            v = self.expr("strip", None, [v]) if cast == "!nil" and v else None if cast in ("!nil", "untyped") else self.expr("declared", cast, [], scope.nesting)
         if op == "||=":
             old = env.get(target[3]) if target[0] == "local" else None
             v = self.union([self.expr("strip", None, [old]), v]) if old and v else None
@@ -328,6 +336,8 @@ class Walk:
             literals.append(a[3] + ":" + str(a[5]) if a[0] == "literal" and len(a) > 5 and a[5] is not None else a[3] if a[0] == "literal" else "")
         for x in flags.get("extra", []):
             self.value(x, env, scope)
+        if recv and recv[0] == "const" and recv[3] in ("T", "::T"):
+            return self.assertion(name, args, got, scope, span)
         exact = not (flags.get("splat") or flags.get("keywords") or flags.get("blockarg"))
         kind = recv[0] if recv else "implicit"
         silent = (recv is None and scope.rebound) or (recv is None and not scope.class_path) or scope.asserted > 0 or (kind in ("local", "call", "ivar") and name in scope.responds) or bool(flags.get("safe"))
@@ -344,6 +354,16 @@ class Walk:
                 return None
         return key
 
+    def assertion(self, name, args, got, scope, span):
+        """``T.let``, ``T.cast`` and ``T.must`` give a type to what follows; the rest is unknown."""
+        if name in ("let", "cast", "bind", "assert_type!") and len(args) > 1:
+            return self.expr("declared", sorbet.type_of(args[1]), [], scope.nesting)
+        if name == "must" and args:
+            if args[0][0] == "literal" and args[0][3] == "nil":
+                self.add("errors", "E0103", *span, "`T.must` raises on a literal `nil`")
+            return self.expr("strip", None, [got[0]]) if got[0] else None
+        return None
+
     def definer(self, recv, name, args, env, scope) -> None:
         """Calls in code that add methods to some class: it is opened, or what they add may be answered anywhere."""
         if name in ("send", "public_send", "__send__") and args and args[0][0] == "literal":
@@ -552,6 +572,7 @@ class Walk:
     def file(self, text: str) -> None:
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.sigs: dict[int, tuple] = {}
+        self.casts: dict[int, str] = {}
         try:
             nodes, comments = parse(text)
         except Malformed as e:
@@ -560,6 +581,8 @@ class Walk:
         except (Unsupported, RecursionError, IndexError, TypeError):
             return self.opaque(text)
         for s, e, c in comments:
+            if m := re.match(r"#: as (!nil|(?:::)?[A-Za-z]\w*(?:::[A-Z]\w*)*)\s*$", c):
+                self.casts[self.line(s)] = m[1]
             if c.startswith("#:") and not c.startswith("#: as "):
                 self.sigs[self.line(s)] = (s, e, c[2:].strip())
         self.body(nodes, [], None)
@@ -627,6 +650,34 @@ def _nodes(x):
             yield from _nodes(y)
 
 
+def points(nodes: list) -> list[str]:
+    """The literal class of every way a body returns; "" where one is no literal."""
+    out: list[str] = []
+
+    def tail(body: list | None) -> None:
+        if not body:
+            return out.append("nil")
+        n = body[-1]
+        if n[0] == "if":
+            tail(n[4])
+            return tail(n[5])
+        if n[0] == "case":
+            for _, b in n[4]:
+                tail(b)
+            return tail(n[5])
+        if n[0] == "begin" and not n[4] and n[6] is None:
+            return tail(n[3])
+        if n[0] == "return":
+            return None
+        return out.append(n[3] if n[0] == "literal" else {"array": "Array", "hash": "Hash"}.get(n[0], ""))
+
+    tail(nodes)
+    for n in _nodes(nodes):
+        if n[0] == "return":
+            out.append(n[3][0][3] if len(n[3]) == 1 and n[3][0][0] == "literal" else "nil" if not n[3] else "")
+    return out
+
+
 def _mentions(nodes, names) -> bool:
     return any(n[0] == "call" and n[4] in names for n in _nodes(nodes))
 

@@ -533,6 +533,7 @@ class Parser:
                 return
             self.newlines()
             flags.setdefault("extra", []).append(self.ternary())
+            flags.setdefault("named", []).append((text[:-1], flags["extra"][-1]))
             return
         x = self.not_expression()
         if self.at("=>"):

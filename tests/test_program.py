@@ -248,3 +248,66 @@ def test_signatures(text, params, returns):
 def test_bad_signatures(text):
     with pytest.raises(rbs.Invalid):
         rbs.signature(text)
+
+
+SIGNED = '''class Till
+  extend T::Sig
+
+  sig { params(amount: Integer, note: T.nilable(String)).returns(String) }
+  def pay(amount, note)
+    "paid"
+  end
+
+  sig { returns(Integer) }
+  def count
+    "three"
+  end
+
+  sig { returns(T.any(Integer, String)) }
+  def fine
+    "three"
+  end
+
+  sig { returns(Till) }
+  def other
+    unknown_source.thing
+  end
+
+  def act(x)
+    pay("ten", nil)
+    pay(1, 2)
+    other.pey(1, nil)
+    kept = x.read #: as Till
+    kept.cuont
+    T.must(nil)
+    T.let(x, Till).act
+    loose = x.read #: as untyped
+    loose.anything
+  end
+
+  def unknown_source
+    @source
+  end
+end
+'''
+
+
+def test_library_signatures_and_casts(spark):
+    p = Program(spark.createDataFrame([("till.rb", SIGNED)], "path string, text string"))
+    got = sorted((r.line, r.code, r.message) for r in p.diagnostics.collect())
+    assert got == [
+        (10, "E0109", "return of `count` expects Integer, got String"),
+        (25, "E0103", "argument `amount` of `pay` expects Integer, got String"),
+        (26, "E0103", "argument `note` of `pay` expects String | nil, got Integer"),
+        (27, "E0101", "undefined method `pey` for `Till`"),
+        (29, "E0101", "undefined method `cuont` for `Till`"),
+        (30, "E0103", "`T.must` raises on a literal `nil`"),
+        (31, "E0102", "`act` expects 1 argument, got 0"),
+    ]
+
+
+def test_agent_blocks(spark):
+    text = "class Left\n  def one; end\n  def two; end\nend\nclass Right\n  def one; end\nend\nclass User\n  def go(x)\n    x.one\n    x.two\n  end\nend\n"
+    p = Program(spark.createDataFrame([("u.rb", text)], "path string, text string"))
+    (row,) = report.agent_blocks(p).collect()
+    assert row.outcome == "inferred" and row.text == "## `x` in u.rb\n\n- calls: `one`, `two`\n- outcome: inferred\n- types: `Left`\n"
