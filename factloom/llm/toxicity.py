@@ -9,13 +9,15 @@ The model's posteriors label a bounded sample, on which a linear classifier (vot
 and hashed words) is trained; that classifier scores every whole text.
 
 Null and empty texts get no votes and no words: the bias alone scores them.
-Labelled rows, where given, only show which lexicon words mislead in this corpus
-(they stand mostly in documents labelled clean; such words vote no more) and the
-share of toxic documents.
+Labelled rows, where given, show which lexicon words mislead in this corpus (they
+stand mostly in documents labelled clean; such words vote no more), which beginnings
+of words go with toxic documents that no lexicon knows (two more voters), and the share
+of toxic documents; in the label model their class is known.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from itertools import combinations
@@ -40,11 +42,15 @@ LEXICON = {
 # Insults only when aimed at somebody.
 AIMED = "fool jerk creep coward garbage filth pig dirt nothing useless dumb ugly joke disgrace failure parasite savage animal débile stupide minable versager dreck widerlich wertlos basura patético inútil".split()
 _AIMED = re.compile(r"\b(?:you(?:\s+are|'re|r)?|u\s+r|they\s+are|tu\s+es|vous\s+êtes|du\s+bist|ihr\s+seid|eres|sois)\s+(?:\S+\s+){0,2}(\S+)|\b(?:kill|hang|shoot)\s+(yourself)\b", re.I)
-NAMES = [*LEXICON, "aimed", "shouting"]
+NAMES = [*LEXICON, "aimed", "shouting", "stems", "some stems"]
 _OF = {w: 1 << k for k, words in enumerate(LEXICON.values()) for w in words.split()}
 _FOLD = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 #: Slots of hashed words; rows (expected) and characters of each that train the linear classifier; voters joined at most.
 BITS, SAMPLE, SAMPLE_CHARS, LARGEST_GROUP = 14, 8_000, 4_000, 3
+#: Learned stems: letters, documents and excess among toxic ones, number; margin over the clean rate, and how rare a count must be to vote.
+STEM_LETTERS, STEM_DOCS, STEM_EXCESS, STEMS, MARGIN, RARE = (3, 4, 5, 6), 8, 8.0, 40, 4.0, 1e-3
+#: How often a labelled document counts in the label model.
+ANCHOR = 5.0
 
 
 def words_of(text: str) -> set[bytes]:
@@ -52,9 +58,14 @@ def words_of(text: str) -> set[bytes]:
 
 
 class Voters:
-    """The voters over the lexicon, less its ``dropped`` words."""
+    """The voters: the lexicon less its ``dropped`` words, patterns, and learned ``stems``.
 
-    def __init__(self, dropped: set[str] = frozenset()):
+    A stem voter counts the words that begin with a stem and compares with ``rate``, the
+    share of such words in clean text: "stems" needs a surprising number, "some stems" one.
+    """
+
+    def __init__(self, dropped: set[str] = frozenset(), stems: list[str] = (), rate: float = 0.0):
+        self.stems, self.rate = tuple(x.encode() for x in stems), rate
         self.words = {w.encode(): k for w, k in _OF.items() if w not in dropped}
         self.aimed = {w.encode() for w in [*_OF, *AIMED, "yourself"] if w not in dropped}
 
@@ -63,19 +74,31 @@ class Voters:
         if not text:
             return 0
         out, own, k = 0, self.words, len(LEXICON)
+        raw = text.lower().encode("utf-8", "surrogatepass") if self.stems else b""
         for w in (words if words is not None else words_of(text)) & own.keys():
             out |= own[w]
         if (out or not self.aimed.isdisjoint(words or words_of(text))) and any((m[1] or m[2]).lower().strip(".,;:!?").encode() in self.aimed for m in _AIMED.finditer(text)):
             out |= 1 << k
         if text.count("!!") > 2 and sum(map(str.isupper, text)) > 0.5 * len(text):
             out |= 2 << k
+        if self.stems and any(x in raw for x in self.stems) and (n := self.stemmed(text)[0]):
+            mean = MARGIN * self.rate * max(len(text) / 6, 1)
+            tail = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(min(n, 60)))
+            out |= (12 if n > 1 and tail < RARE else 8) << k
         return out
 
+    def stemmed(self, text: str | None) -> tuple[int, int]:
+        """Words that begin with a stem, and all words."""
+        words = text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
+        return sum(w.startswith(self.stems) for w in words) if self.stems else 0, len(words)
+
 
 class LabelModel:
     """Hidden class, voters' rates, and tables of correlated groups, from pattern counts."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, voters: int, share: float | None = None, rounds: int = 200):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, voters: int, share: float | None = None, rounds: int = 200, anchors: np.ndarray | None = None):
+        #: Counts of labelled documents, clean and toxic, of each pattern: their class is known.
+        self.anchors = np.zeros((2, len(patterns))) if anchors is None else ANCHOR * anchors
         self.voters, self.share, self.fixed = voters, share or 0.1, share is not None
         bits = (patterns[:, None] >> np.arange(voters)) & 1
         self.groups, self.correlated = [[k] for k in range(voters)], []
@@ -109,7 +132,7 @@ class LabelModel:
         """Fit the tables of the present groups; the log likelihood of the counts."""
         codes, post = self._codes(bits), self._start(bits)
         for _ in range(rounds):
-            own = np.stack([(1 - post) * counts, post * counts])
+            own = np.stack([(1 - post) * counts, post * counts]) + self.anchors
             if not self.fixed:
                 self.share = float(np.clip((own[1].sum() + 1) / (counts.sum() + 2 / max(self.share, 1e-3)), 1e-4, 0.5))
             self.tables = []
@@ -124,7 +147,7 @@ class LabelModel:
                 break
             post = new
         joint = [np.log(p) + sum(np.log(t[k][c]) for t, c in zip(self.tables, codes, strict=True)) for k, p in enumerate((1 - self.share, self.share))]
-        return float(counts @ np.logaddexp(*joint))
+        return float(counts @ np.logaddexp(*joint) + sum((a * (j - np.logaddexp(*joint))).sum() for a, j in zip(self.anchors, joint, strict=True)))
 
     @staticmethod
     def _monotone(t: np.ndarray) -> np.ndarray:
@@ -166,7 +189,7 @@ class Linear:
         words = words_of(text)
         mask = self.voters(text, words)
         cache = self.cache
-        if len(cache) > 400_000:
+        if len(cache) > 200_000:
             cache.clear()
         hashed = 0.0
         for w in words:
@@ -178,7 +201,7 @@ class Linear:
         return self.bias + dense + hashed / np.sqrt(len(words) or 1)
 
 
-LEXICAL = (1 << len(LEXICON) + 1) - 1  # all but shouting
+LEXICAL = (1 << len(LEXICON) + 1) - 1  # all but shouting and stems
 DENSE = len(NAMES) + 1
 
 
@@ -244,23 +267,62 @@ def misleading(labelled: DataFrame, text: str = "text", toxic: str = "toxic", le
     return {r.w for r in got.filter((F.col("n") >= least) & (F.col("rate") < rate)).collect()}  # at most the lexicon
 
 
+def learned_stems(labelled: DataFrame, voters: Voters, text: str = "text", toxic: str = "toxic") -> list[str]:
+    """Beginnings of words that toxic documents without a lexicon word have far more often than clean ones."""
+
+    def of():
+        def beginnings(t):
+            if not t or voters(t):
+                return None
+            return sorted({w[:k] for w in set(t.lower().split()) if w.isalpha() for k in STEM_LETTERS if len(w) > k})
+
+        return beginnings
+
+    rows = _map(labelled.filter(F.col(toxic).isNotNull()), text, (toxic,), "stems", T.ArrayType(T.StringType()), of).filter("stems is not null")
+    total = {bool(r[0]): r[1] for r in rows.groupBy(F.col(toxic) > 0).count().collect()}
+    if not total.get(True) or not total.get(False):
+        return []
+    got = rows.select(toxic, F.explode("stems").alias("stem")).groupBy("stem").agg(F.count_if(F.col(toxic) > 0).alias("t"), F.count_if(F.col(toxic) <= 0).alias("c"))
+    excess = (F.col("t") / total[True]) / ((F.col("c") + 1) / total[False])
+    best = got.filter((F.col("t") >= STEM_DOCS) & (excess >= STEM_EXCESS)).withColumn("score", F.col("t") * F.log(excess)).orderBy(F.desc("score"), F.desc(F.length("stem")), "stem").limit(20 * STEMS).collect()
+    out: list[str] = []
+    for r in best:
+        if len(out) < STEMS and not any(r.stem.startswith(x) or x.startswith(r.stem) for x in out):
+            out.append(r.stem)
+    return out
+
+
 def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> tuple[LabelModel, Linear]:
     """Label model over all of ``docs``, linear classifier on about ``sample`` of them.
 
-    ``labelled`` (text and ``toxic``) only shows which lexicon words mislead here,
-    and the share of toxic documents (estimated with the rest where it is missing).
+    ``labelled`` (text and ``toxic``, a bounded number of rows) shows which lexicon words
+    mislead here, which beginnings of words go with toxic documents, the share of these,
+    and the classes of its own vote patterns.
     """
-    voters = Voters(misleading(labelled, text, toxic) if labelled is not None else set())
-    share = labelled.agg(F.avg(F.col(toxic).cast("double"))).first()[0] if labelled is not None else None
-    share = min(max(share, 0.001), 0.5) if share is not None else None
+    voters, share, known = Voters(), None, {}
+    if labelled is not None:
+        labelled = labelled.filter(F.col(toxic).isNotNull()).select(text, toxic)
+        dropped = misleading(labelled, text, toxic)
+        stems = learned_stems(labelled, Voters(dropped), text, toxic)
+        if stems:
+            counter = Voters(dropped, stems)
+            clean = labelled.filter(F.col(toxic) <= 0)
+            # Two numbers of each labelled row, of which there is a bounded number.
+            seen = [r[0] for r in _map(clean, text, (), "n", T.ArrayType(T.LongType()), lambda: lambda t: list(counter.stemmed(t))).collect()]
+            voters = Voters(dropped, stems, (sum(n for n, _ in seen) + 1) / (sum(w for _, w in seen) + 1))
+        else:
+            voters = Voters(dropped)
+        share = labelled.agg(F.avg((F.col(toxic) > 0).cast("double"))).first()[0]
+        share = min(max(share, 0.001), 0.5) if share is not None else None
+        known = {(r[0], r[1]): r[2] for r in vote(labelled, voters, text, (toxic,)).groupBy("votes", (F.col(toxic) > 0).alias("y")).count().collect()}
     # Bounded: at most 2 ** len(NAMES) patterns.
-    got = sorted(vote(docs, voters, text, ()).groupBy("votes").count().collect())
-    total = sum(r[1] for r in got)
-    if not total:
-        got, total = [(0, 1)], 1
-    model = LabelModel(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float), len(NAMES), share)
+    got = {r[0]: r[1] for r in vote(docs, voters, text, ()).groupBy("votes").count().collect()}
+    total = sum(got.values())
+    patterns = sorted({*got, *(v for v, _ in known)} or {0})
+    anchors = np.array([[known.get((v, y), 0) for v in patterns] for y in (False, True)], float)
+    model = LabelModel(np.array(patterns, np.int64), np.array([got.get(v, 0) + (not total) for v in patterns], float), len(NAMES), share, anchors=anchors)
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("weak")), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.filter(draw < min(1.0, sample / total)).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    some = docs.filter(draw < min(1.0, sample / max(total, 1))).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"))
     # Bounded: about `sample` rows of at most SAMPLE_CHARS characters.
     texts = sorted(r.t or "" for r in some.collect())
     return model, fit_linear(texts, model.posterior(np.array([voters(t) for t in texts], np.int64)) if texts else np.zeros(0), voters, model.odds())
