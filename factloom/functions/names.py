@@ -76,3 +76,31 @@ def ignored(path: Column, entry: str) -> Column:
     body = re.escape(entry.strip("/"))
     start = "^/" if entry.startswith("/") else "(^|/)"
     return F.concat(F.lit("/"), path).rlike(f"{start}{body}(/|$)") if body else F.lit(False)
+
+
+def percent_encode(path: Column) -> Column:
+    """A path as it stands in a URI: slashes and unreserved characters stay."""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def percent_decode(uri: Column) -> Column:
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def split_top(text: str, separator: str = ",") -> list[str] | None:
+    """Parts of a type expression at separators outside all brackets; None where brackets do not match."""
+    depth, parts, last = [], [], 0
+    pairs = {")": "(", "]": "[", "}": "{"}
+    for k, c in enumerate(text):
+        if c in "([{":
+            depth.append(c)
+        elif c in pairs:
+            if not depth or depth.pop() != pairs[c]:
+                return None
+        elif c == separator and not depth:
+            parts.append(text[last:k].strip())
+            last = k + 1
+    return None if depth else [*parts, text[last:].strip()]

@@ -49,6 +49,18 @@ def wrong_arity(p) -> DataFrame:
     return _row(bad, "E0102", F.concat(F.lit("`"), "name", F.lit("` expects "), some, unit, F.lit(", got "), F.col("given").cast("string")))
 
 
+def wrong_core_arity(p) -> DataFrame:
+    """E0102 on core receivers: counts are known for the built-in table only, and not where the project reopens the class."""
+    table = p.core_table.select(F.col("class").alias("recv_type"), "name", "least", "most")
+    rows = p.sites.filter("verdict = 'core' and exact and not silent").join(table, ["recv_type", "name"])
+    reopened = p.classes.filter(F.col("class_path").isin("Object", "Kernel", "BasicObject", "Comparable", "Enumerable", "Numeric")).limit(1).count()
+    bad = rows.filter(resolve.arity_mismatch(F.col("given"), F.col("least"), F.col("most")) & F.lit(not reopened))
+    least, most = F.col("least"), F.col("most")
+    some = F.when(most.isNull(), F.concat(F.lit("at least "), least.cast("string"))).when(most > least, F.concat(least.cast("string"), F.lit(" to "), most.cast("string"))).otherwise(least.cast("string"))
+    unit = F.when(F.coalesce(most == least, F.lit(False)) & (least == 1), " argument").otherwise(" arguments")
+    return _row(bad, "E0102", F.concat(F.lit("`"), "name", F.lit("` expects "), some, unit, F.lit(", got "), F.col("given").cast("string")))
+
+
 def _misfits(p, bound: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (``keys``, literal, declared, nesting) whose literal no member of the declared type admits.
 
@@ -168,7 +180,7 @@ def operands(p) -> DataFrame:
 
 def all_of(p) -> DataFrame:
     rows = source_errors(p)
-    for part in (undefined_methods, wrong_arity, broken_signatures, broken_returns, unresolved_constants, lost_values, contradictions, operands):
+    for part in (undefined_methods, wrong_arity, wrong_core_arity, broken_signatures, broken_returns, unresolved_constants, lost_values, contradictions, operands):
         rows = rows.unionByName(part(p))
     return located(rows.distinct(), p.project)
 

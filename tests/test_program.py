@@ -311,3 +311,11 @@ def test_agent_blocks(spark):
     p = Program(spark.createDataFrame([("u.rb", text)], "path string, text string"))
     (row,) = report.agent_blocks(p).collect()
     assert row.outcome == "inferred" and row.text == "## `x` in u.rb\n\n- calls: `one`, `two`\n- outcome: inferred\n- types: `Left`\n"
+
+
+def test_core_arity(spark):
+    text = "class Sum\n  def go\n    \"abc\".length(1)\n    [1].join(1, 2)\n    \"abc\".upcase.length\n    1.+(2)\n    :a.nowhere\n    [1].push(1, 2, 3)\n  end\nend\n"
+    p = Program(spark.createDataFrame([("s.rb", text)], "path string, text string"))
+    assert sorted((r.line, r.message) for r in p.diagnostics.collect()) == [(3, "`length` expects 0 arguments, got 1"), (4, "`join` expects 0 to 1 arguments, got 2")]
+    again = Program(spark.createDataFrame([("s.rb", text), ("t.rb", "class String\n  def length(x = 1); end\nend\n")], "path string, text string"))
+    assert [r.line for r in again.diagnostics.collect()] == [4]

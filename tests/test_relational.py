@@ -122,6 +122,14 @@ def test_names(spark):
     assert [r.x for r in cast.select(names.loses_value(F.col("t"), F.col("v")).alias("x")).collect()] == [False, True, False, True, False, False, False]
 
 
+def test_uris_and_splits(spark):
+    df = spark.createDataFrame([("/a b/c+d~é*.rb",)], "p string")
+    coded = df.select(names.percent_encode(F.col("p")).alias("x"))
+    assert coded.first().x == "/a%20b/c%2Bd~%C3%A9%2A.rb"
+    assert coded.select(names.percent_decode(F.col("x")).alias("p")).first().p == "/a b/c+d~é*.rb"
+    assert names.split_top("A, B[C, D], (E, F)") == ["A", "B[C, D]", "(E, F)"] and names.split_top("A[B") is None and names.split_top("A)") is None
+
+
 def test_gem_accounting(spark):
     locks = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("e", "5")], "gem string, version string")
     rbi = spark.createDataFrame([("a", "1-abc"), ("b", "20")], "gem string, version string")
