@@ -145,6 +145,16 @@ class Bloom:
         return cls(packed.tobytes())
 
 
+_CLEAR: dict[str, object] = {}
+
+
+def claim(name: str, clear) -> None:
+    """A worker process serves one operator after another: on a change, the caches of the others are emptied."""
+    for other in [k for k in _CLEAR if k != name]:
+        _CLEAR.pop(other)()
+    _CLEAR[name] = clear
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """A public tokenizer file; ``folder`` overrides the installed package."""
     if folder:
@@ -154,4 +164,4 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Bloom", "cut", "drop", "held_out", "parts", "read_table", "share", "shared_dir", "ship", "tokenizer_path"]
+__all__ = ["Bloom", "claim", "cut", "drop", "held_out", "parts", "read_table", "share", "shared_dir", "ship", "tokenizer_path"]

@@ -184,11 +184,12 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str,
     def run(batches):
         model = shared.value
         for b in batches:
+            base.claim("language", lambda: None)
             texts = b.column(len(keep)).to_pylist()
             langs, scores, lo = [], [], 0
-            while lo < len(texts):  # about 1 MB at a time; a longer text is alone
+            while lo < len(texts):  # about 0.4 MB at a time; a longer text is alone
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 1_000_000):
+                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 400_000):
                     size += len(texts[hi] or "")
                     hi += 1
                 got = model.predict(texts[lo:hi])

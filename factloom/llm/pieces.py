@@ -34,7 +34,7 @@ from factloom.llm import base
 MARK = "▁"
 LONG = 400
 #: Entries of a worker's word cache; it is emptied when full.
-CACHE = 400_000
+CACHE = 200_000
 _WORKER: dict[str, "PieceModel"] = {}
 
 
@@ -383,9 +383,11 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", keep: tu
 
     def run(batches):
         model = model_of(blob.value)
+        base.claim("pieces", _WORKER.clear)
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            # Few documents at a time: their words are held as lists meanwhile.
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 ids = model.encode(part.column(len(keep)).to_pylist())
                 back = [model.decode(x) for x in ids]
                 cols = [part.column(i) for i in range(len(keep))]

@@ -23,7 +23,7 @@ from factloom.llm import base
 from factloom.llm.pieces import MARK, PieceModel
 
 WORDS = re.compile(r"\w+|[^\w\s]")
-CACHE = 500_000
+CACHE = 250_000
 _UNKNOWN = (1 << 40) + 1  # one piece, one unknown word
 _WORKER: dict[str, "LongestMatch"] = {}
 
@@ -124,6 +124,7 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tup
 
     def run(batches):
         model = _automaton(blob.value)
+        base.claim("tokens", _WORKER.clear)
         for b in batches:
             got = [model.text(t.as_py()) for t in b.column(len(keep))]
             cols = [b.column(i) for i in range(len(keep))] + [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
