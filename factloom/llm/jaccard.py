@@ -8,7 +8,11 @@ picked coordinate go on to the same child.  A node of at most ``LIMIT`` classes
 bucket and is compared by brute force; a larger one is split further.  Runs are
 repeated until a pair at the threshold is found with probability ``RECALL``: the
 first runs cover all classes, the others those that were in a node that had to be
-split (only their paths are longer, and may part).
+split (only their paths are longer, and may part).  All paths have at least
+``SHALLOWEST`` steps.
+
+A large node that keeps most of the classes of the node above it is
+not split on: its classes are alike, and all become candidates of the least one.
 
 The buckets' comparisons of hashes give candidates, as a forest in each bucket, never
 as pairs.  Candidates that hang together are compared by their exact shingle sets,
@@ -33,7 +37,9 @@ from pyspark.sql import types as T
 from factloom.llm import base
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-COORDS, LIMIT, DEEPEST, FIRST_RUNS = 48, 256, 8, 5
+COORDS, LIMIT, SHALLOWEST, DEEPEST, FIRST_RUNS = 48, 512, 2, 8, 6
+#: A large node that keeps this share of the node above it is dense.
+DENSE = 0.7
 #: Equal coordinates that make a candidate: four deviations below the threshold's mean.
 LEAST_EQUAL = math.floor(COORDS * THRESHOLD - 4 * math.sqrt(COORDS * THRESHOLD * (1 - THRESHOLD)))
 #: Classes, and shingles, of a block of the exact comparison.
@@ -44,7 +50,7 @@ _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, max(COORDS, 16)), dtyp
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -110,28 +116,30 @@ class _Forest:
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, digest, n, sig) of every row."""
+    """(id, digest, n, sig, packed) of every row; packed: 16 bits of each coordinate, for comparing within buckets."""
     import pyarrow as pa
 
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([src.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([src.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            d, n, sig = [], [], []
+            base.claim("jaccard", _WORDS.clear)
+            d, n, sig, packed = [], [], [], []
             for t in b.column(1):
                 t = t.as_py()
                 s = shingles(t)
                 d.append(digest(t))
                 n.append(len(s))
                 sig.append(minima(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=schema.names)
+                packed.append((np.array(sig[-1]) & 0xFFFF).astype(np.uint16).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.list_(pa.int32())), pa.array(packed, pa.binary())], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def _children(nodes: DataFrame, depth: int, runs: list[int]) -> DataFrame:
-    """From (digest, run, node, sig): the nodes of the next depth.  A node's second pick is drawn by its own name."""
+    """From (digest, run, node, sig): the nodes of the next depth, with sig.  A node's second pick is drawn by its own name."""
     first, second = ({r: _coordinates(r)[2 * depth + k] for r in runs} for k in (0, 1))
 
     def value(pick: dict[int, int]):
@@ -140,29 +148,34 @@ def _children(nodes: DataFrame, depth: int, runs: list[int]) -> DataFrame:
 
     twice = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < round(1000 * (1 / THRESHOLD - 1))
     kids = F.when(twice, F.array(value(first), value(second))).otherwise(F.array(value(first)))
-    return nodes.select("digest", "run", F.explode(kids).alias("node"))
+    return nodes.select("digest", "run", "sig", "above", F.explode(kids).alias("node"))
 
 
 def _tree(classes: DataFrame, runs: list[int], label: str) -> tuple[list[DataFrame], DataFrame | None, int]:
     """Buckets (digest, node) of all depths, digests of split nodes, and the depth reached."""
-    roots = classes.filter("sig is not null").select("digest", "sig", F.explode(F.array(*map(F.lit, runs))).alias("run"))
-    level = _children(roots.withColumn("node", F.xxhash64(F.lit("root"), F.col("run"))), 0, runs)
-    buckets, split, depth = [], None, 1
+    roots = classes.filter("sig is not null").select("digest", "sig", F.lit(None).cast("long").alias("above"), F.explode(F.array(*map(F.lit, runs))).alias("run"))
+    level = roots.withColumn("node", F.xxhash64(F.lit("root"), F.col("run")))
+    # The first picks need no look at the sizes: few texts share two coordinates that are not alike.
+    for depth in range(SHALLOWEST):
+        level = _children(level, depth, runs)
+    buckets, split, depth = [], None, SHALLOWEST
     while True:
-        level = base.cut(level, f"{label}-level{depth}")
-        sizes = base.cut(level.groupBy("node").agg(F.count("*").alias("size"), F.min("digest").alias("least")).filter("size > 1"), f"{label}-sizes{depth}")
-        if not sizes.filter(F.col("size") > LIMIT).limit(1).count():
-            buckets.append(level.join(sizes, "node").select("digest", "node", F.lit(None).cast("binary").alias("least")))
-            return buckets, split, depth
-        if depth == DEEPEST:
-            # These share all coordinates of a long path: candidates of the least of them without comparison.
-            buckets.append(level.join(sizes, "node").select("digest", "node", F.when(F.col("size") > LIMIT, F.col("least")).alias("least")))
+        level = base.cut(level.select("digest", "run", "node", "above"), f"{label}-level{depth}")
+        sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        met = base.cut(level.join(sizes, "node"), f"{label}-met{depth}")
+        base.drop(level)
+        # Most of such a node came down together: its classes are alike, and more picks would not part them.
+        dense = F.col("size") >= DENSE * F.col("above") if depth < DEEPEST else F.lit(True)
+        dense = (F.col("size") > LIMIT) & F.coalesce(dense, F.lit(False))
+        least = met.filter(dense).groupBy("node").agg(F.min("digest").alias("least"))
+        buckets.append(met.filter(F.col("size") <= LIMIT).select("digest", "node", F.lit(None).cast("binary").alias("least")))
+        buckets.append(met.filter(dense).join(least, "node").select("digest", "node", "least"))
+        large = met.filter((F.col("size") > LIMIT) & ~dense)
+        if not large.limit(1).count():
             return buckets, split, depth
-        buckets.append(level.join(sizes.filter(F.col("size") <= LIMIT), "node").select("digest", "node", F.lit(None).cast("binary").alias("least")))
-        large = level.join(sizes.filter(F.col("size") > LIMIT).select("node"), "node")
         own = large.select("digest").distinct()
         split = own if split is None else split.unionAll(own).distinct()
-        level = _children(large.join(classes.select("digest", "sig"), "digest"), depth, runs)
+        level = _children(large.select("digest", "run", "node", F.col("size").alias("above")).join(classes.select("digest", "sig"), "digest"), depth, runs)
         depth += 1
 
 
@@ -209,7 +222,7 @@ def _schema(text: str) -> T.StructType:
 def _compare_bucket(rows: list[tuple]) -> list[tuple]:
     """Candidates of a bucket, as (class, least class of its tree)."""
     rows = sorted({r[0]: r for r in rows}.values())
-    x = np.array([r[1] for r in rows], np.int32)
+    x = np.array([np.frombuffer(r[1], np.uint16) for r in rows])
     equal = np.zeros((len(x), len(x)), np.int16)
     for c in range(x.shape[1]):
         equal += x[:, c][:, None] == x[:, c]
@@ -291,6 +304,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         known = shared.value
+        base.claim("jaccard", _WORDS.clear)
         for b in batches:
             d, s = [], []
             for t in b.column(0):
@@ -309,7 +323,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     threshold) and ``group_id`` (least id of all that links connect) of every row."""
     base.ship(docs.sparkSession)
     rows = base.cut(_signatures(docs, doc_id, text), "jaccard-rows")
-    classes = base.cut(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "jaccard-classes")
+    classes = base.cut(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("packed").alias("packed")), "jaccard-classes")
     buckets, split, depth = _tree(classes, list(range(FIRST_RUNS)), "jaccard-a")
     done = FIRST_RUNS
     while split is not None and (more := runs_needed(depth)) > done:
@@ -321,7 +335,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         leaves = leaves.unionAll(b)
     leaves = base.cut(leaves, "jaccard-leaves")
     far = leaves.filter("least is not null and least <> digest").select(F.col("digest").alias("a"), F.col("least").alias("b"))
-    near = leaves.filter("least is null").join(classes.select("digest", "sig"), "digest").select("node", "digest", "sig")
+    near = leaves.filter("least is null").join(classes.select("digest", "packed"), "digest").select("node", "digest", "packed")
     found = _grouped(near, ["node"], "a binary, b binary", _compare_bucket)
     clusters = components(found.unionAll(far), "jaccard-candidates")
     member = clusters.unionAll(clusters.select(F.col("root").alias("node"), "root").distinct()).join(classes.select(F.col("digest").alias("node"), "n"), "node")
