@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
 _SHIPPED: set[str] = set()
+#: Rows here hold whole documents, so batches for Python are kept small: rows and bytes at most.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,10 @@ def ship(spark: SparkSession) -> None:
     caches live as long as the worker), which needs the package on their path
     even where the driver's path is not inherited.
     """
+    for key, most in _BATCH.items():
+        have = spark.conf.get(key).rstrip("bB")
+        if have.isdigit() and not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     with _LOCK:
         if app in _SHIPPED:
@@ -104,7 +110,7 @@ class Bloom:
     its size, unlike the set's, does not grow with the data and can be broadcast.
     """
 
-    BITS, BLOCK = 1 << 23, 4096
+    BITS, BLOCK = 1 << 24, 4096
 
     def __init__(self, packed):
         self.packed = packed
@@ -129,6 +135,7 @@ class Bloom:
         size, block = cls.BITS, cls.BLOCK
 
         def fill(batches):
+            claim("bloom")
             bits = np.zeros(size, bool)
             for b in batches:
                 for t in b.column(0).to_pylist():
@@ -145,14 +152,50 @@ class Bloom:
         return cls(packed.tobytes())
 
 
+def sift(rows: DataFrame, key: str, bloom: Bloom, members: bool) -> DataFrame:
+    """The rows whose ``key`` the filter lets through, or the rest; a null key is let through by none.
+
+    Splits a wide table before a join on a few of its rows: the rest is not shuffled.
+    """
+    import pyarrow as pa
+
+    ship(rows.sparkSession)
+    shared, at = share(rows.sparkSession, bloom), rows.columns.index(key)
+
+    def run(batches):
+        claim("sift")
+        known = shared.value
+        for b in batches:
+            keep = [(k is not None and str(k) in known) is members for k in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 _CLEAR: dict[str, object] = {}
 
 
-def claim(name: str, clear) -> None:
-    """A worker process serves one operator after another: on a change, the caches of the others are emptied."""
+def claim(name: str, clear=lambda: None) -> None:
+    """A worker process serves one operator after another: on a change, the caches of the others are emptied.
+
+    Memory that was freed goes back to the system, as executors share their limit with the JVM.
+    """
     for other in [k for k in _CLEAR if k != name]:
         _CLEAR.pop(other)()
     _CLEAR[name] = clear
+    release()
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -164,4 +207,4 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Bloom", "claim", "cut", "drop", "held_out", "parts", "read_table", "share", "shared_dir", "ship", "tokenizer_path"]
+__all__ = ["Bloom", "claim", "cut", "drop", "held_out", "parts", "read_table", "share", "shared_dir", "sift", "ship", "tokenizer_path"]

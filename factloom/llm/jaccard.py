@@ -50,7 +50,7 @@ _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, max(COORDS, 16)), dtyp
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -123,8 +123,8 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = T.StructType([src.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
+        base.claim("jaccard", _WORDS.clear)
         for b in batches:
-            base.claim("jaccard", _WORDS.clear)
             d, n, sig, packed = [], [], [], []
             for t in b.column(1):
                 t = t.as_py()
@@ -189,6 +189,7 @@ def _grouped(rows: DataFrame, keys: list[str], out: str, handle) -> DataFrame:
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        base.claim("groups")
         arrow = to_arrow_schema(_schema(out))
         group, key, got = [], None, []
 
@@ -367,8 +368,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Of rows that repeat an id, those of one class count as one and those of other classes on their own.
     """
     found = base.cut(join(docs, doc_id, text), "jaccard-found")
-    ids = found.filter("id = group_id").select(F.col("id").alias("__id")).distinct()
-    if _repeated(found):
-        named = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-        return named.join(ids, F.col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id, "__text"]).drop("__text").unionByName(docs.filter(F.col(doc_id).isNull()))
-    return docs.join(ids, F.col(doc_id) == F.col("__id"), "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
+    kept = found.filter("id = group_id").select("id").distinct()
+    # Fewer go than stay, so the join is on those that go, and only rows that may be among them are shuffled.
+    gone = base.cut(found.filter("id is not null").select("id").distinct().join(kept, "id", "left_anti"), "jaccard-gone")
+    bloom = base.Bloom.of(gone, "id")
+    doubtful = base.sift(docs, doc_id, bloom, True).join(gone.select(F.col("id").alias("__id")), F.col(doc_id) == F.col("__id"), "left_anti")
+    out = base.sift(docs, doc_id, bloom, False).unionByName(doubtful)
+    if not _repeated(found):
+        return out
+    named = out.withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return named.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "__text"]).unionByName(named.filter(F.col(doc_id).isNull())).drop("__text")

@@ -182,9 +182,9 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str,
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        base.claim("language")
         model = shared.value
         for b in batches:
-            base.claim("language", lambda: None)
             texts = b.column(len(keep)).to_pylist()
             langs, scores, lo = [], [], 0
             while lo < len(texts):  # about 0.4 MB at a time; a longer text is alone

@@ -145,6 +145,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("near", _CONTEXT)])
 
     def run(batches):
+        base.claim("pii")
         for b in batches:
             base_, near = [], []
             for t in b.column(2):
@@ -257,7 +258,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     import pyarrow as pa
 
     found = find(docs, doc_id, text).filter((F.size("base") > 0) | F.col("terms").isNotNull()).select(F.col("key").alias("__key"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    got = docs.withColumn("__key", _key(doc_id, text)).join(found.dropDuplicates(["__key"]), "__key", "left")
+    found = base.cut(found.dropDuplicates(["__key"]), "pii-found")
+    # Most rows have no span and pass as they are; only those that may have one are shuffled.
+    rows, bloom = docs.withColumn("__key", _key(doc_id, text)), base.Bloom.of(found, "__key")
+    got = base.sift(rows, "__key", bloom, True).join(found, "__key", "left")
     cols = docs.columns
     schema = T.StructType([docs.schema[c] for c in cols])
 
@@ -267,4 +271,4 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             new = pa.array([replace(t.as_py(), x.as_py() or [], y.as_py()) if x.is_valid else t.as_py() for t, x, y in zip(b.column(k), b.column(len(cols)), b.column(len(cols) + 1), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == k else b.column(i) for i in range(len(cols))], names=cols)
 
-    return got.select(*cols, "__base", "__terms").mapInArrow(run, schema)
+    return base.sift(rows, "__key", bloom, False).select(*cols).unionAll(got.select(*cols, "__base", "__terms").mapInArrow(run, schema))

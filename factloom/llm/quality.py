@@ -171,6 +171,7 @@ def score(docs: DataFrame, model: Network, text: str = "text", keep: tuple[str,
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        base.claim("quality")
         for b in batches:
             x = np.array([features(t.as_py()) for t in b.column(len(keep))], np.float32).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(shared.value.score(x).astype(float), pa.float64())], names=schema.names)
