@@ -8,9 +8,15 @@ corpus says so: with document counts, the pointwise mutual information
     PMI(term, entity) = log2( p(term, entity) / (p(term) p(entity)) )
 
 reaches ``DISCLOSURE`` times the entity's information content -log2 p(entity) (at
-1, only terms never seen without the entity disclose it), and the term stands near
-the entity in at least ``SUPPORT`` different contexts (copies of one passage are one
-context).  Such terms, within ``WINDOW`` words of a mention, are spans of kind
+1, only terms never seen without the entity disclose it).  The estimate of
+p(entity | term) is its lower confidence bound: the term discloses the entity when as
+many joint documents as were seen would come about with a chance of at most ``DOUBT``
+if p(entity | term) were just at the threshold.  No number of documents is asked for
+besides: the rarer the entity, the fewer suffice.  Evidence is also pooled above the
+single value, as what a value belongs to (``pool``: an address's domain, a network, a
+card's issuer, a phone's area) is an entity like the value itself.
+
+Such terms, within ``WINDOW`` words of a mention, are spans of kind
 ``term``.  Sanitising replaces base spans by their kind and generalises disclosing
 terms (a number to ``[NUMBER]``) or removes them (``[TERM]``).  Documents without a
 mention are never changed.
@@ -22,6 +28,7 @@ more through, and the join after it is exact).  Null and empty texts have no spa
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,7 +40,7 @@ from pyspark.sql import types as T
 from factloom.llm import base
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, DISCLOSURE = 8, 3, 0.8
+WINDOW, DISCLOSURE, DOUBT = 8, 0.8, 0.05
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
@@ -103,13 +110,49 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """(entity, context, term, start, end) of the words within WINDOW words of each mention."""
+def pool(kind: str, value: str) -> str:
+    """What a value belongs to: an address's domain, a network of 256, a card's issuer, a phone's country and area."""
+    if kind == "email":
+        return value.rpartition("@")[2]
+    if kind == "ip":
+        return value.rpartition(".")[0]
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    return digits[:6] if kind == "card" else digits[:5]
+
+
+def entities(kind: str, value: str) -> list[int]:
+    """The value and its pool, as numbers."""
+    names = f"{kind}:{value.lower()}", f"{kind}*{pool(kind, value.lower())}"
+    return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in names]
+
+
+def chance(k: int, m: int, p: float) -> float:
+    """P(X >= k) of a binomial X of m trials of probability p, with k / m above p or nearly so."""
+    if p >= 1 or k <= 0:
+        return 1.0
+    term = math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log1p(-p))
+    total = 0.0
+    for i in range(k, m + 1):
+        total += term
+        term *= (m - i) / (i + 1) * p / (1 - p)
+        if term < total * 1e-12:
+            break
+    return total
+
+
+def reveals(together: int, term_docs: int, entity_docs: int, total: int, window: float = DISCLOSURE, doubt: float = DOUBT) -> bool:
+    """Whether the PMI, with the lower confidence bound of p(entity | term), reaches ``window`` times the entity's content."""
+    # pmi >= window * content  <=>  p(entity | term) >= p(entity) ** (1 - window)
+    least = (entity_docs / total) ** (1 - window)
+    return least < 1 and together > least * term_docs and chance(together, term_docs, least) <= doubt
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) of the words within WINDOW words of each mention."""
     out, covered = [], np.zeros(len(text) + 1, bool)
     for _, s, e in spans:
         covered[s:e] = True
     for kind, s, e in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[s:e].lower()}") - (1 << 63)
         words = []
         # WINDOW words lie within a stretch that is widened until it holds them.
         reach = 16 * WINDOW
@@ -127,12 +170,11 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
                 break
             reach *= 4
         words = [(a, b) for a, b in before[-WINDOW:] + after[:WINDOW] if not covered[a:b].any()]
-        context = xxhash.xxh3_64_intdigest(" ".join(text[a:b].lower() for a, b in words)) - (1 << 63)
-        out += [(entity, context, text[a:b].lower(), a, b) for a, b in words]
+        out += [(x, text[a:b].lower(), a, b) for x in entities(kind, text[s:e]) for a, b in words]
     return out
 
 
-_CONTEXT = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("context", T.LongType()), T.StructField("term", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+_CONTEXT = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 
 
@@ -152,7 +194,7 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 t = t.as_py()
                 spans = base_spans(t)
                 base_.append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
-                near.append([{"entity": x, "context": c, "term": w, "s": s, "e": e} for x, c, w, s, e in contexts(t, spans)] if spans else [])
+                near.append([{"entity": x, "term": w, "s": s, "e": e} for x, w, s, e in contexts(t, spans)] if spans else [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base_, to_arrow_type(_SPAN)), pa.array(near, to_arrow_type(_CONTEXT))], names=schema.names)
 
     return src.mapInArrow(run, schema)
@@ -162,14 +204,13 @@ def _terms(text: str) -> set[str]:
     return set(_TERM.findall(text.lower()))
 
 
-def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISCLOSURE, doubt: float = DOUBT) -> DataFrame:
     """(entity, term) pairs whose information reaches the threshold."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    near = scan.select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.term", "n.context")
-    pair = near.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("d")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("d").alias("together"))
-    pair = base.cut(pair.filter(F.col("contexts") >= support), "pii-pairs")
+    near = scan.select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.term").distinct()
+    pair = base.cut(near.groupBy("entity", "term").agg(F.count("*").alias("together")), "pii-pairs")
     mention = scan.select("key", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
     total = scan.count()
 
@@ -202,11 +243,16 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
 
     # Counted within the task first: a row for each term and task, not for each occurrence.
     df = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    n = F.lit(float(total))
-    joined = pair.join(df, "term").join(mention, "entity")
-    pmi = F.log2(F.col("together") * n / (F.col("term_docs") * F.col("entity_docs")))
-    content = F.log2(n / F.col("entity_docs"))
-    return joined.filter((content > 0) & (pmi >= window * content)).select("entity", "term")
+    # A term in more documents than this, of which the entity is in at most its own, cannot reach the threshold.
+    most = F.col("entity_docs") / F.pow(F.col("entity_docs") / F.lit(float(max(total, 1))), F.lit(1 - window))
+    joined = pair.join(df, "term").join(mention, "entity").filter(F.col("term_docs") <= most)
+
+    def decide(batches):
+        for b in batches:
+            keep = [reveals(k, m, e, total, window, doubt) for k, m, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield b.select(["entity", "term"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("entity", "term", "together", "term_docs", "entity_docs").mapInArrow(decide, "entity long, term string")
 
 
 def _key(doc_id: str, text: str) -> F.Column:

@@ -300,6 +300,23 @@ def test_disclosing_terms(spark, awkward, nothing):
     assert pii.digest(awkward).count() == awkward.count() and pii.digest(nothing).count() == 0
 
 
+def test_disclosing_needs_no_fixed_number():
+    # Two documents are enough for an entity of two in 10,000; of 20 documents they are not.
+    assert pii.reveals(2, 2, 2, 10_000) and not pii.reveals(2, 2, 2, 20) and not pii.reveals(2, 40, 2, 10_000)
+    assert pii.reveals(1, 1, 1, 10_000_000) and not pii.reveals(1, 1, 1, 1_000)
+    for k, m, p in ((2, 3, 0.2), (5, 9, 0.4), (40, 60, 0.5)):
+        assert pii.chance(k, m, p) == pytest.approx(sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(k, m + 1)))
+
+
+def test_disclosing_terms_of_few_contexts(spark):
+    fill = lambda i: " ".join(f"w{(i * 7 + j) % 50}" for j in range(9))
+    rows = [(i, f"{fill(i)} Quillon ann{i}@tarn.example {fill(i)}" if i < 5 else f"{fill(i)} Ozwin bo@lone.example {fill(i)}" if i < 7 else fill(i)) for i in range(4000)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any("Ozwin" in got[i] for i in (5, 6))  # one address, two contexts
+    assert not any("Quillon" in got[i] for i in range(5))  # five addresses of one context each, one domain
+    assert got[100] == rows[100][1] and "w" in got[0]
+
+
 # -- op3 ------------------------------------------------------------------
 def test_simhash_edits_and_search(spark, awkward, nothing):
     rng = random.Random(11)
