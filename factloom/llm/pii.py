@@ -16,14 +16,16 @@ besides: the rarer the entity, the fewer suffice.  Evidence is also pooled above
 single value, as what a value belongs to (``pool``: an address's domain, a network, a
 card's issuer, a phone's area) is an entity like the value itself.
 
-Such terms, within ``WINDOW`` words of a mention, are spans of kind
-``term``.  Sanitising replaces base spans by their kind and generalises disclosing
-terms (a number to ``[NUMBER]``) or removes them (``[TERM]``).  Documents without a
-mention are never changed.
+A term and an entity stand together in a document, wherever in it.  Such terms are
+spans of kind ``term`` in all texts, the whole of each, with or without a mention: where
+the entity is not named, the term is what discloses it.  Sanitising replaces base spans
+by their kind and generalises disclosing terms (a number to ``[NUMBER]``) or removes them
+(``[TERM]``).  Documents without a mention or a disclosing term are never changed.
 
 All counts cover the whole corpus.  Terms' document counts are taken only for
 candidate terms, let through by a Bloom filter of fixed size (a full filter lets
-more through, and the join after it is exact).  Null and empty texts have no spans.
+more through, and the join after it is exact); so are the words looked up for spans.
+Entities of too few documents to reach the threshold with any term form no pairs.  Null and empty texts have no spans.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import types as T
 from factloom.llm import base
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, DISCLOSURE, DOUBT = 8, 0.8, 0.05
+DISCLOSURE, DOUBT = 0.8, 0.05
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
@@ -147,61 +149,46 @@ def reveals(together: int, term_docs: int, entity_docs: int, total: int, window:
     return least < 1 and together > least * term_docs and chance(together, term_docs, least) <= doubt
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each mention."""
-    out, covered = [], np.zeros(len(text) + 1, bool)
+def words_outside(text: str, spans: list[tuple[str, int, int]]):
+    """(word, start, end) of the lower-cased words that no span touches."""
+    covered = np.zeros(len(text) + 1, bool)
     for _, s, e in spans:
         covered[s:e] = True
-    for kind, s, e in spans:
-        words = []
-        # WINDOW words lie within a stretch that is widened until it holds them.
-        reach = 16 * WINDOW
-        while True:
-            lo = max(0, s - reach)
-            before = [m.span() for m in _TERM.finditer(text, lo, s)]
-            if lo == 0 or len(before) > WINDOW:
-                break
-            reach *= 4
-        reach = 16 * WINDOW
-        while True:
-            hi = min(len(text), e + reach)
-            after = [m.span() for m in _TERM.finditer(text, e, hi)]
-            if hi == len(text) or len(after) > WINDOW:
-                break
-            reach *= 4
-        words = [(a, b) for a, b in before[-WINDOW:] + after[:WINDOW] if not covered[a:b].any()]
-        out += [(x, text[a:b].lower(), a, b) for x in entities(kind, text[s:e]) for a, b in words]
-    return out
+    for m in _TERM.finditer(text):
+        if not covered[m.start() : m.end()].any():
+            yield m.group().lower(), m.start(), m.end()
 
 
-_CONTEXT = T.ArrayType(T.StructType([T.StructField("entity", T.LongType()), T.StructField("term", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
+_LONGS, _STRINGS = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("s", T.LongType()), T.StructField("e", T.LongType())]))
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, id, base, near) of every row; key names a row by its id and text."""
+    """(key, id, base, entities, words) of every row, the last two distinct and of rows with spans; key names a row by its id and text."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     src = docs.select(_key(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("near", _CONTEXT)])
+    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("entities", _LONGS), T.StructField("words", _STRINGS)])
 
     def run(batches):
         base.claim("pii")
+        arrow = to_arrow_schema(schema)
         for b in batches:
-            base_, near = [], []
+            base_, own, words = [], [], []
             for t in b.column(2):
                 t = t.as_py()
                 spans = base_spans(t)
                 base_.append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
-                near.append([{"entity": x, "term": w, "s": s, "e": e} for x, w, s, e in contexts(t, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base_, to_arrow_type(_SPAN)), pa.array(near, to_arrow_type(_CONTEXT))], names=schema.names)
+                own.append(sorted({x for k, s, e in spans for x in entities(k, t[s:e])}))
+                words.append(sorted({w for w, _, _ in words_outside(t, spans)}) if spans else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, arrow.field(2 + k).type) for k, x in enumerate((base_, own, words)))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def _terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
+    return {w.lower() for w in set(_TERM.findall(text))}
 
 
 def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISCLOSURE, doubt: float = DOUBT) -> DataFrame:
@@ -209,10 +196,16 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
     import pyarrow as pa
 
     spark = docs.sparkSession
-    near = scan.select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.term").distinct()
-    pair = base.cut(near.groupBy("entity", "term").agg(F.count("*").alias("together")), "pii-pairs")
-    mention = scan.select("key", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
     total = scan.count()
+    share = F.col("entity_docs") / F.lit(float(max(total, 1)))
+    least = F.pow(share, F.lit(1 - window))
+    mention = scan.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    # At best all documents of the entity have the term and no others do: an entity for which that is too little has no pairs.
+    mention = base.cut(mention.filter((share < 1) & (F.pow(least, F.col("entity_docs")) <= doubt * (1 + 1e-9))), "pii-entities")
+    said = scan.select("words", F.explode("entities").alias("entity")).join(mention.select("entity"), "entity", "left_semi")
+    pair = said.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")).join(mention, "entity")
+    # The same for the pair: its documents alone, if the term were in no others.
+    pair = base.cut(pair.filter(F.pow(least, F.col("together")) <= doubt * (1 + 1e-9)), "pii-pairs")
 
     shared = base.share(spark, base.Bloom.of(pair.select("term").distinct(), "term"))
 
@@ -243,9 +236,7 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
 
     # Counted within the task first: a row for each term and task, not for each occurrence.
     df = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    # A term in more documents than this, of which the entity is in at most its own, cannot reach the threshold.
-    most = F.col("entity_docs") / F.pow(F.col("entity_docs") / F.lit(float(max(total, 1))), F.lit(1 - window))
-    joined = pair.join(df, "term").join(mention, "entity").filter(F.col("term_docs") <= most)
+    joined = pair.join(df, "term")
 
     def decide(batches):
         for b in batches:
@@ -264,11 +255,42 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     base.ship(docs.sparkSession)
     scan = base.cut(_scan(docs, doc_id, text), "pii-scan")
     pairs = disclosing(scan, docs, text)
-    near = scan.filter(F.size("near") > 0).select("key", F.explode("near").alias("n")).select("key", "n.*")
-    terms = near.join(pairs, ["entity", "term"], "left_semi").select("key", F.struct(F.lit("term").alias("kind"), "s", "e").alias("x")).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("terms"))
+    terms = occurrences(docs, pairs.select("term").distinct(), doc_id, text)
     return scan.select("key", "id", "base").join(terms, "key", "left")
 
 
+def occurrences(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``key`` and the spans of ``terms`` in each whole text that has some, outside its base spans."""
+    import pyarrow as pa
+
+    spark, terms = docs.sparkSession, base.cut(terms, "pii-terms")
+    shared = base.share(spark, base.Bloom.of(terms, "term"))
+
+    def run(batches):
+        base.claim("pii")
+        candidates = shared.value
+        known: dict[str, bool] = {}
+        for b in batches:
+            rows: list[tuple[str, str, int, int]] = []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits = set()
+                for w in _terms(t):
+                    ok = known.get(w)
+                    if ok is None:
+                        if len(known) > 150_000:
+                            known.clear()
+                        ok = known[w] = w in candidates
+                    if ok:
+                        hits.add(w)
+                if hits:
+                    rows += [(key, w, s, e) for w, s, e in words_outside(t, base_spans(t)) if w in hits]
+            kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "term", "s", "e"])
+
+    at = docs.filter(F.col(text).isNotNull()).select(_key(doc_id, text).alias("key"), text).mapInArrow(run, "key string, term string, s long, e long")
+    return at.join(terms, "term", "left_semi").select("key", F.struct(F.lit("term").alias("kind"), "s", "e").alias("x")).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("terms"))
+
+
 def joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda x: F.concat(x["kind"], F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",")
 

@@ -317,6 +317,18 @@ def test_disclosing_terms_of_few_contexts(spark):
     assert got[100] == rows[100][1] and "w" in got[0]
 
 
+def test_disclosing_terms_in_whole_texts(spark):
+    fill = lambda i: " ".join(f"w{(i * 7 + j) % 50}" for j in range(30))
+    # The name stands far from the address, again at the end, and in two documents without the address.
+    rows = [(i, f"Quillon {fill(i)} ann@tarn.example {fill(i)} QUILLON" if i < 12 else f"{fill(i)} quillon" if i < 14 else fill(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("quillon" not in got[i].lower() for i in range(14))
+    assert got[0] == f"[TERM] {fill(0)} [EMAIL] {fill(0)} [TERM]" and got[13] == f"{fill(13)} [TERM]" and got[14] == rows[14][1]
+    spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    assert spans[12] == f"term:{len(fill(12)) + 1}:{len(fill(12)) + 8}" and spans[14] == ""
+
+
 # -- op3 ------------------------------------------------------------------
 def test_simhash_edits_and_search(spark, awkward, nothing):
     rng = random.Random(11)
