@@ -45,8 +45,8 @@ _AIMED = re.compile(r"\b(?:you(?:\s+are|'re|r)?|u\s+r|they\s+are|tu\s+es|vous\s+
 NAMES = [*LEXICON, "aimed", "shouting", "stems", "some stems"]
 _OF = {w: 1 << k for k, words in enumerate(LEXICON.values()) for w in words.split()}
 _FOLD = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
-#: Slots of hashed words; rows (expected) and characters of each that train the linear classifier; voters joined at most.
-BITS, SAMPLE, SAMPLE_CHARS, LARGEST_GROUP = 14, 8_000, 4_000, 3
+#: Slots of hashed words; rows (expected) that train the linear classifier; voters joined at most.
+BITS, SAMPLE, LARGEST_GROUP = 14, 8_000, 3
 #: Learned stems: letters, documents and excess among toxic ones, number; margin over the clean rate, and how rare a count must be to vote.
 STEM_LETTERS, STEM_DOCS, STEM_EXCESS, STEMS, MARGIN, RARE = (3, 4, 5, 6), 8, 8.0, 40, 4.0, 1e-3
 #: How often a labelled document counts in the label model.
@@ -209,14 +209,19 @@ def slot(word: bytes) -> int:
     return DENSE + (zlib.crc32(word) & ((1 << BITS) - 1))
 
 
-def fit_linear(texts: list[str | None], posterior: np.ndarray, voters: Voters, start: dict[str, float], epochs: int = 12) -> Linear:
+def features(text: str | None, voters: Voters) -> tuple[int, np.ndarray, np.ndarray]:
+    """Votes of a whole text, and the slots of its distinct words with the number of words in each."""
+    words = words_of(text) if text else set()
+    slots, n = np.unique(np.fromiter(map(slot, words), np.uint16, len(words)), return_counts=True)
+    return voters(text, words), slots, n.astype(np.uint32)
+
+
+def fit_linear(vectors: list[tuple[int, np.ndarray, np.ndarray]], posterior: np.ndarray, voters: Voters, start: dict[str, float], epochs: int = 12) -> Linear:
     """Logistic regression on soft labels by stochastic gradient, from the label model's log odds of each vote."""
     rows = []
-    for t in texts:
-        words = sorted(words_of(t)) if t else []
-        mask = voters(t, set(words))
+    for mask, slots, n in vectors:
         dense = [k for k in range(len(NAMES)) if mask >> k & 1] + ([len(NAMES)] if mask & LEXICAL else [])
-        rows.append((np.array(dense + [slot(w) for w in words], np.int64), np.array([1.0] * len(dense) + [1 / np.sqrt(len(words) or 1)] * len(words))))
+        rows.append((np.r_[np.array(dense, np.int64), slots.astype(np.int64)], np.r_[np.ones(len(dense)), n / np.sqrt(n.sum() or 1)]))
     w, bias, rng = np.zeros(DENSE + (1 << BITS)), -3.0, np.random.default_rng(5)
     w[: len(NAMES)] = [np.clip(start.get(k, 0.0), -2, 6) for k in NAMES]
     heavy = np.where(posterior > 0.5, min(10.0, max(1.0, (posterior <= 0.5).sum() / max((posterior > 0.5).sum(), 1))), 1.0)
@@ -227,7 +232,7 @@ def fit_linear(texts: list[str | None], posterior: np.ndarray, voters: Voters, s
             at, x = rows[i]
             p = 1 / (1 + np.exp(-np.clip(bias + w[at] @ x, -30, 30)))
             g = heavy[i] * (p - posterior[i])
-            np.add.at(w, at, -rate * g * x)
+            w[at] -= rate * g * x
             bias -= rate * g * 0.2
         w *= 1 - np.minimum(1, shrink * len(rows) * rate)
     return Linear(w.astype(np.float32), float(bias), voters)
@@ -322,10 +327,21 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_i
     anchors = np.array([[known.get((v, y), 0) for v in patterns] for y in (False, True)], float)
     model = LabelModel(np.array(patterns, np.int64), np.array([got.get(v, 0) + (not total) for v in patterns], float), len(NAMES), share, anchors=anchors)
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("weak")), F.lit(1 << 30)) / float(1 << 30)
-    some = docs.filter(draw < min(1.0, sample / max(total, 1))).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-    # Bounded: about `sample` rows of at most SAMPLE_CHARS characters.
-    texts = sorted(r.t or "" for r in some.collect())
-    return model, fit_linear(texts, model.posterior(np.array([voters(t) for t in texts], np.int64)) if texts else np.zeros(0), voters, model.odds())
+    some = docs.filter(draw < min(1.0, sample / max(total, 1)))
+    # Bounded: about `sample` rows, of each two numbers for a slot it uses, 2 ** BITS slots at most.
+    kind = T.StructType([T.StructField("votes", T.LongType()), T.StructField("slots", T.BinaryType()), T.StructField("n", T.BinaryType())])
+    shared = base.share(docs.sparkSession, voters)
+
+    def of():
+        def sparse(t):
+            mask, slots, n = features(t, shared.value)
+            return {"votes": mask, "slots": slots.tobytes(), "n": n.tobytes()}
+
+        return sparse
+
+    vectors = sorted((r.x.votes, bytes(r.x.slots), bytes(r.x.n)) for r in _map(some, text, (), "x", kind, of).collect())
+    vectors = [(v, np.frombuffer(x, np.uint16), np.frombuffer(n, np.uint32)) for v, x, n in vectors]
+    return model, fit_linear(vectors, model.posterior(np.array([v for v, _, _ in vectors], np.int64)) if vectors else np.zeros(0), voters, model.odds())
 
 
 def score(docs: DataFrame, linear: Linear, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -259,6 +259,18 @@ def test_toxicity(spark, awkward, nothing):
     assert toxicity.score(nothing, none).count() == 0 and toxicity.score(awkward, none).count() == awkward.count()
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(18)
+    words = ["river", "stone", "quiet", "window", "paper", "cloud", "number"]
+    rows = [(i, " ".join(rng.choices(words, k=900) + (["idiot", "scum", f"grobnak{i % 3}"] if i % 4 == 0 else ["pleasant"])), int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    _, linear = toxicity.fit(df, df)
+    weight = lambda w: linear.weights[toxicity.slot(w)]
+    assert min(weight(b"grobnak%d" % k) for k in range(3)) > 0 > weight(b"pleasant")  # all after 4,000 characters
+    mask, slots, n = toxicity.features(rows[0][1], linear.voters)
+    assert mask == linear.voters(rows[0][1]) and n.sum() == len(set(rows[0][1].split())) and toxicity.slot(b"grobnak0") in slots
+
+
 # -- op1 ------------------------------------------------------------------
 def plain_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
