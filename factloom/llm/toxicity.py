@@ -57,6 +57,20 @@ def words_of(text: str) -> set[bytes]:
     return set(text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split())
 
 
+def poisson_tail(n: int, mean: float) -> float:
+    """P(X >= n) of a Poisson X, for any n and mean: terms from n on upwards, or one less those below n, from the largest."""
+    if n <= 0 or mean <= 0:
+        return float(n <= 0)
+    up = n > mean
+    i = n if up else n - 1
+    term = math.exp(i * math.log(mean) - mean - math.lgamma(i + 1))
+    total = 0.0
+    while term > total * 1e-17:
+        total += term
+        i, term = (i + 1, term * mean / (i + 1)) if up else (i - 1, term * i / mean)
+    return min(total, 1.0) if up else max(0.0, 1 - total)
+
+
 class Voters:
     """The voters: the lexicon less its ``dropped`` words, patterns, and learned ``stems``.
 
@@ -83,8 +97,7 @@ class Voters:
             out |= 2 << k
         if self.stems and any(x in raw for x in self.stems) and (n := self.stemmed(text)[0]):
             mean = MARGIN * self.rate * max(len(text) / 6, 1)
-            tail = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(min(n, 60)))
-            out |= (12 if n > 1 and tail < RARE else 8) << k
+            out |= (12 if n > 1 and poisson_tail(n, mean) < RARE else 8) << k
         return out
 
     def stemmed(self, text: str | None) -> tuple[int, int]:

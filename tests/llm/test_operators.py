@@ -271,6 +271,17 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert mask == linear.voters(rows[0][1]) and n.sum() == len(set(rows[0][1].split())) and toxicity.slot(b"grobnak0") in slots
 
 
+def test_stems_vote_at_any_length():
+    for n, mean in ((1, 0.2), (3, 8.0), (20, 5.0), (59, 40.0), (100, 90.0)):
+        plain = 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(n))
+        assert toxicity.poisson_tail(n, mean) == pytest.approx(plain, rel=1e-6, abs=1e-14)
+    assert toxicity.poisson_tail(200, 80.0) < 1e-13 and toxicity.poisson_tail(100, 45.0) < 1e-11
+    assert toxicity.poisson_tail(5, 3_000.0) == 1.0 and toxicity.poisson_tail(9_000, 3_000.0) == 0.0
+    voters = toxicity.Voters(stems=["grob"], rate=0.001)
+    votes = lambda n: voters("grobnak " * 5 * n + "stone " * 195 * n) >> toxicity.NAMES.index("stems") & 3
+    assert votes(2) == votes(20) == votes(500) == 3  # long texts as short ones
+
+
 # -- op1 ------------------------------------------------------------------
 def plain_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
