@@ -1,13 +1,16 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance down directories.
 
-Units are the lines of every file and, for files named as licence files, the whole
-text.  A unit's vector has TF-IDF weights (document counts of the template terms
+Units are the runs of neighbouring lines of every file (a notice may be wrapped) and, for
+files named as licence files, the whole text.  A run starts at any line and ends at any
+line, up to the one with which it is as long as the longest template; only letters and
+digits count, so lines of comment marks alone and blank lines are none.  A unit's vector has TF-IDF weights (document counts of the template terms
 over all files; a term of no template has the weight of one never seen); its
 licence is the template of the largest cosine of at least ``LEAST``.
 
 Only units that can reach the threshold are scored: a unit sharing with each template
 just terms whose weights have a norm below ``LEAST`` cannot, by the Cauchy-Schwarz
-inequality, so a unit needs one of the other terms.  Nothing is lost by that.
+inequality, so a unit needs one of the other terms.  A run whose first or last line has
+no template term has a smaller cosine than the run without it.  Nothing is lost by either.
 
 A file has its own licence, or that of the licence file in the nearest directory
 above it: directories are joined to their ancestors' licence files on the path.
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import base
@@ -105,6 +108,23 @@ def _directory(path: Column) -> Column:
     return F.regexp_replace(F.when(path.contains("/"), path).otherwise(F.lit("/")), "/[^/]*$", "")
 
 
+def runs(src: DataFrame, strong: Column) -> DataFrame:
+    """(path, n, t): the words of the runs of lines from line n on that have a strong term."""
+    texts = [_terms(x) for xs in TEMPLATES.values() for x in xs]
+    longest, vocab = max(map(len, texts)), F.array(*map(F.lit, sorted({t for x in texts for t in x})))
+    some = src.filter(F.arrays_overlap(_tokens(F.col("text")), strong)).withColumn("h", F.xxhash64("text"))
+    lines = some.select("path", "h", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("t", _tokens(F.col("line"))).filter(F.element_at("t", 1) != "")
+    # A line has a word at least, so no run has more than `longest` lines.
+    lines = lines.select("path", "h", "n", "t", F.arrays_overlap("t", strong).alias("strong"), F.arrays_overlap("t", vocab).alias("known")).repartition("path", "h").dropDuplicates(["path", "h", "n"])
+    order = Window.partitionBy("path", "h").orderBy("n")
+    lines = lines.withColumn("before", F.sum(F.size("t").cast("long")).over(order) - F.size("t"))
+    ahead = F.collect_list(F.struct("t", "strong", "known", "before")).over(order.rowsBetween(0, longest - 1))
+    seen = lines.withColumn("ahead", F.when(F.col("known"), ahead)).filter(F.col("known")).withColumn("ahead", F.filter("ahead", lambda x: x["before"] - F.col("before") < longest))
+    seen = seen.filter(F.exists("ahead", lambda x: x["strong"])).select("path", "n", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("k"))
+    run = F.slice("ahead", F.lit(1), F.col("k"))
+    return seen.filter(F.element_at("ahead", F.col("k"))["known"] & F.exists(run, lambda x: x["strong"])).select("path", "n", F.flatten(F.transform(run, lambda x: x["t"])).alias("t"))
+
+
 def detect(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """(path, license, score): the best licence declared in each file that declares one."""
     spark = files.sparkSession
@@ -112,9 +132,8 @@ def detect(files: DataFrame, path: str = "path", text: str = "text", least: floa
     vecs = vectors(idf)
     strong = F.array(*map(F.lit, anchors(vecs, least)))
     src = files.select(F.col(path).alias("path"), F.col(text).alias("text")).filter("text is not null and path is not null")
-    lines = src.select("path", F.posexplode(F.split("text", "\n")).alias("n", "unit"))
-    whole = src.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE)).select("path", F.lit(-1).alias("n"), F.col("text").alias("unit"))
-    units = lines.unionAll(whole).select("path", "n", _tokens(F.col("unit")).alias("t")).filter(F.arrays_overlap("t", strong))
+    units = runs(src, strong).unionAll(src.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE)).select("path", F.lit(-1).alias("n"), _tokens(F.col("text")).alias("t")))
+    units = units.filter(F.arrays_overlap("t", strong))
     tf = units.select(F.xxhash64("path", "n", F.array_join("t", " ")).alias("u"), "path", F.explode("t").alias("term")).groupBy("u", "path", "term").agg(F.count("*").alias("tf"))
     # The templates are constants of this module: a table of bounded size.
     known = spark.createDataFrame([(t, float(w)) for t, w in idf.items()], "term string, idf double")

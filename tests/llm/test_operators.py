@@ -430,6 +430,22 @@ def test_license_screen_loses_nothing(spark):
             assert got[p][1] == pytest.approx(best, abs=2e-6)
 
 
+def test_wrapped_notices_are_one_unit(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "MIT", "ISC", "Apache-2.0"):
+        notice = max(licenses.TEMPLATES[name], key=len)
+        for width in (25, 50, 60, 70, 76):
+            path = f"{name}/{width}.c"
+            rows.append((path, "import words\n\n" + "".join(f" * {x}\n *\n" for x in textwrap.wrap(notice, width, break_long_words=False)) + "\nint main of a thing\n"))
+            want[path] = name, 1.0
+    rows += [("same/path", "first words\nLicensed under the\nBSD 3-Clause License."), ("same/path", "other words")]
+    rows += [(f"p{i}", f"plain words {i}") for i in range(50)]
+    got = {r.path: (r.license, r.score) for r in licenses.detect(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want | {"same/path": ("BSD-3-Clause", 1.0)}
+
+
 # -- op6 ------------------------------------------------------------------
 def brute_join(rows):
     by = collections.defaultdict(list)
