@@ -13,8 +13,9 @@ batch of texts is scored by table look-ups.
 
 Texts are lower-cased, digits become ``0`` and white space one space, before
 bytes are taken.  Null texts and texts with no letter are ``und`` (score 0).
-Fitting uses a bounded sample of rows per language, chosen by a hash of the id,
-and the first ``SAMPLE_CHARS`` characters of each sampled row.
+Fitting uses a bounded sample of rows per language, chosen by a hash of the id; whole
+texts are counted, in the executors.  All languages are learned: trees are made for
+``GROUP`` of them at a time, and code lengths do not depend on the grouping.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from factloom.llm import base
 
 ORDER = 3
-#: Bounds of the training sample: rows expected per language, characters of each, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 400, 6000, 64
+#: Rows expected per language in the training sample; languages whose trees share arrays.
+SAMPLE_ROWS, GROUP = 400, 64
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 
 
@@ -42,18 +43,37 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def counted(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (of k + 1 bytes) of the contexts of order k with the byte after them, and how often each is there."""
+    c, key = np.frombuffer(text, np.uint8).astype(np.int64), np.zeros(max(len(text) - k, 0), np.int64)
+    for j in range(k + 1 if len(key) else 0):
+        key = key * 256 + c[j : len(c) - k + j]
+    return np.unique(key, return_counts=True)
+
+
+def added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of several counts."""
+    keys, at = np.unique(np.concatenate([k for k, _ in found] or [np.zeros(0, np.int64)]), return_inverse=True)
+    times = np.zeros(len(keys), np.int64)
+    np.add.at(times, at, np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)]))
+    return keys, times
+
+
 class Trees:
     """Context trees of several languages with frozen counts."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+    def __init__(self, samples: dict[str, list[str]], counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] | None = None):
+        """Of sampled texts, or of their ``counted`` sums by order."""
+        if counts is None:
+            counts = {x: [added([counted(symbols(t), k) for t in texts]) for k in range(ORDER + 1)] for x, texts in samples.items()}
+        self.langs = sorted(counts)
         self.n = n = len(self.langs)
-        data = [[symbols(t) for t in samples[x]] for x in self.langs]
-        used = sorted({b for d in data for t in d for b in t})
+        raw = [counts[x] for x in self.langs]
+        used = sorted({int(b) for c in raw for b in c[0][0]})
         self.code = np.zeros(256, np.int64)  # 0: a byte no sample has
         self.code[used] = np.arange(1, len(used) + 1)
         self.size = len(used) + 1
-        counts = [[self._count(d, k) for d in data] for k in range(ORDER + 1)]
+        counts = [[(self._coded(c[k][0], k), c[k][1]) for c in raw] for k in range(ORDER + 1)]
         #: For each order: sorted keys of (context, byte) over all languages, and a row of costs for each.
         self.keys, self.cost, self.ctx_keys, self.escape = [], [], [], []
         for k in range(ORDER + 1):
@@ -75,16 +95,12 @@ class Trees:
             self.ctx_keys.append(ctx)
             self.escape.append(escape.astype(np.float32))
 
-    def _count(self, texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for t in texts:
-            c = self.code[np.frombuffer(t, np.uint8)]
-            if len(c) > k:
-                key = np.zeros(len(c) - k, np.int64)
-                for j in range(k + 1):
-                    key = key * self.size + c[j : len(c) - k + j]
-                found.append(key)
-        return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+    def _coded(self, keys: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of bytes as numbers of their codes, in the same order."""
+        out = np.zeros(len(keys), np.int64)
+        for j in range(k, -1, -1):
+            out = out * self.size + self.code[keys >> 8 * j & 255]
+        return out
 
     def _lookup(self, k: int, keys: np.ndarray) -> np.ndarray:
         """Costs, by language, of (context, byte) keys of order k; order -1 is uniform."""
@@ -155,20 +171,50 @@ class Trees:
         return [self.langs[b] if o and self.n else "und" for b, o in zip(best if self.n else [0] * len(ok), ok, strict=True)], [float(s) if o and self.n else 0.0 for s, o in zip(score, ok, strict=True)]
 
 
-def fit(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_ROWS) -> Trees:
-    """Trees from about ``per_language`` rows of each of the commonest ``MOST_LANGUAGES`` languages."""
-    seen = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in seen.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return Trees({})
+class Forest(Trees):
+    """Trees of any number of languages, ``GROUP`` at a time."""
+
+    def __init__(self, counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
+        self.langs = sorted(counts)
+        self.n = len(self.langs)
+        self.groups = [Trees({}, {x: counts[x] for x in self.langs[i : i + GROUP]}) for i in range(0, self.n, GROUP)]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.hstack([np.zeros((len(texts), 0)), *(g.lengths(texts) for g in self.groups)])
+
+
+def fit(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_ROWS) -> Forest:
+    """Trees of all languages, from about ``per_language`` rows of each."""
+    import pyarrow as pa
+
+    base.ship(rows.sparkSession)
+    seen = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     # A row is in the sample when the hash of its id falls below its language's rate; no order or limit is needed.
-    rate = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    got = seen.filter(draw < F.element_at(rate, F.col(lang))).select(F.col(lang).alias("k"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).collect()
-    samples: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(got):
-        samples[r.k].append(r.t)
-    return Trees(samples)
+    rate = seen.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate"))
+    draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+
+    def run(batches):
+        for b in batches:
+            found: dict[tuple[str, int], list] = {}
+            for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = symbols(t)
+                for k in range(ORDER + 1):
+                    found.setdefault((x, k), []).append(counted(data, k))
+            for (x, k), own in found.items():
+                # A row of count 0 keeps a language whose texts are empty.
+                keys, times = added([*own, (np.zeros(1, np.int64), np.zeros(1, np.int64))])
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array([k] * len(keys), pa.int32()), pa.array(keys), pa.array(times)], names=["lang", "k", "key", "n"])
+
+    some = seen.join(F.broadcast(rate), "lang").filter(draw < F.col("rate")).select("lang", "text")
+    # Bounded for each language by its sample and the number of contexts of ORDER bytes.
+    got = some.mapInArrow(run, "lang string, k int, key long, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")).toArrow()
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    own, order, keys, times = names.indices.to_numpy(zero_copy_only=False), *(got.column(c).to_numpy() for c in ("k", "key", "n"))
+    counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for i, x in enumerate(names.dictionary.to_pylist()):
+        at = [np.flatnonzero((own == i) & (order == k) & (times > 0)) for k in range(ORDER + 1)]
+        counts[x] = [added([(keys[a], times[a])]) for a in at]
+    return Forest(counts)
 
 
 def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

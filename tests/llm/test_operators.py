@@ -208,6 +208,21 @@ def test_language_query(spark, awkward, nothing):
     assert {r.lang_pred for r in language.identify(df, empty).collect()} == {"und"}
 
 
+def test_all_languages_and_whole_texts_are_learned(spark):
+    letters = "abcdefghijklmnopqrst"
+    pairs = [a + b for a in letters for b in letters if a < b][:70]
+    rows = [(3 * i + j, " ".join([p * 3, p[::-1]] * 6), f"l{i:02}") for i, p in enumerate(pairs) for j in range(3)]
+    rows += [(1000 + j, "x " * 4_000 + "late words here " * 30, "long") for j in range(3)]  # tells only after 6,000 characters
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.fit(df)
+    assert len(trees.langs) == 71 and len(trees.groups) == 2
+    assert {r.doc_id: r.lang_pred for r in language.identify(df, trees).collect()} == {i: k for i, _, k in rows}
+    assert trees.predict(["late words here"])[0] == ["long"]
+    one = language.Trees({k: [t for _, t, x in rows if x == k] for k in trees.langs})
+    texts = [language.symbols(t) for t in ("abab late", "qrstx", "é", "")]
+    assert np.allclose(one.lengths(texts), trees.lengths(texts), atol=1e-3)
+
+
 # -- op2 ------------------------------------------------------------------
 def test_quality_learns_from_positives_alone(spark):
     rng = random.Random(2)
