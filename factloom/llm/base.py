@@ -53,7 +53,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share (``spark.checkpoint.dir``).
 
-    A folder of our own is made only where the session names none, as in tests.
+    Only a local session may do without: it gets a folder of its own, as in tests.  On a
+    cluster every executor would write to its own disk, so there it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -61,8 +62,10 @@ def shared_dir(spark: SparkSession) -> str:
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get().rstrip("/")
-    made = tempfile.mkdtemp(prefix="factloom-shared-")
-    spark.sparkContext.setCheckpointDir(made)
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-shared-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -89,6 +92,49 @@ def drop(df: DataFrame) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def column(name: str):
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Held:
+    """A table under names of our own, so that no column of it can clash with those used inside.
+
+    ``rows`` has the kept columns as ``k0``, ``k1`` ... and the ``inputs`` (name inside = column) by
+    their names; a column that is both is there once.  A kept column that has the name of a
+    result (``prefix`` and one of ``results``, in any case) gives way to it.
+    """
+
+    def __init__(self, docs: DataFrame, keep, results, prefix: str = "", **inputs: str):
+        taken = {(prefix + r).lower() for r in results}
+        kept = [c for c in dict.fromkeys(keep) if c.lower() not in taken]
+        as_input = {c: n for n, c in reversed(inputs.items())}
+        self.kept = [(c, as_input.get(c, f"k{i}")) for i, c in enumerate(kept)]
+        self.results, self.prefix = results, prefix
+        self.rows = docs.select(*(column(c).alias(k) for c, k in self.kept if c not in as_input), *(column(c).alias(n) for n, c in inputs.items()))
+        private = {k for _, k in self.kept}
+        #: Places of the kept columns in ``rows``, and of all columns.
+        self.through = [i for i, c in enumerate(self.rows.columns) if c in private]
+        self.at = {c: i for i, c in enumerate(self.rows.columns)}
+
+    def schema(self, *more):
+        from pyspark.sql.types import StructField, StructType
+
+        return StructType([StructField(f.name, f.dataType) for f in (self.rows.schema.fields[i] for i in self.through)] + list(more))
+
+    def named(self, out: DataFrame) -> DataFrame:
+        """The kept columns by their own names, and the results."""
+        return out.select(*(F.col(k).alias(c) for c, k in self.kept), *(F.col(r).alias(self.prefix + r) for r in self.results))
+
+
+def free(columns) -> str:
+    """A prefix that no column begins with."""
+    out = "r_"
+    while any(c.lower().startswith(out) for c in columns):
+        out = "_" + out
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,52 +150,38 @@ def share(spark: SparkSession, value):
 
 
 class Bloom:
-    """A set of strings in a fixed number of bits: never misses a member, lets some others through.
+    """A set of strings in a few bits each: never misses a member, lets some others through.
 
-    A full filter lets everything through, so whoever uses it joins exactly afterwards;
-    its size, unlike the set's, does not grow with the data and can be broadcast.
+    Its size follows the number of members up to ``MOST`` bits (32 MB) and no further, so it can
+    be broadcast; one that is too full lets more through.  Whoever uses it joins exactly afterwards.
     """
 
-    BITS, BLOCK = 1 << 24, 4096
+    LEAST, MOST, EACH = 1 << 20, 1 << 28, 64
 
-    def __init__(self, packed):
-        self.packed = packed
+    def __init__(self, words, bits: int):
+        self.words, self.bits = words, bits
 
     def __contains__(self, member: str) -> bool:
-        bits = self.packed
-        return all(bits[k >> 3] & (128 >> (k & 7)) for k in self.places(member))
-
-    @classmethod
-    def places(cls, member: str) -> tuple[int, int, int]:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(member)
-        return h % cls.BITS, (h >> 20) % cls.BITS, (h >> 41) % cls.BITS
+        h, packed, top = xxhash.xxh64_intdigest(member, seed=42), self.words, self.bits - 1
+        return all(packed[p >> 3] >> (p & 7) & 1 for p in (h & top, h >> 18 & top, h >> 36 & top))
 
     @classmethod
     def of(cls, df: DataFrame, column: str) -> Bloom:
+        """Built by the engine's own functions: equal places are merged in the tasks before anything is exchanged."""
         import numpy as np
-        import pyarrow as pa
-
-        ship(df.sparkSession)
-        size, block = cls.BITS, cls.BLOCK
-
-        def fill(batches):
-            claim("bloom")
-            bits = np.zeros(size, bool)
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    if t is not None:
-                        bits[list(Bloom.places(t))] = True
-            packed = np.packbits(bits).reshape(-1, block)
-            at = np.flatnonzero(packed.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([packed[k].tobytes() for k in at], pa.binary())], names=["k", "v"])
 
-        packed = np.zeros((size // 8 // block, block), np.uint8)
-        # One part of the bits at a time; each has at most the filter's own size.
-        for r in df.select(F.col(column).cast("string")).coalesce(8).mapInArrow(fill, "k long, v binary").toLocalIterator():
-            packed[r.k] |= np.frombuffer(r.v, np.uint8)
-        return cls(packed.tobytes())
+        members = df.select(F.col(column).cast("string").alias("m")).filter("m is not null")
+        n = members.count()
+        bits = min(cls.MOST, max(cls.LEAST, 1 << (cls.EACH * max(n, 1) - 1).bit_length()))
+        h = F.xxhash64("m")
+        places = F.array(*(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(bits - 1)) for k in (0, 18, 36)))
+        at = members.select(F.explode(places).alias("p"))
+        got = at.groupBy(F.shiftright("p", 6).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("v")).toArrow()
+        words = np.zeros(bits // 64, np.int64)
+        words[got.column("k").to_numpy()] = got.column("v").to_numpy()  # at most the filter's own size
+        return cls(words.tobytes(), bits)
 
 
 def sift(rows: DataFrame, key: str, bloom: Bloom, members: bool) -> DataFrame:
@@ -207,4 +239,4 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Bloom", "claim", "cut", "drop", "held_out", "parts", "read_table", "share", "shared_dir", "sift", "ship", "tokenizer_path"]
+__all__ = ["Bloom", "Held", "claim", "column", "cut", "drop", "free", "held_out", "parts", "read_table", "share", "shared_dir", "sift", "ship", "tokenizer_path"]
