@@ -1,7 +1,8 @@
 """Personal data: base patterns, and information-theoretic sanitisation around them.
 
 Base kinds are e-mail addresses, IP addresses, payment cards and phone numbers,
-leftmost and non-overlapping per kind, by linear scans.  Each found value is a
+leftmost and non-overlapping per kind, by linear scans.  Unbroken strings of high
+information (keys, tokens) are spans of kind ``secret``.  Each found value is a
 protected entity.  A term (word) near mentions of an entity discloses it when the
 corpus says so: with document counts, the pointwise mutual information
 
@@ -30,6 +31,8 @@ Entities of too few documents to reach the threshold with any term form no pairs
 
 from __future__ import annotations
 
+import collections
+import itertools
 import math
 import re
 
@@ -49,6 +52,9 @@ _CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"\w+")
+_KEYLIKE = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+#: Bits of information (by its own symbol shares) that make an unbroken string a secret.
+SECRET_BITS = 64.0
 
 
 def luhn(digits: str) -> bool:
@@ -100,6 +106,36 @@ def _phones(text: str):
             yield m.span()
 
 
+def bits(word: str) -> float:
+    """Information of a string under its own symbol shares."""
+    n = len(word)
+    return sum(k * math.log2(n / k) for k in collections.Counter(word).values())
+
+
+def secrets(text: str | None, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Keys, tokens and the like: unbroken strings of letters and digits mixed with at least ``SECRET_BITS``, outside ``spans``.
+
+    Words and numbers alone are none, nor is a string in which digits only end or begin words.
+    """
+    out = []
+    for m in _KEYLIKE.finditer(text or ""):
+        word = m.group()
+        mixed = sum(a.isdigit() != b.isdigit() for a, b in itertools.pairwise(c for c in word if c.isalnum()))
+        if mixed >= 4 and bits(word) >= SECRET_BITS:
+            out.append(("secret", *m.span()))
+    if out and spans:
+        covered = _covered(text, spans)
+        out = [x for x in out if not covered[x[1] : x[2]].any()]
+    return out
+
+
+def _covered(text: str, spans: list[tuple[str, int, int]]) -> np.ndarray:
+    out = np.zeros(len(text) + 1, bool)
+    for _, s, e in spans:
+        out[s:e] = True
+    return out
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind as listed and then start; code points, end exclusive."""
     if not text:
@@ -112,8 +148,10 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def pool(kind: str, value: str) -> str:
-    """What a value belongs to: an address's domain, a network of 256, a card's issuer, a phone's country and area."""
+def pool(kind: str, value: str) -> str | None:
+    """What a value belongs to: an address's domain, a network of 256, a card's issuer, a phone's country and area; a secret to nothing."""
+    if kind == "secret":
+        return None
     if kind == "email":
         return value.rpartition("@")[2]
     if kind == "ip":
@@ -124,7 +162,8 @@ def pool(kind: str, value: str) -> str:
 
 def entities(kind: str, value: str) -> list[int]:
     """The value and its pool, as numbers."""
-    names = f"{kind}:{value.lower()}", f"{kind}*{pool(kind, value.lower())}"
+    above = pool(kind, value.lower())
+    names = [f"{kind}:{value.lower()}", *([f"{kind}*{above}"] if above is not None else [])]
     return [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in names]
 
 
@@ -151,9 +190,7 @@ def reveals(together: int, term_docs: int, entity_docs: int, total: int, window:
 
 def words_outside(text: str, spans: list[tuple[str, int, int]]):
     """(word, start, end) of the lower-cased words that no span touches."""
-    covered = np.zeros(len(text) + 1, bool)
-    for _, s, e in spans:
-        covered[s:e] = True
+    covered = _covered(text, spans)
     for m in _TERM.finditer(text):
         if not covered[m.start() : m.end()].any():
             yield m.group().lower(), m.start(), m.end()
@@ -164,25 +201,28 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, id, base, entities, words) of every row, the last two distinct and of rows with spans; key names a row by its id and text."""
+    """(key, id, base, secrets, entities, words) of every row, the last two distinct and of rows with spans; key names a row by its id and text."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    src = docs.select(_key(doc_id, text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("entities", _LONGS), T.StructField("words", _STRINGS)])
+    src = docs.select(_key(doc_id, text).alias("key"), base.column(doc_id).alias("id"), base.column(text).alias("text"))
+    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("secrets", _SPAN), T.StructField("entities", _LONGS), T.StructField("words", _STRINGS)])
 
     def run(batches):
         base.claim("pii")
         arrow = to_arrow_schema(schema)
         for b in batches:
-            base_, own, words = [], [], []
+            base_, hidden, own, words = [], [], [], []
             for t in b.column(2):
                 t = t.as_py()
                 spans = base_spans(t)
-                base_.append([{"kind": k, "s": s, "e": e} for k, s, e in spans])
+                more = secrets(t, spans)
+                for to, some in ((base_, spans), (hidden, more)):
+                    to.append([{"kind": k, "s": s, "e": e} for k, s, e in some])
+                spans = spans + more
                 own.append(sorted({x for k, s, e in spans for x in entities(k, t[s:e])}))
                 words.append(sorted({w for w, _, _ in words_outside(t, spans)}) if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, arrow.field(2 + k).type) for k, x in enumerate((base_, own, words)))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, arrow.field(2 + k).type) for k, x in enumerate((base_, hidden, own, words)))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -205,7 +245,20 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
     said = scan.select("words", F.explode("entities").alias("entity")).join(mention.select("entity"), "entity", "left_semi")
     pair = said.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")).join(mention, "entity")
     # The same for the pair: its documents alone, if the term were in no others.
-    pair = base.cut(pair.filter(F.pow(least, F.col("together")) <= doubt * (1 + 1e-9)), "pii-pairs")
+    pair = pair.filter(F.pow(least, F.col("together")) <= doubt * (1 + 1e-9))
+
+    def decide(batches):
+        for b in batches:
+            keep = [reveals(k, m, e, total, window, doubt) for k, m, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    def decided(pairs, docs_of_term):
+        with_counts = pairs.join(docs_of_term, "term").select("entity", "term", "together", "term_docs", "entity_docs")
+        # More documents of the term only make it say less, so a count of some of them can rule it out.
+        return with_counts.filter(F.col("together") > F.pow(share, F.lit(1 - window)) * F.col("term_docs") * (1 - 1e-9)).mapInArrow(decide, with_counts.schema)
+
+    mentioning = scan.filter(F.size("entities") > 0).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    pair = base.cut(decided(pair, mentioning).select("entity", "term", "together", "entity_docs"), "pii-pairs")
 
     shared = base.share(spark, base.Bloom.of(pair.select("term").distinct(), "term"))
 
@@ -235,28 +288,21 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
             yield flush()
 
     # Counted within the task first: a row for each term and task, not for each occurrence.
-    df = docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
-    joined = pair.join(df, "term")
-
-    def decide(batches):
-        for b in batches:
-            keep = [reveals(k, m, e, total, window, doubt) for k, m, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            yield b.select(["entity", "term"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("entity", "term", "together", "term_docs", "entity_docs").mapInArrow(decide, "entity long, term string")
+    df = docs.select(base.column(text).alias("t")).filter("t is not null").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
+    return decided(pair, df).select("entity", "term")
 
 
 def _key(doc_id: str, text: str) -> F.Column:
-    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    return F.concat(F.coalesce(base.column(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64(F.coalesce(base.column(text), F.lit("")))))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``id`` and the ``base`` and ``terms`` spans of each row (equal rows are equal here)."""
+    """``key``, ``id`` and the ``base``, ``secrets`` and ``terms`` spans of each row (equal rows are equal here)."""
     base.ship(docs.sparkSession)
     scan = base.cut(_scan(docs, doc_id, text), "pii-scan")
     pairs = disclosing(scan, docs, text)
     terms = occurrences(docs, pairs.select("term").distinct(), doc_id, text)
-    return scan.select("key", "id", "base").join(terms, "key", "left")
+    return scan.select("key", "id", "base", "secrets").join(terms, "key", "left")
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -283,11 +329,12 @@ def occurrences(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> Da
                     if ok:
                         hits.add(w)
                 if hits:
-                    rows += [(key, w, s, e) for w, s, e in words_outside(t, base_spans(t)) if w in hits]
+                    spans = base_spans(t)
+                    rows += [(key, w, s, e) for w, s, e in words_outside(t, spans + secrets(t, spans)) if w in hits]
             kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "term", "s", "e"])
 
-    at = docs.filter(F.col(text).isNotNull()).select(_key(doc_id, text).alias("key"), text).mapInArrow(run, "key string, term string, s long, e long")
+    at = docs.select(_key(doc_id, text).alias("key"), base.column(text).alias("t")).filter("t is not null").mapInArrow(run, "key string, term string, s long, e long")
     return at.join(terms, "term", "left_semi").select("key", F.struct(F.lit("term").alias("kind"), "s", "e").alias("x")).groupBy("key").agg(F.array_sort(F.collect_set("x")).alias("terms"))
 
 
@@ -298,9 +345,9 @@ def joined(spans) -> F.Column:
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts, digest of the base spans, and all spans."""
     found = find(docs, doc_id, text)
-    every = F.concat("base", F.coalesce("terms", F.array().cast(_SPAN)))
+    every = F.concat("base", "secrets", F.coalesce("terms", F.array().cast(_SPAN)))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col("id").alias(doc_id), *map(count, KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
+    return found.select(F.col("id").alias(doc_id), *map(count, KINDS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("secrets").cast("long").alias("n_secret"), F.size(F.coalesce("terms", F.array().cast(_SPAN))).cast("long").alias("n_term"), F.size(every).cast("long").alias("n_spans"))
 
 
 def replace(text: str | None, base_: list, terms: list | None) -> str | None:
@@ -322,21 +369,23 @@ def replace(text: str | None, base_: list, terms: list | None) -> str | None:
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their text sanitised."""
+    """The rows of ``docs`` with their text sanitised; its columns may have any names."""
     import pyarrow as pa
 
-    found = find(docs, doc_id, text).filter((F.size("base") > 0) | F.col("terms").isNotNull()).select(F.col("key").alias("__key"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
-    found = base.cut(found.dropDuplicates(["__key"]), "pii-found")
+    h = base.Held(docs, docs.columns, (), id=doc_id, t=text)
+    found = find(h.rows, "id", "t").select("key", F.concat("base", "secrets").alias("base"), "terms").filter((F.size("base") > 0) | F.col("terms").isNotNull())
+    found = base.cut(found.dropDuplicates(["key"]), "pii-found")
     # Most rows have no span and pass as they are; only those that may have one are shuffled.
-    rows, bloom = docs.withColumn("__key", _key(doc_id, text)), base.Bloom.of(found, "__key")
-    got = base.sift(rows, "__key", bloom, True).join(found, "__key", "left")
-    cols = docs.columns
-    schema = T.StructType([docs.schema[c] for c in cols])
+    rows, bloom = h.rows.withColumn("key", _key("id", "t")), base.Bloom.of(found, "key")
+    got = base.sift(rows, "key", bloom, True).join(found, "key", "left")
+    cols = h.rows.columns
+    schema, at = T.StructType([h.rows.schema[c] for c in cols]), cols.index("t")
 
     def run(batches):
-        k = cols.index(text)
+        base.claim("pii")
+        k = len(cols)
         for b in batches:
-            new = pa.array([replace(t.as_py(), x.as_py() or [], y.as_py()) if x.is_valid else t.as_py() for t, x, y in zip(b.column(k), b.column(len(cols)), b.column(len(cols) + 1), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if i == k else b.column(i) for i in range(len(cols))], names=cols)
+            new = pa.array([replace(t.as_py(), x.as_py() or [], y.as_py()) if x.is_valid else t.as_py() for t, x, y in zip(b.column(at), b.column(k), b.column(k + 1), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(k)], names=cols)
 
-    return base.sift(rows, "__key", bloom, False).select(*cols).unionAll(got.select(*cols, "__base", "__terms").mapInArrow(run, schema))
+    return h.named(base.sift(rows, "key", bloom, False).select(*cols).unionAll(got.select(*cols, "base", "terms").mapInArrow(run, schema)))
