@@ -43,7 +43,7 @@ DENSE = 0.7
 #: Equal coordinates that make a candidate: four deviations below the threshold's mean.
 LEAST_EQUAL = math.floor(COORDS * THRESHOLD - 4 * math.sqrt(COORDS * THRESHOLD * (1 - THRESHOLD)))
 #: Classes, and shingles, of a block of the exact comparison.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 300_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
 _FOLD = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, (2, max(COORDS, 16)), dtype=np.uint64) | np.uint64(1)
 
@@ -119,7 +119,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, digest, n, sig, packed) of every row; packed: 16 bits of each coordinate, for comparing within buckets."""
     import pyarrow as pa
 
-    src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    src = docs.select(base.column(doc_id).alias("id"), base.column(text).alias("text"))
     schema = T.StructType([src.schema["id"], T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("packed", T.BinaryType())])
 
     def run(batches):
@@ -236,20 +236,24 @@ def _compare_bucket(rows: list[tuple]) -> list[tuple]:
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, root): the least node of each connected component, by alternating large and small stars.
 
-    ``edges``: columns a, b.  Every round cuts the lineage at a shared table; nothing is collected.
+    ``edges``: columns a, b.  Every round cuts the lineage at shared tables; nothing is collected.
+    Least neighbours are aggregated to a table of their own: the join with them then has plain
+    exchanges on both sides, which the engine splits where a node has very many neighbours.
     """
     e = base.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     before = None
     while True:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = base.cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
+        # An edge goes from its greater end to its lesser one, so the greater ends of e are the neighbours above b.
+        large = base.cut(e.select(F.col("b").alias("a"), F.col("a").alias("c")).join(least, "a").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct(), label)
+        small = base.cut(large.groupBy("a").agg(F.min("b").alias("m")), label)
         star = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = base.cut(star, label)
         # A finished forest is one of stars: no node is both a child and a parent, and the edges stay.
         now = tuple(new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        base.drop(e)
+        for old in (e, least, large, small):
+            base.drop(old)
         e = new
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -316,7 +320,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                     s.append(shingles(t).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(s, pa.binary())], names=["digest", "set"])
 
-    return docs.select(text).mapInArrow(run, "digest binary, set binary")
+    return docs.select(base.column(text)).mapInArrow(run, "digest binary, set binary")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -366,15 +370,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` whose id is the least of its group; rows without an id stay.
 
     Of rows that repeat an id, those of one class count as one and those of other classes on their own.
+    The columns of ``docs`` may have any names.
     """
-    found = base.cut(join(docs, doc_id, text), "jaccard-found")
+    h = base.Held(docs, docs.columns, (), key=doc_id, t=text)
+    found = base.cut(join(h.rows, "key", "t"), "jaccard-found")
     kept = found.filter("id = group_id").select("id").distinct()
     # Fewer go than stay, so the join is on those that go, and only rows that may be among them are shuffled.
-    gone = base.cut(found.filter("id is not null").select("id").distinct().join(kept, "id", "left_anti"), "jaccard-gone")
-    bloom = base.Bloom.of(gone, "id")
-    doubtful = base.sift(docs, doc_id, bloom, True).join(gone.select(F.col("id").alias("__id")), F.col(doc_id) == F.col("__id"), "left_anti")
-    out = base.sift(docs, doc_id, bloom, False).unionByName(doubtful)
-    if not _repeated(found):
-        return out
-    named = out.withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return named.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "__text"]).unionByName(named.filter(F.col(doc_id).isNull())).drop("__text")
+    gone = base.cut(found.filter("id is not null").select("id").distinct().join(kept, "id", "left_anti").select(F.col("id").alias("key")), "jaccard-gone")
+    bloom = base.Bloom.of(gone, "key")
+    out = base.sift(h.rows, "key", bloom, False).unionByName(base.sift(h.rows, "key", bloom, True).join(gone, "key", "left_anti"))
+    if _repeated(found):
+        once = out.withColumn("mark", F.xxhash64(F.coalesce("t", F.lit(""))))
+        out = once.filter("key is not null").dropDuplicates(["key", "mark"]).unionByName(once.filter("key is null")).drop("mark")
+    return h.named(out)

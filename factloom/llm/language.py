@@ -188,7 +188,7 @@ def fit(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     import pyarrow as pa
 
     base.ship(rows.sparkSession)
-    seen = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    seen = rows.select(base.column(doc_id).alias("id"), base.column(lang).alias("lang"), base.column(text).alias("text")).filter("lang is not null and text is not null")
     # A row is in the sample when the hash of its id falls below its language's rate; no order or limit is needed.
     rate = seen.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate"))
     draw = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
@@ -217,21 +217,20 @@ def fit(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     return Forest(counts)
 
 
-def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` of each whole text."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    base.ship(spark)
-    shared = base.share(spark, trees)
-    src = docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    base.ship(docs.sparkSession)
+    h = base.Held(docs, keep, ("lang_pred", "score"), prefix, t=text)
+    shared, through, at = base.share(docs.sparkSession, trees), h.through, h.at["t"]
+    schema = h.schema(T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
 
     def run(batches):
         base.claim("language")
         model = shared.value
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+            texts = b.column(at).to_pylist()
             langs, scores, lo = [], [], 0
             while lo < len(texts):  # about 0.4 MB at a time; a longer text is alone
                 hi, size = lo, 0
@@ -242,6 +241,6 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", keep: tuple[str,
                 langs += got[0]
                 scores += got[1]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in through), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return h.named(h.rows.mapInArrow(run, schema))

@@ -131,7 +131,7 @@ def detect(files: DataFrame, path: str = "path", text: str = "text", least: floa
     idf, unseen = weights(*document_counts(files, text))
     vecs = vectors(idf)
     strong = F.array(*map(F.lit, anchors(vecs, least)))
-    src = files.select(F.col(path).alias("path"), F.col(text).alias("text")).filter("text is not null and path is not null")
+    src = files.select(base.column(path).alias("path"), base.column(text).alias("text")).filter("text is not null and path is not null")
     units = runs(src, strong).unionAll(src.filter(F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENSE_FILE)).select("path", F.lit(-1).alias("n"), _tokens(F.col("text")).alias("t")))
     units = units.filter(F.arrays_overlap("t", strong))
     tf = units.select(F.xxhash64("path", "n", F.array_join("t", " ")).alias("u"), "path", F.explode("t").alias("term")).groupBy("u", "path", "term").agg(F.count("*").alias("tf"))
@@ -146,22 +146,34 @@ def detect(files: DataFrame, path: str = "path", text: str = "text", least: floa
     return best.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
-def inherit(files: DataFrame, found: DataFrame, path: str = "path") -> DataFrame:
-    """``path``, own licence and score, and the licence in force with the directory it comes from."""
+def inherit(files: DataFrame, found: DataFrame) -> DataFrame:
+    """``files`` (with a column path) and own licence and score, and the licence in force with the directory it comes from.
+
+    ``files`` has no columns named like the added ones.
+    """
     own = F.regexp_extract("path", "([^/]*)$", 1)
     holders = found.filter(own.rlike(LICENSE_FILE)).select(_directory(F.col("path")).alias("holder"), "license", "path")
     holders = holders.groupBy("holder").agg(F.min(F.struct("path", "license")).alias("x")).select("holder", F.col("x.license").alias("inherited"))
-    dirs = files.select(_directory(F.col(path)).alias("dir")).filter("dir is not null").distinct()
+    dirs = files.select(_directory(F.col("path")).alias("dir")).filter("dir is not null").distinct()
     # A directory and all above it: joined on the path, the longest wins.
     steps = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("holder")).distinct()
-    nearest = above.join(holders, "holder").groupBy("dir").agg(F.max(F.struct(F.length("holder").alias("n"), "holder", "inherited")).alias("x")).select("dir", F.col("x.holder").alias("holder"), F.col("x.inherited").alias("inherited"))
-    got = files.join(found.select(F.col("path").alias("__p"), F.col("license").alias("__own"), F.col("score").alias("__score")), F.col(path) == F.col("__p"), "left")
-    got = got.withColumn("__dir", _directory(F.col(path))).join(nearest, F.col("__dir") == F.col("dir"), "left")
-    return got.withColumn("own_license", F.col("__own")).withColumn("own_score", F.col("__score")).withColumn("license", F.coalesce("__own", "inherited")).withColumn("inherited_from", F.when(F.col("__own").isNull(), F.col("holder"))).drop("__p", "__own", "__score", "__dir", "dir", "holder", "inherited")
+    nearest = above.join(holders, "holder").groupBy("dir").agg(F.max(F.struct(F.length("holder").alias("n"), "holder", "inherited")).alias("x"))
+    # A table of its own: the join with it has plain exchanges, which the engine splits where a directory has very many files.
+    nearest = base.cut(nearest.select("dir", F.col("x.holder").alias("holder"), F.col("x.inherited").alias("inherited")), "licenses-above")
+    got = files.join(found.select("path", F.col("license").alias("own_license"), F.col("score").alias("own_score")), "path", "left")
+    got = got.withColumn("dir", _directory(F.col("path"))).join(nearest, "dir", "left")
+    return got.withColumn("license", F.coalesce("own_license", "inherited")).withColumn("inherited_from", F.when(F.col("own_license").isNull(), F.col("holder"))).drop("dir", "holder", "inherited")
+
+
+RESULTS = ("path", "own_license", "own_score", "license", "inherited_from")
+
 
+def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """``keep``, ``path``, ``own_license``, ``own_score``, ``license`` and ``inherited_from`` of every file.
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep``, ``path``, ``own_license``, ``own_score``, ``license`` and ``inherited_from`` of every file."""
+    Kept columns may have any names; one named like a result gives way to it (``prefix`` renames the results).
+    """
     found = base.cut(detect(files, path, text), "licenses")
-    return inherit(files.select(*keep, path), found, path)
+    h = base.Held(files, [c for c in keep if c != path], RESULTS, prefix, path=path)
+    return h.named(inherit(h.rows, found))

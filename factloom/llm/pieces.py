@@ -33,8 +33,8 @@ from factloom.llm import base
 
 MARK = "▁"
 LONG = 400
-#: Entries of a worker's word cache; it is emptied when full.
-CACHE = 200_000
+#: Entries and characters of a worker's word cache; it is emptied when full, and longer words stay out.
+CACHE, CACHE_CHARS, CACHED = 200_000, 4_000_000, 400
 _WORKER: dict[str, "PieceModel"] = {}
 
 
@@ -146,8 +146,8 @@ class PieceModel:
         ends = {c for c in [*string.punctuation, "\n"] if not any((a, c) in inside for a in letters)}
         some, alpha = "".join(map(re.escape, sorted(ends))), "a-zA-Z\u00c0-\u017f"
         self.cut = re.compile(f"{MARK}*[^{MARK}{alpha}]*[{alpha}]+(?=[{some}{MARK}]|\\Z)|{MARK}*[^{MARK}{alpha}]+(?={MARK}|\\Z)|{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.cache: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.cache: dict[str, str] = {}
+        self.cached = 0
 
     # -- encoding ---------------------------------------------------------
     def normalise(self, text: str) -> str:
@@ -311,13 +311,22 @@ class PieceModel:
         cut = [self.cut(self.normalise(t)) if t else [] for t in texts]
         cache = self.cache
         new = list({w for words in cut for w in words if w not in cache})
-        if len(cache) + len(new) > CACHE:
+        size = sum(map(len, new))
+        if len(cache) + len(new) > CACHE or self.cached + size > CACHE_CHARS:
             cache.clear()
+            self.cached = 0
             new = list({w for words in cut for w in words})
+            size = sum(map(len, new))
         for lo in range(0, len(new), 20_000):
             some = new[lo : lo + 20_000]
             cache.update(zip(some, (",".join(map(str, x)) for x in self.encode_words(some)), strict=True))
-        return [",".join([cache[w] for w in words]) for words in cut]
+        self.cached += size
+        out = [",".join([cache[w] for w in words]) for words in cut]
+        for w in new:
+            if len(w) > CACHED:
+                del cache[w]
+                self.cached -= len(w)
+        return out
 
     # -- decoding ---------------------------------------------------------
     def decode(self, ids: str) -> str:
@@ -364,7 +373,7 @@ def model_of(blob: bytes) -> PieceModel:
     return _WORKER[key]
 
 
-def encode_column(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def encode_column(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, prefix: str = "") -> DataFrame:
     """``keep`` columns, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; with ``with_ids`` also ``ids`` and ``decoded``.
 
     The model file (a few hundred kB) is read on the driver and broadcast.
@@ -376,24 +385,28 @@ def encode_column(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     base.ship(spark)
     with open(model_path, "rb") as f:
         blob = base.share(spark, f.read())
-    src = docs.select(*keep, docs[text].alias("__text"))
-    fields = [src.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if with_ids:
-        fields += [T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())]
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    h = base.Held(docs, keep, results, prefix, t=text)
+    through, at = h.through, h.at["t"]
+    schema = h.schema(*(T.StructField(r, T.LongType() if r == "n_tokens" else T.StringType()) for r in results))
 
     def run(batches):
-        model = model_of(blob.value)
         base.claim("pieces", _WORKER.clear)
+        model = model_of(blob.value)
         for b in batches:
-            # Few documents at a time: their words are held as lists meanwhile.
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                ids = model.encode(part.column(len(keep)).to_pylist())
+            lo = 0
+            while lo < b.num_rows:  # few documents at a time: their words are held as lists meanwhile
+                hi, size = lo, 0
+                while hi < b.num_rows and (hi == lo or hi - lo < 200 and size < 1 << 20):
+                    size += len(b.column(at)[hi].as_py() or "")
+                    hi += 1
+                part, lo = b.slice(lo, hi - lo), hi
+                ids = model.encode(part.column(at).to_pylist())
                 back = [model.decode(x) for x in ids]
-                cols = [part.column(i) for i in range(len(keep))]
-                cols += [pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back])]
+                cols = [part.column(i) for i in through]
+                cols += [pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())]
                 if with_ids:
-                    cols += [pa.array(ids), pa.array(back)]
-                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+                    cols += [pa.array(ids, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return src.mapInArrow(run, T.StructType(fields))
+    return h.named(h.rows.mapInArrow(run, schema))

@@ -149,31 +149,30 @@ def _vectors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, positives: DataFrame, doc_id: str = "doc_id", text: str = "text", n_positive: int = POSITIVES, n_unlabelled: int = UNLABELLED) -> Network:
     """``docs``: unlabelled text; ``positives``: ids of trusted rows in it."""
     base.ship(docs.sparkSession)
-    draw = lambda salt: F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
-    pos = positives.select(doc_id).filter(F.col(doc_id).isNotNull()).distinct()
-    have, total = pos.count(), docs.count()
-    pos = pos.filter(draw("positive") < min(1.0, n_positive / max(have, 1))).select(F.col(doc_id).alias("__id"))
-    src = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    pos = positives.select(base.column(doc_id).alias("id")).filter("id is not null").distinct()
+    src = docs.select(base.column(doc_id).alias("id"), base.column(text).alias("t"))
+    have, total = pos.count(), src.count()
+    pos = pos.filter(draw("positive") < min(1.0, n_positive / max(have, 1)))
     # Bounded by n_positive (expected), hence the broadcast.
-    p = src.join(F.broadcast(pos), "__id", "left_semi").select(F.lit(True), F.col("__id").cast("string"), "__text")
-    u = docs.filter(draw("unlabelled") < min(1.0, n_unlabelled / max(total, 1))).select(F.lit(False), F.col(doc_id).cast("string"), F.col(text))
+    p = src.join(F.broadcast(pos), "id", "left_semi").select(F.lit(True), F.col("id").cast("string"), "t")
+    u = src.filter(draw("unlabelled") < min(1.0, n_unlabelled / max(total, 1))).select(F.lit(False), F.col("id").cast("string"), "t")
     return train(*_vectors(p.unionAll(u)))
 
 
-def score(docs: DataFrame, model: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1) of each whole text."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    base.ship(spark)
-    shared = base.share(spark, model)
-    src = docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    base.ship(docs.sparkSession)
+    h = base.Held(docs, keep, ("score",), prefix, t=text)
+    shared, through, at = base.share(docs.sparkSession, model), h.through, h.at["t"]
+    schema = h.schema(T.StructField("score", T.DoubleType()))
 
     def run(batches):
         base.claim("quality")
         for b in batches:
-            x = np.array([features(t.as_py()) for t in b.column(len(keep))], np.float32).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(shared.value.score(x).astype(float), pa.float64())], names=schema.names)
+            x = np.array([features(t.as_py()) for t in b.column(at)], np.float32).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in through), pa.array(shared.value.score(x).astype(float), pa.float64())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return h.named(h.rows.mapInArrow(run, schema))

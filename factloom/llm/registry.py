@@ -85,4 +85,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op4_licenses, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
 
-ORACLES: dict[str, str] = {}
+
+def oracles() -> dict[str, str]:
+    """The SQL of the queries that have one; it holds the vocabulary, so it is made when asked for."""
+    from factloom.llm import oracles as sql
+
+    return sql.all_of(PIECES)

@@ -23,7 +23,8 @@ from factloom.llm import base
 from factloom.llm.pieces import MARK, PieceModel
 
 WORDS = re.compile(r"\w+|[^\w\s]")
-CACHE = 250_000
+#: Entries of a worker's word cache, and the longest word in it.
+CACHE, CACHED = 250_000, 100
 _UNKNOWN = (1 << 40) + 1  # one piece, one unknown word
 _WORKER: dict[str, "LongestMatch"] = {}
 
@@ -94,12 +95,16 @@ class LongestMatch:
         try:
             total = sum(map(cache.__getitem__, words))
         except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
+            total = 0
             for w in words:
-                if w not in cache:
-                    cache[w] = self.count(w)
-            total = sum(map(cache.__getitem__, words))
+                n = cache.get(w)
+                if n is None:
+                    n = self.count(w)
+                    if len(w) <= CACHED:
+                        if len(cache) >= CACHE:
+                            cache.clear()
+                        cache[w] = n
+                total += n
         return len(words), total & ((1 << 40) - 1), total >> 40
 
 
@@ -111,7 +116,7 @@ def _automaton(blob: bytes) -> LongestMatch:
     return _WORKER[key]
 
 
-def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep`` columns with ``n_words``, ``n_tokens`` and ``n_unknown`` of each whole text."""
     import pyarrow as pa
 
@@ -119,15 +124,16 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", keep: tup
     base.ship(spark)
     with open(model_path, "rb") as f:
         blob = base.share(spark, f.read())
-    src = docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_tokens", "n_unknown")])
+    results = ("n_words", "n_tokens", "n_unknown")
+    h = base.Held(docs, keep, results, prefix, t=text)
+    through, at, schema = h.through, h.at["t"], h.schema(*(T.StructField(c, T.LongType()) for c in results))
 
     def run(batches):
-        model = _automaton(blob.value)
         base.claim("tokens", _WORKER.clear)
+        model = _automaton(blob.value)
         for b in batches:
-            got = [model.text(t.as_py()) for t in b.column(len(keep))]
-            cols = [b.column(i) for i in range(len(keep))] + [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
+            got = [model.text(t.as_py()) for t in b.column(at)]
+            cols = [b.column(i) for i in through] + [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return h.named(h.rows.mapInArrow(run, schema))

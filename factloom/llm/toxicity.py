@@ -251,20 +251,22 @@ def fit_linear(vectors: list[tuple[int, np.ndarray, np.ndarray]], posterior: np.
     return Linear(w.astype(np.float32), float(bias), voters)
 
 
-def _map(docs: DataFrame, text: str, keep: tuple[str, ...], name: str, kind: T.DataType, of):
+def _map(docs: DataFrame, text: str, keep: tuple[str, ...], name: str, kind: T.DataType, of, prefix: str = ""):
+    """``keep`` columns and the column ``name``: a function, made by ``of`` in the worker, of each whole text."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
     base.ship(docs.sparkSession)
-    src = docs.select(*keep, docs[text].alias("__text"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(name, kind)])
+    h = base.Held(docs, keep, (name,), prefix, t=text)
+    through, at, schema = h.through, h.at["t"], h.schema(T.StructField(name, kind))
 
     def run(batches):
+        base.claim("toxicity")
         f = of()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array([f(t.as_py()) for t in b.column(len(keep))], to_arrow_type(kind))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in through), pa.array([f(t.as_py()) for t in b.column(at)], to_arrow_type(kind))], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return h.named(h.rows.mapInArrow(run, schema))
 
 
 def vote(docs: DataFrame, voters: Voters, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -302,9 +304,9 @@ def learned_stems(labelled: DataFrame, voters: Voters, text: str = "text", toxic
         return []
     got = rows.select(toxic, F.explode("stems").alias("stem")).groupBy("stem").agg(F.count_if(F.col(toxic) > 0).alias("t"), F.count_if(F.col(toxic) <= 0).alias("c"))
     excess = (F.col("t") / total[True]) / ((F.col("c") + 1) / total[False])
-    best = got.filter((F.col("t") >= STEM_DOCS) & (excess >= STEM_EXCESS)).withColumn("score", F.col("t") * F.log(excess)).orderBy(F.desc("score"), F.desc(F.length("stem")), "stem").limit(20 * STEMS).collect()
+    best = got.filter((F.col("t") >= STEM_DOCS) & (excess >= STEM_EXCESS)).withColumn("score", F.col("t") * F.log(excess)).collect()  # of a bounded number of labelled rows
     out: list[str] = []
-    for r in best:
+    for r in sorted(best, key=lambda r: (-r.score, -len(r.stem), r.stem)):
         if len(out) < STEMS and not any(r.stem.startswith(x) or x.startswith(r.stem) for x in out):
             out.append(r.stem)
     return out
@@ -319,27 +321,26 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_i
     """
     voters, share, known = Voters(), None, {}
     if labelled is not None:
-        labelled = labelled.filter(F.col(toxic).isNotNull()).select(text, toxic)
-        dropped = misleading(labelled, text, toxic)
-        stems = learned_stems(labelled, Voters(dropped), text, toxic)
+        seen = labelled.select(base.column(text).alias("t"), base.column(toxic).alias("y")).filter("y is not null")
+        dropped = misleading(seen, "t", "y")
+        stems = learned_stems(seen, Voters(dropped), "t", "y")
         if stems:
             counter = Voters(dropped, stems)
-            clean = labelled.filter(F.col(toxic) <= 0)
             # Two numbers of each labelled row, of which there is a bounded number.
-            seen = [r[0] for r in _map(clean, text, (), "n", T.ArrayType(T.LongType()), lambda: lambda t: list(counter.stemmed(t))).collect()]
-            voters = Voters(dropped, stems, (sum(n for n, _ in seen) + 1) / (sum(w for _, w in seen) + 1))
+            rows = [r[0] for r in _map(seen.filter("y <= 0"), "t", (), "n", T.ArrayType(T.LongType()), lambda: lambda t: list(counter.stemmed(t))).collect()]
+            voters = Voters(dropped, stems, (sum(n for n, _ in rows) + 1) / (sum(w for _, w in rows) + 1))
         else:
             voters = Voters(dropped)
-        share = labelled.agg(F.avg((F.col(toxic) > 0).cast("double"))).first()[0]
+        share = seen.agg(F.avg((F.col("y") > 0).cast("double"))).first()[0]
         share = min(max(share, 0.001), 0.5) if share is not None else None
-        known = {(r[0], r[1]): r[2] for r in vote(labelled, voters, text, (toxic,)).groupBy("votes", (F.col(toxic) > 0).alias("y")).count().collect()}
+        known = {(r[0], r[1]): r[2] for r in vote(seen, voters, "t", ("y",)).groupBy("votes", (F.col("y") > 0).alias("y")).count().collect()}
     # Bounded: at most 2 ** len(NAMES) patterns.
     got = {r[0]: r[1] for r in vote(docs, voters, text, ()).groupBy("votes").count().collect()}
     total = sum(got.values())
     patterns = sorted({*got, *(v for v, _ in known)} or {0})
     anchors = np.array([[known.get((v, y), 0) for v in patterns] for y in (False, True)], float)
     model = LabelModel(np.array(patterns, np.int64), np.array([got.get(v, 0) + (not total) for v in patterns], float), len(NAMES), share, anchors=anchors)
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("weak")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(base.column(doc_id), F.lit("weak")), F.lit(1 << 30)) / float(1 << 30)
     some = docs.filter(draw < min(1.0, sample / max(total, 1)))
     # Bounded: about `sample` rows, of each two numbers for a slot it uses, 2 ** BITS slots at most.
     kind = T.StructType([T.StructField("votes", T.LongType()), T.StructField("slots", T.BinaryType()), T.StructField("n", T.BinaryType())])
@@ -357,7 +358,7 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_i
     return model, fit_linear(vectors, model.posterior(np.array([v for v, _, _ in vectors], np.int64)) if vectors else np.zeros(0), voters, model.odds())
 
 
-def score(docs: DataFrame, linear: Linear, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, linear: Linear, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``keep`` columns and ``score`` of each whole text."""
     shared = base.share(docs.sparkSession, linear)
 
@@ -365,4 +366,4 @@ def score(docs: DataFrame, linear: Linear, text: str = "text", keep: tuple[str,
         model = shared.value
         return lambda t: float(1 / (1 + np.exp(-np.clip(model.logit(t), -30, 30))))
 
-    return _map(docs, text, keep, "score", T.DoubleType(), of)
+    return _map(docs, text, keep, "score", T.DoubleType(), of, prefix)

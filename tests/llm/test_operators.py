@@ -112,7 +112,7 @@ def brute_hits(text, items, width):
     return len(words), len(hit), found
 
 
-def test_fm_index_against_brute_force():
+def test_fm_index_against_brute_force(monkeypatch):
     rng = random.Random(7)
     for trial in range(200):
         letters = [chr(97 + i) for i in range(rng.choice([2, 3, 8]))]
@@ -120,12 +120,18 @@ def test_fm_index_against_brute_force():
         if trial % 2:
             items = [x for x in items if len(x[1].split()) > 2]
         docs = [" ".join(rng.choices(letters + ["zz"] * rng.randint(0, 2), k=rng.randint(0, 60))) for _ in range(6)]
-        windows, shard = decontaminate.Windows(items), decontaminate.Shard()
-        for d in docs:
-            shard.add(d, windows)
-        for d, (n, spans, found) in zip(docs, shard.close(windows), strict=True):
+        monkeypatch.setattr(decontaminate, "SHARD", rng.choice([500_000, 40, 7]))
+        windows = decontaminate.Windows(items)
+        for d, (n, spans, found) in zip(docs, decontaminate.search(docs, windows), strict=True):
             assert (n, sum(e - s for s, e in spans), found) == brute_hits(d, items, 10)
-            assert not brute_hits(decontaminate.cut_spans(d, spans, windows), items, 10)[1]
+
+
+def test_suffix_array():
+    rng = random.Random(17)
+    for _ in range(300):
+        text = [rng.randint(0, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, 60))] * rng.randint(1, 3) + [0]
+        key = lambda i: [(x > 0, x or j) for j, x in enumerate(text[i:], i)]  # noqa: E731 - breaks before words, by place
+        assert decontaminate.FMIndex._suffixes(np.array(text)).tolist() == sorted(range(len(text)), key=key)
 
 
 def test_wavelet_ranks():
@@ -143,7 +149,7 @@ def test_decontaminate_query(spark, awkward, nothing, monkeypatch, block):
     items = [(1, "one two three four five six seven eight nine ten eleven"), (2, "the SAME text"), (3, None), (None, "a b c"), (4, ""), (5, "a b")]
     bench = spark.createDataFrame(items, "item_id int, text string")
     docs = awkward.unionByName(frame(spark, ["x One, two three four five six seven eight nine TEN eleven y", "one two three"]).selectExpr("doc_id + 100 doc_id", "text", "key", "n", "base"))
-    found = decontaminate.find(docs, bench, cut_text=True)
+    found = decontaminate.find(docs, bench)
     got = {r.doc_id: r for r in decontaminate.digest(found).collect()}
     named = [(str(i), t) for i, t in items if i is not None]
     for r in docs.collect():
@@ -152,12 +158,73 @@ def test_decontaminate_query(spark, awkward, nothing, monkeypatch, block):
             g = got[r.doc_id]
             assert (g.n_words, g.n_hit, g.n_items, g.contaminated) == (n, hit, len(its), hit > 0)
             assert g.items_sha256 == hashlib.sha256(",".join(sorted(its)).encode()).hexdigest()
-    cut = {r.doc_id: r.cut_text for r in found.collect()}
-    assert cut[100] == "x  y" and cut[101] == "one two three" and cut[0] is None
+    gone = decontaminate.remove(docs, bench, prefix="r_")
+    assert gone.columns == [*docs.columns, "r_n_cut"]
+    cut = {r.doc_id: (r.text, r.r_n_cut) for r in gone.collect()}
+    assert cut[100] == ("x  y", 11) and cut[101] == ("one two three", 0) and cut[0] == (None, 0)
     assert decontaminate.find(nothing, bench).count() == 0
     assert decontaminate.digest(decontaminate.find(docs, bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_cut_leaves_no_window(spark, monkeypatch):
+    """Cutting may join words to a new window, of another block of the benchmark too: blocks change nothing."""
+    rng = random.Random(21)
+    items = [(i, " ".join(rng.choices("abcd", k=rng.choice([2, 3, 11])))) for i in range(6)]
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.randint(0, 50)))) for i in range(60)]
+    bench, docs = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    windows = decontaminate.Windows([(str(i), t) for i, t in items])
+    want = {}
+    for i, t in rows:
+        while spans := decontaminate.search([t], windows)[0][1]:
+            t = decontaminate.without(t, spans)
+        want[i] = t
+    for block in (500_000, 9):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = {r.doc_id: r.text for r in decontaminate.remove(docs, bench).collect()}
+        assert got == want and not any(brute_hits(t, items, 10)[1] for t in got.values())
+
+
+CLASHES = "n_words spans items n_cut score __text n_tokens dir license __key key id t k0 n_chars lang_pred votes own_license path.x holder base terms doc_ID2".split()
+
+
+def test_clashing_names(spark, nothing):
+    """Columns named like those used inside, or like results, change no result, and come back where they are kept."""
+    texts = ["the same words of a text again and again", "the same words of a text again and again", None, "", "mail ann@tarn.example or 10.0.0.1 now", "one two three"]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odd = plain.select("*", *(base.F.lit(f"x{k}").alias(c) for k, c in enumerate(CLASHES)))
+    bench = spark.createDataFrame([(1, "one two three")], "item_id int, text string")
+    model, trees = quality.fit(plain, plain.select("doc_id")), language.fit(plain.withColumn("lang", base.F.lit("en")))
+    _, linear = toxicity.fit(plain)
+    named = lambda df: df.withColumn("path", base.F.concat(base.F.lit("a/"), base.F.col("doc_id").cast("string")))
+    runs = {
+        "find": lambda df, **k: decontaminate.find(df, bench, **k),
+        "quality": lambda df, **k: quality.score(df, model, **k),
+        "toxicity": lambda df, **k: toxicity.score(df, linear, **k),
+        "language": lambda df, **k: language.identify(df, trees, **k),
+        "pieces": lambda df, **k: pieces.encode_column(df, MODEL, with_ids=True, **k),
+        "tokens": lambda df, **k: tokens.token_counts(df, MODEL, **k),
+        "licenses": lambda df, **k: licenses.scan(named(df), **k),
+    }
+    own = base.free([*odd.columns, "path"])
+    for name, run in runs.items():
+        want = run(plain, keep=("doc_id",)).orderBy("doc_id").collect()
+        got = run(odd, keep=[*odd.columns], prefix=own).orderBy("doc_id")
+        assert got.columns[: len(odd.columns)] == odd.columns, name
+        rows = got.collect()
+        assert [tuple(r)[len(odd.columns) :] for r in rows] == [tuple(r)[1:] for r in want], name
+        assert [tuple(r)[: len(odd.columns)] for r in rows] == sorted(map(tuple, odd.collect())), name
+        bare = run(odd, keep=[*odd.columns]).orderBy("doc_id")  # a kept column named like a result gives way to it
+        results = want[0].__fields__[1:]
+        assert len({c.lower() for c in bare.columns}) == len(bare.columns) and [[r[c] for c in results] for r in bare.collect()] == [list(r)[1:] for r in want], name
+    for run in (pii.sanitise, jaccard.keep_one, lambda df: decontaminate.remove(df, bench, prefix=own).drop(own + "n_cut")):
+        got, want = run(odd), run(plain)
+        assert got.columns == odd.columns
+        assert sorted((r.doc_id, str(r.text)) for r in got.collect()) == sorted((r.doc_id, str(r.text)) for r in want.collect())
+        assert {tuple(r)[2:] for r in got.collect()} == {tuple(f"x{k}" for k in range(len(CLASHES)))}
+    assert sorted(simhash.digest(odd).collect()) == sorted(simhash.digest(plain).collect())
+    assert sorted(pii.digest(odd).collect()) == sorted(pii.digest(plain).collect())
+
+
 # -- op9 ------------------------------------------------------------------
 def brute_bits(samples, text):
     """Code length with dictionaries, byte by byte."""
