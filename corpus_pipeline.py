@@ -15,14 +15,14 @@ from factloom.llm import base, decontaminate, jaccard, pieces, pii, quality, reg
 
 
 def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
-    return out.select(*docs.columns)
+    return out.select(*map(base.column, docs.columns))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier rejects go."""
-    model = registry.quality_model(spark, docs, sf_dir)
-    scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return _as(docs, scored.filter(F.col("score") >= quality.CUT))
+    model, own = registry.quality_model(spark, docs, sf_dir), base.free(docs.columns)
+    scored = quality.score(docs, model, keep=docs.columns, prefix=own)
+    return _as(docs, scored.filter(F.col(own + "score") >= quality.CUT))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark spans are cut out; a document left without a word goes."""
-    items = base.read_table(spark, sf_dir, "benchmark")
-    found = decontaminate.find(docs, items, keep=tuple(docs.columns), cut_text=True)
-    hit = F.size("spans") > 0
-    kept = found.filter(~hit | F.col("cut_text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    return _as(docs, kept.withColumn("text", F.when(hit, F.col("cut_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
+    own = base.free(docs.columns)
+    found = decontaminate.remove(docs, base.read_table(spark, sf_dir, "benchmark"), prefix=own)
+    hit = F.col(own + "n_cut") > 0
+    kept = found.filter(~hit | F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
+    return _as(docs, kept.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
