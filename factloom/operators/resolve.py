@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.plans.tables import cut
+from factloom.plans.tables import cut, drop
 
 FOUND, NOT_FOUND, INCONCLUSIVE = "found", "not_found", "inconclusive"
 
@@ -51,36 +51,51 @@ def priority_coalesce(rows: DataFrame, key: str, sources: list[tuple[str, DataFr
     return rows.withColumn(out, F.coalesce(*answers)).withColumn(f"{out}_source", label).drop(*(f"__a{k}" for k in range(len(sources))))
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(node, ancestor, depth): the least depth at which each ancestor is reached, up to ``most`` steps.
+def closure(edges: DataFrame, child: str, parent: str, most: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): the least depth at which each ancestor is reached, up to ``most`` steps where given.
 
-    Semi-naive: a round joins only the pairs the last one found, and pairs already
-    known are dropped, so cycles end.  Each round's pairs are a table in the shared
-    folder, which keeps the plan short and survives lost executors.
+    Path lengths double in each round, so a chain of n steps takes log n rounds: a pair further
+    than 2^k apart has a node 2^k from its start, and only pairs of just that depth are carried
+    on.  Pairs keep their least depth, so cycles end.  Each round is a table in the shared folder,
+    which keeps the plan short and survives lost executors.
     """
     step = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node is not null and ancestor is not null").distinct()
-    new = cut(step.withColumn("depth", F.lit(1).cast("long")), "closure")
-    known = new
-    nxt = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("__next"))
-    for depth in range(2, most + 1):
-        reached = new.join(nxt, "ancestor").select("node", F.col("__next").alias("ancestor")).distinct()
-        new = cut(reached.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "closure")
-        if not new.limit(1).count():
+    known, reach = cut(step.withColumn("depth", F.lit(1).cast("long")), "closure"), 1
+    while most is None or reach < most:
+        far = known.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        rest = known.select(F.col("node").alias("via"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        if most is not None:
+            rest = rest.filter(F.col("depth") <= most)
+        found = known.unionAll(far.join(rest, "via").select("node", "ancestor", "depth"))
+        new = cut(found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "closure")
+        drop(known)
+        known, reach = new, reach * 2
+        if (known.agg(F.max("depth")).first()[0] or 0) < reach:
             break
-        known = known.unionAll(new)
     return known
 
 
 def point_in_span(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str) -> DataFrame:
     """The narrowest span of the same key that contains each point, both ends inclusive (ties: least start, then name).
 
-    An equi join on the key bounds the candidates; points in no span stay, with nulls.
+    A span of a width below 2^l touches two blocks of 2^l places at most; points and spans meet on
+    (key, l, block), so a key with very many spans is split over many blocks and no
+    product of its points and spans is made.  Points in no span stay, with nulls.
     """
-    hit = points.join(spans.select(key, start, end, name), key, "left")
-    inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    best = F.min(F.when(inside, F.struct((F.col(end) - F.col(start)).alias("w"), F.col(start).alias("s"), F.col(name).alias("name"), F.col(end).alias("e")))).alias("b")
-    got = hit.groupBy(*points.columns).agg(best)
-    return got.select(*points.columns, F.col("b.name").alias(name), F.col("b.s").alias(start), F.col("b.e").alias(end))
+    wide = spans.select(key, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(name).alias("__name")).filter("__e >= __s")
+    level = F.length(F.bin(F.col("__e") - F.col("__s"))).cast("int")
+    wide = wide.withColumn("__l", level)
+    block = lambda c: F.expr(f"shiftright({c}, __l)")
+    wide = wide.withColumn("__b", F.explode(F.array_distinct(F.array(block("__s"), block("__e")))))
+    # Only the levels that some span has: a row each, 64 at most.
+    used = [r[0] for r in wide.select("__l").distinct().collect()]
+    levels = F.array(*(F.lit(k) for k in sorted(used))).cast("array<int>")
+    asked = points.select(key, F.col(at).alias("__at")).distinct()
+    asked = asked.withColumn("__l", F.explode(levels)).withColumn("__b", F.expr("shiftright(cast(__at as bigint), __l)"))
+    hit = asked.join(wide, [key, "__l", "__b"]).filter("__at >= __s and __at <= __e")
+    best = hit.groupBy(key, "__at").agg(F.min(F.struct((F.col("__e") - F.col("__s")).alias("w"), F.col("__s").alias("s"), F.col("__name").alias("name"), F.col("__e").alias("e"))).alias("__hit"))
+    got = points.join(best.withColumnRenamed("__at", at), [key, at], "left")
+    return got.select(*points.columns, F.col("__hit.name").alias(name), F.col("__hit.s").alias(start), F.col("__hit.e").alias(end))
 
 
 def suggest(misses: DataFrame, names: DataFrame, typo: str, name: str, within: int = 2, scope: list[str] | None = None) -> DataFrame:
@@ -124,12 +139,20 @@ def candidate_intersection(calls: DataFrame, providers: DataFrame, group: str, n
     Fewer than two needs prove nothing; a need nobody answers proves nothing; an empty
     intersection is a contradiction; one provider is inferred, two to four are a union.
     """
-    wants = calls.select(group, need).distinct()
-    size = wants.groupBy(group).agg(F.count("*").alias("needs"))
-    offers = wants.join(providers.select(need, provider).distinct(), need)
-    answered = offers.groupBy(group).agg(F.count_distinct(need).alias("answered"))
-    full = offers.groupBy(group, provider).agg(F.count("*").alias("n")).join(size, group).filter("n = needs").groupBy(group).agg(F.count("*").alias("candidates"))
-    got = size.join(answered, group, "left").join(full, group, "left").fillna(0, ["answered", "candidates"])
+    offers = providers.select(need, F.col(provider).alias("__by")).distinct()
+    count = offers.groupBy(need).agg(F.count("*").alias("__n"))
+    wants = calls.select(group, need).distinct().join(count, need, "left")
+    wants = cut(wants, "wants")
+    size = wants.groupBy(group).agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.min(F.struct("__n", need)).alias("__rare"))
+    whole = size.filter(F.col("answered") == F.col("needs"))
+    # Whoever answers everything answers the rarest need: only its providers are tried on the others.
+    tried = whole.select(group, "needs", F.col(f"__rare.{need}").alias("__need"))
+    start = tried.join(offers.withColumnRenamed(need, "__need"), "__need")
+    rest = wants.join(tried.filter("needs > 1").select(group, "__need"), group).filter(F.col(need) != F.col("__need")).select(group, need)
+    met = start.filter("needs > 1").select(group, "__by", "needs").join(rest, group).join(offers, [need, "__by"], "left_semi")
+    able = met.groupBy(group, "__by").agg(F.count("*").alias("__k"), F.first("needs").alias("needs")).filter("__k = needs - 1").select(group)
+    able = able.unionAll(start.filter("needs = 1").select(group)).groupBy(group).agg(F.count("*").alias("candidates"))
+    got = size.drop("__rare").join(able, group, "left").fillna(0, ["candidates"])
     outcome = F.when((F.col("needs") < 2) | (F.col("answered") < F.col("needs")), "nothing").when(F.col("candidates") == 0, "contradiction").when(F.col("candidates") == 1, "inferred").when(F.col("candidates") <= 4, "union").otherwise("nothing")
     return got.withColumn("outcome", outcome)
 

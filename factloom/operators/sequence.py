@@ -18,11 +18,18 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def line_of(offsets: DataFrame, line_rows: DataFrame, key: str, offset: str) -> DataFrame:
-    """The line of each byte offset: the last one that starts at or before it; offsets beyond the end are clamped."""
-    hit = offsets.join(line_rows.select(key, "line", "start_byte", "end_byte"), key).filter(F.col("start_byte") <= F.greatest(F.col(offset), F.lit(0)))
-    best = hit.groupBy(*offsets.columns).agg(F.max(F.struct("start_byte", "line", "end_byte")).alias("b"))
-    column = F.least(F.greatest(F.col(offset), F.lit(0)), F.col("b.end_byte")) - F.col("b.start_byte")
-    return best.select(*offsets.columns, F.col("b.line").alias("line"), column.alias("byte_column"))
+    """The line of each byte offset: the last one that starts at or before it; offsets beyond the end are clamped.
+
+    Lines and offsets are swept together in order: one exchange, no product of a key's lines and offsets.
+    """
+    at = F.greatest(F.col(offset), F.lit(0)).cast("long")
+    kind = offsets.schema[key].dataType
+    asked = offsets.select(F.struct(*offsets.columns).alias("__row"), F.col(key).alias("__key"), at.alias("__at"), F.lit(None).cast("struct<line:bigint,s:bigint,e:bigint>").alias("__line"))
+    known = line_rows.select(F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"), F.col(key).cast(kind).alias("__key"), F.col("start_byte").alias("__at"), F.struct(F.col("line").alias("line"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e")).alias("__line"))
+    # At one place the line comes before the offsets.
+    w = Window.partitionBy("__key").orderBy("__at", F.col("__line").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = asked.unionAll(known).withColumn("__line", F.last("__line", ignorenulls=True).over(w)).filter("__row is not null and __line is not null")
+    return got.select("__row.*", F.col("__line.line").alias("line"), (F.least(F.col("__at"), F.col("__line.e")) - F.col("__line.s")).alias("byte_column"))
 
 
 def offset_of(places: DataFrame, line_rows: DataFrame, key: str, line: str, column: str) -> DataFrame:

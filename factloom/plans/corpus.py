@@ -70,7 +70,7 @@ SELECT 'Part' || root AS root, 'Part' || node AS node, rank FROM up
 def program_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-up order of every class."""
     mro = program(spark, sf_dir).mro
-    return mro.select("root", "node", F.size("key").cast("long").alias("rank"))
+    return mro.select("root", "node", "rank")
 
 
 @query(_CALLS + """

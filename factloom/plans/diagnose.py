@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from factloom.functions import core
 from factloom.functions import names as text
 from factloom.operators import resolve, sequence
+from factloom.plans.surfaces import core_chain
 
 _COLUMNS = ["path", "start", "end", "code", "severity", "message", "suggestion"]
 
@@ -37,6 +40,41 @@ def undefined_methods(p) -> DataFrame:
     return _row(with_names, "E0101", F.concat(F.lit("undefined method `"), "name", F.lit("` for "), kind, F.lit("`"), "class_path", F.lit("`")), suggestion=F.col("suggestion"))
 
 
+def undefined_core_methods(p) -> DataFrame:
+    """E0101 on a value of a core class: only in a closed world, with an inventory of the class, and where nothing could have added the name.
+
+    A class is left alone where the project, an ignored file or an open declaration touches any namespace its
+    values run through; a name is where a library, a declaration or a call in the project may add it.
+    """
+    if not p.closed_world or p.core_inventory is None:
+        return _row(p.table("errors").limit(0).select("path", "start", "end"), "E0101", F.lit(""))
+    spark = p.spark
+    chain = spark.createDataFrame([(c, h) for c in core.CORE_TYPES for h in core_chain(c)], "recv_type string, host string")
+    touched = p.classes.select(F.col("class_path").alias("host"))
+    if p.evidence is not None:
+        from factloom.sources.facts import table
+
+        touched = touched.unionAll(table(p.evidence, "fragments").select("class_path"))
+    opened = chain.join(touched.distinct(), "host", "left_semi").select("recv_type").distinct()
+    own = chain.join(p.core_inventory.select(F.col("class").alias("host"), F.col("method").alias("name")), "host").select("recv_type", "host", "name")
+    covered = own.select("recv_type").distinct()
+    names_ = own.select("recv_type", "name")
+    names_ = names_.unionAll(p.core_table.select("class", "name"))
+    if p.extensions is not None:
+        names_ = names_.unionAll(chain.join(p.extensions.select(F.col("class").alias("host"), F.col("method").alias("name")), "host").select("recv_type", "name"))
+    if p.surfaces is not None:
+        said = p.surfaces.core_methods()
+        names_ = names_.unionAll(said.filter("name is not null").select("class", "name"))
+        opened = opened.unionAll(said.filter("name is null").select("class")).distinct()
+    rows = p.sites.filter("verdict = 'core' and not silent and target is null").filter(F.col("recv_type").isin(*core.CORE_TYPES))
+    if p.surfaces is not None and p.surfaces.type_tests():
+        rows = rows.filter("recv_kind = 'literal'")
+    always = p._answered().filter("not singleton").select("name").distinct()
+    miss = rows.join(covered, "recv_type", "left_semi").join(opened, "recv_type", "left_anti").join(names_.distinct(), ["recv_type", "name"], "left_anti").join(always, "name", "left_anti")
+    with_names = resolve.suggest(miss.select("path", "start", "end", "recv_type", "name"), names_.withColumnRenamed("name", "candidate").distinct(), "name", "candidate", scope=["recv_type"])
+    return _row(with_names, "E0101", F.concat(F.lit("undefined method `"), "name", F.lit("` for `"), "recv_type", F.lit("`")), suggestion=F.col("suggestion"))
+
+
 def wrong_arity(p) -> DataFrame:
     """E0102: only exact argument lists of methods whose arity is known."""
     m = p.methods.select(F.col("method").alias("target"), "required", "optional", "rest", "arity_unknown", "abstract")
@@ -69,7 +107,7 @@ def _misfits(p, bound: DataFrame, keys: list[str]) -> DataFrame:
     """
     members = bound.select(*keys, "literal", "declared", "nesting", F.explode(F.split("declared", " \\| ")).alias("member"))
     closed = p.classes.filter("not is_module and not open").select("class_path")
-    known = p.to_class(members.select(F.col("member").alias("name"), "nesting")).withColumnRenamed("name", "member").join(closed, "class_path", "left_semi")
+    known = p.to_class().withColumnRenamed("name", "member").join(closed, "class_path", "left_semi")
     own = members.join(known, ["member", "nesting"], "left")
     core_name = F.col("member").isin(*core.CORE_TYPES)
     same = (F.col("member") == F.col("literal")) | ((F.col("member") == "Float") & (F.col("literal") == "Integer"))
@@ -114,6 +152,9 @@ def unresolved_constants(p) -> DataFrame:
     rest = inner.join(through.select("name", "nesting").distinct(), ["name", "nesting"], "left_anti")
     # A scope whose ancestry is not closed may have it.
     rest = rest.join(p.incomplete.select(F.col("class_path").alias("root")), "root", "left_anti")
+    if p.surfaces is not None:
+        links = p.table("consts").filter("alias_of is not null").select("name", F.col("alias_of").alias("target"))
+        rest = rest.join(p.surfaces.declared_constants(rest, links, p.hosts), ["name", "nesting"], "left_anti")
     if p.rbi_names is not None:
         rest = rest.join(p.rbi_names.select(F.col("name").alias("bare")).distinct(), "bare", "left_anti")
     if p.evidence is not None:
@@ -180,19 +221,23 @@ def operands(p) -> DataFrame:
 
 def all_of(p) -> DataFrame:
     rows = source_errors(p)
-    for part in (undefined_methods, wrong_arity, wrong_core_arity, broken_signatures, broken_returns, unresolved_constants, lost_values, contradictions, operands):
+    for part in (undefined_methods, undefined_core_methods, wrong_arity, wrong_core_arity, broken_signatures, broken_returns, unresolved_constants, lost_values, contradictions, operands):
         rows = rows.unionByName(part(p))
     return located(rows.distinct(), p.project)
 
 
 def located(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Line from 1 and UTF-16 column from 1 of each start (character offsets)."""
-    at = rows.join(sources.select("path", F.col("text").alias("__text")), "path")
-    before = F.substring("__text", F.lit(1), F.col("start").cast("int"))
-    tail = F.substring_index(before, "\n", -1)
-    line = (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("long") + 1
-    column = (F.octet_length(F.encode(tail, "UTF-16BE")) / 2).cast("long") + 1
-    return at.withColumn("line", line).withColumn("column", column).select("path", "line", "column", "start", "end", "code", "severity", "message", "suggestion")
+    """Line from 1 and UTF-16 column from 1 of each start (character offsets): lines and starts are swept together in order."""
+    texts = sources.join(rows.select("path").distinct(), "path", "left_semi").filter("text is not null")
+    lines = texts.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    before = F.sum(F.length("content") + 1).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.select("path", F.coalesce(before, F.lit(0)).cast("long").alias("at"), F.struct((F.col("line") + 1).cast("long").alias("line"), "content").alias("on"), F.lit(None).cast(T.StructType(rows.schema.fields)).alias("row"))
+    asked = rows.select("path", F.col("start").cast("long").alias("at"), F.lit(None).cast(lines.schema["on"].dataType).alias("on"), F.struct(*rows.columns).alias("row"))
+    w = Window.partitionBy("path").orderBy("at", F.col("on").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = lines.unionAll(asked).select("row", F.last(F.when(F.col("on").isNotNull(), F.struct(F.col("on.line").alias("line"), F.col("on.content").alias("content"), "at")), ignorenulls=True).over(w).alias("here")).filter("row is not null")
+    head = F.substring("here.content", F.lit(1), (F.col("row.start") - F.col("here.at")).cast("int"))
+    column = (F.octet_length(F.encode(head, "UTF-16BE")) / 2).cast("long") + 1
+    return swept.select("row.path", F.col("here.line").alias("line"), column.alias("column"), "row.start", "row.end", "row.code", "row.severity", "row.message", "row.suggestion").filter("line is not null")
 
 
 __all__ = ["all_of", "located", "sequence"]

@@ -28,7 +28,7 @@ def definition(program, positions: DataFrame) -> DataFrame:
     calls = sites.join(methods, "target").drop("target")
     refs = program.table("const_refs")
     first = program.table("fragments").groupBy("class_path").agg(F.min(F.struct("path", "start")).alias("b"))
-    consts = refs.join(program.to_class(refs), ["name", "nesting"]).join(first, "class_path").select("path", "start", "end", F.col("b.path").alias("def_path"), F.col("b.start").alias("def_start"), F.col("class_path").alias("name"))
+    consts = refs.join(program.to_class(), ["name", "nesting"]).join(first, "class_path").select("path", "start", "end", F.col("b.path").alias("def_path"), F.col("b.start").alias("def_start"), F.col("class_path").alias("name"))
     spans = calls.unionByName(consts)
     hit = at.join(spans, "path", "left").withColumn("in", F.col("offset").between(F.col("start"), F.col("end")))
     keys = [*positions.columns, "offset"]
@@ -48,8 +48,9 @@ def hover(program, positions: DataFrame) -> DataFrame:
 
 def super_target(program, methods: DataFrame) -> DataFrame:
     """For each (class_path, name): the next owner along the ancestry; none where the ancestry is not closed."""
-    own = program.mro.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "key")
+    own = program.mro.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "rank")
     have = program.methods.filter("not singleton").select(F.col("class_path").alias("owner"), "name").distinct()
-    after = methods.join(own.filter("class_path <> owner"), "class_path").join(have, ["owner", "name"])
+    here = own.filter("class_path = owner").select("class_path", F.col("rank").alias("own_rank"))
+    after = methods.join(own, "class_path").join(here, "class_path").filter("rank > own_rank").join(have, ["owner", "name"])
     after = after.join(program.incomplete, "class_path", "left_anti")
-    return methods.join(after.groupBy("class_path", "name").agg(F.min(F.struct("key", "owner")).alias("b")).select("class_path", "name", F.col("b.owner").alias("super_owner")), ["class_path", "name"], "left")
+    return methods.join(after.groupBy("class_path", "name").agg(F.min(F.struct("rank", "owner")).alias("b")).select("class_path", "name", F.col("b.owner").alias("super_owner")), ["class_path", "name"], "left")

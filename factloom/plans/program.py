@@ -20,17 +20,10 @@ from pyspark.sql.window import Window
 from factloom.functions import core
 from factloom.functions import names as text
 from factloom.operators import resolve
-from factloom.plans.tables import cut
+from factloom.plans.tables import Log, cut, drop
 from factloom.sources import facts as source_facts
 
 UNTYPED = "untyped"
-#: Rounds of the type fixpoint, steps of an alias chain, steps of an ancestry.
-ROUNDS, ALIAS_STEPS, DEPTH = 8, 8, 40
-
-
-def _static(spark: SparkSession, names: list[str], column: str = "name") -> DataFrame:
-    """A constant of this package as a table (bounded)."""
-    return spark.createDataFrame([(x,) for x in names], f"{column} string")
 
 
 @dataclass
@@ -40,7 +33,9 @@ class Program:
     ``rbi_names`` (name) are constants other declarations prove; ``schema`` (table,
     column, type) adds columns to models; ``core_inventory`` (class, method) lists what
     core classes answer and is needed to accuse a call on one, which only a closed
-    world allows.
+    world allows; ``extensions`` (class, method) are what libraries add to them.  ``rbi``
+    (path, text) are signature files; ``records`` (method, singleton) is what every class
+    declared below ``ActiveRecord::Base`` answers.
     """
 
     sources: DataFrame
@@ -48,6 +43,9 @@ class Program:
     schema: DataFrame | None = None
     core_inventory: DataFrame | None = None
     closed_world: bool = False
+    extensions: DataFrame | None = None
+    rbi: DataFrame | None = None
+    records: DataFrame | None = None
     _cache: dict = field(default_factory=dict)
 
     @cached_property
@@ -93,44 +91,71 @@ class Program:
         """(name, source): every constant the project defines."""
         return self.classes.select(F.col("class_path").alias("name")).unionAll(self.table("consts").select("name")).distinct()
 
-    def lexical(self, refs: DataFrame) -> DataFrame:
-        """(name, nesting, target): innermost scope first, then the top level; ``::X`` from the root only."""
-        want = refs.select("name", "nesting").distinct().filter("name is not null")
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """(name, nesting, target) of every name the program refers to: innermost scope first, then the top level; ``::X`` from the root only."""
+        members = lambda c: F.explode(F.split(c, " \\| "))
+        m, e, refs = self.table("methods"), self.table("exprs"), self.table("const_refs")
+        spots = [
+            self.table("fragments").select(F.col("superclass").alias("name"), "nesting"),
+            self.table("mixins").select("target", "nesting"),
+            self.table("consts").select("alias_of", "nesting"),
+            refs.select("name", "nesting"),
+            refs.select(F.regexp_replace("name", "::[^:]+$", ""), "nesting"),
+            e.filter("op = 'const'").select("name", "nesting"),
+            e.filter("op = 'declared'").select(members("name"), "nesting"),
+            m.select(members("declared"), "nesting"),
+            m.select(members("sig_returns"), "nesting"),
+            m.select(F.explode(F.concat("param_types", F.coalesce("sig_types", F.array().cast("array<string>")))).alias("t"), "nesting").select(members("t"), "nesting"),
+            m.select(F.explode("sig_types").alias("t"), "nesting").select(members("t"), "nesting"),
+            self.anywhere.select("name", "nesting"),
+        ]
+        want = spots[0]
+        for x in spots[1:]:
+            want = want.unionAll(x)
+        want = want.filter("name is not null and nesting is not null").distinct()
         rooted = F.col("name").startswith("::")
         bare = F.regexp_replace("name", "^::", "")
         scopes = F.when(rooted, F.array(F.lit(""))).otherwise(F.concat(F.reverse("nesting"), F.array(F.lit(""))))
         levels = want.select("name", "nesting", F.posexplode(scopes).alias("rank", "scope"), bare.alias("bare")).withColumn("target", text.join_path(F.col("scope"), F.col("bare")))
         hits = levels.join(self.known.select(F.col("name").alias("target")), "target").select("name", "nesting", "rank", "target")
-        return resolve.first_by_rank(hits, ["name", "nesting"], ["rank"]).select("name", "nesting", "target")
+        return cut(resolve.first_by_rank(hits, ["name", "nesting"], ["rank"]).select("name", "nesting", "target"), "resolved")
+
+    def lexical(self, refs: DataFrame) -> DataFrame:
+        """(name, nesting, target) of the references that name a constant."""
+        return self.resolved.join(refs.select("name", "nesting").distinct(), ["name", "nesting"], "left_semi")
 
     @cached_property
     def aliases(self) -> DataFrame:
         """(name, class_path): constants that name a class, directly or through others."""
         own = self.classes.select(F.col("class_path").alias("name"), "class_path")
         links = self.table("consts").filter("alias_of is not null").select(F.col("name").alias("alias"), F.col("alias_of").alias("name"), "nesting")
-        edges = links.join(self.lexical(links), ["name", "nesting"]).select("alias", "target").distinct()
+        edges = links.join(self.resolved, ["name", "nesting"]).select("alias", "target").distinct()
         if not edges.limit(1).count():
             return own
         # A constant assigned twice names nothing for sure.
         edges = edges.join(self.table("consts").groupBy(F.col("name").alias("alias")).agg(F.count("*").alias("n")).filter("n = 1"), "alias").select("alias", "target")
-        chain = resolve.closure(edges, "alias", "target", ALIAS_STEPS)
+        chain = resolve.closure(edges, "alias", "target")
         reached = chain.join(self.classes.select(F.col("class_path").alias("ancestor")), "ancestor").select(F.col("node").alias("name"), F.col("ancestor").alias("class_path"))
         return cut(own.unionAll(reached.join(self.classes.select(F.col("class_path").alias("name")), "name", "left_anti")).distinct(), "aliases")
 
-    def to_class(self, refs: DataFrame) -> DataFrame:
-        """(name, nesting, class_path) of the references that name a class."""
-        hit = self.lexical(refs)
-        return hit.join(self.aliases.select(F.col("name").alias("target"), "class_path"), "target").select("name", "nesting", "class_path")
+    @cached_property
+    def _to_class(self) -> DataFrame:
+        return cut(self.resolved.join(self.aliases.select(F.col("name").alias("target"), "class_path"), "target").select("name", "nesting", "class_path"), "named-classes")
+
+    def to_class(self, refs: DataFrame | None = None) -> DataFrame:
+        """(name, nesting, class_path) of the references that name a class: of the whole program, or of some."""
+        return self._to_class if refs is None else self._to_class.join(refs.select("name", "nesting").distinct(), ["name", "nesting"], "left_semi")
 
     # -- ancestry ---------------------------------------------------------
     @cached_property
     def _direct(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Edges (node, slot, target), extend edges (node, ord, target), and nodes with an edge that is not known."""
         frag = self.table("fragments").filter("superclass is not null").select(F.col("class_path").alias("node"), F.col("superclass").alias("name"), "nesting").distinct()
-        parents = frag.filter(~F.regexp_replace("name", "^::", "").isin(*core.ROOTS)).join(self.to_class(frag), ["name", "nesting"], "left")
+        parents = frag.filter(~F.regexp_replace("name", "^::", "").isin(*core.ROOTS)).join(self.to_class(), ["name", "nesting"], "left")
         conflict = parents.groupBy("node").agg(F.count_distinct("class_path").alias("n")).filter("n > 1").select("node")
         mix = self.table("mixins").select(F.col("class_path").alias("node"), "kind", F.col("target").alias("name"), "nesting", "path", "ord")
-        mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin(*core.SIGNATURE_MODULES)).join(self.to_class(mix), ["name", "nesting"], "left")
+        mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin(*core.SIGNATURE_MODULES)).join(self.to_class(), ["name", "nesting"], "left")
         # `class Scope < Scope` names an inherited class, before the new one is there.
         unknown = parents.filter("class_path is null or class_path = node").select("node").unionAll(mixed.filter("class_path is null").select("node")).unionAll(conflict).distinct()
         later = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.desc("path"), F.desc("ord")))
@@ -142,25 +167,42 @@ class Program:
         return cut(edges.distinct(), "edges"), cut(extends.distinct(), "extends"), cut(unknown, "unknown")
 
     def _order(self, edges: DataFrame) -> DataFrame:
-        """(root, node, key): all that is reached over the edges; keys sort as the language looks methods up."""
-        level = self.classes.select(F.col("class_path").alias("root"), F.col("class_path").alias("node"), F.array().cast("array<long>").alias("key"), F.array("class_path").alias("seen"))
-        done = None
-        for _ in range(DEPTH):
-            level = cut(level, "order")
-            done = level if done is None else done.unionAll(level)
-            level = level.join(edges, "node").filter(~F.array_contains("seen", F.col("target"))).select("root", F.col("target").alias("node"), F.concat("key", F.array("slot")).alias("key"), F.concat("seen", F.array("target")).alias("seen"))
-            if not level.limit(1).count():
-                break
-        return done.groupBy("root", "node").agg(F.min(F.concat("key", F.array(F.lit(0).cast("long")))).alias("key"))
+        """(root, node, rank): all that is reached over the edges, in the order in which methods are looked up.
+
+        What a class prepends comes before it, then itself, what it includes and its superclass, each with
+        its own order in it.  Steps double in each round, so chains of any length take few rounds: the
+        best way to a node further than 2^k steps has its 2^k-th node in the last round's order, and the place
+        of a node reached through it is that one's place, then the place relative to it.  A pair is one row
+        in every round, whatever the number of ways between two classes.
+        """
+        place = Window.partitionBy("root").orderBy("a", "b")
+        own = self.classes.select(F.col("class_path").alias("root"), F.col("class_path").alias("node"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("steps"))
+        first = edges.filter("node <> target").select(F.col("node").alias("root"), F.col("target").alias("node"), F.col("slot").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(1).alias("steps"))
+        reach = 1
+        known = first.groupBy("root", "node").agg(F.min(F.struct("a", "b", "steps")).alias("x")).select("root", "node", "x.*")
+        known = cut(own.unionAll(known).withColumn("rank", F.row_number().over(place).cast("long")).select("root", "node", "rank", "steps"), "order")
+        limit = max(self.classes.count(), 1)
+        # A cycle of classes would let ways grow for ever; no way has more steps than there are classes.
+        while reach < limit and known.filter(F.col("steps") == reach).limit(1).count():
+            far = known.filter(F.col("steps") == reach).select("root", F.col("node").alias("via"), F.col("rank").alias("a"))
+            zero = known.filter("root = node").select("root", F.col("rank").alias("zero"))
+            inner = known.filter("root <> node").join(zero, "root").select(F.col("root").alias("via"), "node", (F.col("rank") - F.col("zero")).alias("b"), (F.col("steps") + reach).alias("steps"))
+            more = far.join(inner, "via").filter("root <> node").select("root", "node", "a", "b", "steps")
+            every = known.select("root", "node", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"), "steps").unionAll(more)
+            best = every.groupBy("root", "node").agg(F.min(F.struct("a", "b", "steps")).alias("x")).select("root", "node", "x.*")
+            new = cut(best.withColumn("rank", F.row_number().over(place).cast("long")).select("root", "node", "rank", "steps"), "order")
+            drop(known)
+            known, reach = new, reach * 2
+        return known.select("root", "node", "rank")
 
     @cached_property
     def mro(self) -> DataFrame:
-        return cut(self._order(self._direct[0]), "mro")
+        return self._order(self._direct[0])
 
     @cached_property
     def chain(self) -> DataFrame:
         """Superclasses only: where class-level methods are looked up."""
-        return cut(self._order(self._direct[0].filter("slot = 1000000")), "chain")
+        return self._order(self._direct[0].filter("slot = 1000000"))
 
     @cached_property
     def incomplete(self) -> DataFrame:
@@ -170,7 +212,10 @@ class Program:
         hosts = edges.select("node", "target").unionAll(extends.select("node", "target")).join(hooks, "target", "left_semi").select("node")
         opened = self.anywhere.filter("kind = 'open'")
         opened = self.to_class(opened).select("class_path")
-        bad = self._direct[2].unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct()
+        # Of two classes that reach each other neither has an order.
+        ways = self.mro.filter("root <> node")
+        cyclic = ways.join(ways.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"], "left_semi").select(F.col("root").alias("node"))
+        bad = cyclic.unionAll(self._direct[2]).unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct()
         return cut(self.mro.join(bad.select("node"), "node", "left_semi").select(F.col("root").alias("class_path")).distinct(), "incomplete")
 
     # -- methods ----------------------------------------------------------
@@ -199,18 +244,57 @@ class Program:
         """(class_path, name, singleton, method, owner) for the wanted (class_path, name, singleton): first along the order."""
         want = want.select("class_path", "name", "singleton").distinct()
         m = self.methods.select(F.col("class_path").alias("owner"), F.col("name"), F.col("singleton").alias("own"), "method", "start", "path")
-        on_instances = want.filter("not singleton").join(self.mro.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "key"), "class_path").join(m.filter("not own"), ["owner", "name"])
-        up = self.chain.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "key")
-        on_class = want.filter("singleton").join(up, "class_path")
-        direct = on_class.join(m.filter("own"), ["owner", "name"])
+        # Only what some wanted name is called is looked at.
+        m = m.join(want.select("name").distinct(), "name", "left_semi")
+        no = F.lit(0).cast("long")
+        on_instances = want.filter("not singleton").join(self.mro.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), F.struct(F.col("rank").alias("r"), no.alias("o"), no.alias("i")).alias("key")), "class_path").join(m.filter("not own"), ["owner", "name"])
+        on_class = want.filter("singleton").join(self.chain.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "rank"), "class_path")
+        direct = on_class.withColumn("key", F.struct(F.col("rank").alias("r"), no.alias("o"), no.alias("i"))).join(m.filter("own"), ["owner", "name"])
+        # What a class extends itself with comes after its own methods and before those of its superclass.
         ext = self._direct[1].select(F.col("node").alias("owner"), "ord", F.col("target").alias("module"))
-        through = self.mro.select(F.col("root").alias("module"), F.col("node").alias("at"), F.col("key").alias("inner"))
-        extended = on_class.join(ext, "owner").join(through, "module").withColumn("key", F.concat(F.slice("key", F.lit(1), F.size("key") - 1), F.array(F.lit(1).cast("long"), F.col("ord")), "inner")).drop("owner").withColumnRenamed("at", "owner").join(m.filter("not own"), ["owner", "name"])
+        through = self.mro.select(F.col("root").alias("module"), F.col("node").alias("at"), F.col("rank").alias("inner"))
+        extended = on_class.join(ext, "owner").join(through, "module").withColumn("key", F.struct(F.col("rank").alias("r"), F.col("ord").alias("o"), F.col("inner").alias("i"))).drop("owner").withColumnRenamed("at", "owner").join(m.filter("not own"), ["owner", "name"])
         cols = ["class_path", "name", "singleton", "key", "owner", "path", "start", "method"]
         every = on_instances.select(*cols).unionAll(direct.select(*cols)).unionAll(extended.select(*cols))
         # Of several definitions in one class the last counts; across files the order is by path.
-        best = every.groupBy("class_path", "name", "singleton").agg(F.min("key").alias("key"))
-        return every.join(best, ["class_path", "name", "singleton", "key"]).groupBy("class_path", "name", "singleton").agg(F.max(F.struct("path", "start", "method", "owner")).alias("b")).select("class_path", "name", "singleton", F.col("b.method").alias("method"), F.col("b.owner").alias("owner"))
+        last = every.groupBy("class_path", "name", "singleton", "key").agg(F.max(F.struct("path", "start", "method", "owner")).alias("b"))
+        best = last.groupBy("class_path", "name", "singleton").agg(F.min(F.struct("key", "b")).alias("x"))
+        return best.select("class_path", "name", "singleton", F.col("x.b.method").alias("method"), F.col("x.b.owner").alias("owner"))
+
+    # -- declarations -----------------------------------------------------
+    @cached_property
+    def surfaces(self):
+        from factloom.plans.surfaces import Surfaces
+
+        return None if self.rbi is None else Surfaces(self.rbi)
+
+    @cached_property
+    def hosts(self) -> DataFrame:
+        return self.surfaces.hosts(self)
+
+    @cached_property
+    def record_classes(self) -> DataFrame:
+        """(class_path): classes whose ancestry is declared to go through ``ActiveRecord::Base``."""
+        base = "ActiveRecord::Base"
+        spelt = self.table("fragments").filter(F.regexp_replace("superclass", "^::", "") == base).select(F.col("class_path").alias("node"))
+        own = self.mro.join(spelt.distinct(), "node", "left_semi").select(F.col("root").alias("class_path"))
+        if self.surfaces is not None:
+            own = own.unionAll(self.hosts.filter(F.col("host") == base).select("class_path"))
+        return cut(own.distinct(), "records")
+
+    def declared(self, want: DataFrame) -> DataFrame | None:
+        """(class_path, name, singleton, tier, result): what declarations answer, in order: generated (0), libraries (1), records (2)."""
+        parts = []
+        want = want.select("class_path", "name", "singleton").distinct()
+        if self.surfaces is not None:
+            parts.append(self.surfaces.answers(want, self.hosts).select("class_path", "name", "singleton", "tier", "result"))
+        if self.records is not None:
+            api = self.records.select(F.col("method").alias("name"), "singleton").distinct()
+            parts.append(want.join(self.record_classes, "class_path", "left_semi").join(api, ["name", "singleton"], "left_semi").select("class_path", "name", "singleton", F.lit(2), F.lit(None).cast("string")))
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
+        return resolve.first_by_rank(rows, ["class_path", "name", "singleton"], ["tier"])
 
     # -- types ------------------------------------------------------------
     @cached_property
@@ -220,11 +304,11 @@ class Program:
         core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string")
         # Declared types: each member is a core name, or a class of the project, or unknown.
         declared = e.filter("op = 'declared'").select("id", "nesting", F.explode(F.split("name", " \\| ")).alias("name"))
-        declared = declared.join(self.to_class(declared), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left")
+        declared = declared.join(self.to_class(), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left")
         member = F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED))
         declared = declared.groupBy("id").agg(_union(F.collect_set(member)).alias("type"))
         consts = e.filter("op = 'const'").select("id", "name", "nesting")
-        consts = consts.join(self.to_class(consts), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left").join(self.lexical(consts), ["name", "nesting"], "left")
+        consts = consts.join(self.to_class(), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left").join(self.resolved, ["name", "nesting"], "left")
         const_type = F.when(F.col("class_path").isNotNull(), F.concat(F.lit("Class["), "class_path", F.lit("]"))).when(F.col("__core") & F.col("target").isNull(), F.concat(F.lit("Class["), "name", F.lit("]"))).otherwise(UNTYPED)
         values = e.filter("op in ('atom', 'self')").select("id", F.col("name").alias("type")).unionAll(declared).unionAll(consts.select("id", const_type.alias("type")))
         writes = self.table("ivars").select(F.concat("class_path", "name").alias("name"), "expr").groupBy("name").agg(F.collect_set(F.coalesce("expr", F.lit(""))).alias("operands"))
@@ -233,31 +317,48 @@ class Program:
         # Never written here, or of a class that may be written to elsewhere: unknown, and known to be.
         values = values.unionAll(e.filter("op = 'ivar'").select("id").join(ivars.select("id"), "id", "left_anti").select("id", F.lit(UNTYPED)))
         pending = cut(e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call')").select("id", "op", "name", "operands").unionAll(ivars), "pending")
-        values = cut(values, "values")
-        result = self._results()
-        for _ in range(ROUNDS):
-            new = cut(self._round(pending, values, result), "round")
-            if not new.limit(1).count():
+        log = Log(self.spark, "values")
+        log.append(values.withColumn("of", F.lit(None).cast("string")))
+        told = lambda: log.frame().filter("type is not null").select("id", "type")
+        result, alias, left, spare = self._results(), None, 0, 0
+        while True:
+            # New values are only added; a call that is known to be another expression follows it by doubling.
+            new = log.append(self._round(pending, told(), result, alias))
+            got, met = new.agg(F.count("type"), F.count("of")).first()
+            if got or met:
+                pending = cut(pending.join(new.select("id"), "id", "left_anti"), "pending")
+                same = new.filter("type is null").select("id", "of")
+                if alias is not None:
+                    same = alias.join(new.filter("type is not null").select("id"), "id", "left_anti").unionAll(same)
+                if alias is not None or met:
+                    alias = cut(same, "alias")
+                    left = alias.count()
+                    spare = left.bit_length() + 1
+            elif left and spare:
+                spare -= 1
+            else:
                 break
-            values = cut(values.unionAll(new), "values")
-            pending = cut(pending.join(new.select("id"), "id", "left_anti"), "pending")
-        # What is left depends on itself, or lies deeper than the rounds reach.
-        return values.unionAll(pending.select("id", F.lit(UNTYPED)))
+            if left:
+                alias = cut(alias.join(alias.select(F.col("id").alias("of"), F.col("of").alias("next")), "of", "left").select("id", F.coalesce("next", "of").alias("of")), "alias")
+        # What is left depends on itself.
+        rest = pending.select("id") if alias is None else pending.select("id").unionAll(alias.select("id"))
+        return cut(told().unionAll(rest.select("id", F.lit(UNTYPED))), "types")
 
     def _results(self) -> DataFrame:
         """(method, declared, ret): what a method's result is known by."""
         m = self.methods.select("method", "declared", "ret", "nesting", "class_path")
         names_ = m.filter("declared is not null").select("method", "nesting", F.explode(F.split("declared", " \\| ")).alias("name"))
         core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string").withColumn("__core", F.lit(True))
-        got = names_.join(self.to_class(names_.filter("nesting is not null")), ["name", "nesting"], "left").join(core_names, "name", "left")
+        got = names_.join(self.to_class(), ["name", "nesting"], "left").join(core_names, "name", "left")
         declared = got.groupBy("method").agg(_union(F.collect_set(F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED)))).alias("declared"))
         # A library signature only speaks where inference is silent.
         sigs = self.methods.filter("sig_returns is not null").select("method", "nesting", F.explode(F.split("sig_returns", " \\| ")).alias("name"))
-        said = sigs.join(self.to_class(sigs), ["name", "nesting"], "left").join(core_names, "name", "left")
+        said = sigs.join(self.to_class(), ["name", "nesting"], "left").join(core_names, "name", "left")
         said = said.groupBy("method").agg(_union(F.collect_set(F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED)))).alias("sig"))
         return cut(m.select("method", "ret").join(declared, "method", "left").join(said, "method", "left"), "results")
 
-    def _round(self, pending: DataFrame, values: DataFrame, result: DataFrame) -> DataFrame:
+    def _round(self, pending: DataFrame, values: DataFrame, result: DataFrame, alias: DataFrame | None) -> DataFrame:
+        """(id, type, of): what can be told now, and calls whose type is that of another, pending expression."""
         parts = pending.filter("op <> 'call'").select("id", "op", F.posexplode("operands").alias("k", "of"))
         typed = parts.join(values.select(F.col("id").alias("of"), "type"), "of", "left").withColumn("type", F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type")))
         ready = typed.groupBy("id", "op").agg(F.count_if(F.col("type").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("k", "type"))).alias("x")).filter("missing = 0").select("id", "op", F.col("x.type").alias("x"))
@@ -281,16 +382,30 @@ class Program:
         got = got.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(self.core_table.select(F.col("class").alias("recv"), "name", F.col("result").alias("core")), ["recv", "name"], "left").join(values.select(F.col("id").alias("arg"), F.col("type").alias("arg_type")), "arg", "left")
         number = F.when((F.col("recv") == "Float") & F.col("arg_type").isin("Integer", "Float"), "Float").when((F.col("recv") == "Integer") & F.col("arg_type").isin("Integer", "Float"), F.col("arg_type")).when(F.col("arg_type").isNull() & (F.coalesce("arg", F.lit("")) != ""), None).otherwise(UNTYPED)
         made = F.col("singleton") & (F.col("name") == "new") & F.col("method").isNull()
+        said = self.declared(calls.join(hit, ["class_path", "name", "singleton"], "left_anti"))
+        if said is None:
+            got = got.withColumn("said", F.lit(None).cast("string"))
+        else:
+            # Only a single core type, or a closed class of the project, tells anything.
+            plain = F.when(F.col("result").isin(*core.CORE_TYPES), F.col("result"))
+            own = self.classes.select(F.col("class_path").alias("result"), F.col("class_path").alias("as_class"))
+            said = said.withColumn("result", F.regexp_replace("result", "^::", "")).join(own, "result", "left").select("class_path", "name", "singleton", F.coalesce(plain, "as_class").alias("said"))
+            got = got.join(said, ["class_path", "name", "singleton"], "left")
         out = (
             F.when(F.col("recv") == UNTYPED, UNTYPED)
             .when(F.col("recv").contains(" | "), UNTYPED)
             .when(made, F.when(F.coalesce("is_module", F.lit(True)), UNTYPED).otherwise(F.col("class_path")))
             .when(F.col("declared").isNotNull(), F.col("declared"))
             .when(F.col("method").isNotNull(), F.when(F.col("ret").isNull() | (F.col("body") == UNTYPED), F.coalesce("sig", F.lit(UNTYPED))).otherwise(F.col("body")))
+            .when(F.col("said").isNotNull(), F.col("said"))
             .when(F.col("core") == "number", number)
             .otherwise(F.coalesce("core", F.lit(UNTYPED)))
         )
-        return simple.unionAll(got.select("id", out.alias("type"))).filter("type is not null")
+        same = F.when(out.isNull() & F.col("sig").isNull() & F.col("method").isNotNull(), F.col("ret"))
+        found = simple.select("id", "type", F.lit(None).cast("string").alias("of")).unionAll(got.select("id", out.alias("type"), same.alias("of")))
+        if alias is not None:
+            found = found.unionAll(alias.join(values.select(F.col("id").alias("of"), "type"), "of").select("id", "type", F.lit(None).cast("string")))
+        return found.filter("type is not null or of is not null")
 
     @cached_property
     def core_table(self) -> DataFrame:
@@ -317,8 +432,8 @@ class Program:
         rows = rows.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(self.incomplete.withColumn("__open", F.lit(True)), "class_path", "left")
         every = self._answered()
         rows = rows.join(every, ["name", "singleton"], "left")
-        below = self._below()
-        rows = rows.join(below, ["class_path", "name"], "left").join(self._loose_below(), "class_path", "left")
+        asked = rows.filter(F.col("target").isNull() & F.col("recv_kind").isin("implicit", "self")).select("class_path", "name").distinct()
+        rows = rows.join(self._below(asked), ["class_path", "name"], "left").join(self._loose_below(), "class_path", "left")
         on_self = F.col("recv_kind").isin("implicit", "self")
         verdict = (
             F.when(F.col("target").isNotNull(), resolve.FOUND)
@@ -331,7 +446,14 @@ class Program:
             .when(~is_class & F.col("is_module"), resolve.INCONCLUSIVE)
             .otherwise(resolve.NOT_FOUND)
         )
-        return cut(rows.withColumn("verdict", verdict).drop("__open", "__every", "__below", "__loose"), "sites")
+        rows = rows.withColumn("verdict", verdict).drop("__open", "__every", "__below", "__loose")
+        said = self.declared(rows.filter(F.col("verdict").isin(resolve.NOT_FOUND, resolve.INCONCLUSIVE)))
+        if said is None:
+            return cut(rows.withColumn("declared_tier", F.lit(None).cast("int")), "sites")
+        rows = rows.join(said.select("class_path", "name", "singleton", F.col("tier").alias("declared_tier")), ["class_path", "name", "singleton"], "left")
+        # What is declared is never missing.
+        told = F.col("declared_tier").isNotNull() & (F.col("verdict") == resolve.NOT_FOUND)
+        return cut(rows.withColumn("verdict", F.when(told, resolve.INCONCLUSIVE).otherwise(F.col("verdict"))), "sites")
 
     def _answered(self) -> DataFrame:
         """(name, singleton): answered by every object, or every class object."""
@@ -343,11 +465,12 @@ class Program:
         added = self.methods.join(modules, "class_path", "left_semi").select("name", both).unionAll(self.anywhere.filter("kind = 'name'").select("name", both))
         return self.spark.createDataFrame(names_, "name string, singleton boolean").unionAll(top).unionAll(added).distinct().withColumn("__every", F.lit(True))
 
-    def _below(self) -> DataFrame:
-        """(class_path, name): some descendant answers, by itself or through what it mixes in."""
-        m = self.methods.filter("not singleton").select(F.col("class_path").alias("at"), "name").distinct()
+    def _below(self, asked: DataFrame) -> DataFrame:
+        """The ``asked`` (class_path, name) that some descendant answers, by itself or through what it mixes in."""
+        m = self.methods.filter("not singleton").select(F.col("class_path").alias("at"), "name").distinct().join(asked.select("name").distinct(), "name", "left_semi")
         has = self.mro.select("root", F.col("node").alias("at")).join(m, "at").select("root", "name").distinct()
-        return self.mro.filter("root <> node").join(has, "root").select(F.col("node").alias("class_path"), "name").distinct().withColumn("__below", F.lit(True))
+        under = self.mro.filter("root <> node").select("root", F.col("node").alias("class_path"))
+        return under.join(has, "root").join(asked, ["class_path", "name"], "left_semi").select("class_path", "name").distinct().withColumn("__below", F.lit(True))
 
     def _loose_below(self) -> DataFrame:
         """(class_path): classes with a descendant that is not closed."""
@@ -356,7 +479,7 @@ class Program:
     # -- diagnostics ------------------------------------------------------
     @cached_property
     def diagnostics(self) -> DataFrame:
-        """(path, line, column, start, end, code, severity, message, suggestion), in order within a file by (start, code)."""
+        """(path, line, column, start, end, code, severity, message, suggestion); a relation, so without an order: the reports sort by (path, start, code)."""
         from factloom.plans import diagnose
 
         return diagnose.all_of(self)

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """``spark.checkpoint.dir``; only a local session, as in tests, gets a folder of its own where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not have.isDefined():
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-shared-"))
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
     return have.get().rstrip("/")
@@ -22,11 +25,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write and read again as Parquet: later readers prune columns, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    log = Log(df.sparkSession, label)
+    log.append(df)
+    return log.frame()
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made here; only for tables nothing reads any more."""
+    for path in getattr(df, "_factloom_paths", ()):
+        sc = df.sparkSession.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Log:
+    """A table that grows by whole files: what is there is never written again."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self.paths, self.schema = spark, f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}", [], None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """Writes the rows and returns them as a table."""
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        self.schema = self.schema or df.schema
+        self.paths.append(path)
+        return self._read([path])
+
+    def frame(self) -> DataFrame:
+        return self._read(self.paths)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        out = reader(self.spark, self.base).schema(self.schema).parquet(*paths)
+        out._factloom_paths = list(paths)  # noqa: SLF001 - for drop()
+        return out
+
+
+def reader(spark: SparkSession, path: str):
+    """A reader for Parquet files; from a local file system without vectored reads, which keep a direct buffer in every thread that serves one."""
+    sc = spark.sparkContext
+    scheme = sc._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration()).getScheme()
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false") if scheme == "file" else spark.read
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return reader(spark, path).parquet(path)

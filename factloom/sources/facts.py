@@ -38,6 +38,8 @@ _OPAQUE = re.compile(r"^\s*(class|module)\s+((?:::)?[A-Z]\w*(?:::[A-Z]\w*)*)", r
 PLAIN_MACROS = frozenset("private public protected private_constant private_class_method public_class_method module_function attr_reader attr_writer attr_accessor include extend prepend require require_relative autoload freeze puts raise define_method alias_method".split())
 # Calls by which code gives a class more methods.
 DEFINERS = frozenset("include extend prepend define_method define_singleton_method attr_reader attr_writer attr_accessor class_eval module_eval class_exec module_exec instance_eval instance_exec alias_method delegate class_attribute mattr_accessor cattr_accessor".split())
+# Calls that define readers and writers on a class and its instances.
+ACCESSORS = frozenset("mattr_accessor mattr_reader mattr_writer cattr_accessor cattr_reader cattr_writer class_attribute thread_mattr_accessor".split())
 # Methods a module answers when it is mixed in; what they do to the host is not followed.
 HOOKS = frozenset("included extended prepended inherited method_added append_features extend_object".split())
 # Calls that make the locals of a scope unreadable.
@@ -83,7 +85,7 @@ class Walk:
                 self.value(node[5], env, Scope(nesting, class_path, True, self.path))
             elif kind == "call" and node[3] is None and class_path is not None:
                 visibility = self.macro(node, nesting, class_path, in_singleton, frag, env) or visibility
-            elif class_path is None or kind in ("literal", "const", "assign"):
+            elif class_path is None or kind in ("literal", "const", "assign", "massign"):
                 self.value(node, env, Scope(nesting, class_path, class_path is not None, self.path))
             else:
                 self.open(frag, "ClassBodyBlock")
@@ -124,7 +126,7 @@ class Walk:
                 self.method(node, nesting, path, False)
             elif kind in ("class", "module", "sclass", "def", "alias", "literal", "const") or (kind == "assign" and node[3][0] == "const"):
                 self.body([node], nesting, path) if kind != "def" else self.method(node, nesting, path, False)
-            elif kind == "assign":
+            elif kind in ("assign", "massign"):
                 self.value(node, env, Scope(nesting, path, True, self.path))
             else:
                 self.open(frag, "ClassBodyBlock")
@@ -159,6 +161,23 @@ class Walk:
                 if name != "attr_reader":
                     add(x + "=", 1)
             return None
+        if name in ACCESSORS and literal and not node[8].get("splat"):
+            # Options only take some of these away; what may be there is never accused.
+            for x in literal:
+                for n, req in ((x, 0), (x + "=", 1), *([(x + "?", 0)] if name == "class_attribute" else [])):
+                    for single in (False, True):
+                        self.add("methods", class_path, n, single or in_singleton, req, 0, False, True, False, [], [], None, None, *at)
+            scope = Scope(nesting, class_path, True, self.path)
+            for a in [*args, *node[8].get("extra", [])]:
+                self.value(a, env, scope)
+            return None
+        if name == "delegate" and literal and not node[8].get("splat"):
+            # With a prefix the names are others.
+            if re.search(r"\bprefix\b", self.text[node[1] : node[2]]):
+                self.open(frag, "UnknownClassBodyCall")
+            for x in literal:
+                add(x, 0, True, True)
+            return None
         if name == "define_method":
             if len(literal) < 1:
                 self.open(frag, "DynamicDefineMethod")
@@ -316,6 +335,61 @@ class Walk:
             self.add("ivars", scope.class_path, target[3], v if scope.instance and not scope.rebound else None)
         return v
 
+    def _massign(self, node, env, scope, at):
+        _, _, _, targets, values = node
+        got = [self.value(v, env, scope) for v in values]
+        plain = len(values) > 1 and all(v[0] != "splat" for v in values)
+        spread = next((k for k, t in enumerate(targets) if t[0] == "splat"), None)
+        for k, t in enumerate(targets):
+            v = None
+            if plain and (spread is None or k < spread):
+                v = got[k] if k < len(got) else self.atom("nil")
+            elif plain and k > spread and len(got) >= len(targets) - 1:
+                v = got[k - len(targets)]
+            self._bind(t, v, env, scope)
+        return self.atom("Array") if len(values) > 1 else got[0]
+
+    def _bind(self, target, v, env, scope) -> None:
+        """One target of a multiple assignment gets a type; what is taken apart further is unknown."""
+        kind = target[0]
+        if kind == "splat":
+            self._bind(target[3], self.atom("Array"), env, scope)
+        elif kind == "targets":
+            for t in target[3]:
+                self._bind(t, None, env, scope)
+        elif kind == "local" or kind == "call" and target[3] is None and not target[5] and not target[7]:
+            name = target[3] if kind == "local" else target[4]
+            env.set(name, v)
+            scope.writes.setdefault(name, []).append(v)
+        elif kind == "ivar":
+            if scope.class_path:
+                self.add("ivars", scope.class_path, target[3], v if scope.instance and not scope.rebound else None)
+        elif kind == "const":
+            self.add("consts", "::".join([*scope.nesting[-1:], target[3]]), None, scope.nesting, target[1])
+        elif kind == "call":
+            self._call(("call", target[1], target[2], target[3], target[4] + "=", [], target[6], None, {"splat": True}), env, scope, (target[1], target[2]))
+        elif kind == "index":
+            self._call(("call", target[1], target[2], target[3], "[]=", target[4], (target[2] - 1, target[2]), None, {"splat": True}), env, scope, (target[1], target[2]))
+
+    def _casein(self, node, env, scope, at):
+        """Patterns bind names and may narrow anything: from here on every local is unknown."""
+        _, _, _, subject, branches, other = node
+        if subject:
+            self.value(subject, env, scope)
+        for k in [*env.known, *(n for names, _, _ in branches for n in names)]:
+            env.set(k, None)
+        for _, guard, body in branches:
+            inner = env.copy()
+            if guard:
+                self.value(guard, inner, scope)
+            self.block_value(body, inner, scope)
+            self.join(env, [env.copy(), inner])
+        if other is not None:
+            inner = env.copy()
+            self.block_value(other, inner, scope)
+            self.join(env, [env.copy(), inner])
+        return None
+
     def _attrassign(self, node, env, scope, at):
         _, _, _, recv, name, right, span, op = node
         call = ("call", node[1], node[2], recv, name + "=", [right], span, None, {"splat": True} if op != "=" else {})
@@ -570,6 +644,7 @@ class Walk:
         return bisect.bisect_right(self.starts, offset) - 1
 
     def file(self, text: str) -> None:
+        self.text = text
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
         self.sigs: dict[int, tuple] = {}
         self.casts: dict[int, str] = {}
@@ -682,8 +757,27 @@ def _mentions(nodes, names) -> bool:
     return any(n[0] == "call" and n[4] in names for n in _nodes(nodes))
 
 
+def _locals(targets) -> set[str]:
+    """Locals that the targets of a multiple assignment bind."""
+    out = set()
+    for t in targets:
+        if t[0] in ("splat", "targets"):
+            out |= _locals(t[3] if t[0] == "targets" else [t[3]])
+        elif t[0] == "local" or t[0] == "call" and t[3] is None and not t[5]:
+            out.add(t[3] if t[0] == "local" else t[4])
+    return out
+
+
 def _assigned(nodes) -> set[str]:
-    return {n[3][3] for n in _nodes(nodes) if n[0] == "assign" and n[3][0] == "local"}
+    out = set()
+    for n in _nodes(nodes):
+        if n[0] == "assign" and n[3][0] == "local":
+            out.add(n[3][3])
+        elif n[0] == "massign":
+            out |= _locals(n[3])
+        elif n[0] == "casein":
+            out |= {x for names, _, _ in n[4] for x in names}
+    return out
 
 
 def extract(path: str, text: str | None) -> dict:

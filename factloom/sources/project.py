@@ -54,4 +54,6 @@ def program(files: DataFrame, **options):
     dump = declarations.structure_sql(of("structure_sql"))
     columns = schema.unionByName(dump.join(schema.select("table").distinct(), "table", "left_anti")).select("table", "column", "type")
     headers = declarations.rbi_headers(of("rbi")).filter("name <> ''").select("name").distinct()
+    if of("rbi").limit(1).count():
+        options.setdefault("rbi", of("rbi").select("path", "text"))
     return Program(files.filter("role in ('project', 'ignored')"), rbi_names=headers, schema=columns, **options)

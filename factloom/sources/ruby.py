@@ -293,10 +293,12 @@ class Parser:
         return self.expression()
 
     def expression(self):
+        if self.at("*", "(") and self._multiple(True):
+            return self._several([])
         left = self.ternary()
         k, text = self.t[self.i][:2]
-        if k == "op" and text == "," and left[0] in ("local", "ivar", "call", "const") and self._multiple():
-            raise Unsupported("multiple assignment")
+        if k == "op" and text == "," and left[0] in ("local", "ivar", "call", "const", "index", "gvar") and self._multiple():
+            return self._several([left])
         if k == "op" and (text == "=" or text in _ASSIGN):
             self.take()
             self.newlines()
@@ -316,23 +318,66 @@ class Parser:
 
     _inside = 0
 
-    def _multiple(self) -> bool:
+    def _multiple(self, start: bool = False) -> bool:
+        """Does a `=` outside all brackets follow on this line, after a comma or a splat?"""
         if self._inside:
             return False
-        j = self.i
-        depth = 0
+        j, depth, several = self.i, 0, False
         while self.t[j][0] not in ("nl", "eof"):
             k, x = self.t[j][:2]
             if k == "op":
                 depth += x in ("(", "[", "{")
                 depth -= x in (")", "]", "}")
                 if x == "=" and depth == 0:
-                    return True
-                if depth < 0:
+                    return several
+                if depth < 0 or x == ";" or x in _ASSIGN and depth == 0:
                     return False
+                several |= depth == 0 and (x == "," or x == "*" and j == self.i and start)
+            elif depth == 0 and k == "id" and x in RESERVED and x not in ("self", "nil", "true", "false"):
+                return False
             j += 1
         return False
 
+    def _several(self, targets: list):
+        """The targets of a multiple assignment after the first ones, and its values: ("massign", start, end, targets, values)."""
+        start = targets[0][1] if targets else self.t[self.i][2]
+        if targets:
+            self.need(",")
+        while not self.at("="):
+            targets.append(self._target())
+            if not self.eat(","):
+                break
+        self.need("=")
+        self.newlines()
+        values = []
+        while True:
+            if self.at("*"):
+                s = self.take()[2]
+                x = self.ternary()
+                values.append(("splat", s, x[2], x))
+            else:
+                values.append(self.ternary())
+            if not self.eat(","):
+                break
+            self.newlines()
+        return ("massign", start, values[-1][2], targets, values)
+
+    def _target(self):
+        s = self.t[self.i][2]
+        if self.eat("*"):
+            if self.at(",", "=", ")"):
+                return ("splat", s, s + 1, ("unknown", s, s, []))
+            x = self._target()
+            return ("splat", s, x[2], x)
+        if self.eat("("):
+            inner = [self._target()]
+            while self.eat(","):
+                if not self.at(")"):
+                    inner.append(self._target())
+            end = self.need(")")[3]
+            return ("targets", s, end, inner)
+        return self.postfix(self.primary())
+
     def _assign(self, left, op, right):
         start, end = left[1], right[2]
         kind = left[0]
@@ -818,7 +863,7 @@ class Parser:
         self.skip()
         whens, other = [], None
         if self.kw("in"):
-            raise Unsupported("pattern matching")
+            return self._patterns(s, subject)
         while self.kw("when"):
             self.take()
             conds = [self.ternary()]
@@ -832,6 +877,34 @@ class Parser:
             other = self.statements()
         return ("case", s, self._end(s), subject, whens, other)
 
+    def _patterns(self, s, subject):
+        """``case`` with patterns: ("casein", start, end, subject, branches, other), a branch being (bound names, guard, body)."""
+        branches, other = [], None
+        while self.kw("in"):
+            self.take()
+            names, depth, guard = [], 0, None
+            while True:
+                k, text = self.t[self.i][:2]
+                if k == "eof":
+                    raise Malformed(self.t[self.i][2], "expected `end`")
+                if depth == 0 and (k == "nl" or self.at(";") or self.kw("then", "if", "unless")):
+                    break
+                if k == "op":
+                    depth += text in ("(", "[", "{")
+                    depth -= text in (")", "]", "}")
+                elif k in ("id", "label") and text.rstrip(":") not in RESERVED:
+                    names.append(text.rstrip(":"))
+                self.take()
+            if self.kw("if", "unless"):
+                self.take()
+                guard = self.expression_statement()
+            self.eat("then")
+            branches.append((names, guard, self.statements()))
+        if self.kw("else"):
+            self.take()
+            other = self.statements()
+        return ("casein", s, self._end(s), subject, branches, other)
+
     def _path(self) -> tuple:
         name = ""
         if self.eat("::"):

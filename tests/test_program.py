@@ -230,8 +230,8 @@ def test_parser_proves_errors(text):
 
 def test_unsupported_files_are_opaque():
     with pytest.raises(Unsupported):
-        parse("a, b = 1, 2\n")
-    facts = extract("x.rb", "class A\n  a, b = 1, 2\n  def x; y; end\nend\n")
+        parse("x = a ? b : :c ? 1 : 2 => d\n")
+    facts = extract("x.rb", "class A\n  def x; y; end\n  v => {a:}\nend\n")
     assert [f["open_reason"] for f in facts["fragments"]] == ["Unparsed"] and not facts["errors"] and not facts["calls"]
 
 
