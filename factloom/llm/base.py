@@ -19,7 +19,19 @@ _BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execu
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's own readers touch the path."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return reader(spark, path).parquet(path)
+
+
+def reader(spark: SparkSession, path: str):
+    """A reader for Parquet files.
+
+    From a local file system vectored reads are turned off: each thread that serves one keeps a direct buffer as
+    large as the range it read, which for long texts is hundreds of MB beside the heap.
+    """
+    sc = spark.sparkContext
+    scheme = sc._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(sc._jsc.hadoopConfiguration()).getScheme()
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false") if scheme == "file" else spark.read
 
 
 def ship(spark: SparkSession) -> None:
@@ -78,7 +90,7 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = reader(spark, path).schema(df.schema).parquet(path)
     out._factloom_path = path  # noqa: SLF001 - for drop()
     return out
 
@@ -239,4 +251,4 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
-__all__ = ["Bloom", "Held", "claim", "column", "cut", "drop", "free", "held_out", "parts", "read_table", "share", "shared_dir", "sift", "ship", "tokenizer_path"]
+__all__ = ["Bloom", "Held", "claim", "column", "cut", "drop", "free", "held_out", "parts", "read_table", "reader", "share", "shared_dir", "sift", "ship", "tokenizer_path"]

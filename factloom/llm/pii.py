@@ -52,7 +52,7 @@ _CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"\w+")
-_KEYLIKE = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+_KEYLIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}")
 #: Bits of information (by its own symbol shares) that make an unbroken string a secret.
 SECRET_BITS = 64.0
 
@@ -228,7 +228,29 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _terms(text: str) -> set[str]:
-    return {w.lower() for w in set(_TERM.findall(text))}
+    """The lower-cased words.  Lower-casing the whole text first is the same but for two letters: one grows, one depends on what follows."""
+    if "\u0130" in text or "\u03a3" in text:
+        return {w.lower() for w in set(_TERM.findall(text))}
+    return set(_TERM.findall(text.lower()))
+
+
+class _Known:
+    """Which words a filter lets through, remembered for the words of a worker."""
+
+    MOST = 300_000
+
+    def __init__(self, bloom):
+        self.bloom, self.yes, self.no = bloom, set(), set()
+
+    def among(self, words: set[str]) -> set[str]:
+        new = words - self.no - self.yes
+        if new:
+            if len(self.no) + len(self.yes) > self.MOST:
+                self.yes, self.no, new = set(), set(), words
+            hit = {w for w in new if w in self.bloom}
+            self.yes |= hit
+            self.no |= new - hit
+        return words & self.yes
 
 
 def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISCLOSURE, doubt: float = DOUBT) -> DataFrame:
@@ -263,9 +285,9 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
     shared = base.share(spark, base.Bloom.of(pair.select("term").distinct(), "term"))
 
     def seen(batches):
-        candidates = shared.value
-        known: dict[str, bool] = {}
-        counts: dict[str, int] = {}
+        base.claim("pii")
+        known = _Known(shared.value)
+        counts: collections.Counter[str] = collections.Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
@@ -274,14 +296,7 @@ def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISC
 
         for b in batches:
             for t in b.column(0):
-                for w in _terms(t.as_py()):
-                    ok = known.get(w)
-                    if ok is None:
-                        if len(known) > 150_000:
-                            known.clear()
-                        ok = known[w] = w in candidates
-                    if ok:
-                        counts[w] = counts.get(w, 0) + 1
+                counts.update(known.among(_terms(t.as_py())))
             if len(counts) > 200_000:
                 yield flush()
         if counts:
@@ -314,20 +329,11 @@ def occurrences(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> Da
 
     def run(batches):
         base.claim("pii")
-        candidates = shared.value
-        known: dict[str, bool] = {}
+        known = _Known(shared.value)
         for b in batches:
             rows: list[tuple[str, str, int, int]] = []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hits = set()
-                for w in _terms(t):
-                    ok = known.get(w)
-                    if ok is None:
-                        if len(known) > 150_000:
-                            known.clear()
-                        ok = known[w] = w in candidates
-                    if ok:
-                        hits.add(w)
+                hits = known.among(_terms(t))
                 if hits:
                     spans = base_spans(t)
                     rows += [(key, w, s, e) for w, s, e in words_outside(t, spans + secrets(t, spans)) if w in hits]
