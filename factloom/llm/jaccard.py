@@ -241,23 +241,22 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     exchanges on both sides, which the engine splits where a node has very many neighbours.
     """
     e = base.cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
+    one, no = F.lit(1), F.lit(0)
     while True:
+        # A forest of stars is the end: no node has two roots, and none is both a child and a root.
+        ends = e.select("a", one.alias("up"), no.alias("down")).unionAll(e.select("b", no, one))
+        if not ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").limit(1).count():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = base.cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), label)
         # An edge goes from its greater end to its lesser one, so the greater ends of e are the neighbours above b.
-        large = base.cut(e.select(F.col("b").alias("a"), F.col("a").alias("c")).join(least, "a").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct(), label)
-        small = base.cut(large.groupBy("a").agg(F.min("b").alias("m")), label)
+        large = e.select(F.col("b").alias("a"), F.col("a").alias("c")).join(least, "a").select(F.col("c").alias("a"), F.col("m").alias("b"))
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         new = base.cut(star, label)
-        # A finished forest is one of stars: no node is both a child and a parent, and the edges stay.
-        now = tuple(new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first())
-        for old in (e, least, large, small):
-            base.drop(old)
+        base.drop(e)
+        base.drop(least)
         e = new
-        if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
 
 
 def _compare_block(rows: list[tuple]) -> list[tuple]:
