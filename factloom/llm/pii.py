@@ -188,12 +188,13 @@ def reveals(together: int, term_docs: int, entity_docs: int, total: int, window:
     return least < 1 and together > least * term_docs and chance(together, term_docs, least) <= doubt
 
 
-def words_outside(text: str, spans: list[tuple[str, int, int]]):
-    """(word, start, end) of the lower-cased words that no span touches."""
-    covered = _covered(text, spans)
+def words_outside(text: str, spans: list[tuple[str, int, int]], among: set[str] | None = None):
+    """(word, start, end) of the lower-cased words (of ``among``, where given) that no span touches."""
+    covered = _covered(text, spans) if spans else None
     for m in _TERM.finditer(text):
-        if not covered[m.start() : m.end()].any():
-            yield m.group().lower(), m.start(), m.end()
+        word = m.group().lower()
+        if (among is None or word in among) and (covered is None or not covered[m.start() : m.end()].any()):
+            yield word, m.start(), m.end()
 
 
 _LONGS, _STRINGS = T.ArrayType(T.LongType()), T.ArrayType(T.StringType())
@@ -336,7 +337,7 @@ def occurrences(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> Da
                 hits = known.among(_terms(t))
                 if hits:
                     spans = base_spans(t)
-                    rows += [(key, w, s, e) for w, s, e in words_outside(t, spans + secrets(t, spans)) if w in hits]
+                    rows += [(key, w, s, e) for w, s, e in words_outside(t, spans + secrets(t, spans), hits)]
             kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["key", "term", "s", "e"])
 
