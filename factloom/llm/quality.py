@@ -7,7 +7,8 @@ network minimises the non-negative unbiased risk
 
     pi E_P[loss(+)] + max(0, E_U[loss(-)] - pi E_P[loss(-)])
 
-with the ascent step of its authors where the second part is negative.
+with the ascent step of its authors where the second part is negative.  The risk alone decides:
+its boundary (logit 0) gets the score ``CUT``, all else follows by the same shift.
 
 Features come from whole texts: shares of character classes and of neighbouring
 class pairs, word and line statistics.  Null and empty texts have the zero vector
@@ -125,8 +126,8 @@ def train(p: np.ndarray, u: np.ndarray) -> Network:
     sp = np.concatenate([half[1 - k].logit(p[k::2]) for k in (0, 1)])
     su = np.concatenate([half[1 - k].logit(u[k::2]) for k in (0, 1)])
     model = _train(p, u, estimate_prior(sp, su), 7)
-    # The prior also says how many unlabelled texts are to be rejected: the cut at that quantile gets score CUT.
-    model.b2 = model.b2 - np.quantile(model.logit(u), 1 - model.prior) + np.log(CUT / (1 - CUT))
+    # Where the minimised risk is indifferent (logit 0), the score is to be CUT.
+    model.b2 = model.b2 + np.float32(np.log(CUT / (1 - CUT)))
     return model
 
 
