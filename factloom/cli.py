@@ -1,4 +1,11 @@
-"""Command line: ``python -m factloom.cli check ROOT [--format text|json] [--stats]``, ``definition`` and ``hover PATH:LINE:COLUMN``."""
+"""Command line: ``python -m factloom.cli check ROOT``, ``definition`` and ``hover ROOT PATH:LINE:COLUMN``.
+
+``check`` prints text, JSON lines, Markdown for agents (what the calls on untyped locals prove) or the
+census of calls on class objects (``dark``).  ``--core-inventory`` and ``--extensions`` name files of
+``Class#method`` lines: what core classes answer, and what libraries add to them.  The
+world is closed only where told, or where every locked gem is accounted for (``--gems``: a folder of
+installed gems as ``name-version``, next to the project's signature files).
+"""
 
 from __future__ import annotations
 
@@ -6,10 +13,11 @@ import argparse
 import re
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.plans import navigate, report
-from factloom.sources import project
+from factloom.sources import declarations, gems, project
 
 
 def location(arg: str) -> tuple[str, int, int] | None:
@@ -17,15 +25,44 @@ def location(arg: str) -> tuple[str, int, int] | None:
     return (m[1], int(m[2]), int(m[3])) if m and int(m[2]) and int(m[3]) else None
 
 
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(class, method) of a file of ``Class#method`` lines; comments and other lines are left out."""
+    line = r"^([A-Z][A-Za-z0-9_:]*)#(\S+)$"
+    rows = spark.read.text(path).filter(F.col("value").rlike(line))
+    return rows.select(F.regexp_extract("value", line, 1).alias("class"), F.regexp_extract("value", line, 2).alias("method"))
+
+
+def evidence(spark: SparkSession, files: DataFrame, gem_folder: str | None) -> tuple[bool, str]:
+    """Is every locked gem accounted for, and what says so?  Without a lock nothing is known, so the world stays open."""
+    locks = declarations.lock_entries(files.filter("role = 'lock'").select("path", "text"))
+    if not locks.limit(1).count():
+        return False, "no lock"
+    shape = r"(?:^|/)sorbet/rbi/gems/(.+)@([^@/]+)\.rbi$"
+    rbi = files.filter(F.col("path").rlike(shape)).select(F.regexp_extract("path", shape, 1).alias("gem"), F.regexp_extract("path", shape, 2).alias("version"))
+    installed = spark.createDataFrame([], "gem string, version string, native boolean")
+    if gem_folder:
+        name = r"([^/]+)-(\d[^-/]*)/"
+        paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(gem_folder).select("path")
+        found = paths.select(F.regexp_extract("path", name, 1).alias("gem"), F.regexp_extract("path", name, 2).alias("version"), F.col("path").rlike(r"(/ext/.*extconf\.rb|\.(so|bundle|c))$").alias("native"))
+        installed = found.filter("gem <> ''")
+    if not declarations.runtime_locked(locks).first()[0]:
+        return False, "the signature runtime is not locked"
+    row = gems.evidence(gems.accounting(locks, rbi, spark.createDataFrame([], "gem string"), installed)).first()
+    return bool(row.closed), row.reason or "every locked gem is accounted for"
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom", description=__doc__)
     parser.add_argument("command", choices=["check", "definition", "hover"])
     parser.add_argument("root")
     parser.add_argument("at", nargs="?")
-    parser.add_argument("--format", choices=["text", "json"], default="text")
+    parser.add_argument("--format", choices=["text", "json", "agent", "dark"], default="text")
     parser.add_argument("--ignore", action="append", default=[])
     parser.add_argument("--stats", action="store_true")
     parser.add_argument("--closed-world", action="store_true")
+    parser.add_argument("--core-inventory")
+    parser.add_argument("--extensions")
+    parser.add_argument("--gems")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     try:
@@ -33,7 +70,16 @@ def main(argv: list[str] | None = None) -> int:
     except FileNotFoundError as e:
         print(f"no such path: {e}", file=sys.stderr)
         return 2
-    program = project.program(files, closed_world=args.closed_world)
+    closed, why = (True, "as told") if args.closed_world else evidence(spark, files, args.gems)
+    hazards = gems.hazards(files.filter("role in ('ignored', 'rbi')").select("path", "text"))
+    if closed and not args.closed_world and hazards.limit(1).count():
+        closed, why = False, "a file that is not checked redefines type tests"
+    options = {"closed_world": closed}
+    if args.core_inventory:
+        options["core_inventory"] = inventory(spark, args.core_inventory)
+    if args.extensions:
+        options["extensions"] = inventory(spark, args.extensions)
+    program = project.program(files, **options)
     if args.command != "check":
         where = location(args.at or "")
         if not where:
@@ -44,11 +90,21 @@ def main(argv: list[str] | None = None) -> int:
         print(rows[0].asDict() if rows else "nothing known")
         return 0
     found = program.diagnostics
-    rows = report.json_lines(found) if args.format == "json" else report.text_lines(found, program.project).orderBy("path", "start", "code").select("text")
+    if args.format == "json":
+        rows = report.json_lines(found)
+    elif args.format == "agent":
+        rows = report.agent_blocks(program).orderBy("path", "start").select("text")
+    elif args.format == "dark":
+        rows = report.dark_lines(program)
+    else:
+        rows = report.text_lines(found, program.project).orderBy("path", "start", "code").select("text")
     for r in rows.toLocalIterator():
         print(r[0])
     if args.stats:
+        print(f"world: {'closed' if closed else 'open'} ({why})")
         report.census(program).orderBy("bucket", "reason").show(200, truncate=False)
+        report.blocked(program).filter("verdict = 'inconclusive'").groupBy("bucket").count().orderBy("bucket").show(20, truncate=False)
+        report.totals(program).show(truncate=False)
     return report.exit_status(found)
 
 

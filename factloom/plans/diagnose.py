@@ -147,7 +147,9 @@ def unresolved_constants(p) -> DataFrame:
     always = spark.createDataFrame([(x,) for x in [*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS]], "head string")
     rest = rest.withColumn("head", first).join(always, "head", "left_anti")
     # Inherited constants exist: innermost scope's ancestors.
-    inner = rest.withColumn("root", F.element_at(F.when(F.size("nesting") > 0, F.col("nesting")).otherwise(F.array(F.lit(""))), -1))
+    # A name from the root has no scope.
+    scope = F.element_at(F.when(F.size("nesting") > 0, F.col("nesting")).otherwise(F.array(F.lit(""))), -1)
+    inner = rest.withColumn("root", F.when(~F.col("name").startswith("::"), scope))
     through = inner.select("name", "nesting", "root", "bare").distinct().join(p.mro.select("root", "node"), "root").withColumn("candidate", text.join_path(F.col("node"), F.col("bare"))).join(p.known.select(F.col("name").alias("candidate")), "candidate", "left_semi")
     rest = inner.join(through.select("name", "nesting").distinct(), ["name", "nesting"], "left_anti")
     # A scope whose ancestry is not closed may have it.

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from factloom.functions import core
 from factloom.functions import names as text
 from factloom.operators import resolve
-from factloom.plans.tables import Log, cut, drop
+from factloom.plans.tables import Log, cut, drop, together
 from factloom.sources import facts as source_facts
 
 UNTYPED = "untyped"
@@ -164,7 +164,7 @@ class Program:
         edges = edges.unionAll(ranked.filter("kind = 'prepend'").select("node", (F.col("r") - 1_000_000).cast("long"), "class_path"))
         edges = edges.unionAll(parents.filter("class_path is not null and class_path <> node").groupBy("node").agg(F.min("class_path").alias("c")).select("node", F.lit(1_000_000).cast("long"), "c"))
         extends = ranked.filter("kind = 'extend'").select("node", F.col("r").cast("long").alias("ord"), F.col("class_path").alias("target"))
-        return cut(edges.distinct(), "edges"), cut(extends.distinct(), "extends"), cut(unknown, "unknown")
+        return tuple(together(lambda: cut(edges.distinct(), "edges"), lambda: cut(extends.distinct(), "extends"), lambda: cut(unknown, "unknown")))
 
     def _order(self, edges: DataFrame) -> DataFrame:
         """(root, node, rank): all that is reached over the edges, in the order in which methods are looked up.
@@ -201,7 +201,9 @@ class Program:
 
     @cached_property
     def chain(self) -> DataFrame:
-        """Superclasses only: where class-level methods are looked up."""
+        """Superclasses only: where class-level methods are looked up; without a mixin that is the whole order."""
+        if not self._direct[0].filter("slot <> 1000000").limit(1).count():
+            return self.mro
         return self._order(self._direct[0].filter("slot = 1000000"))
 
     @cached_property
@@ -218,6 +220,26 @@ class Program:
         bad = cyclic.unionAll(self._direct[2]).unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct()
         return cut(self.mro.join(bad.select("node"), "node", "left_semi").select(F.col("root").alias("class_path")).distinct(), "incomplete")
 
+    @cached_property
+    def blockers(self) -> DataFrame:
+        """(class_path, reason): the first thing in look-up order that keeps the ancestry open; an abstract method is the weakest reason."""
+        frag = self.table("fragments")
+        why = frag.filter("open_reason is not null").select(F.col("class_path").alias("node"), F.col("open_reason").alias("reason"))
+        why = why.unionAll(self._direct[2].select("node", F.lit("Unresolved")))
+        if self.surfaces is not None:
+            # An unresolved name that a declaration knows is declared, not unresolved.
+            known = self.surfaces.constants.select(F.col("name").alias("host"))
+            spelt = self.hosts.join(known, "host", "left_semi").select(F.col("class_path").alias("node")).distinct()
+            why = why.join(spelt.withColumn("__told", F.lit(True)), "node", "left").select("node", F.when((F.col("reason") == "Unresolved") & F.col("__told"), "Declared").otherwise(F.col("reason")).alias("reason"))
+        if self.evidence is not None:
+            why = why.unionAll(source_facts.table(self.evidence, "fragments").select(F.col("class_path").alias("node"), F.lit("IgnoredReopening")))
+        outside = F.substring_index("node", "::", 1).isin(*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS)
+        why = why.unionAll(self.classes.select(F.col("class_path").alias("node")).filter(outside).select("node", F.lit("ReopenedExternal")))
+        why = why.unionAll(self.to_class(self.anywhere.filter("kind = 'open'")).select(F.col("class_path").alias("node"), F.lit("EvalOrSend")))
+        rows = self.mro.join(why.distinct(), "node").select(F.col("root").alias("class_path"), (F.col("reason") == "AbstractRaise").alias("weak"), "rank", "reason")
+        first = resolve.first_by_rank(rows, ["class_path"], ["weak", "rank", "reason"]).select("class_path", "reason")
+        return cut(first.join(self.incomplete, "class_path", "left_semi"), "blockers")
+
     # -- methods ----------------------------------------------------------
     @cached_property
     def methods(self) -> DataFrame:
@@ -290,7 +312,7 @@ class Program:
             parts.append(self.surfaces.answers(want, self.hosts).select("class_path", "name", "singleton", "tier", "result"))
         if self.records is not None:
             api = self.records.select(F.col("method").alias("name"), "singleton").distinct()
-            parts.append(want.join(self.record_classes, "class_path", "left_semi").join(api, ["name", "singleton"], "left_semi").select("class_path", "name", "singleton", F.lit(2), F.lit(None).cast("string")))
+            parts.append(want.join(self.record_classes, "class_path", "left_semi").join(api, ["name", "singleton"], "left_semi").select("class_path", "name", "singleton", F.lit(2).alias("tier"), F.lit(None).cast("string").alias("result")))
         if not parts:
             return None
         rows = parts[0] if len(parts) == 1 else parts[0].unionAll(parts[1])
@@ -300,7 +322,8 @@ class Program:
     @cached_property
     def types(self) -> DataFrame:
         """(id, type): canonical members joined by `` | ``; what stays unresolved is unknown."""
-        e = cut(self.table("exprs").drop("path"), "exprs")
+        self._prepare()
+        e = self._exprs
         core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string")
         # Declared types: each member is a core name, or a class of the project, or unknown.
         declared = e.filter("op = 'declared'").select("id", "nesting", F.explode(F.split("name", " \\| ")).alias("name"))
@@ -316,11 +339,12 @@ class Program:
         ivars = e.filter("op = 'ivar'").select("id", "op", "name").withColumn("class_path", F.substring_index("name", "@", 1)).join(closed, "class_path", "left_semi").join(writes, "name").select("id", "op", "name", "operands")
         # Never written here, or of a class that may be written to elsewhere: unknown, and known to be.
         values = values.unionAll(e.filter("op = 'ivar'").select("id").join(ivars.select("id"), "id", "left_anti").select("id", F.lit(UNTYPED)))
-        pending = cut(e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call')").select("id", "op", "name", "operands").unionAll(ivars), "pending")
+        waiting = e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call')").select("id", "op", "name", "operands").unionAll(ivars)
         log = Log(self.spark, "values")
-        log.append(values.withColumn("of", F.lit(None).cast("string")))
+        first = values.withColumn("of", F.lit(None).cast("string"))
+        pending, _ = together(lambda: cut(waiting, "pending"), lambda: log.append(first))
         told = lambda: log.frame().filter("type is not null").select("id", "type")
-        result, alias, left, spare = self._results(), None, 0, 0
+        result, alias, left, spare = self._results, None, 0, 0
         while True:
             # New values are only added; a call that is known to be another expression follows it by doubling.
             new = log.append(self._round(pending, told(), result, alias))
@@ -344,6 +368,19 @@ class Program:
         rest = pending.select("id") if alias is None else pending.select("id").unionAll(alias.select("id"))
         return cut(told().unionAll(rest.select("id", F.lit(UNTYPED))), "types")
 
+    @cached_property
+    def _exprs(self) -> DataFrame:
+        return cut(self.table("exprs").drop("path"), "exprs")
+
+    def _prepare(self) -> None:
+        """What types and look-ups need, side by side where neither needs the other."""
+        together(lambda: self.facts, lambda: self.evidence)
+        together(lambda: self.classes, lambda: self.anywhere, lambda: self._exprs)
+        together(lambda: self.methods, lambda: self._direct)
+        together(lambda: self.mro, lambda: self._results)
+        together(lambda: self.chain, lambda: self.incomplete)
+
+    @cached_property
     def _results(self) -> DataFrame:
         """(method, declared, ret): what a method's result is known by."""
         m = self.methods.select("method", "declared", "ret", "nesting", "class_path")

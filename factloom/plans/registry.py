@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names
 from factloom.operators import drift, lattice, resolve, sequence
-from factloom.plans import corpus
+from factloom.plans import corpus, declared, shop
 from factloom.plans.tables import read
 
-QUERIES: dict = dict(corpus.QUERIES)
-ORACLES: dict[str, str] = dict(corpus.ORACLES)
+QUERIES: dict = corpus.QUERIES | shop.QUERIES | declared.QUERIES
+ORACLES: dict[str, str] = corpus.ORACLES | shop.ORACLES | declared.ORACLES
 FLAGSHIP = "census_rollup"
 
 

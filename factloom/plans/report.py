@@ -46,6 +46,39 @@ def buckets(program) -> DataFrame:
     return program.sites.select("path", verdict.alias("bucket"), F.coalesce(why, F.lit("-")).alias("reason"))
 
 
+# The buckets of what opens an ancestry.
+BUCKETS = {
+    "unresolved": "Unresolved",
+    "declared": "Declared",
+    "dsl": "UnknownClassBodyCall",
+    "block": "ClassBodyBlock BlockNestedDefinition",
+    "meta": "DynamicSuperclass DynamicMixinReceiver DynamicMixinArg DynamicAttrArg DynamicDefineMethod DynamicAliasMethod EvalOrSend SingletonClassExpr NestedDefOwner StringSourceDefined",
+    "missing": "MethodMissing AbstractRaise",
+}
+
+
+def bucket_of(reason) -> F.Column:
+    out = F.when(reason.isNull(), "na")
+    for bucket, reasons in BUCKETS.items():
+        out = out.when(reason.isin(*reasons.split()), bucket)
+    return out.otherwise("other")
+
+
+def blocked(program) -> DataFrame:
+    """Calls whose look-up ended in a class of the project, with what keeps its ancestry open (null: nothing) and its bucket."""
+    rows = program.sites.filter(F.col("verdict").isin("inconclusive", "not_found") & F.col("is_module").isNotNull())
+    got = rows.select("path", "start", "class_path", "name", "singleton", "verdict").join(program.blockers, "class_path", "left")
+    got = got.join(program.record_classes.withColumn("record", F.lit(True)), "class_path", "left")
+    # Of classes that only declarations know, those that a record's own methods do not answer.
+    return got.withColumn("bucket", bucket_of(F.col("reason"))).withColumn("not_record_api", F.coalesce("record", F.lit(False)) & (F.col("reason") == "Declared")).drop("record")
+
+
+def totals(program) -> DataFrame:
+    """One row: calls in all buckets, and the blind ones (undecided, or of an unknown receiver)."""
+    rows = buckets(program)
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("bucket").isin("inconclusive", "unknown")).alias("blind")).withColumn("blind_share", F.round(lattice.percent(F.col("blind"), F.col("total")), 2))
+
+
 def census(program) -> DataFrame:
     """Counts by bucket and reason with their subtotals, and each one's share of its parent."""
     rows = lattice.census(buckets(program), ["bucket", "reason"])
@@ -60,7 +93,21 @@ def dark(program) -> DataFrame:
     """Calls on class objects: would they be accused, and if not, why not?"""
     rows = program.sites.filter(F.col("recv_type").startswith("Class["))
     verdict = F.when(F.col("verdict") == "not_found", "closed_notfound").when(F.col("verdict") == "found", "known_tail").otherwise("open")
-    return rows.select("path", "start", F.col("class_path").alias("receiver"), F.col("name").alias("method"), verdict.alias("verdict"))
+    rows = rows.select("path", "start", F.col("class_path").alias("receiver"), F.col("name").alias("method"), verdict.alias("verdict"))
+    why = program.blockers.select(F.col("class_path").alias("receiver"), "reason")
+    return rows.join(why, "receiver", "left").select("path", "start", "receiver", "method", "verdict", F.when(F.col("verdict") == "open", F.col("reason")).alias("reason"))
+
+
+def dark_lines(program) -> DataFrame:
+    """One JSON object for each call on a class object, with its place."""
+    from factloom.plans import diagnose
+
+    rows = dark(program)
+    spots = rows.select("path", "start", F.col("start").alias("end"), F.lit("").alias("code"), F.lit("").alias("severity"), F.lit("").alias("message"), F.lit(None).cast("string").alias("suggestion")).distinct()
+    placed = diagnose.located(spots, program.project).select("path", "start", "line", "column")
+    byte = F.octet_length(F.substring("__t", F.lit(1), F.col("start").cast("int")))
+    got = rows.join(placed, ["path", "start"]).join(program.project.select("path", F.col("text").alias("__t")), "path").withColumn("byte", byte)
+    return got.orderBy("path", "start", "method").select(F.to_json(F.struct(F.col("path").alias("file"), "line", "column", "byte", "receiver", "method", "verdict", "reason")).alias("value"))
 
 
 def dark_summary(program, k: int = 12) -> DataFrame:

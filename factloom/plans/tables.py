@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,12 +32,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return log.frame()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made here; only for tables nothing reads any more."""
     for path in getattr(df, "_factloom_paths", ()):
-        sc = df.sparkSession.sparkContext
-        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+        drop_path(df.sparkSession, path)
+
+
+def together(*jobs):
+    """The results of independent jobs, run at the same time: each is small for a cluster, and most of its time is latency."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
 
 
 class Log:

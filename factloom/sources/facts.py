@@ -803,7 +803,12 @@ def facts(sources: DataFrame) -> DataFrame:
             for lo in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[lo : lo + 500], schema=arrow)
 
-    return sources.select("path", "text").mapInArrow(run, SCHEMA)
+    rows = sources.select("path", "text")
+    # Reading a file takes far longer than moving it: a source in fewer parts than the cluster has cores is dealt out.
+    cores = sources.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def table(all_facts: DataFrame, name: str) -> DataFrame:
