@@ -319,3 +319,98 @@ def test_core_arity(spark):
     assert sorted((r.line, r.message) for r in p.diagnostics.collect()) == [(3, "`length` expects 0 arguments, got 1"), (4, "`join` expects 0 to 1 arguments, got 2")]
     again = Program(spark.createDataFrame([("s.rb", text), ("t.rb", "class String\n  def length(x = 1); end\nend\n")], "path string, text string"))
     assert [r.line for r in again.diagnostics.collect()] == [4]
+
+
+# -- no bounds ----------------------------------------------------------------
+def found(spark, *texts, **options):
+    p = Program(spark.createDataFrame([(f"f{i}.rb", t) for i, t in enumerate(texts)], "path string, text string"), **options)
+    return p, sorted((r.code, r.message, r.suggestion) for r in p.diagnostics.collect())
+
+
+def test_long_chains_of_classes_and_methods(spark):
+    """Neither the depth of an ancestry nor the length of a chain of calls is bounded."""
+    classes = "class A0\n  def ping; end\nend\n" + "".join(f"class A{i} < A{i - 1}; end\n" for i in range(1, 70)) + "class User\n  def run\n    A69.new.ping\n    A69.new.pong\n  end\nend\n"
+    p, got = found(spark, classes)
+    assert got == [("E0101", "undefined method `pong` for `A69`", "ping")]
+    assert p.mro.filter("root = 'A69'").count() == 70
+    methods = "class Deep\n" + "".join(f"  def m{i}; m{i + 1}; end\n" for i in range(400)) + '  def m400; "x"; end\n  def run\n    m0.nope\n    m390.nope\n  end\nend\n'
+    _, got = found(spark, methods, closed_world=True, core_inventory=spark.createDataFrame([("String", "upcase")], "class string, method string"))
+    assert got == [("E0101", "undefined method `nope` for `String`", None)] * 2
+
+
+def test_cycles_end(spark):
+    p, got = found(spark, "class A < B\n  def x; y; end\n  def y; x; end\n  def run; x.anything; nothing; end\nend\nclass B < A; end\nK = L\nL = K\n")
+    assert got == []
+
+
+def test_lookup_order(spark):
+    """Prepended modules, the class, included modules (the last first, each with its own), the superclass; a shared ancestor once."""
+    text = "module P; end\nmodule Q\n  include P\nend\nmodule R\n  include P\nend\nmodule W; end\nclass Top\n  include P\nend\nclass C < Top\n  include Q\n  include R\n  prepend W\nend\n"
+    p = Program(spark.createDataFrame([("a.rb", text)], "path string, text string"))
+    got = [r.node for r in p.mro.filter("root = 'C'").orderBy("rank").collect()]
+    assert got == ["W", "C", "R", "P", "Q", "Top"]
+
+
+def test_many_ways_between_classes(spark):
+    """Diamonds of modules: a pair of classes is one row however many ways join them."""
+    text = "module M0; end\n" + "".join(f"module A{i}\n  include M{i}\nend\nmodule B{i}\n  include M{i}\nend\nmodule M{i + 1}\n  include A{i}\n  include B{i}\nend\n" for i in range(18))
+    p = Program(spark.createDataFrame([("a.rb", text)], "path string, text string"))
+    assert p.mro.filter("root = 'M18'").count() == 55
+
+
+# -- core classes, declarations -----------------------------------------------
+CORE = [("String", m) for m in ("upcase", "size", "reverse")] + [("Integer", m) for m in ("+", "succ")] + [("NilClass", "to_a")]
+
+
+def test_core_receivers(spark):
+    inventory = spark.createDataFrame(CORE, "class string, method string")
+    text = 'class U\n  def run(x)\n    "a".upcasee\n    "a".blank?\n    1.succ\n    if x.is_a?(String)\n      x.rev\n    end\n    [].anything\n  end\nend\n'
+    assert found(spark, text)[1] == [] and found(spark, text, closed_world=True)[1] == []
+    options = {"closed_world": True, "core_inventory": inventory}
+    assert [m for _, m, _ in found(spark, text, **options)[1]] == ["undefined method `blank?` for `String`", "undefined method `rev` for `String`", "undefined method `upcasee` for `String`"]
+    # What a library adds, and what the project or a declaration may add, is never missing.
+    added = spark.createDataFrame([("Object", "blank?")], "class string, method string")
+    assert len(found(spark, text, extensions=added, **options)[1]) == 2
+    assert found(spark, text, "class String\n  def other; end\nend\n", **options)[1] == []
+    assert found(spark, text, "module Kernel\nend\n", **options)[1] == []
+    rbi = spark.createDataFrame([("sorbet/rbi/gems/x.rbi", "class String\n  def rev; end\n  def blank?; end\nend\n")], "path string, text string")
+    assert [m for _, m, _ in found(spark, text, rbi=rbi, **options)[1]] == ["undefined method `upcasee` for `String`"]
+    hazard = spark.createDataFrame([("sorbet/rbi/gems/x.rbi", "class Odd\n  def is_a?(x); end\nend\n")], "path string, text string")
+    assert len(found(spark, text, rbi=hazard, **options)[1]) == 2  # only the literals are what they seem
+
+
+def test_declared_methods(spark):
+    text = "class Page < Lib::Base\n  def run\n    title.nope\n    made.nope\n    absent\n    Page.listing\n    Page.find(1)\n  end\nend\nclass Plain\n  def run\n    made\n  end\nend\n"
+    rbi = [("sorbet/rbi/gems/lib.rbi", "module Lib\n  class Root\n    sig { returns(String) }\n    def title; end\n  end\n  module List\n    def listing; end\n  end\n  class Base < Root\n    extend List\n  end\nend\n"), ("sorbet/rbi/dsl/page.rbi", "class Plain\n  def made; end\nend\nclass Page\n  sig { returns(Integer) }\n  def made; end\nend\n")]
+    p, got = found(spark, text, rbi=spark.createDataFrame(rbi, "path string, text string"), records=spark.createDataFrame([("find", True)], "method string, singleton boolean"))
+    assert got == []
+    sites = {(r.class_path, r.name): (r.verdict, r.declared_tier) for r in p.sites.collect() if r.name not in ("nope",)}
+    assert sites["Page", "title"] == ("inconclusive", 1) and sites["Page", "made"] == ("inconclusive", 0) and sites["Plain", "made"] == ("inconclusive", 0)
+    assert sites["Page", "absent"] == ("inconclusive", None) and sites["Page", "listing"] == ("inconclusive", 1)
+    assert {r.recv_type for r in p.sites.filter("name = 'nope'").collect()} == {"String", "Integer"}
+    record, _ = found(spark, "class Row < ActiveRecord::Base\n  def run; Row.find(1); end\nend\n", records=spark.createDataFrame([("find", True)], "method string, singleton boolean"))
+    assert [r.declared_tier for r in record.sites.filter("name = 'find'").collect()] == [2]
+
+
+def test_reasons_of_open_classes(spark):
+    p, _ = found(spark, "class A\n  macro :x\nend\nclass B < A\n  def run; go; end\nend\nclass C < Nowhere\n  def run; go; end\nend\nclass D\n  def run; go; end\nend\nclass String\n  def run; go; end\nend\n")
+    got = {r.class_path: (r.reason, r.bucket) for r in report.blocked(p).filter("name = 'go'").collect()}
+    assert got == {"B": ("UnknownClassBodyCall", "dsl"), "C": ("Unresolved", "unresolved"), "D": (None, "na"), "String": ("ReopenedExternal", "other")}
+    one = report.totals(p).first()
+    assert (one.total, one.blind) == (p.sites.count(), p.sites.filter("verdict in ('inconclusive', 'unknown')").count())
+
+
+# -- more of the language -----------------------------------------------------
+def test_multiple_assignment(spark):
+    text = 'class Tool\n  def run(list)\n    a, b = 1, "x"\n    a + "y"\n    b + 1\n    c, (d, *e), @f = list\n    c.zzz\n    first, *rest = 1, 2, 3\n    rest.size(1)\n    g = h = nil\n    x, y = y, x\n  end\nend\n'
+    assert [m for _, m, _ in found(spark, text)[1]] == ["`size` expects 0 arguments, got 1", "`+` on Integer expects a numeric operand, got String", "`+` on String expects String, got Integer"]
+
+
+def test_patterns_make_locals_unknown(spark):
+    text = "class Tool\n  def run(x)\n    n = 1\n    case x\n    in {name: String => n, age:} if age.zzz\n      n + 'a'\n    in [Integer, *rest] then rest\n    else\n      Nowhere\n    end\n    n + 'a'\n  end\n\n  def other\n    1 + 'a'\n  end\nend\n"
+    assert [c for c, _, _ in found(spark, text)[1]] == ["E0104", "E0108"]
+
+
+def test_accessor_macros(spark):
+    text = "class Tool\n  mattr_accessor :level, default: 1\n  class_attribute :kind\n  delegate :name, to: :owner\n  def owner; end\n  def run\n    level\n    kind?\n    name(1, 2)\n    Tool.level = 2\n    levell\n  end\nend\n"
+    assert found(spark, text)[1] == [("E0101", "undefined method `levell` for `Tool`", "level")]

@@ -5,8 +5,8 @@ import json
 from factloom.streaming import editor
 
 
-def message(seq, kind, path=None, version=None, text=None, request=None):
-    return {"seq": seq, "kind": kind, "path": path, "version": version, "text": text, "request_id": request}
+def message(seq, kind, path=None, version=None, text=None, request=None, line=None, character=None):
+    return {"seq": seq, "kind": kind, "path": path, "version": version, "text": text, "request_id": request, "line": line, "character": character}
 
 
 def frame(spark, rows):
@@ -40,3 +40,24 @@ def test_session_publishes_each_revision(spark, tmp_path):
     query = editor.run(spark, str(folder), str(tmp_path / "ck"), lambda b, rows: seen.extend(r.code for r in rows.collect()))
     query.awaitTermination(120)
     assert seen == ["E0101"]
+
+
+def test_session_goes_on_and_answers(spark):
+    """A new session of the same name finds the state of the batch before; requests see the newest texts."""
+    text = "class A\n  def x(n)\n    A.new.x(1)\n    missing\n  end\nend\n"
+    out, got = [], []
+    publish = lambda batch, rows: out.append({(r.path, r.code) for r in rows.collect()})
+    editor.Session(spark, None, publish, name="again")(frame(spark, [message(1, "open", "/p/a.rb", 1, text), message(2, "open", "/q/b.rb", 1, text)]), 0)
+    later = editor.Session(spark, None, publish, lambda batch, rows: got.extend(rows.collect()), name="again", root="/p")
+    asked = [message(3, "definition", "/p/a.rb", request="1", line=2, character=10), message(4, "hover", "/p/a.rb", request="2", line=2, character=6), message(5, "diagnostics", "/p/./a.rb", request="3"), message(6, "hover", "/p/a.rb", request="4", line=2, character=6), message(7, "cancel", request="4"), message(8, "open", "/p/../q/c.rb", 1, "class C; end")]
+    later(frame(spark, asked), 1)
+    assert out[0] == {("/p/a.rb", "E0101"), ("/q/b.rb", "E0101")} and ("/p/a.rb", "E0101") in out[1] and not any("c.rb" in p for p, _ in out[1])
+    by = {r.request_id: r.answer for r in got}
+    assert by["1"].endswith("A#x") and by["2"] == "A" and set(by) == {"1", "2", "3"}
+
+
+def test_normal_paths(spark):
+    rows = ["/a/./b//c", "/a/../../b", "a/../b/", "/", "../x"]
+    df = spark.createDataFrame([(x,) for x in rows], "p string")
+    got = df.select(editor.normal_path(df["p"]).alias("n"), editor.contained(df["p"], "/a/").alias("c")).collect()
+    assert [(r.n, r.c) for r in got] == [("/a/b/c", True), ("/b", False), ("b", False), ("/", False), ("x", False)]
