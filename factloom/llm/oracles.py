@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import base, licenses, tokens
+from factloom.llm import base, centroids, licenses, tokens
 from factloom.llm.pieces import PieceModel
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -164,6 +164,36 @@ FROM docs LEFT JOIN found f USING (path) LEFT JOIN nearest ON dir = regexp_repla
 """
 
 
+OP12 = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM docs),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM parts
+"""
+
+
+def op13(rounds: int = centroids.ROUNDS) -> str:
+    """Every vector against every centroid, in whole numbers."""
+    nearest = """dist{r} AS (SELECT v.i, c.k, sum((v.x - c.x) * (v.x - c.x)) AS q FROM parts v JOIN cent{r} c USING (d) GROUP BY 1, 2),
+near{r} AS MATERIALIZED (SELECT i, arg_min(k, (q, k)) AS k, min(q) AS q FROM dist{r} GROUP BY i)"""
+    mean = """cent{n} AS MATERIALIZED (SELECT c.k, c.d, coalesce(m.x, c.x) AS x FROM cent{r} c LEFT JOIN (SELECT k, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x
+  FROM near{r} JOIN parts USING (i) GROUP BY k, d) m ON m.k = c.k AND m.d = c.d)"""
+    steps = ",\n".join(nearest.format(r=r) + ",\n" + mean.format(r=r, n=r + 1) for r in range(rounds)) + ",\n" + nearest.format(r=rounds)
+    return f"""
+WITH vecs AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * {centroids.SCALE}) AS BIGINT)) AS v, sha256('{centroids.SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h
+  FROM embeddings WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {centroids.DIMENSIONS}),
+parts AS MATERIALIZED (SELECT i, unnest(range({centroids.DIMENSIONS})) AS d, unnest(v) AS x FROM vecs),
+cent0 AS MATERIALIZED (SELECT k, unnest(range({centroids.DIMENSIONS})) AS d, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v FROM vecs) WHERE k < {centroids.CENTROIDS}),
+{steps},
+named AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM cent{rounds} GROUP BY k)
+SELECT vec_id, CAST(k AS INT) AS cluster, CAST(q AS BIGINT) AS distance, CAST(sum(q) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(q) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM near{rounds} JOIN vecs USING (i) JOIN named USING (k)
+"""
+
+
 def all_of(pieces: str) -> dict[str, str]:
     path = base.tokenizer_path(pieces)
-    return {"op1_pii": OP1, "op4_licenses": op4(), "op6_ngram_jaccard": OP6, "op7_token_counts": op7(path), "op8_pieces": op8(path), "op10_decontaminate": OP10}
+    return {"op1_pii": OP1, "op4_licenses": op4(), "op6_ngram_jaccard": OP6, "op7_token_counts": op7(path), "op8_pieces": op8(path), "op10_decontaminate": OP10, "op12_infill": OP12, "op13_centroids": op13()}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import base, decontaminate, jaccard, language, licenses, pieces, pii, quality, simhash, tokens, toxicity
+from factloom.llm import base, centroids, decontaminate, infill, jaccard, language, licenses, packing, pieces, pii, quality, simhash, tokens, toxicity
 
 PIECES = "piece_bpe_32k.model"
+WORDS = "word_bpe_49k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs.select("doc_id", "text"), items))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op4_licenses, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(base.read_table(spark, sf_dir, "documents").select("doc_id", "text"), base.tokenizer_path(WORDS))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.transform(base.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(base.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality, op3_simhash, op4_licenses, op5_toxicity, op6_ngram_jaccard, op7_token_counts, op8_pieces, op9_language, op10_decontaminate, op11_packing, op12_infill, op13_centroids)}
 
 
 def oracles() -> dict[str, str]:

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"op11_packing", "op13_centroids"}))
 def test_every_document_once(spark, name):
     got = registry.QUERIES[name](spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -129,7 +129,7 @@ def test_sql_of_the_queries(spark):
     """The SQL says what the queries say, on the smallest tables."""
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in registry.oracles().items():
         want = con.execute(sql)
