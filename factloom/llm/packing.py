@@ -36,6 +36,8 @@ from factloom.llm import base
 MOST, END = 2048, 1
 #: Entries and characters of a worker's word cache, and the longest word in it.
 CACHE, CACHE_CHARS, CACHED = 200_000, 4 << 20, 100
+#: Characters encoded at a time.
+STRETCH = 1 << 20
 #: A word of more letters goes to the library, whose merges do not slow down with its length.
 LONG = 200
 #: Tasks in a block of the numbering.
@@ -116,26 +118,32 @@ class WordBpe:
         """Ids of a text, a stretch at a time."""
         out, lo = [], 0
         while lo < len(text):
-            hi = lo + (1 << 20)
+            hi = lo + STRETCH
             if hi < len(text):  # to the next space
                 at = text.find(" ", hi)
                 hi = len(text) if at < 0 else at
-            out.append(self._stretch(text[lo:hi]))
+            out += self._stretches([text[lo:hi]])
             lo = hi
         return b"".join(out)
 
-    def _stretch(self, text: str) -> bytes:
-        words, cache = text.replace("\n", " ").split(" "), self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts; the new words of short ones are encoded together."""
+        if sum(map(len, texts)) <= STRETCH:
+            return self._stretches(texts)
+        return [self.text(t) for t in texts]
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        cut, cache = [t.replace("\n", " ").split(" ") for t in texts], self.cache
+        new = list(set().union(*cut).difference(cache))
         size = sum(map(len, new))
         if new and (len(cache) + len(new) > CACHE or self.chars + size > CACHE_CHARS):
             cache.clear()
-            self.chars, new = 0, list(dict.fromkeys(words))
+            self.chars, new = 0, list(set().union(*cut))
             size = sum(map(len, new))
         if new:
             cache.update(zip(new, self.words(new), strict=True))
             self.chars += size
-        out = b"".join(map(cache.__getitem__, words))
+        out = [b"".join(map(cache.__getitem__, words)) for words in cut]
         for w in new:
             if len(w) > CACHED:
                 del cache[w]
@@ -188,8 +196,8 @@ def pack(docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 row, rows, ids = [], [], []
-                for i, t in enumerate(part.column(at)):
-                    raw = memoryview(bpe.text(t.as_py() or "") + last)
+                for i, raw in enumerate(bpe.texts([t or "" for t in part.column(at).to_pylist()])):
+                    raw = memoryview(raw + last)
                     tokens, start = len(raw) // 4, 0
                     for n in lengths(tokens, most):
                         piece = raw[4 * start : 4 * (start + n)]
