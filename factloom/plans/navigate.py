@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import terms
+
 
 def offsets(positions: DataFrame, sources: DataFrame) -> DataFrame:
     """``offset`` (characters) of (path, line, column), both from 1, columns in UTF-16 units; clamped to the line."""
@@ -39,7 +41,7 @@ def definition(program, positions: DataFrame) -> DataFrame:
 def hover(program, positions: DataFrame) -> DataFrame:
     """The type of the smallest expression at each position; null where it is unknown."""
     at = offsets(positions, program.project)
-    exprs = program.table("exprs").filter("end > start").join(program.types.filter("type <> 'untyped'"), "id").select("path", "start", "end", "type")
+    exprs = program.table("exprs").filter("end > start").join(program.types.filter("type <> 'untyped'"), "id").select("path", "start", "end", terms.render(F.col("type")).alias("type"))
     hit = at.join(exprs, "path", "left").withColumn("in", F.col("offset").between(F.col("start"), F.col("end")))
     keys = [*positions.columns, "offset"]
     best = hit.groupBy(*keys).agg(F.min(F.when(F.col("in"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", "type"))).alias("b"))

@@ -19,11 +19,11 @@ from pyspark.sql.window import Window
 
 from factloom.functions import core
 from factloom.functions import names as text
-from factloom.operators import resolve
+from factloom.operators import resolve, terms
 from factloom.plans.tables import Log, cut, drop, together
 from factloom.sources import facts as source_facts
 
-UNTYPED = "untyped"
+UNTYPED = terms.UNTYPED
 
 
 @dataclass
@@ -321,7 +321,7 @@ class Program:
     # -- types ------------------------------------------------------------
     @cached_property
     def types(self) -> DataFrame:
-        """(id, type): canonical members joined by `` | ``; what stays unresolved is unknown."""
+        """(id, type, base): terms, with and without what collections hold; what stays unresolved is unknown."""
         self._prepare()
         e = self._exprs
         core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string")
@@ -336,14 +336,14 @@ class Program:
         values = e.filter("op in ('atom', 'self')").select("id", F.col("name").alias("type")).unionAll(declared).unionAll(consts.select("id", const_type.alias("type")))
         writes = self.table("ivars").select(F.concat("class_path", "name").alias("name"), "expr").groupBy("name").agg(F.collect_set(F.coalesce("expr", F.lit(""))).alias("operands"))
         closed = self.classes.join(self.incomplete, "class_path", "left_anti").select("class_path")
-        ivars = e.filter("op = 'ivar'").select("id", "op", "name").withColumn("class_path", F.substring_index("name", "@", 1)).join(closed, "class_path", "left_semi").join(writes, "name").select("id", "op", "name", "operands")
+        ivars = e.filter("op = 'ivar'").select("id", "op", "name").withColumn("class_path", F.substring_index("name", "@", 1)).join(closed, "class_path", "left_semi").join(writes, "name").select("id", "op", "name", "operands", F.lit(None).cast("string").alias("shape"))
         # Never written here, or of a class that may be written to elsewhere: unknown, and known to be.
         values = values.unionAll(e.filter("op = 'ivar'").select("id").join(ivars.select("id"), "id", "left_anti").select("id", F.lit(UNTYPED)))
-        waiting = e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call')").select("id", "op", "name", "operands").unionAll(ivars)
+        waiting = e.filter("op in ('union', 'strip', 'narrow', 'minus', 'call', 'array', 'hash', 'erase')").select("id", "op", "name", "operands", "shape").unionAll(ivars)
         log = Log(self.spark, "values")
-        first = values.withColumn("of", F.lit(None).cast("string"))
+        first = values.select("id", "type", terms.erase(F.col("type")).alias("base"), F.lit(None).cast("string").alias("of"))
         pending, _ = together(lambda: cut(waiting, "pending"), lambda: log.append(first))
-        told = lambda: log.frame().filter("type is not null").select("id", "type")
+        told = lambda: log.frame().filter("type is not null").select("id", "type", "base")
         result, alias, left, spare = self._results, None, 0, 0
         while True:
             # New values are only added; a call that is known to be another expression follows it by doubling.
@@ -366,7 +366,7 @@ class Program:
                 alias = cut(alias.join(alias.select(F.col("id").alias("of"), F.col("of").alias("next")), "of", "left").select("id", F.coalesce("next", "of").alias("of")), "alias")
         # What is left depends on itself.
         rest = pending.select("id") if alias is None else pending.select("id").unionAll(alias.select("id"))
-        return cut(told().unionAll(rest.select("id", F.lit(UNTYPED))), "types")
+        return cut(told().unionAll(rest.select("id", F.lit(UNTYPED), F.lit(UNTYPED))), "types")
 
     @cached_property
     def _exprs(self) -> DataFrame:
@@ -399,25 +399,36 @@ class Program:
         parts = pending.filter("op <> 'call'").select("id", "op", F.posexplode("operands").alias("k", "of"))
         typed = parts.join(values.select(F.col("id").alias("of"), "type"), "of", "left").withColumn("type", F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type")))
         ready = typed.groupBy("id", "op").agg(F.count_if(F.col("type").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("k", "type"))).alias("x")).filter("missing = 0").select("id", "op", F.col("x.type").alias("x"))
+        split = terms.members
+        every = lambda xs: F.flatten(F.transform(xs, split))
+        place = lambda k: F.filter("x", lambda _, i: i % 2 == k)
+        pairs = F.col("op") == "hash"
+        ready = ready.select("id", "op", "x", terms.union(every(F.when(pairs, place(0)).otherwise(F.col("x")))).alias("all"), F.when(pairs, terms.union(every(place(1)))).alias("second"))
         first, last = F.element_at("x", 1), F.element_at("x", -1)
-        split = lambda t: F.split(t, " \\| ")
         target = F.regexp_extract(last, r"^Class\[(.*)\]$", 1)
-        without = F.array_remove(split(first), target)
+        # Whatever they hold, arrays are arrays and hashes are hashes.
+        without = F.filter(split(first), lambda m: terms.bare(m) != target)
         local = (
-            F.when(F.col("op") == "union", _union(F.flatten(F.transform("x", split))))
-            .when(F.col("op") == "ivar", F.when(F.size(F.array_distinct("x")) == 1, first).otherwise(UNTYPED))
+            F.when(F.col("op") == "union", F.col("all"))
+            .when(F.col("op") == "array", F.when(F.col("all") == UNTYPED, "Array").otherwise(F.concat(F.lit("Array["), terms.inner(F.col("all")), F.lit("]"))))
+            .when(pairs, F.when((F.col("all") == UNTYPED) & (F.col("second") == UNTYPED), "Hash").otherwise(F.concat(F.lit("Hash["), terms.inner(F.col("all")), F.lit(", "), terms.inner(F.col("second")), F.lit("]"))))
+            .when(F.col("op") == "erase", terms.erase(first))
+            # Any method may change what a variable of the object holds.
+            .when(F.col("op") == "ivar", F.when(F.size(F.array_distinct("x")) == 1, terms.erase(first)).otherwise(UNTYPED))
             .when(F.col("op") == "narrow", F.when(target != "", target).otherwise(UNTYPED))
             .when(F.col("op") == "strip", F.when(first == "nil", UNTYPED).otherwise(F.array_join(F.array_remove(split(first), "nil"), " | ")))
-            .otherwise(F.when((F.size(split(first)) > 1) & F.array_contains(split(first), target) & (first != UNTYPED) & (F.size(without) > 0), F.array_join(without, " | ")).otherwise(first))
+            .otherwise(F.when((F.size(split(first)) > 1) & (F.size(without) < F.size(split(first))) & (first != UNTYPED) & (F.size(without) > 0), F.array_join(without, " | ")).otherwise(first))
         )
         simple = ready.select("id", local.alias("type"))
-        calls = pending.filter("op = 'call'").select("id", "name", F.element_at("operands", 1).alias("of"), F.size("operands").alias("n"), F.try_element_at("operands", F.lit(2)).alias("arg"))
-        calls = calls.join(values.select(F.col("id").alias("of"), F.col("type").alias("recv")), "of")
-        calls = calls.withColumn("singleton", F.col("recv").startswith("Class[")).withColumn("class_path", F.regexp_replace("recv", r"^Class\[(.*)\]$", "$1"))
+        calls = pending.filter("op = 'call'").select("id", "name", F.element_at("operands", 1).alias("of"), F.try_element_at("operands", F.lit(2)).alias("arg"), F.slice("operands", 2, F.greatest(F.size("operands") - 1, F.lit(0))).alias("given"), "shape")
+        calls = calls.join(values.select(F.col("id").alias("of"), F.col("type").alias("recv"), "base"), "of")
+        calls = calls.withColumn("singleton", F.col("recv").startswith("Class[")).withColumn("class_path", F.regexp_replace("base", r"^Class\[(.*)\]$", "$1"))
         hit = self.find(calls)
         got = calls.join(hit.select("class_path", "name", "singleton", "method"), ["class_path", "name", "singleton"], "left").join(result, "method", "left").join(values.select(F.col("id").alias("ret"), F.col("type").alias("body")), "ret", "left")
-        got = got.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(self.core_table.select(F.col("class").alias("recv"), "name", F.col("result").alias("core")), ["recv", "name"], "left").join(values.select(F.col("id").alias("arg"), F.col("type").alias("arg_type")), "arg", "left")
-        number = F.when((F.col("recv") == "Float") & F.col("arg_type").isin("Integer", "Float"), "Float").when((F.col("recv") == "Integer") & F.col("arg_type").isin("Integer", "Float"), F.col("arg_type")).when(F.col("arg_type").isNull() & (F.coalesce("arg", F.lit("")) != ""), None).otherwise(UNTYPED)
+        table = self.core_table.select(F.col("class").alias("base"), "name", F.col("result").alias("core"), F.col("block").alias("holds"))
+        got = got.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(table, ["base", "name"], "left").join(values.select(F.col("id").alias("arg"), F.col("type").alias("arg_type")), "arg", "left")
+        bounds = self._bounds(calls, values)
+        got = got.join(bounds, "id", "left")
         made = F.col("singleton") & (F.col("name") == "new") & F.col("method").isNull()
         said = self.declared(calls.join(hit, ["class_path", "name", "singleton"], "left_anti"))
         if said is None:
@@ -428,33 +439,49 @@ class Program:
             own = self.classes.select(F.col("class_path").alias("result"), F.col("class_path").alias("as_class"))
             said = said.withColumn("result", F.regexp_replace("result", "^::", "")).join(own, "result", "left").select("class_path", "name", "singleton", F.coalesce(plain, "as_class").alias("said"))
             got = got.join(said, ["class_path", "name", "singleton"], "left")
+        # What a project's method makes of a block is not followed.
+        blind = F.col("shape").startswith("b") & ~F.col("name").isin("new", "tap", "times", "each")
         out = (
             F.when(F.col("recv") == UNTYPED, UNTYPED)
             .when(F.col("recv").contains(" | "), UNTYPED)
+            .when(blind & (F.col("method").isNotNull() | F.col("core").isNull()), UNTYPED)
             .when(made, F.when(F.coalesce("is_module", F.lit(True)), UNTYPED).otherwise(F.col("class_path")))
             .when(F.col("declared").isNotNull(), F.col("declared"))
             .when(F.col("method").isNotNull(), F.when(F.col("ret").isNull() | (F.col("body") == UNTYPED), F.coalesce("sig", F.lit(UNTYPED))).otherwise(F.col("body")))
             .when(F.col("said").isNotNull(), F.col("said"))
-            .when(F.col("core") == "number", number)
-            .otherwise(F.coalesce("core", F.lit(UNTYPED)))
+            .otherwise(_core_result())
         )
         same = F.when(out.isNull() & F.col("sig").isNull() & F.col("method").isNotNull(), F.col("ret"))
-        found = simple.select("id", "type", F.lit(None).cast("string").alias("of")).unionAll(got.select("id", out.alias("type"), same.alias("of")))
+        found = simple.unionAll(terms.held(self._held(calls, values))).select("id", "type", F.lit(None).cast("string").alias("of")).unionAll(got.select("id", out.alias("type"), same.alias("of")))
         if alias is not None:
             found = found.unionAll(alias.join(values.select(F.col("id").alias("of"), "type"), "of").select("id", "type", F.lit(None).cast("string")))
-        return found.filter("type is not null or of is not null")
+        return found.filter("type is not null or of is not null").select("id", "type", terms.erase(F.col("type")).alias("base"), "of")
+
+    def _bounds(self, calls: DataFrame, values: DataFrame) -> DataFrame:
+        """(id, bounds): whether both bounds of a ``clamp`` are integers, once they are known."""
+        wanted = calls.filter("base = 'Integer' and name = 'clamp' and size(given) = 2")
+        each = wanted.select("id", F.explode("given").alias("of")).join(values.select(F.col("id").alias("of"), "type"), "of")
+        return each.groupBy("id").agg(F.count("*").alias("n"), F.bool_and(F.col("type") == "Integer").alias("bounds")).filter("n = 2").select("id", "bounds")
+
+    def _held(self, calls: DataFrame, values: DataFrame) -> DataFrame:
+        """(id, rule, base, own, type): receivers and arguments of the calls whose result is what collections hold."""
+        rules = self.core_table.filter(F.col("result").isin(*core.BY_CONTENT)).select(F.col("class").alias("base"), "name", F.col("result").alias("rule"), "block")
+        wanted = calls.filter(F.col("base").isin("Array", "Hash")).join(rules, ["base", "name"]).filter(_reads_content(F.col("rule"), F.col("block")))
+        own = wanted.select("id", "rule", "base", F.lit(True).alias("own"), F.col("recv").alias("type"))
+        given = wanted.filter(F.col("rule").isin("plus", "push", "merge")).select("id", "rule", "base", F.explode("given").alias("of")).join(values.select(F.col("id").alias("of"), "type"), "of", "left")
+        return own.unionAll(given.select("id", "rule", "base", F.lit(False), F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type"))))
 
     @cached_property
     def core_table(self) -> DataFrame:
         """Results of core methods, less those of classes the project reopens."""
-        rows = self.spark.createDataFrame(core.core_results(), "class string, name string, least int, most int, result string")
+        rows = self.spark.createDataFrame(core.core_results(), "class string, name string, least int, most int, result string, block boolean")
         return rows.join(self.classes.select(F.col("class_path").alias("class")), "class", "left_anti")
 
     # -- call sites -------------------------------------------------------
     @cached_property
     def sites(self) -> DataFrame:
         """Every call with its receiver's type, the method found, and the verdict."""
-        c = self.table("calls").join(self.types.select(F.col("id").alias("recv"), F.col("type").alias("recv_type")), "recv", "left")
+        c = self.table("calls").join(self.types.select(F.col("id").alias("recv"), F.col("base").alias("recv_type")), "recv", "left")
         c = c.withColumn("recv_type", F.coalesce("recv_type", F.lit(UNTYPED)))
         is_class = F.col("recv_type").startswith("Class[")
         c = c.withColumnRenamed("class_path", "in_class").withColumnRenamed("singleton", "in_singleton").withColumn("class_path", F.regexp_replace("recv_type", r"^Class\[(.*)\]$", "$1"))
@@ -522,5 +549,41 @@ class Program:
         return diagnose.all_of(self)
 
 
-def _union(members) -> F.Column:
-    return F.when(F.array_contains(members, UNTYPED), UNTYPED).otherwise(F.array_join(F.array_sort(F.array_distinct(members)), " | "))
+_union = terms.union
+
+
+def _reads_content(rule, block) -> F.Column:
+    """Is the call in the shape in which its rule tells the result by what collections hold?"""
+    shown = ~F.col("shape").contains("x") | rule.isin("keys", "values")
+    fits = block.isNull() | (block == F.col("shape").startswith("b"))
+    return rule.isin(*core.BY_CONTENT) & shown & fits & ((rule != "elem") | (F.size("given") == 0))
+
+
+def _core_result() -> F.Column:
+    """The result of a call on a core value by the rule of its method; null while an argument it reads is not known yet, or where another query tells it."""
+    recv, rule, arg, n = F.col("recv"), F.col("core"), F.col("arg_type"), F.size("given")
+    block, hidden = F.col("shape").startswith("b"), F.col("shape").contains("x")
+    literal = F.expr("try_cast(substring_index(shape, ':', -1) as bigint)")
+    no = F.lit(None).cast("string")
+    # A missing argument is unknown for good; one without a type yet is waited for.
+    waits = (n > 0) & arg.isNull() & (F.coalesce("arg", F.lit("")) != "")
+    both = F.col("base").isin("Integer", "Float") & arg.isin("Integer", "Float")
+    number = F.when(both, F.when((F.col("base") == "Float") | (arg == "Float"), "Float").otherwise("Integer")).otherwise(UNTYPED)
+    power = F.when((F.col("base") == "Integer") & (arg == "Integer") & (literal >= 0), "Integer").when((F.col("base") == "Float") & (arg == "Integer"), "Float").otherwise(UNTYPED)
+    digits = F.when(n == 0, "Integer").when((n == 1) & (arg == "Integer") & literal.isNotNull(), F.when(literal > 0, "Float").otherwise("Integer")).otherwise(UNTYPED)
+    clamped = F.when((n != 2) | F.array_contains("given", ""), UNTYPED).when(F.col("bounds"), "Integer").when(~F.col("bounds"), UNTYPED)
+    return (
+        F.when(_reads_content(rule, F.col("holds")), no)
+        .when(F.col("holds").isNotNull() & (F.col("holds") != block), UNTYPED)
+        .when(rule == "self", recv)
+        .when(hidden & rule.isin(*core.BY_ARGUMENTS), UNTYPED)
+        .when(rule == "flatten", terms.flattened(recv, n == 0))
+        .when(rule == "gsub", F.when((n == 1) & ~block, UNTYPED).otherwise("String"))
+        .when(rule == "clamp", clamped)
+        .when(rule.isin("number", "power", "digits", "elem") & waits, no)
+        .when(rule == "number", number)
+        .when(rule == "power", power)
+        .when(rule == "digits", digits)
+        .when(rule == "elem", F.when((n == 1) & (arg == "Integer"), recv).otherwise(UNTYPED))
+        .otherwise(F.coalesce(rule, F.lit(UNTYPED)))
+    )

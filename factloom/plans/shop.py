@@ -248,7 +248,7 @@ def program_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Program(text.select("path", "text")).diagnostics.select("path", "line", "code", "message")
 
 
-OPEN = """class Base{k}
+OPEN = """class Origin{k}
   {body}
 end
 
@@ -270,7 +270,7 @@ def program_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a call is not decided: what opens the receiver's ancestry, and its bucket."""
     k = F.col("s_suppkey")
     body = F.when(k % 5 == 0, "has_things :a").when(k % 5 == 1, "def method_missing(name); end").when(k % 5 == 3, "if ENV\n  end").otherwise("LIMIT = 1")
-    parent = F.when(k % 5 == 2, F.concat(F.lit("Nowhere::Base"), k.cast("string"))).otherwise(F.concat(F.lit("Base"), k.cast("string")))
+    parent = F.when(k % 5 == 2, F.concat(F.lit("Nowhere::Origin"), k.cast("string"))).otherwise(F.concat(F.lit("Origin"), k.cast("string")))
     p = Program(keyed(spark, sf_dir, "open/o{k}.rb", OPEN, body=body, parent=parent).select("path", "text"))
     rows = report.blocked(p).filter("name = 'nothing_known'")
     return rows.select("class_path", "reason", "bucket", "verdict")

@@ -20,8 +20,6 @@ from factloom.operators import resolve
 from factloom.plans.tables import cut
 from factloom.sources import facts as source_facts
 
-#: Steps over the ancestors that declarations name.
-MOST_STEPS = 48
 #: Which namespaces a core class runs through, by a rule: numbers are numeric and comparable, collections enumerable.
 ALWAYS = ("Object", "Kernel", "BasicObject")
 
@@ -84,7 +82,7 @@ class Surfaces:
         parents = self.table("fragments").select(F.col("class_path").alias("node"), F.col("superclass").alias("name"), "nesting")
         mixed = self.table("mixins").filter("kind <> 'extend'").select(F.col("class_path").alias("node"), F.col("target").alias("name"), "nesting")
         edges = self._named(parents.unionAll(mixed).distinct())
-        up = resolve.closure(edges.filter("node <> target"), "node", "target", MOST_STEPS).select("node", "ancestor")
+        up = resolve.closure(edges.filter("node <> target"), "node", "target").select("node", "ancestor")
         return cut(up.unionAll(self.classes.select("name", F.col("name").alias("ancestor"))).distinct(), "rbi-ancestors")
 
     @cached_property
@@ -146,8 +144,8 @@ class Surfaces:
         inherited = want.withColumn("class_path", inner).join(hosts, "class_path").select("name", "nesting", F.concat_ws("::", "host", "bare").alias("path"))
         tried = tried.unionAll(inherited).distinct()
         edges = self.table("consts").filter("alias_of is not null").select("name", F.regexp_replace("alias_of", "^::", "").alias("target")).unionAll(aliases.select("name", F.regexp_replace("target", "^::", "").alias("target"))).distinct()
-        # Every prefix of a path may be an alias; what it stands for is followed to the end, as chains of aliases are short.
-        chain = resolve.closure(edges, "name", "target", MOST_STEPS).select(F.col("node").alias("head"), F.col("ancestor").alias("target"))
+        # Every prefix of a path may be an alias; what it stands for is followed to the end.
+        chain = resolve.closure(edges, "name", "target").select(F.col("node").alias("head"), F.col("ancestor").alias("target"))
         parts = F.split("path", "::")
         heads = tried.select("name", "nesting", "path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).select("name", "nesting", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "::").alias("head"), F.array_join(F.slice(parts, F.col("k") + 1, F.size(parts)), "::").alias("tail"))
         through = heads.join(chain, "head").select("name", "nesting", F.when(F.col("tail") == "", F.col("target")).otherwise(F.concat_ws("::", "target", "tail")).alias("path"))

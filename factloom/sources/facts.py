@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.functions import core
 from factloom.sources import rbs, sorbet
 from factloom.sources.ruby import Malformed, Unsupported, parse
 
@@ -25,7 +26,7 @@ TABLES = {
     "consts": [("name", _S), ("alias_of", _S), ("nesting", _A), ("start", _L)],
     "const_refs": [("name", _S), ("nesting", _A), ("start", _L), ("end", _L)],
     "calls": [("id", _S), ("recv", _S), ("recv_kind", _S), ("name", _S), ("given", _L), ("exact", _B), ("args", _A), ("literals", _A), ("start", _L), ("end", _L), ("class_path", _S), ("singleton", _B), ("scope", _S), ("local", _S), ("silent", _B)],
-    "exprs": [("id", _S), ("op", _S), ("name", _S), ("operands", _A), ("nesting", _A), ("start", _L), ("end", _L)],
+    "exprs": [("id", _S), ("op", _S), ("name", _S), ("operands", _A), ("nesting", _A), ("start", _L), ("end", _L), ("shape", _S)],
     "ivars": [("class_path", _S), ("name", _S), ("expr", _S)],
     "anywhere": [("kind", _S), ("name", _S), ("nesting", _A)],
     "errors": [("code", _S), ("start", _L), ("end", _L), ("message", _S)],
@@ -49,16 +50,18 @@ OPAQUE_CALLS = frozenset("eval binding instance_eval class_eval local_variable_s
 class Walk:
     def __init__(self, path: str):
         self.path, self.n = path, 0
+        self.ops: dict[str, tuple[str, str | None]] = {}
         self.out: dict[str, list] = {k: [] for k in TABLES}
 
     def add(self, table: str, *row) -> None:
         names = [n for n, _ in TABLES[table]]
         self.out[table].append(dict(zip(names, [*row, *[None] * (len(names) - len(row))], strict=True)))
 
-    def expr(self, op: str, name: str | None, operands: list[str], nesting=(), at: tuple[int, int] = (0, 0)) -> str:
+    def expr(self, op: str, name: str | None, operands: list[str], nesting=(), at: tuple[int, int] = (0, 0), shape: str | None = None) -> str:
         self.n += 1
         key = f"{self.path}#{self.n}"
-        self.add("exprs", key, op, name, operands, list(nesting), *at)
+        self.add("exprs", key, op, name, operands, list(nesting), *at, shape)
+        self.ops[key] = (op, name)
         return key
 
     def atom(self, name: str) -> str:
@@ -240,6 +243,7 @@ class Walk:
             if p:
                 env.set(p, self.expr("declared", t, [], nesting) if t else None)
         scope.opaque = _mentions(body, OPAQUE_CALLS)
+        scope.kept = kept_elements([d for _, _, d in params if d is not None], body)
         abstract = len(body) == 1 and body[0][0] == "call" and body[0][4] == "raise" and bool(body[0][5]) and body[0][5][0][0] == "const" and body[0][5][0][3] == "NotImplementedError"
         tail = self.block_value(body, env, scope)
         ret = self.union([tail, *scope.returns]) if not sig_unknown else None
@@ -297,16 +301,37 @@ class Walk:
         return self.expr("const", node[3], [], scope.nesting, at)
 
     def _array(self, node, env, scope, at):
-        for x in node[3]:
-            self.value(x, env, scope)
-        return self.atom("Array")
+        return self.collection("array", [(x, self.value(x, env, scope)) for x in node[3]], at)
 
     def _hash(self, node, env, scope, at):
-        for k, v in node[3]:
-            if k:
-                self.value(k, env, scope)
-            self.value(v, env, scope)
-        return self.atom("Hash")
+        pairs = [((k, self.value(k, env, scope)) if k else None, (v, self.value(v, env, scope))) for k, v in node[3]]
+        if any(k is None for k, _ in pairs):  # `**rest`
+            return self.atom("Hash")
+        return self.collection("hash", [x for pair in pairs for x in pair], at)
+
+    def collection(self, op: str, held: list[tuple], at) -> str:
+        """A literal array or hash by the types of what is written in it; equal literals are one operand (pairs of a hash keep together)."""
+        name, width = ("Array", 1) if op == "array" else ("Hash", 2)
+        if not held or any(x[0] == "splat" for x, _ in held) or (op == "array" and any(v is None for _, v in held)):
+            return self.atom(name)
+        seen, operands = set(), []
+        for lo in range(0, len(held), width):
+            ids = [v or "" for _, v in held[lo : lo + width]]
+            key = tuple(self.ops[v] if v and self.ops[v][0] == "atom" else v for v in ids)
+            if key not in seen:
+                seen.add(key)
+                operands += ids
+        return self.expr(op, None, operands, at=at)
+
+    def erased(self, v: str | None) -> str | None:
+        """``v`` without what a collection in it holds, for what others may change."""
+        return self.expr("erase", None, [v]) if v and self.ops[v][0] in ("array", "hash", "call", "union", "strip", "minus") else v
+
+    def bound(self, name: str, v: str | None, env, scope) -> None:
+        """A local is given a value: it keeps what a collection holds only where all of its reads leave that alone."""
+        v = v if scope.kept is not None and name in scope.kept else self.erased(v)
+        env.set(name, v)
+        scope.writes.setdefault(name, []).append(v)
 
     def _index(self, node, env, scope, at):
         return self._call(("call", node[1], node[2], node[3], "[]", node[4], (node[2] - 1, node[2]), None, {}), env, scope, at)
@@ -319,6 +344,8 @@ class Walk:
 
     def _assign(self, node, env, scope, at):
         _, _, _, target, op, right = node
+        if target[0] == "local":
+            env.known.setdefault(target[3], None)  # it is a local from here on, also in its own value
         v = self.value(right, env, scope)
         cast = self.casts.get(self.line(max(node[2] - 1, 0)))
         if cast and op == "=":
@@ -329,14 +356,15 @@ class Walk:
         elif op != "=":
             v = None
         if target[0] == "local":
-            env.set(target[3], v)
-            scope.writes.setdefault(target[3], []).append(v)
+            self.bound(target[3], v, env, scope)
         elif target[0] == "ivar" and scope.class_path:
             self.add("ivars", scope.class_path, target[3], v if scope.instance and not scope.rebound else None)
-        return v
+        return self.erased(v) if op == "||=" else v
 
     def _massign(self, node, env, scope, at):
         _, _, _, targets, values = node
+        for name in _locals(targets):
+            env.known.setdefault(name, None)
         got = [self.value(v, env, scope) for v in values]
         plain = len(values) > 1 and all(v[0] != "splat" for v in values)
         spread = next((k for k, t in enumerate(targets) if t[0] == "splat"), None)
@@ -358,9 +386,7 @@ class Walk:
             for t in target[3]:
                 self._bind(t, None, env, scope)
         elif kind == "local" or kind == "call" and target[3] is None and not target[5] and not target[7]:
-            name = target[3] if kind == "local" else target[4]
-            env.set(name, v)
-            scope.writes.setdefault(name, []).append(v)
+            self.bound(target[3] if kind == "local" else target[4], v, env, scope)
         elif kind == "ivar":
             if scope.class_path:
                 self.add("ivars", scope.class_path, target[3], v if scope.instance and not scope.rebound else None)
@@ -416,7 +442,10 @@ class Walk:
         kind = recv[0] if recv else "implicit"
         silent = (recv is None and scope.rebound) or (recv is None and not scope.class_path) or scope.asserted > 0 or (kind in ("local", "call", "ivar") and name in scope.responds) or bool(flags.get("safe"))
         local = recv[4] if kind == "call" and recv[3] is None and not recv[5] and env.has(recv[4]) else None
-        key = self.expr("call", name, [r or "", *got], scope.nesting, at) if r else None
+        written = self.text[args[0][1] : args[0][2]].replace("_", "") if len(args) == 1 else ""
+        first = written if re.fullmatch("-?[0-9]{1,18}", written) else ""
+        shape = ("b" if block or flags.get("blockarg") else "") + ("" if exact else "x") + ":" + first
+        key = self.expr("call", name, [r or "", *got], scope.nesting, at, shape) if r else None
         self.add("calls", key or f"{self.path}@{span[0]}", r, "local" if local else kind, name, len(args), exact, got, literals, *span, scope.class_path, not scope.instance, scope.name, local, bool(silent))
         self.definer(recv, name, args, env, scope)
         if block:
@@ -424,8 +453,6 @@ class Walk:
             scope.asserted += name in ("assert_raises", "assert_raise") or (name == "expect")
             self.block(block, env, scope, not core)
             scope.asserted -= name in ("assert_raises", "assert_raise") or (name == "expect")
-            if name not in ("new", "tap", "times", "each"):
-                return None
         return key
 
     def assertion(self, name, args, got, scope, span):
@@ -702,6 +729,8 @@ class Scope:
         self.instance = (not singleton) if instance is None else instance
         self.returns, self.guards, self.responds, self.writes = [], [], [], {}
         self.rebound, self.opaque, self.asserted = False, False, 0
+        #: Locals whose collections nothing changes or hands out; None where that was not looked at.
+        self.kept: set[str] | None = None
 
     def guarded(self, name: str) -> bool:
         return any(name == g or name.startswith(g + "::") for g in self.guards)
@@ -753,6 +782,56 @@ def points(nodes: list) -> list[str]:
     return out
 
 
+def kept_elements(defaults: list, body: list) -> set[str]:
+    """Locals of a scope that are only ever read to call what neither changes a collection nor answers it, or to iterate over it as a statement."""
+    safe, escaped, bail = set(), set(), False
+
+    def read(n) -> str | None:
+        return n[4] if isinstance(n, tuple) and n and n[0] == "call" and n[3] is None and not n[5] and not n[7] and not n[8].get("paren") else None
+
+    def statements(nodes) -> None:
+        for k, n in enumerate(nodes or []):
+            if k < len(nodes) - 1 and n[0] == "call" and n[4] in core.ITERATIONS and (name := read(n[3])):
+                safe.add(name)
+                visit([n[5], n[7]])
+            else:
+                visit(n)
+
+    def visit(n) -> None:
+        nonlocal bail
+        if isinstance(n, list):
+            for x in n:
+                visit(x)
+        elif isinstance(n, dict):
+            visit(list(n.values()))
+        elif isinstance(n, tuple) and n and n[0] in ("def", "class", "module", "sclass"):
+            return
+        elif isinstance(n, tuple) and n and n[0] == "call":
+            bail |= n[4] in OPAQUE_CALLS
+            if name := read(n):
+                escaped.add(name)
+            elif n[4] in core.KEEPS_ELEMENTS and (name := read(n[3])):
+                safe.add(name)
+                visit([n[5], n[7], n[8]])
+            else:
+                visit([n[3], n[5], n[7], n[8]])
+        elif isinstance(n, tuple) and n and n[0] == "index" and read(n[3]):
+            safe.add(read(n[3]))
+            visit(n[4])
+        elif isinstance(n, tuple) and n and n[0] == "block":
+            statements(n[4])
+        elif isinstance(n, tuple) and n and n[0] == "if":
+            visit(n[3])
+            statements(n[4])
+            statements(n[5])
+        elif isinstance(n, tuple):
+            visit(list(n))
+
+    visit(defaults)
+    statements(body)
+    return set() if bail else safe - escaped
+
+
 def _mentions(nodes, names) -> bool:
     return any(n[0] == "call" and n[4] in names for n in _nodes(nodes))
 

@@ -414,3 +414,65 @@ def test_patterns_make_locals_unknown(spark):
 def test_accessor_macros(spark):
     text = "class Tool\n  mattr_accessor :level, default: 1\n  class_attribute :kind\n  delegate :name, to: :owner\n  def owner; end\n  def run\n    level\n    kind?\n    name(1, 2)\n    Tool.level = 2\n    levell\n  end\nend\n"
     assert found(spark, text)[1] == [("E0101", "undefined method `levell` for `Tool`", "level")]
+
+
+# -- what collections hold -----------------------------------------------------
+def elements(spark, lines):
+    """The type of each expression, as the last one of a method of its own."""
+    text = "class Box\n" + "".join(f"  def m{n}\n    {x}\n  end\n" for n, x in enumerate(lines)) + "end\n"
+    p = Program(spark.createDataFrame([("a.rb", text)], "path string, text string"))
+    got = p.methods.join(p.types, p.methods.ret == p.types.id, "left").select("name", "type").collect()
+    return [next(r.type for r in got if r.name == f"m{n}") for n in range(len(lines))]
+
+
+def test_elements_of_collections(spark):
+    cases = {
+        "[1].first": "Integer",
+        '[[1, "a"], nil].push({"k" => [2.5]})': "Array[Array[Integer|String]|Hash[String, Array[Float]]|nil]",
+        '[[[1]]] + [["s", [nil]]]': "Array[Array[Array[Integer]]|Array[Array[nil]|String]]",
+        "[Box, 1].last": "Class[Box] | Integer",
+        "[{a: Box}].first": "Hash",
+        '{a: 1}.merge({"b" => [1]}, **self)': "untyped",
+        "[1].concat([2.5], self)": "Array",
+        "[[[1]]].flatten": "Array",
+        "[[Box.new]].flatten": "untyped",
+        "[{a: 1}].flatten": "Array[Hash[Symbol, Integer]]",
+        "[[1], 2].flatten": "untyped",
+        "[1].flatten(1)": "Array[Integer]",
+        "[[1]].flatten(1)": "untyped",
+        "[].push(1)": "Array",
+        "[1, *self].first": "untyped",
+        "{}": "Hash",
+        "{a: self.zzz}.values": "Array",
+        "{a: self.zzz}.keys": "Array[Symbol]",
+        "[1, 2].min(self)": "untyped",
+        "[3, 1].sort.reverse.uniq": "Array[Integer]",
+        "[3].sort_by { |x| x }": "Array[Integer]",
+        '"a".chars { |x| x }': "untyped",
+        "7.clamp(1, 2.5)": "untyped",
+        "2.0 ** 0.5": "untyped",
+        "2.0 ** 2": "Float",
+        "2.5.floor(-1)": "Integer",
+        "2.5.ceil(self)": "untyped",
+    }
+    assert dict(zip(cases, elements(spark, list(cases)), strict=True)) == cases
+
+
+def test_changed_collections_hold_unknown_things(spark):
+    body = ['list = [1]; list << "s"; list.first + "a"', 'list = [1]; list.first + "a"', 'list = [1]; m9(list); list.first + "a"', 'a = [1]; b = a; a.first + "a"', 'a = [1]; a.each { |x| x }; a.last + "a"', 'a = [1]; eval("x"); a.last + "a"', '@a ||= [1]; @a.first + "a"', 'a = [[1]]; a.first.first + "a"', 'a = [1]; a[0] = "s"; a.first + "a"', 'a = [1]; if a.empty? then 1 else a.last + "b" end', 'a, b = [1], 2; a.first + "a"']
+    text = "class Box\n" + "".join(f"  def m{n}(z = 1)\n    {x}\n  end\n" for n, x in enumerate(body)) + "end\n"
+    p = Program(spark.createDataFrame([("a.rb", text)], "path string, text string"))
+    assert sorted((r.line - 3) // 3 for r in p.diagnostics.collect()) == [1, 4, 9, 10]
+
+
+def test_members_of_a_union_are_told_by_class_alone(spark):
+    text = "class Box\n  def run(flag)\n    a = flag ? [1] : 2\n    if a.is_a?(Array)\n      1\n    else\n      a + 'x'\n    end\n    x = x\n  end\nend\n"
+    assert found(spark, text)[1] == [("E0108", "`+` on Integer expects a numeric operand, got String", None)]
+
+
+def test_long_chains_of_declared_classes(spark):
+    chain = "class Top\n  def deep; end\nend\n" + "".join(f"class C{n} < {'Top' if n == 0 else f'C{n - 1}'}\nend\n" for n in range(120)) + "".join(f"A{n} = {'C119' if n == 0 else f'A{n - 1}'}\n" for n in range(120))
+    rbi = spark.createDataFrame([("gems/chain.rbi", chain)], "path string, text string")
+    p, got = found(spark, "class Own < C119\n  def run; deep; A119::LIMIT; end\nend\n", rbi=rbi)
+    assert p.surfaces.ancestors.filter("node = 'C119'").count() == 121
+    assert {r.name: r.declared_tier for r in p.sites.collect()}["deep"] == 1 and [c for c, _, _ in got if c == "E0101"] == []
