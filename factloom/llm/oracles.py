@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from factloom.llm import base, centroids, licenses, tokens
 from factloom.llm.pieces import PieceModel
+from factloom.llm.pii import DOUBT, RESIDUAL, SHINGLE
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,11 +115,16 @@ words AS MATERIALIZED ({_spans("term", r"[\p{L}\p{N}_]+", "docs", "true")}),
 free AS MATERIALIZED (SELECT rid, s, e, lower(v) AS term FROM words w WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.rid = w.rid AND b.s < w.e AND w.s < b.e)),
 entities AS (SELECT DISTINCT rid, unnest([kind || ':' || lower(v), kind || '*' || CASE kind WHEN 'email' THEN split_part(lower(v), '@', -1) WHEN 'ip' THEN regexp_replace(v, '\.[^.]*$', '')
   WHEN 'card' THEN left({_DIGITS}, 6) WHEN 'phone' THEN left({_DIGITS}, 5) END]) AS entity FROM spans),
-mention AS (SELECT entity, count(*) AS e, pow(count(*) / (SELECT count(*) FROM docs), 0.2) AS least FROM entities WHERE entity IS NOT NULL GROUP BY 1),
-together AS (SELECT entity, term, count(*) AS k FROM entities JOIN (SELECT DISTINCT rid, term FROM free) USING (rid) GROUP BY 1, 2),
-anywhere AS (SELECT term, count(*) AS m FROM (SELECT DISTINCT rid, lower(v) AS term FROM words) GROUP BY 1),
-rated AS (SELECT term, k, m, least FROM together JOIN mention USING (entity) JOIN anywhere USING (term) WHERE least < 1 AND k > least * m),
-telling AS (SELECT DISTINCT term FROM rated WHERE list_sum(list_transform(range(k, m + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(least) + (m - i) * ln(1 - least)))) <= 0.05),
+uniq AS MATERIALIZED (SELECT min(rid) AS rid FROM docs GROUP BY t),
+own AS MATERIALIZED (SELECT DISTINCT rid, entity FROM entities JOIN uniq USING (rid) WHERE entity IS NOT NULL),
+listed AS (SELECT rid, list(term ORDER BY s) AS w FROM free WHERE rid IN (SELECT rid FROM own) GROUP BY rid),
+near AS MATERIALIZED (SELECT rid, coalesce(min(md5(array_to_string(w[i : i + least({SHINGLE}, len(w)) - 1], ' '))), '') AS near FROM (SELECT rid, w, unnest(range(1, len(w) - least({SHINGLE}, len(w)) + 2)) AS i FROM listed) GROUP BY rid),
+mention AS (SELECT entity, count(*) AS e, greatest(pow(2, -{RESIDUAL}), sqrt(count(*) / (SELECT count(*) FROM uniq))) AS least FROM own GROUP BY 1),
+together AS (SELECT entity, term, count(*) AS k, count(DISTINCT coalesce(near, '')) AS c FROM own JOIN (SELECT DISTINCT rid, term FROM free) USING (rid) LEFT JOIN near USING (rid) GROUP BY 1, 2),
+attempts AS (SELECT entity, count(*) AS tried FROM together GROUP BY 1),
+anywhere AS (SELECT term, count(*) AS m FROM (SELECT DISTINCT rid, lower(v) AS term FROM words JOIN uniq USING (rid)) GROUP BY 1),
+rated AS (SELECT term, c AS k, m - (k - c) AS m, least, tried FROM together JOIN mention USING (entity) JOIN attempts USING (entity) JOIN anywhere USING (term) WHERE least < 1 AND k > least * m),
+telling AS (SELECT DISTINCT term FROM rated WHERE list_sum(list_transform(range(k, m + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + i * ln(least) + (m - i) * ln(1 - least)))) <= {DOUBT} / tried),
 found AS (SELECT rid, s, e FROM free JOIN telling USING (term)),
 every AS (SELECT rid, 1 AS part, CASE kind WHEN 'email' THEN 0 WHEN 'ip' THEN 1 WHEN 'card' THEN 2 WHEN 'phone' THEN 3 ELSE 4 END AS o, s, kind || ':' || s || ':' || e AS x, kind FROM spans
   UNION ALL SELECT rid, 2, 5, s, 'term:' || s || ':' || e, 'term' FROM found),

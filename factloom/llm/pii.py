@@ -8,14 +8,15 @@ corpus says so: with document counts, the pointwise mutual information
 
     PMI(term, entity) = log2( p(term, entity) / (p(term) p(entity)) )
 
-reaches ``DISCLOSURE`` times the entity's information content -log2 p(entity) (at
-1, only terms never seen without the entity disclose it).  The estimate of
-p(entity | term) is its lower confidence bound: the term discloses the entity when as
-many joint documents as were seen would come about with a chance of at most ``DOUBT``
-if p(entity | term) were just at the threshold.  No number of documents is asked for
-besides: the rarer the entity, the fewer suffice.  Evidence is also pooled above the
-single value, as what a value belongs to (``pool``: an address's domain, a network, a
-card's issuer, a phone's area) is an entity like the value itself.
+leaves at most ``RESIDUAL`` bits of the entity's information -log2 p(entity): of the documents with the term
+at least one in 2^RESIDUAL has the entity.  (For an entity that many documents name, the PMI must also reach half of its
+information, or every word would disclose it.)  The estimate of p(entity | term) is its lower confidence bound: the term
+discloses the entity when as many joint documents as were seen would come about with a chance of at
+most ``DOUBT``, divided by the number of terms tried with that entity, if p(entity | term) were just at the threshold.
+Neither threshold nor doubt depends on the size of the corpus.  Copies are no evidence: equal texts count as one
+document, and of joint documents that are near copies (the least hash of the five-word shingles outside their spans agrees) one counts
+for the confidence.  Evidence is also pooled above the single value, as what a value belongs to (``pool``: an address's
+domain, a network, a card's issuer, a phone's area) is an entity like the value itself.
 
 A term and an entity stand together in a document, wherever in it.  Such terms are
 spans of kind ``term`` in all texts, the whole of each, with or without a mention: where
@@ -26,12 +27,14 @@ by their kind and generalises disclosing terms (a number to ``[NUMBER]``) or rem
 All counts cover the whole corpus.  Terms' document counts are taken only for
 candidate terms, let through by a Bloom filter of fixed size (a full filter lets
 more through, and the join after it is exact); so are the words looked up for spans.
-Entities of too few documents to reach the threshold with any term form no pairs.  Null and empty texts have no spans.
+Entities of too few documents to reach the threshold with any term form no pairs, and entities of the very same
+documents (a directory of addresses) form them together.  Null and empty texts have no spans.
 """
 
 from __future__ import annotations
 
 import collections
+import hashlib
 import itertools
 import math
 import re
@@ -45,7 +48,10 @@ from pyspark.sql import types as T
 from factloom.llm import base
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSURE, DOUBT = 0.8, 0.05
+#: Bits of an entity that a disclosing term may leave open (5: fewer than 32 candidates), and the doubt for an entity.
+RESIDUAL, DOUBT = 5.0, 0.05
+#: Words of a shingle by which near copies are told.
+SHINGLE = 5
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
@@ -181,11 +187,21 @@ def chance(k: int, m: int, p: float) -> float:
     return total
 
 
-def reveals(together: int, term_docs: int, entity_docs: int, total: int, window: float = DISCLOSURE, doubt: float = DOUBT) -> bool:
-    """Whether the PMI, with the lower confidence bound of p(entity | term), reaches ``window`` times the entity's content."""
-    # pmi >= window * content  <=>  p(entity | term) >= p(entity) ** (1 - window)
-    least = (entity_docs / total) ** (1 - window)
-    return least < 1 and together > least * term_docs and chance(together, term_docs, least) <= doubt
+def threshold(entity_docs: int, total: int, residual: float = RESIDUAL) -> float:
+    """The least p(entity | term) of a disclosing term."""
+    return max(2.0**-residual, math.sqrt(entity_docs / total))
+
+
+def reveals(together: int, term_docs: int, entity_docs: int, total: int, classes: int | None = None, tried: int = 1, residual: float = RESIDUAL, doubt: float = DOUBT) -> bool:
+    """Whether p(entity | term) reaches its threshold, by its lower confidence bound with ``tried`` terms; ``classes`` of the joint documents are no near copies of each other."""
+    least, classes = threshold(entity_docs, total, residual), together if classes is None else classes
+    return least < 1 and together > least * term_docs and chance(classes, term_docs - (together - classes), least) <= doubt / tried
+
+
+def near_class(words: list[str]) -> str:
+    """The least hash of a text's shingles: near copies have it in common as often as they have shingles in common."""
+    n = min(SHINGLE, len(words))
+    return min((hashlib.md5(" ".join(words[i : i + n]).encode()).hexdigest() for i in range(len(words) - n + 1)), default="") if n else ""
 
 
 def words_outside(text: str, spans: list[tuple[str, int, int]], among: set[str] | None = None):
@@ -202,19 +218,19 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, id, base, secrets, entities, words) of every row, the last two distinct and of rows with spans; key names a row by its id and text."""
+    """(key, id, h, base, secrets, entities, words, near) of every row; h is of its text, entities and words are distinct, they and near of rows with spans; key names a row by its id and text."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    src = docs.select(_key(doc_id, text).alias("key"), base.column(doc_id).alias("id"), base.column(text).alias("text"))
-    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("base", _SPAN), T.StructField("secrets", _SPAN), T.StructField("entities", _LONGS), T.StructField("words", _STRINGS)])
+    src = docs.select(_key(doc_id, text).alias("key"), base.column(doc_id).alias("id"), _text_hash(text).alias("h"), base.column(text).alias("text"))
+    schema = T.StructType([T.StructField("key", T.StringType()), src.schema["id"], T.StructField("h", T.LongType()), T.StructField("base", _SPAN), T.StructField("secrets", _SPAN), T.StructField("entities", _LONGS), T.StructField("words", _STRINGS), T.StructField("near", T.StringType())])
 
     def run(batches):
         base.claim("pii")
         arrow = to_arrow_schema(schema)
         for b in batches:
-            base_, hidden, own, words = [], [], [], []
-            for t in b.column(2):
+            base_, hidden, own, words, near = [], [], [], [], []
+            for t in b.column(3):
                 t = t.as_py()
                 spans = base_spans(t)
                 more = secrets(t, spans)
@@ -222,8 +238,10 @@ def _scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     to.append([{"kind": k, "s": s, "e": e} for k, s, e in some])
                 spans = spans + more
                 own.append(sorted({x for k, s, e in spans for x in entities(k, t[s:e])}))
-                words.append(sorted({w for w, _, _ in words_outside(t, spans)}) if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, arrow.field(2 + k).type) for k, x in enumerate((base_, hidden, own, words)))], names=schema.names)
+                outside = [w for w, _, _ in words_outside(t, spans)] if spans else []
+                words.append(sorted(set(outside)))
+                near.append(near_class(outside) if spans else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, arrow.field(3 + k).type) for k, x in enumerate((base_, hidden, own, words, near)))], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -254,60 +272,70 @@ class _Known:
         return words & self.yes
 
 
-def disclosing(scan: DataFrame, docs: DataFrame, text: str, window: float = DISCLOSURE, doubt: float = DOUBT) -> DataFrame:
-    """(entity, term) pairs whose information reaches the threshold."""
+def disclosing(scan: DataFrame, docs: DataFrame, text: str, residual: float = RESIDUAL, doubt: float = DOUBT) -> DataFrame:
+    """(entity, term) pairs whose information reaches the threshold; of entities that stand in the same documents one."""
     import pyarrow as pa
 
     spark = docs.sparkSession
-    total = scan.count()
-    share = F.col("entity_docs") / F.lit(float(max(total, 1)))
-    least = F.pow(share, F.lit(1 - window))
-    mention = scan.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    # At best all documents of the entity have the term and no others do: an entity for which that is too little has no pairs.
-    mention = base.cut(mention.filter((share < 1) & (F.pow(least, F.col("entity_docs")) <= doubt * (1 + 1e-9))), "pii-entities")
-    said = scan.select("words", F.explode("entities").alias("entity")).join(mention.select("entity"), "entity", "left_semi")
-    pair = said.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together")).join(mention, "entity")
+    total = scan.select("h").distinct().count()
+    least = F.greatest(F.lit(2.0**-residual), F.sqrt(F.col("entity_docs") / F.lit(float(max(total, 1)))))
+    some = 1 + 1e-9
+    own = base.cut(scan.filter(F.size("entities") > 0).dropDuplicates(["h"]).select("h", "near", "entities", "words"), "pii-mentions")
+    each = own.select("h", "near", F.size("words").alias("w"), F.explode("entities").alias("entity"))
+    mention = each.groupBy("entity").agg(F.count("*").alias("entity_docs"), F.count_distinct("near").alias("classes"), F.max("w").alias("w"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    # At best all documents of the entity have the term and no others do, and the words of one of them are tried: an entity for which that is too little has no pairs.
+    mention = mention.filter((least < 1) & (F.pow(least, F.col("classes")) <= F.lit(doubt) / F.greatest("w", F.lit(1)) * some))
+    mention = base.cut(mention.groupBy("entity_docs", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "entity_docs"), "pii-entities")
+    said = own.select("near", "words", F.explode("entities").alias("entity")).join(mention.select("entity"), "entity", "left_semi")
+    pair = said.select("entity", "near", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"), F.count_distinct("near").alias("classes"))
+    pair = base.cut(pair, "pii-tried")
+    tried = pair.groupBy("entity").agg(F.count("*").alias("tried"))
+    pair = pair.join(mention.join(tried, "entity"), "entity")
     # The same for the pair: its documents alone, if the term were in no others.
-    pair = pair.filter(F.pow(least, F.col("together")) <= doubt * (1 + 1e-9))
+    pair = pair.filter(F.pow(least, F.col("classes")) <= F.lit(doubt) / F.col("tried") * some)
 
     def decide(batches):
         for b in batches:
-            keep = [reveals(k, m, e, total, window, doubt) for k, m, e in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            keep = [reveals(k, m, e, total, c, n, residual, doubt) for k, c, m, e, n in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     def decided(pairs, docs_of_term):
-        with_counts = pairs.join(docs_of_term, "term").select("entity", "term", "together", "term_docs", "entity_docs")
+        with_counts = pairs.join(docs_of_term, "term").select("entity", "term", "together", "classes", "term_docs", "entity_docs", "tried")
         # More documents of the term only make it say less, so a count of some of them can rule it out.
-        return with_counts.filter(F.col("together") > F.pow(share, F.lit(1 - window)) * F.col("term_docs") * (1 - 1e-9)).mapInArrow(decide, with_counts.schema)
+        return with_counts.filter(F.col("together") > least * F.col("term_docs") * (1 - 1e-9)).mapInArrow(decide, with_counts.schema)
 
-    mentioning = scan.filter(F.size("entities") > 0).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    pair = base.cut(decided(pair, mentioning).select("entity", "term", "together", "entity_docs"), "pii-pairs")
+    mentioning = own.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
+    pair = base.cut(decided(pair, mentioning).drop("term_docs"), "pii-pairs")
 
     shared = base.share(spark, base.Bloom.of(pair.select("term").distinct(), "term"))
 
     def seen(batches):
         base.claim("pii")
         known = _Known(shared.value)
-        counts: collections.Counter[str] = collections.Counter()
+        met: set[tuple[str, int]] = set()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"])
-            counts.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in met], pa.string()), pa.array([h for _, h in met], pa.int64())], names=["term", "h"])
+            met.clear()
             return out
 
         for b in batches:
-            for t in b.column(0):
-                counts.update(known.among(_terms(t.as_py())))
-            if len(counts) > 200_000:
+            for t, h in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                met.update((w, h) for w in known.among(_terms(t.as_py())))
+            if len(met) > 200_000:
                 yield flush()
-        if counts:
+        if met:
             yield flush()
 
-    # Counted within the task first: a row for each term and task, not for each occurrence.
-    df = docs.select(base.column(text).alias("t")).filter("t is not null").mapInArrow(seen, "term string, n long").groupBy("term").agg(F.sum("n").alias("term_docs"))
+    # Candidates are few by now, and each text counts once, however often it was copied.
+    df = docs.select(base.column(text).alias("t"), _text_hash(text).alias("h")).filter("t is not null").mapInArrow(seen, "term string, h long").distinct().groupBy("term").agg(F.count("*").alias("term_docs"))
     return decided(pair, df).select("entity", "term")
 
 
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.coalesce(base.column(text), F.lit("")))
+
+
 def _key(doc_id: str, text: str) -> F.Column:
     return F.concat(F.coalesce(base.column(doc_id).cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64(F.coalesce(base.column(text), F.lit("")))))
 

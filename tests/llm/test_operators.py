@@ -397,24 +397,49 @@ def test_disclosing_terms(spark, awkward, nothing):
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans(t)).encode()).hexdigest()
     terms = {t[int(s) : int(e)].lower() for i, t in truth.items() for k, s, e in (x.split(":") for x in got[i].spans.split(",") if x) if k == "term"}
     assert "may" in terms and "please" in terms and not terms & {"tree", "house", "lake"}
-    assert got[80].spans == ""  # no mention, nothing is touched
+    assert got[80].spans == "term:0:7"  # six of the seven texts with the name have the address
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean[80] == truth[80] and "[EMAIL]" in clean[0] and "zeb@" not in clean[0] and "please" not in clean[0]
+    assert clean[80] == "[TERM]" + truth[80][7:] and "[EMAIL]" in clean[0] and "zeb@" not in clean[0] and "please" not in clean[0]
     out = pii.sanitise(awkward)
     assert out.columns == awkward.columns and sorted(map(str, out.collect())) == sorted(map(str, awkward.collect()))
     assert pii.digest(awkward).count() == awkward.count() and pii.digest(nothing).count() == 0
 
 
-def test_disclosing_needs_no_fixed_number():
-    # Two documents are enough for an entity of two in 10,000; of 20 documents they are not.
-    assert pii.reveals(2, 2, 2, 10_000) and not pii.reveals(2, 2, 2, 20) and not pii.reveals(2, 40, 2, 10_000)
-    assert pii.reveals(1, 1, 1, 10_000_000) and not pii.reveals(1, 1, 1, 1_000)
+def test_disclosing_is_one_rule_at_any_size():
+    for k, m, e, c, n in ((1, 1, 1, 1, 1), (1, 1, 1, 1, 2), (2, 2, 2, 2, 50), (2, 2, 2, 2, 60), (3, 3, 3, 3, 1000), (3, 3, 3, 1, 1000), (3, 90, 3, 3, 100), (4, 30, 5, 4, 40)):
+        assert len({pii.reveals(k, m, e, total, c, n) for total in (10**4, 10**5, 10**7, 10**9)}) == 1
+    assert pii.reveals(2, 2, 2, 10_000, tried=50) and not pii.reveals(2, 2, 2, 10_000, tried=60) and not pii.reveals(1, 1, 1, 10**9, tried=2)
+    # Near copies are one piece of evidence; what many documents name is disclosed by less common words only.
+    assert pii.reveals(3, 3, 3, 10_000, 3, 1000) and not pii.reveals(3, 3, 3, 10_000, 1, 1000) and not pii.reveals(300, 2000, 3000, 10_000, tried=5)
     for k, m, p in ((2, 3, 0.2), (5, 9, 0.4), (40, 60, 0.5)):
         assert pii.chance(k, m, p) == pytest.approx(sum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(k, m + 1)))
 
 
+def test_copies_disclose_nothing_more(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(40)) + (f" Quillon tells ann@tarn.example {word()} " if i < 5 else f" at bo{i}@lone.example " if i < 8 else " ") + " ".join(word() for _ in range(40)) for i in range(300)]
+    spans = lambda rows: {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = spans(list(enumerate(texts)))
+    copied = spans(list(enumerate(texts)) + [(1000 * (k + 1) + i, texts[i]) for i in (0, 5, 6, 200) for k in range(9)])
+    assert all(copied[i] == s for i, s in once.items()) and all(copied[i] == once[i % 1000] for i in copied)
+    assert "term" in once[0] and "term" not in once[5]
+    # Near copies of one page are one piece of evidence for what stands on it.
+    near = spans(list(enumerate(texts)) + [(2000 + k, texts[6] + " " + word()) for k in range(6)])
+    assert "term" not in near[6]
+
+
+def test_directories_of_addresses_form_pairs_together(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"name{k} a{k}@d{k}.example" for k in rng.sample(range(300), 300))) for i in range(4)] + [(10 + i, f"plain text {i}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base.ship(spark)
+    pairs = pii.disclosing(pii._scan(df, "doc_id", "text"), df, "text").collect()
+    assert len({p.entity for p in pairs}) == 1 and {p.term for p in pairs} == {f"name{k}" for k in range(300)}
+
+
 def test_disclosing_terms_of_few_contexts(spark):
-    fill = lambda i: " ".join(f"w{(i * 7 + j) % 50}" for j in range(9))
+    fill = lambda i: " ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=9))
     rows = [(i, f"{fill(i)} Quillon ann{i}@tarn.example {fill(i)}" if i < 5 else f"{fill(i)} Ozwin bo@lone.example {fill(i)}" if i < 7 else fill(i)) for i in range(4000)]
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any("Ozwin" in got[i] for i in (5, 6))  # one address, two contexts
@@ -423,7 +448,7 @@ def test_disclosing_terms_of_few_contexts(spark):
 
 
 def test_disclosing_terms_in_whole_texts(spark):
-    fill = lambda i: " ".join(f"w{(i * 7 + j) % 50}" for j in range(30))
+    fill = lambda i: " ".join(random.Random(i).choices([f"w{k}" for k in range(400)], k=30))
     # The name stands far from the address, again at the end, and in two documents without the address.
     rows = [(i, f"Quillon {fill(i)} ann@tarn.example {fill(i)} QUILLON" if i < 12 else f"{fill(i)} quillon" if i < 14 else fill(i)) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
