@@ -2,7 +2,9 @@
 
 ``check`` prints text, JSON lines, Markdown for agents (what the calls on untyped locals prove) or the
 census of calls on class objects (``dark``).  ``--core-inventory`` and ``--extensions`` name files of
-``Class#method`` lines: what core classes answer, and what libraries add to them.  The
+``Class#method`` lines or folders of ``.rbs`` signature files: what core classes answer, and what libraries add to
+them.  ``--collection`` names a folder of the signatures of a project's libraries: their constants are known, and what
+they add to core classes is an extension.  The
 world is closed only where told, or where every locked gem is accounted for (``--gems``: a folder of
 installed gems as ``name-version``, next to the project's signature files).
 """
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans import navigate, report
-from factloom.sources import declarations, gems, project
+from factloom.sources import declarations, gems, library, project
 
 
 def location(arg: str) -> tuple[str, int, int] | None:
@@ -25,8 +27,17 @@ def location(arg: str) -> tuple[str, int, int] | None:
     return (m[1], int(m[2]), int(m[3])) if m and int(m[2]) and int(m[3]) else None
 
 
+def signatures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of the ``.rbs`` files in a folder, at any depth."""
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rbs").text(path)
+    return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(class, method) of a file of ``Class#method`` lines; comments and other lines are left out."""
+    """(class, method) of a file of ``Class#method`` lines (comments and other lines are left out), with arity and result from a folder of ``.rbs`` files."""
+    files = signatures(spark, path)
+    if files.limit(1).count():
+        return library.inventory(files)
     line = r"^([A-Z][A-Za-z0-9_:]*)#(\S+)$"
     rows = spark.read.text(path).filter(F.col("value").rlike(line))
     return rows.select(F.regexp_extract("value", line, 1).alias("class"), F.regexp_extract("value", line, 2).alias("method"))
@@ -62,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--closed-world", action="store_true")
     parser.add_argument("--core-inventory")
     parser.add_argument("--extensions")
+    parser.add_argument("--collection")
     parser.add_argument("--gems")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -78,7 +90,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.core_inventory:
         options["core_inventory"] = inventory(spark, args.core_inventory)
     if args.extensions:
-        options["extensions"] = inventory(spark, args.extensions)
+        options["extensions"] = inventory(spark, args.extensions).select("class", "method")
+    if args.collection:
+        files_ = signatures(spark, args.collection)
+        more = library.inventory(files_).select("class", "method")
+        options["extensions"] = options["extensions"].unionAll(more) if args.extensions else more
+        options["rbi_names"] = library.fragments(files_).select(F.col("class_path").alias("name")).distinct()
     program = project.program(files, **options)
     if args.command != "check":
         where = location(args.at or "")

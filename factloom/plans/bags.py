@@ -1,4 +1,4 @@
-"""Queries over what collections hold: a source tree written from the whole ``supplier`` table.
+"""Queries over what collections hold and what signature files of libraries say: source trees written from the whole ``supplier`` table.
 
 Each supplier becomes a class with one method per kind of expression, so that the SQL states the type of
 every element, pair and result, and which operands cannot be added.
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom.plans import navigate
 from factloom.plans.program import Program
 from factloom.plans.shop import keyed
+from factloom.sources import library
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,104 @@ def program_element_operands(spark: SparkSession, sf_dir: str) -> DataFrame:
     plus = F.when(k % 3 == 0, '"a"').when(k % 3 == 1, "nil").otherwise("1")
     files = keyed(spark, sf_dir, "sums/s{k}.rb", LOCALS, read=read, plus=plus).select("path", "text")
     return Program(files).diagnostics.select("path", "line", "code", "message")
+
+
+RBS = """# A library of supplier {k}
+%a{pure}
+module Lib{k}
+  interface _Each
+    def each: () { (Integer) -> void } -> void
+  end
+
+  class Item{k}[T] < ::Base
+    include Comparable
+
+    attr_accessor label: String
+    def self.make: (?Integer size, *String names, **untyped) -> instance
+    def <=>: (untyped other) -> Integer?
+    def []=: [K] (Integer | Hash[K, T] at, T value) -> T
+    def pick: (Integer) -> String
+            | (Integer, ?Array[String]) -> String
+            | ({ (Integer) -> T }) -> String
+    alias take pick
+    def wide: (?) -> void
+    class Deep
+      def self?.both: (a: Integer, ?b: String) -> ::Integer # keywords
+      private def {name}: () { (T) -> void } -> self
+    end
+  end
+
+  class Gone < StandardError end
+end
+
+class String
+  def only{k}: (Integer count) -> Integer
+  def {name}: (Integer) -> void
+end
+"""
+_METHODS = [
+    ("Lib{k}::_Each", "each", False, 0, 0, None),
+    ("Lib{k}::Item{k}", "label", False, 0, 0, None),
+    ("Lib{k}::Item{k}", "label=", False, 1, 1, None),
+    ("Lib{k}::Item{k}", "make", True, 0, None, None),
+    ("Lib{k}::Item{k}", "<=>", False, 1, 1, None),
+    ("Lib{k}::Item{k}", "[]=", False, 2, 2, None),
+    ("Lib{k}::Item{k}", "pick", False, 1, 2, "String"),
+    ("Lib{k}::Item{k}", "take", False, 1, 2, "String"),
+    ("Lib{k}::Item{k}", "wide", False, 0, None, None),
+    ("Lib{k}::Item{k}::Deep", "both", False, 0, 0, "Integer"),
+    ("Lib{k}::Item{k}::Deep", "both", True, 0, 0, "Integer"),
+    ("Lib{k}::Item{k}::Deep", "{name}", False, 0, 0, None),
+    ("String", "only{k}", False, 1, 1, "Integer"),
+]
+
+
+def _said(x) -> str:
+    if x is None or isinstance(x, (bool, int)):
+        return "NULL" if x is None else str(x)
+    return "'" + x.replace("{k}", "' || k || '").replace("{name}", "' || CASE WHEN k % 2 = 0 THEN 'hidden?' ELSE 'walk' END || '") + "'"
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey AS k FROM supplier) "
+    + " UNION ALL ".join("SELECT " + ", ".join(f"{_said(x)} AS {c}" for x, c in zip(m, ('"class"', "method", "singleton", "least", "most", "result"), strict=True)) + " FROM s" for m in _METHODS)
+    + " UNION ALL SELECT DISTINCT 'String', CASE WHEN k % 2 = 0 THEN 'hidden?' ELSE 'walk' END, false, 1, 1, NULL FROM s"
+)
+def library_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What signature files declare: nesting, overloads, optional, rest and keyword parameters, aliases, attributes, both kinds of methods."""
+    name = F.when(F.col("s_suppkey") % 2 == 0, "hidden?").otherwise("walk")
+    return library.methods(keyed(spark, sf_dir, "sig/l{k}.rbs", RBS, name=name).select("path", "text"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT 'Lib' || k AS class_path, 'module' AS kind, NULL AS superclass FROM s UNION ALL SELECT 'Lib' || k || '::_Each', 'interface', NULL FROM s
+UNION ALL SELECT 'Lib' || k || '::Item' || k, 'class', 'Base' FROM s UNION ALL SELECT 'Lib' || k || '::Item' || k || '::Deep', 'class', NULL FROM s
+UNION ALL SELECT 'Lib' || k || '::Gone', 'class', 'StandardError' FROM s UNION ALL SELECT DISTINCT 'String', 'class', NULL FROM s
+""")
+def library_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, modules and interfaces of signature files by their whole path, with superclasses."""
+    return library.fragments(keyed(spark, sf_dir, "sig/l{k}.rbs", RBS, name=F.lit("walk")).select("path", "text"))
+
+
+CALLS = """class Use{k}
+  def run
+    "x".only{k}(1) + "a"
+    "x".only{k}(1, 2)
+    "x".onlyy{k}(1)
+    "x".upcase
+  end
+end
+"""
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, 'uses/u' || s_suppkey || '.rb' AS path FROM supplier)
+SELECT path, CAST(3 AS BIGINT) AS line, 'E0108' AS code, '`+` on Integer expects a numeric operand, got String' AS message FROM s
+UNION ALL SELECT path, 4, 'E0102', '`only' || k || '` expects 1 argument, got 2' FROM s UNION ALL SELECT path, 5, 'E0101', 'undefined method `onlyy' || k || '` for `String`' FROM s
+""")
+def program_library_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls on core values against an inventory that is read from signature files: results, argument counts and missing methods."""
+    files = keyed(spark, sf_dir, "uses/u{k}.rb", CALLS).select("path", "text")
+    said = library.inventory(keyed(spark, sf_dir, "sig/l{k}.rbs", RBS, name=F.lit("walk")).select("path", "text"))
+    return Program(files, closed_world=True, core_inventory=said).diagnostics.select("path", "line", "code", "message")

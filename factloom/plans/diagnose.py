@@ -56,7 +56,7 @@ def undefined_core_methods(p) -> DataFrame:
 
         touched = touched.unionAll(table(p.evidence, "fragments").select("class_path"))
     opened = chain.join(touched.distinct(), "host", "left_semi").select("recv_type").distinct()
-    own = chain.join(p.core_inventory.select(F.col("class").alias("host"), F.col("method").alias("name")), "host").select("recv_type", "host", "name")
+    own = chain.join(p.inventory.select(F.col("class").alias("host"), F.col("method").alias("name")), "host").select("recv_type", "host", "name")
     covered = own.select("recv_type").distinct()
     names_ = own.select("recv_type", "name")
     names_ = names_.unionAll(p.core_table.select("class", "name"))
@@ -200,7 +200,7 @@ def contradictions(p) -> DataFrame:
     calls = p.sites.filter("local is not null and recv_type = 'untyped'").select("path", "start", "end", F.concat_ws("|", "scope", "local").alias("binding"), "local", "name")
     closed = p.classes.join(p.incomplete, "class_path", "left_anti")
     answers = p.mro.withColumnRenamed("root", "class_path").join(closed.select("class_path"), "class_path", "left_semi").join(p.methods.filter("not singleton").select(F.col("class_path").alias("node"), "name"), "node").select("name", F.col("class_path").alias("provider"))
-    answers = answers.unionAll(p.core_inventory.select(F.col("method").alias("name"), F.col("class").alias("provider")))
+    answers = answers.unionAll(p.inventory.select(F.col("method").alias("name"), F.col("class").alias("provider")))
     bad = resolve.candidate_intersection(calls, answers, "binding", "name", "provider").filter("outcome = 'contradiction'").select("binding")
     rows = calls.join(bad, "binding").groupBy("binding", "path", "local").agg(F.min(F.struct("start", "end")).alias("at"), F.array_sort(F.collect_set("name")).alias("names"))
     rows = rows.select("path", "at.start", "at.end", "local", "names")

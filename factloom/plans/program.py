@@ -33,7 +33,7 @@ class Program:
     ``rbi_names`` (name) are constants other declarations prove; ``schema`` (table,
     column, type) adds columns to models; ``core_inventory`` (class, method) lists what
     core classes answer and is needed to accuse a call on one, which only a closed
-    world allows; ``extensions`` (class, method) are what libraries add to them.  ``rbi``
+    world allows, and may have their arity and result too (least, most, result); ``extensions`` (class, method) are what libraries add to them.  ``rbi``
     (path, text) are signature files; ``records`` (method, singleton) is what every class
     declared below ``ActiveRecord::Base`` answers.
     """
@@ -471,10 +471,22 @@ class Program:
         given = wanted.filter(F.col("rule").isin("plus", "push", "merge")).select("id", "rule", "base", F.explode("given").alias("of")).join(values.select(F.col("id").alias("of"), "type"), "of", "left")
         return own.unionAll(given.select("id", "rule", "base", F.lit(False), F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type"))))
 
+    @cached_property
+    def inventory(self) -> DataFrame | None:
+        """``core_inventory`` as a table: it may come from signature files, and is read many times."""
+        return None if self.core_inventory is None else cut(self.core_inventory, "inventory")
+
     @cached_property
     def core_table(self) -> DataFrame:
         """Results of core methods, less those of classes the project reopens."""
         rows = self.spark.createDataFrame(core.core_results(), "class string, name string, least int, most int, result string, block boolean")
+        if self.inventory is not None and "least" in self.inventory.columns:
+            # What the table does not have, by its signatures; without a block, as those with one tell no result.
+            known = F.when(F.col("result").isin(*core.CORE_TYPES, "self"), F.col("result"))
+            kind = F.when(F.col("class") == "NilClass", "nil").when(F.col("class").isin("TrueClass", "FalseClass"), "bool").otherwise(F.col("class"))
+            more = self.inventory.filter("least is not null").select(kind.alias("class"), F.col("method").alias("name"), "least", "most", known.alias("result"), F.when(known.isNotNull(), False).alias("block"))
+            more = more.groupBy("class", "name").agg(F.min("least").alias("least"), F.when(F.count("most") == F.count("*"), F.max("most")).alias("most"), F.when((F.count("result") == F.count("*")) & (F.count_distinct("result") == 1), F.min("result")).alias("result"), F.min("block").alias("block"))
+            rows = cut(rows.unionByName(more.join(rows.select("class", "name"), ["class", "name"], "left_anti")), "core-table")
         return rows.join(self.classes.select(F.col("class_path").alias("class")), "class", "left_anti")
 
     # -- call sites -------------------------------------------------------

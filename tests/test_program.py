@@ -476,3 +476,60 @@ def test_long_chains_of_declared_classes(spark):
     p, got = found(spark, "class Own < C119\n  def run; deep; A119::LIMIT; end\nend\n", rbi=rbi)
     assert p.surfaces.ancestors.filter("node = 'C119'").count() == 121
     assert {r.name: r.declared_tier for r in p.sites.collect()}["deep"] == 1 and [c for c, _, _ in got if c == "E0101"] == []
+
+
+# -- signature files of libraries -----------------------------------------------
+def test_signature_files_as_relations(spark):
+    from factloom.sources import library
+
+    text = """
+class Outer
+  class Inner end
+  Alias = Inner
+  class Copy = Inner
+  def a: (Integer, ?String, *Symbol, k: Integer) -> (Integer | String)
+  def b: () -> Array[Integer] | (String) -> Array[String]
+  def c: (^(Integer, String) -> void cb, [Integer, { a: Integer }]) { (Integer) -> void } -> bool
+  def d: (Integer -> String
+  def `e!`: -> nil
+  def +: (::Outer::Inner) -> ::Outer
+  def f: ...
+       | (Integer) -> String
+  alias self.g self.h
+  attr_writer self.w: Integer
+  module ::Top
+    def t: () -> self
+  end
+end
+"""
+    files = spark.createDataFrame([("a.rbs", text), ("b.rbs", "class Outer\n  def b: (Integer, Integer, Integer) -> Array[Integer]\nend\n"), ("c.rbs", None), ("d.rbs", "")], "path string, text string")
+    got = {(r["class"], r.method, r.singleton): (r.least, r.most, r.result) for r in library.methods(files).collect()}
+    assert got == {
+        ("Outer", "a", False): (1, None, None),
+        ("Outer", "b", False): (0, 3, "Array"),
+        ("Outer", "c", False): (2, 2, None),
+        ("Outer", "d", False): (None, None, None),
+        ("Outer", "e!", False): (0, 0, "nil"),
+        ("Outer", "+", False): (1, 1, "Outer"),
+        ("Outer", "f", False): (1, 1, "String"),
+        ("Outer", "g", True): (None, None, None),
+        ("Outer", "w=", True): (1, 1, None),
+        ("Top", "t", False): (0, 0, "self"),
+    }
+    assert {tuple(r) for r in library.fragments(files).collect()} == {("Outer", "class", None), ("Outer::Inner", "class", None), ("Top", "module", None)}
+    assert library.methods(files.limit(0)).count() == 0
+
+
+def test_command_line_reads_signature_folders(spark, tmp_path, capsys):
+    from factloom import cli
+
+    (tmp_path / "core").mkdir()
+    (tmp_path / "core" / "string.rbs").write_text("class String\n  def upcase: () -> String\n  def only: (Integer) -> Integer\nend\n")
+    (tmp_path / "gems" / "lib").mkdir(parents=True)
+    (tmp_path / "gems" / "lib" / "lib.rbs").write_text("module Lib\n  class Part\n  end\nend\nclass String\n  def added: () -> void\nend\n")
+    (tmp_path / "app").mkdir()
+    (tmp_path / "app" / "a.rb").write_text("class A\n  def run\n    Lib::Part\n    Lib::Gone\n    'x'.added\n    'x'.addedd\n    'x'.only(1, 2)\n  end\nend\n")
+    status = cli.main(["check", str(tmp_path / "app"), "--format", "json", "--closed-world", "--core-inventory", str(tmp_path / "core"), "--collection", str(tmp_path / "gems")])
+    out = capsys.readouterr().out
+    assert status == 1 and [code in out for code in ("undefined method `addedd`", "`only` expects 1 argument, got 2", "Lib::Gone")] == [True] * 3
+    assert "`added`" not in out and "Lib::Part" not in out
