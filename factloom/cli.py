@@ -29,8 +29,8 @@ def location(arg: str) -> tuple[str, int, int] | None:
 
 def signatures(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of the ``.rbs`` files in a folder, at any depth."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.rbs").text(path)
-    return files.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.rbs")
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

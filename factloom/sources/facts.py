@@ -818,6 +818,9 @@ def kept_elements(defaults: list, body: list) -> set[str]:
         elif isinstance(n, tuple) and n and n[0] == "index" and read(n[3]):
             safe.add(read(n[3]))
             visit(n[4])
+        elif isinstance(n, tuple) and n and n[0] == "massign":
+            visit([t for t in n[3] if t[0] == "index" or t[0] == "call" and t[3] is not None])  # plain targets are written, not read
+            visit(n[4])
         elif isinstance(n, tuple) and n and n[0] == "block":
             statements(n[4])
         elif isinstance(n, tuple) and n and n[0] == "if":

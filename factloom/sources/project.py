@@ -56,4 +56,6 @@ def program(files: DataFrame, **options):
     headers = declarations.rbi_headers(of("rbi")).filter("name <> ''").select("name").distinct()
     if of("rbi").limit(1).count():
         options.setdefault("rbi", of("rbi").select("path", "text"))
+    more = options.pop("rbi_names", None)
+    headers = headers if more is None else headers.unionAll(more).distinct()
     return Program(files.filter("role in ('project', 'ignored')"), rbi_names=headers, schema=columns, **options)
