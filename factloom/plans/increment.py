@@ -72,11 +72,11 @@ def definitions(facts: DataFrame, sources: DataFrame) -> DataFrame:
 def spots(facts: DataFrame) -> DataFrame:
     """(path, name, start): what each file mentions and where; 0 where the place is the file."""
     of = lambda name: source_facts.table(facts, name)
-    called = lambda: F.explode(F.when(F.col("name") == "new", F.array(F.lit("m:new"), F.lit("m:initialize"))).otherwise(F.array(F.concat(F.lit("m:"), "name"))))
+    called = F.concat(F.lit("m:"), "name").alias("name")
     e, m, none = of("exprs"), of("methods"), F.lit(0).cast("long")
     parts = [
-        of("calls").select("path", called().alias("name"), "start"),
-        e.filter("op = 'call'").select("path", called().alias("name"), "start"),
+        of("calls").select("path", called, "start"),
+        e.filter("op = 'call'").select("path", called, "start"),
         e.filter("op = 'ivar'").select("path", F.concat(F.lit("v:"), "name").alias("name"), "start"),
         e.filter("op in ('const', 'declared', 'atom', 'self')").select("path", F.explode(_parts(F.col("name"))).alias("name"), "start"),
         of("const_refs").select("path", F.explode(_parts(F.col("name"))).alias("name"), "start"),
@@ -122,8 +122,8 @@ def reach(seed: DataFrame, edges: DataFrame) -> DataFrame:
 class Incremental:
     """A project whose files change by batches; ``options`` are those of :class:`Program`.
 
-    Batches are numbered from 0 without gaps; ``folder`` is in the shared file system.  Equal paths in one batch
-    are an error of the caller; a null text means the file is gone.
+    Batches are numbered; the first one is the whole project.  ``folder`` is in the shared file system.  A path is in a batch
+    at most once; a null text means the file is gone.  All files are the project's own: there are no ignored ones.
     """
 
     def __init__(self, spark: SparkSession, folder: str, **options):
@@ -137,9 +137,13 @@ class Incremental:
 
     def _upto(self, name: str, batch: int) -> DataFrame:
         """Rows of all batches up to this one, with the batch; a batch is named, so one run before a failure is not read."""
-        parts = [f"{self.folder}/{name}/batch={b}" for b in range(batch + 1)]
+        parts = [path for b in range(batch + 1) if self._there(path := f"{self.folder}/{name}/batch={b}")]
         return reader(self.spark, self.folder).option("basePath", f"{self.folder}/{name}").parquet(*parts)
 
+    def _there(self, path: str) -> bool:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
     def _current(self, name: str, batch: int, by: str = "sources") -> DataFrame:
         """Rows of each path as its last batch left them."""
         last = self._upto(by, batch).groupBy("path").agg(F.max("batch").alias("batch"))
@@ -162,7 +166,7 @@ class Incremental:
         mentions = self._write("mentions", batch, placed.select("path", "name").distinct())
         edges = self._write("edges", batch, dependencies(facts, placed))
         drop(placed)
-        if batch == 0:
+        if not any(self._there(f"{self.folder}/asked/batch={b}") for b in range(batch)):
             asked = texts.filter("text is not null").select("path")
         else:
             gone = texts.select("path")
@@ -187,7 +191,9 @@ class Incremental:
         if delta.filter(wide).limit(1).count():
             return live
         edges = self._current("edges", batch).unionByName(own_edges).select("src", "dst").distinct()
-        dirty = reach(delta.filter("kind <> 'anywhere'"), edges)
+        # Who makes a new object names its class somewhere, so a constructor counts as its class; ``new`` alone would reach every file.
+        made = delta.filter("name = 'm:initialize'").select(_last(F.col("class_path")).alias("name"))
+        dirty = reach(delta.filter("kind <> 'anywhere'").select("name").unionByName(made), edges)
         named = dirty
         defs = self._current("defs", batch).unionByName(old)
         touched = texts.select("path")

@@ -7,7 +7,8 @@ Messages are rows (seq, kind, path, version, text, request_id, line, character):
 for each micro-batch in the shared folder, named by the batch.  A batch reads the table of the one
 before it, so a session that starts again from the stream's checkpoint goes on where it was, and
 a batch that is run twice writes the same table.  Each batch folds its messages in (the
-highest version wins) and, as any file can reopen any class, recomputes over the whole project.
+highest version wins) and asks again only the files that depend on what changed
+(:mod:`factloom.plans.increment`); a file's earlier findings stand until then.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import sequence
 from factloom.plans import navigate, report
+from factloom.plans.increment import Incremental
 from factloom.plans.program import Program
 from factloom.plans.tables import drop_path, reader, shared_dir
 
@@ -55,15 +57,18 @@ def contained(path, root: str) -> F.Column:
     return (top == F.lit("/")) | (normal_path(path) == top) | normal_path(path).startswith(F.concat(top, F.lit("/")))
 
 
-def answers(program: Program, requests: DataFrame) -> DataFrame:
-    """(request_id, kind, path, line, character, answer): a definition's place and name, or a type; null where nothing is known."""
+def answers(program: Program, requests: DataFrame, diagnostics: DataFrame | None = None) -> DataFrame:
+    """(request_id, kind, path, line, character, answer): a definition's place and name, or a type; null where nothing is known.
+
+    ``diagnostics`` are the program's unless given: a program of some files alone has not all of them.
+    """
     at = requests.filter("kind in ('definition', 'hover')").select("request_id", "kind", "path", (F.col("line") + 1).alias("line"), (F.col("character") + 1).alias("column"))
     places = at.select("path", "line", "column").distinct()
     where = navigate.definition(program, places).select("path", "line", "column", F.lit("definition").alias("kind"), F.concat_ws(" ", "def_path", F.col("def_start").cast("string"), "name").alias("answer"))
     what = navigate.hover(program, places).select("path", "line", "column", F.lit("hover").alias("kind"), F.col("type").alias("answer"))
     got = at.join(where.unionByName(what).filter("answer is not null and answer <> ''"), ["path", "line", "column", "kind"], "left")
     pulled = requests.filter("kind = 'diagnostics'").select("request_id", "kind", "path")
-    found = report.editor(program.diagnostics).groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct("line", "character", "severity", "code", "message")))).alias("answer"))
+    found = report.editor(program.diagnostics if diagnostics is None else diagnostics).groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(F.struct("line", "character", "severity", "code", "message")))).alias("answer"))
     pulled = pulled.join(found, "path", "left").select("request_id", "kind", "path", F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("character"), F.coalesce("answer", F.lit("[]")).alias("answer"))
     return got.select("request_id", "kind", "path", (F.col("line") - 1).alias("line"), (F.col("column") - 1).alias("character"), "answer").unionByName(pulled)
 
@@ -77,6 +82,7 @@ class Session:
     def __init__(self, spark: SparkSession, project: DataFrame | None, publish: Callable[[int, DataFrame], None], answer: Callable[[int, DataFrame], None] | None = None, name: str | None = None, root: str | None = None):
         self.spark, self.project, self.publish, self.answer, self.root = spark, project, publish, answer, root
         self.folder = f"{shared_dir(spark)}/factloom/{name or 'session-' + uuid.uuid4().hex}"
+        self.tables = Incremental(spark, self.folder + "-tables")
 
     def _at(self, batch: int) -> str:
         return f"{self.folder}/batch={batch}"
@@ -90,16 +96,18 @@ class Session:
     def __call__(self, messages: DataFrame, batch: int) -> None:
         if self.root is not None:
             messages = messages.filter(F.col("path").isNull() | contained(F.col("path"), self.root))
-        fold(self.before(batch), messages).write.mode("overwrite").parquet(self._at(batch))
+        before = self.before(batch)
+        fold(before, messages).write.mode("overwrite").parquet(self._at(batch))
         state = reader(self.spark, self.folder).parquet(self._at(batch))
         live = state.filter("open").select("path", "text")
         if self.project is not None:
             live = live.unionByName(self.project.join(live, "path", "left_anti").select("path", "text"))
+        touched = messages.filter("kind in ('open', 'change', 'close')").select("path").distinct()
+        # A closed file is again as the project has it, or gone.
+        self.tables.update(batch, live if before is None else touched.join(live, "path", "left"))
         # The state before the last one is needed by no batch that could be run again.
         drop_path(self.spark, self._at(batch - 2))
-        program = Program(live)
-        found = program.diagnostics
-        touched = messages.filter("kind in ('open', 'change', 'close')").select("path").distinct()
+        found = self.tables.diagnostics(batch)
         # Every open file is published anew; a closed or clean one with no rows says so by a null code.
         out = touched.unionByName(state.filter("open").select("path")).distinct().join(state.select("path", "version"), "path", "left")
         shown = found.join(state.filter("open").select("path"), "path", "left_semi")
@@ -107,7 +115,8 @@ class Session:
         if self.answer is not None:
             # Edits count first, and a cancelled request is not answered.
             asked = pending(messages.filter("kind in ('diagnostics', 'definition', 'hover')"), messages)
-            self.answer(batch, answers(program, asked))
+            program = self.tables.program(batch, asked.filter("path is not null"))
+            self.answer(batch, answers(program, asked, found))
 
 
 def run(spark: SparkSession, folder: str, checkpoint: str, publish: Callable[[int, DataFrame], None], project: DataFrame | None = None, answer: Callable[[int, DataFrame], None] | None = None, root: str | None = None):
