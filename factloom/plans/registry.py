@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names
 from factloom.operators import drift, lattice, resolve, sequence
-from factloom.plans import bags, corpus, declared, shop
+from factloom.plans import bags, corpus, declared, edits, shop
 from factloom.plans.tables import read
 
-QUERIES: dict = corpus.QUERIES | shop.QUERIES | declared.QUERIES | bags.QUERIES
-ORACLES: dict[str, str] = corpus.ORACLES | shop.ORACLES | declared.ORACLES | bags.ORACLES
+QUERIES: dict = corpus.QUERIES | shop.QUERIES | declared.QUERIES | bags.QUERIES | edits.QUERIES
+ORACLES: dict[str, str] = corpus.ORACLES | shop.ORACLES | declared.ORACLES | bags.ORACLES | edits.ORACLES
 FLAGSHIP = "census_rollup"
 
 
