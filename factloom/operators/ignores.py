@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File names that hold rules, later ones before earlier ones; the longest line that can name a path.
-RULE_FILES = (".gitignore", ".ignore")
+RULE_FILES = ("exclude", ".gitignore", ".ignore")
 LONGEST = 4096
 # Named classes of characters, as both notations write them.
 CLASSES = {"alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
-TOKEN = r"^(?:\*\*/)+|/(?:\*\*/)+|/\*\*$|\*+|\?|\[[!^]?\]?(?:\[:[a-z]+:\]|\\[\s\S]|[^\]\\])*\]|\\[\s\S]|[\s\S]"
+TOKEN = r"^(?:\*\*/)+|/(?:\*\*/)+|/\*\*$|\*+|\?|\[[!^]?+\]?+(?:\[:[a-z]+:\]|\\[\s\S]|[^\]\\])*\]|\\[\s\S]|[\s\S]"
 MEMBER = r"\[:(?:" + "|".join(CLASSES) + r"):\]|(?:\\[\s\S]|[^\\])-(?:\\[\s\S]|[^\\])|\\[\s\S]|[\s\S]"
 RANGE = r"^\\?([\s\S])-\\?([\s\S])$"
 NEVER = "(?!)"
@@ -41,8 +41,7 @@ def _member(item: Column) -> Column:
 def _bracket(token: Column) -> Column:
     inner = F.regexp_extract(token, r"^\[[!^]?([\s\S]*)\]$", 1)
     members = F.array_join(F.transform(F.regexp_extract_all(inner, F.lit(MEMBER), F.lit(0)), _member), "")
-    other = token.rlike(r"^\[[!^]")
-    return F.when(members == "", F.when(other, "[^/]").otherwise(NEVER)).otherwise(F.concat(F.lit("(?!/)["), F.when(other, "^").otherwise(""), members, F.lit("]")))
+    return F.concat(F.lit("(?!/)["), F.when(token.rlike(r"^\[[!^]"), "^").otherwise(""), members, F.lit("]"))
 
 
 def _token(t: Column) -> Column:
@@ -64,6 +63,11 @@ def glob(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.when(pattern.rlike(r"^\*\*+$"), ".*").otherwise(body), F.lit("$"))
 
 
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column computed once: through a generator, as plain projections are merged and repeat what they share."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def rules(files: DataFrame) -> DataFrame:
     """Rules of (path, text) rule files: ``base`` (directory), ``rank`` (the greatest decides), ``how``, ``key``, ``shape``, ``keeps``, ``folders``, ``anchored``.
 
@@ -80,15 +84,19 @@ def rules(files: DataFrame) -> DataFrame:
     # Spaces at the end go, but for one that a backslash quotes.
     head = F.regexp_replace("raw", " +$", "")
     quoted = (F.length(F.regexp_extract(head, r"(\\*)$", 1)) % 2 == 1) & F.col("raw").endswith(" ")
-    text = F.when(quoted, F.concat(head, F.lit(" "))).otherwise(head)
-    rows = rows.withColumn("text", text).withColumn("keeps", F.col("text").startswith("!"))
-    rows = rows.withColumn("text", F.regexp_replace("text", "^!", "")).withColumn("folders", F.col("text").endswith("/"))
-    rows = rows.withColumn("text", F.regexp_replace(F.regexp_replace("text", "/$", ""), r"^/?(\*\*/)+(?=[^/]+$)", "")).withColumn("anchored", F.col("text").contains("/"))
-    rows = rows.withColumn("text", F.regexp_replace("text", "^/", "")).filter("text <> ''")
+    rows = _once(rows, "text", F.when(quoted, F.concat(head, F.lit(" "))).otherwise(head))
+    rows = _once(rows.withColumn("keeps", F.col("text").startswith("!")), "body", F.regexp_replace("text", "^!", ""))
+    rows = _once(rows.withColumn("folders", F.col("body").endswith("/")), "inner", F.regexp_replace(F.regexp_replace("body", "/$", ""), r"^/?(\*\*/)+(?=[^/]+$)", ""))
+    rows = _once(rows.withColumn("anchored", F.col("inner").contains("/")).drop("text"), "text", F.regexp_replace("inner", "^/", "")).filter("text <> ''")
     literal = ~F.col("text").rlike(r"[*?\[\\]")
     how = F.when(literal, F.when(F.col("anchored"), "path").otherwise("name")).when(F.col("text").rlike(r"^\*\.[^.*?\[\\/]+$") & ~F.col("anchored"), "ending").otherwise("glob")
+    rows = _once(rows, "how", how)
+    how = F.col("how")
     key = F.when(how == "ending", F.substring_index("text", ".", -1)).when(how == "glob", "").otherwise(F.col("text"))
-    return rows.select("base", F.struct("p", "d", "line").alias("rank"), how.alias("how"), key.alias("key"), F.when(how == "glob", glob(_bytes(F.col("text")))).alias("shape"), "keeps", "folders", "anchored")
+    rows = rows.select("base", F.struct("p", "d", "line").alias("rank"), "how", key.alias("key"), F.when(how == "glob", F.col("text")).alias("glob"), "keeps", "folders", "anchored")
+    # Each pattern is turned into an expression once.
+    shapes = rows.filter("glob is not null").select("glob").distinct().withColumn("shape", glob(_bytes(F.col("glob"))))
+    return rows.join(shapes, "glob", "left").drop("glob")
 
 
 def excluded(paths: DataFrame, given: DataFrame) -> DataFrame:

@@ -8,27 +8,148 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names
+from factloom.operators import ignores
 from factloom.sources import declarations
 
 # Folders that hold no project code.
 SKIPPED = ("vendor", "node_modules", "tmp", ".git", ".bundle")
 ROLES = {"schema_rb": r"(^|/)db/schema\.rb$", "structure_sql": r"(^|/)db/structure\.sql$", "rbi": r"(^|/)sorbet/rbi/.*\.rbi$", "lock": r"(^|/)Gemfile\.lock$", "config": r"(^|/)sorbet/config$"}
+DECLARATIONS = {"schema_rb": "db/schema.rb", "structure_sql": "db/structure.sql", "rbi": "sorbet/rbi", "lock": "Gemfile.lock"}
+UPWARD = 4
+
+
+def _hadoop(spark: SparkSession, name: str):
+    """The file system of a path, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    fs, path = _hadoop(spark, name)
+    return fs.exists(path)
+
+
+def _text(spark: SparkSession, name: str) -> str:
+    """A small configuration file."""
+    fs, path = _hadoop(spark, name)
+    stream = fs.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def verify_root(spark: SparkSession, root: str) -> None:
     """A missing root is an error before anything is planned."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not _exists(spark, root):
         raise FileNotFoundError(root)
 
 
+def above(spark: SparkSession, root: str) -> list[str]:
+    """The root and the directories above it, nearest first."""
+    fs, path = _hadoop(spark, root)
+    path, out = fs.makeQualified(path), []
+    while path is not None:
+        out.append(path.toString().rstrip("/"))
+        path = path.getParent()
+    return out
+
+
+def nearest(spark: SparkSession, root: str, name: str) -> int | None:
+    """How many directories above the root the nearest ``name`` is; none within ``UPWARD`` directories is null."""
+    return next((k for k, d in enumerate(above(spark, root)[:UPWARD]) if _exists(spark, f"{d}/{name}")), None)
+
+
+def _levels(spark: SparkSession, root: str, last: str):
+    """What matches ``last`` in the root and in the directories of each level below it, hidden ones too: (name, is a directory)."""
+    fs, start = _hadoop(spark, root)
+    base, at = fs.makeQualified(start).toString().rstrip("/"), ""
+    while True:
+        for s in fs.globStatus(_hadoop(spark, f"{base}{at}/{last}")[1]) or []:
+            yield s.getPath().toString(), s.isDirectory()
+        at += "/*"
+        if not len(fs.globStatus(_hadoop(spark, base + at)[1]) or []):
+            return
+
+
+def rule_files(spark: SparkSession, root: str) -> tuple[DataFrame, str]:
+    """(path, text) of the ignore files at, above and below the root, and the root as those paths see it.
+
+    Paths start at the repository, or at the top of all where there is none; then only ``.ignore`` files count.
+    These few small files are read on the driver, as Spark's readers leave out names that start with a dot.
+    """
+    up = above(spark, root)
+    depth = next((k for k, d in enumerate(up) if _exists(spark, f"{d}/.git")), None)
+    names = (".gitignore", ".ignore") if depth is not None else (".ignore",)
+    top = up[len(up) - 1 if depth is None else depth]
+    found = [f"{d}/{n}" for d in up[1 : up.index(top) + 1] for n in names if _exists(spark, f"{d}/{n}")]
+    found += [f for f, folder in _levels(spark, root, "{" + ",".join(names) + "}") if not folder]
+    rows = [(f[len(top) + 1 :], _text(spark, f)) for f in found]
+    if depth is not None and _exists(spark, f"{top}/.git/info/exclude"):
+        rows.append(("exclude", _text(spark, f"{top}/.git/info/exclude")))
+    return spark.createDataFrame(rows, "path string, text string"), up[0][len(top) + 1 :]
+
+
+def _unseen(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """Directories and Ruby files whose names start with ``_``: Spark's readers take them for hidden."""
+    found = list(_levels(spark, root, "_*"))
+    return [f for f, folder in found if folder], [f for f, folder in found if not folder and f.endswith(".rb")]
+
+
+def _read_batches(batches):
+    """Texts of files by name, read where the names are."""
+    from pyarrow import fs
+
+    for batch in batches:
+        contents = []
+        for name in batch["path"]:
+            system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+            with system.open_input_stream(path) as stream:
+                contents.append(stream.read())
+        yield batch.assign(content=contents)
+
+
+def _read(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of all files below a directory; names that start with a dot stay hidden."""
+    folders, files = _unseen(spark, root)
+    read = lambda d: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select("path", "content")
+    out = read([root, *folders])
+    if files:
+        names_ = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files) // 64, 1024)))
+        out = out.unionAll(names_.mapInPandas(_read_batches, "path string, content binary"))
+    return out
+
+
 def load(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(path, text, role): Ruby sources are ``project`` or ``ignored``; declarations have their own roles."""
+    """(path, text, role): Ruby sources are ``project`` or ``ignored``; declarations have their own roles.
+
+    Files that the ignore files exclude are ``unloaded``: not checked, and no evidence but for what they redefine.
+    Of declarations only the nearest count, at the root or in the directories above it; those further
+    below belong to other projects.
+    """
     verify_root(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^.*?" + re.escape(base) + "/", "")
-    return classify(files.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text")), ignore)
+    fs, start = _hadoop(spark, root)
+    plain = lambda p: F.regexp_replace(p, "^[a-z0-9]+:/*(?=/)", "")
+    below = lambda d: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath().rstrip("/")
+    up = above(spark, root)
+    rel = lambda d: F.expr(f"substring(path, {len(below(d)) + 2})")
+    texts = lambda df, d, prefix: df.withColumn("path", plain(F.col("path"))).select(F.concat(F.lit(prefix), rel(d)).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    files = classify(texts(_read(spark, up[0]), up[0], ""), ignore)
+    for role, name in DECLARATIONS.items():
+        k = nearest(spark, root, name)
+        own = F.col("path").startswith(name) if k == 0 else F.lit(False)
+        other = F.when(F.col("path").rlike(r"\.rb$"), "project")
+        files = files.withColumn("role", F.when((F.col("role") == role) & ~own, other).otherwise(F.col("role")))
+        if k:
+            more = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{up[k]}/{name}")
+            found = texts(more.select("path", "content"), up[k], "../" * k).withColumn("role", F.lit(role))
+            files = files.unionByName(found if role != "rbi" else found.filter(F.col("path").rlike(r"\.rbi$")))
+    rows, prefix = rule_files(spark, root)
+    shown = F.concat(F.lit(prefix + "/" if prefix else ""), F.col("path"))
+    asked = files.filter("role in ('project', 'ignored')").select(shown.alias("path"))
+    gone = ignores.excluded(asked, ignores.rules(rows)).select(F.substring("path", len(prefix) + 2 if prefix else 1, 1 << 30).alias("path"), F.lit(True).alias("gone"))
+    role = F.when(F.col("gone") & F.col("role").isin("project", "ignored"), "unloaded").otherwise(F.col("role"))
+    return files.filter("role is not null").join(gone, "path", "left").withColumn("role", role).drop("gone")
 
 
 def classify(files: DataFrame, ignore: list[str] | None = None) -> DataFrame:

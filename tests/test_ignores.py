@@ -32,7 +32,7 @@ PATHS = ["a.rb", "b.tmp", "lib/a.rb", "lib/x/a.rb", "lib/x/keep.rb", "lib/x/y/z.
 PATHS.remove("doc/cache")
 RULES = [
     "*.tmp\n", "/build/\n", "build/\n", "lib/x\n!lib/x/keep.rb\n", "lib/x/*\n!lib/x/keep.rb\n", "old?.rb\n", "**/cache/**\n", "doc/**/q.rb\n", "lib/**/z.rb\n", "/**\n!/lib/\n", "**\n",
-    "a b.rb  \n", "end\\ \n", "# c\n\\#h.rb\n", "\\!n.rb\n", "w\\[1\\].rb\n", "w[[]1[]].rb\n", "[A-C].rb\n", "[!A-C].rb\n", "[^0-9].rb\n", "[[:digit:]].rb\n", "[[:alpha:]-].rb\n", "[z-a].rb\n", "[]a].rb\n", "[a\n", "a\\\n",
+    "a b.rb  \n", "end\\ \n", "# c\n\\#h.rb\n", "\\!n.rb\n", "w\\[1\\].rb\n", "w[[]1[]].rb\n", "[A-C].rb\n", "[!A-C].rb\n", "[^0-9].rb\n", "[[:digit:]].rb\n", "[[:alpha:]-].rb\n", "[z-a].rb\n", "[]a].rb\n", "[a\n", "[]\n", "[!].rb\n", "[!]].rb\n", "a\\\n",
     "star\\*.rb\n", "é.*\n", "?.rb\r\n", "*\n!*/\n!*.rb\n", "a.rb\n!a.rb\na.rb\n", "!a.rb\n", "*.rb/\n", "lib/\n!lib/\n", "lib/*/a.rb\n", "**/x/a.rb\n", "x/a.rb\n", "/*.rb\n", "/\n\n \n", "lib//a.rb\n", "***.rb\n",
 ]
 
