@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import names
-from factloom.operators import lattice, sequence
+from factloom.operators import ignores, lattice, sequence
 from factloom.plans.shop import keyed
 from factloom.plans.tables import read
 from factloom.sources import declarations, gems, project, rbs
@@ -274,3 +274,26 @@ def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = F.array(*(F.lit(x) for x in ("app/a.rb", "db/schema.rb", "db/structure.sql", "sorbet/rbi/gems/x.rbi", "Gemfile.lock", "vendor/v.rb", "app/readme.md", "skip/s.rb")))
     rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string"), F.lit("/")).alias("top"), F.explode(files).alias("file"))
     return project.classify(rows.select(F.concat("top", "file").alias("path"), F.lit("").alias("text")), ["skip"]).select("path", "role")
+
+
+@query(r"""
+WITH p AS (SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS b, p_type AS t, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) || '_' || p_partkey || '.rb' AS n FROM part)
+SELECT 'lib/' || b || '/' || t || '/' || w || '/' || n AS path,
+  t = 'LARGE' OR (t = 'PROMO' AND w = 'hot') OR (b % 2 = 1 AND t = 'SMALL' AND w <> 'red') OR (b % 5 = 0 AND t = 'ECONOMY')
+  OR CASE WHEN b % 2 = 0 THEN regexp_matches(n, '^bolt_.*7[.]rb$') WHEN regexp_matches(n, '^gear_[0-4].*[.]rb$') THEN true
+    WHEN regexp_matches(n, '^ring_.*[.]rb$') THEN false ELSE regexp_matches(n, '_.5[.]rb$') END AS excluded
+FROM p
+""")
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a tree its ignore files exclude: rules at the root and in every second level, some taken back, some for good."""
+    part = read(spark, sf_dir, "part")
+    brand = F.regexp_extract("p_brand", "[0-9]+", 0)
+    words = F.split("p_name", " ")
+    paths = part.select(F.concat(F.lit("lib/"), brand, F.lit("/"), "p_type", F.lit("/"), words[0], F.lit("/"), words[1], F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".rb")).alias("path"))
+    top = spark.range(1).select(F.lit(".gitignore").alias("path"), F.lit("# parts\n*_?5.rb\n/lib/*/LARGE/\nPROMO/hot/\n**/PROMO/hot/\n!ring_*.rb  \ngear_[0-4]*.rb\n").alias("text"))
+    own = part.select(brand.alias("b")).distinct()
+    odd = F.col("b").cast("int") % 2 == 1
+    below = own.select(F.concat(F.lit("lib/"), "b", F.lit("/.gitignore")).alias("path"), F.when(odd, "/SMALL/*\n!/SMALL/red/\n").otherwise("!*.rb\r\nbolt_*7.rb\r\n").alias("text"))
+    final = own.filter(F.col("b").cast("int") % 5 == 0).select(F.concat(F.lit("lib/"), "b", F.lit("/.ignore")).alias("path"), F.lit("ECONOMY").alias("text"))
+    gone = ignores.excluded(paths, ignores.rules(top.unionAll(below).unionAll(final)))
+    return paths.distinct().join(gone.withColumn("excluded", F.lit(True)), "path", "left").fillna(False, ["excluded"])
