@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import names
 from factloom.operators import ignores
+from factloom.plans.tables import cut
 from factloom.sources import declarations
 
 # Folders that hold no project code.
@@ -128,28 +129,30 @@ def load(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     below belong to other projects.
     """
     verify_root(spark, root)
-    fs, start = _hadoop(spark, root)
     plain = lambda p: F.regexp_replace(p, "^[a-z0-9]+:/*(?=/)", "")
     below = lambda d: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath().rstrip("/")
     up = above(spark, root)
     rel = lambda d: F.expr(f"substring(path, {len(below(d)) + 2})")
     texts = lambda df, d, prefix: df.withColumn("path", plain(F.col("path"))).select(F.concat(F.lit(prefix), rel(d)).alias("path"), F.decode("content", "UTF-8").alias("text"))
-    files = classify(texts(_read(spark, up[0]), up[0], ""), ignore)
-    for role, name in DECLARATIONS.items():
-        k = nearest(spark, root, name)
-        own = F.col("path").startswith(name) if k == 0 else F.lit(False)
+    raw = texts(_read(spark, up[0]), up[0], "").withColumn("outer", F.lit(None).cast("string"))
+    steps = {role: nearest(spark, root, name) for role, name in DECLARATIONS.items()}
+    for role, k in steps.items():
+        if k:
+            more = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{up[k]}/{DECLARATIONS[role]}")
+            raw = raw.unionByName(texts(more.select("path", "content"), up[k], "../" * k).withColumn("outer", F.lit(role)))
+    # Texts are read once; every later step reads the columns and roles it needs from this table.
+    raw = cut(raw.filter(F.col("path").rlike("|".join([r"\.rb$", *ROLES.values()]))), "tree")
+    files = classify(raw, ignore)
+    for role, k in steps.items():
+        own = F.col("path").startswith(DECLARATIONS[role]) if k == 0 else F.coalesce(F.col("outer") == role, F.lit(False))
         other = F.when(F.col("path").rlike(r"\.rb$"), "project")
         files = files.withColumn("role", F.when((F.col("role") == role) & ~own, other).otherwise(F.col("role")))
-        if k:
-            more = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{up[k]}/{name}")
-            found = texts(more.select("path", "content"), up[k], "../" * k).withColumn("role", F.lit(role))
-            files = files.unionByName(found if role != "rbi" else found.filter(F.col("path").rlike(r"\.rbi$")))
     rows, prefix = rule_files(spark, root)
     shown = F.concat(F.lit(prefix + "/" if prefix else ""), F.col("path"))
     asked = files.filter("role in ('project', 'ignored')").select(shown.alias("path"))
-    gone = ignores.excluded(asked, ignores.rules(rows)).select(F.substring("path", len(prefix) + 2 if prefix else 1, 1 << 30).alias("path"), F.lit(True).alias("gone"))
+    gone = cut(ignores.excluded(asked, ignores.rules(rows)), "excluded").select(F.substring("path", len(prefix) + 2 if prefix else 1, 1 << 30).alias("path"), F.lit(True).alias("gone"))
     role = F.when(F.col("gone") & F.col("role").isin("project", "ignored"), "unloaded").otherwise(F.col("role"))
-    return files.filter("role is not null").join(gone, "path", "left").withColumn("role", role).drop("gone")
+    return files.filter("role is not null").join(gone, "path", "left").select("path", "text", role.alias("role"))
 
 
 def classify(files: DataFrame, ignore: list[str] | None = None) -> DataFrame:
