@@ -6,7 +6,8 @@ census of calls on class objects (``dark``).  ``--core-inventory`` and ``--exten
 them.  ``--collection`` names a folder of the signatures of a project's libraries: their constants are known, and what
 they add to core classes is an extension.  The
 world is closed only where told, or where every locked gem is accounted for (``--gems``: a folder of
-installed gems as ``name-version``, next to the project's signature files).
+installed gems as ``name-version``, next to the project's signature files); what the sources of locked gems
+add or open is then known, and gems that the lock does not name are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +44,28 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", line, 1).alias("class"), F.regexp_extract("value", line, 2).alias("method"))
 
 
+GEM = r"^([^/]+)-(\d[^-/]*)[^/]*/"
+
+
+def locked_folders(spark: SparkSession, locks: DataFrame, folder: str) -> list[tuple[str, str]]:
+    """(folder, gem) of the installed gems that the lock names, with any platform after the version; no other is read."""
+    out = []
+    for r in locks.select("gem", "version").distinct().orderBy("gem", "version").collect():  # the lines of one lock file
+        out += [(d, r.gem) for d in project.folders(spark, folder, f"{r.gem}-{r.version}")]
+    return out
+
+
+def gem_sources(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Sources of the locked gems as files that are read and never checked; the signature runtime is not among them."""
+    locks = declarations.lock_entries(files.filter("role = 'lock'").select("path", "text"))
+    paths = [d for d, gem in locked_folders(spark, locks, folder) if not gem.startswith("sorbet")]
+    if not paths:
+        return files.limit(0)
+    rows = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.rb")
+    rest = F.substring(project.plain(F.col("_metadata.file_path")), len(project.plain_text(spark, folder)) + 2, 1 << 30)
+    return rows.select(F.concat(F.lit("gem:"), rest).alias("path"), F.col("value").alias("text"), F.lit("ignored").alias("role"))
+
+
 def evidence(spark: SparkSession, files: DataFrame, gem_folder: str | None) -> tuple[bool, str]:
     """Is every locked gem accounted for, and what says so?  Without a lock nothing is known, so the world stays open."""
     locks = declarations.lock_entries(files.filter("role = 'lock'").select("path", "text"))
@@ -52,10 +75,12 @@ def evidence(spark: SparkSession, files: DataFrame, gem_folder: str | None) -> t
     rbi = files.filter(F.col("path").rlike(shape)).select(F.regexp_extract("path", shape, 1).alias("gem"), F.regexp_extract("path", shape, 2).alias("version"))
     installed = spark.createDataFrame([], "gem string, version string, native boolean")
     if gem_folder:
-        name = r"([^/]+)-(\d[^-/]*)/"
-        paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(gem_folder).select("path")
-        found = paths.select(F.regexp_extract("path", name, 1).alias("gem"), F.regexp_extract("path", name, 2).alias("version"), F.col("path").rlike(r"(/ext/.*extconf\.rb|\.(so|bundle|c))$").alias("native"))
-        installed = found.filter("gem <> ''")
+        paths = [d for d, _ in locked_folders(spark, locks, gem_folder)]
+        if paths:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(project.plain(F.col("path")).alias("path"))
+            of = found.withColumn("path", F.expr(f"substring(path, {len(project.plain_text(spark, gem_folder)) + 2})"))
+            native = F.col("path").rlike(r"(/ext/.*extconf\.rb|\.(so|bundle|c))$")
+            installed = of.select(F.regexp_extract("path", GEM, 1).alias("gem"), F.regexp_extract("path", GEM, 2).alias("version"), native.alias("native"))
     if not declarations.runtime_locked(locks).first()[0]:
         return False, "the signature runtime is not locked"
     row = gems.evidence(gems.accounting(locks, rbi, spark.createDataFrame([], "gem string"), installed)).first()
@@ -83,6 +108,8 @@ def main(argv: list[str] | None = None) -> int:
         print(f"no such path: {e}", file=sys.stderr)
         return 2
     closed, why = (True, "as told") if args.closed_world else evidence(spark, files, args.gems)
+    if args.gems:
+        files = files.unionByName(gem_sources(spark, files, args.gems))
     hazards = gems.hazards(files.filter("role in ('ignored', 'rbi', 'unloaded')").select("path", "text"))
     if closed and not args.closed_world and hazards.limit(1).count():
         closed, why = False, "a file that is not checked redefines type tests"

@@ -40,6 +40,25 @@ def _text(spark: SparkSession, name: str) -> str:
         stream.close()
 
 
+def plain(path):
+    """A column of file names without scheme and host, as Spark's readers give them."""
+    return F.regexp_replace(path, "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+
+
+def plain_text(spark: SparkSession, name: str) -> str:
+    """A directory's full name without scheme and host."""
+    fs, path = _hadoop(spark, name)
+    return fs.makeQualified(path).toUri().getPath().rstrip("/")
+
+
+def folders(spark: SparkSession, above_: str, name: str) -> list[str]:
+    """Directories of that name, or of that name and a platform after a dash."""
+    fs, path = _hadoop(spark, above_)
+    found = [fs.makeQualified(_hadoop(spark, f"{above_}/{name}")[1])]
+    out = [p.toString() for p in found if fs.exists(p)]
+    return out + [s.getPath().toString() for s in fs.globStatus(_hadoop(spark, f"{above_}/{name}-*")[1]) or [] if s.isDirectory()]
+
+
 def verify_root(spark: SparkSession, root: str) -> None:
     """A missing root is an error before anything is planned."""
     if not _exists(spark, root):
@@ -129,10 +148,8 @@ def load(spark: SparkSession, root: str, ignore: list[str] | None = None) -> Dat
     below belong to other projects.
     """
     verify_root(spark, root)
-    plain = lambda p: F.regexp_replace(p, "^[a-z0-9]+:/*(?=/)", "")
-    below = lambda d: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d).toUri().getPath().rstrip("/")
     up = above(spark, root)
-    rel = lambda d: F.expr(f"substring(path, {len(below(d)) + 2})")
+    rel = lambda d: F.expr(f"substring(path, {len(plain_text(spark, d)) + 2})")
     texts = lambda df, d, prefix: df.withColumn("path", plain(F.col("path"))).select(F.concat(F.lit(prefix), rel(d)).alias("path"), F.decode("content", "UTF-8").alias("text"))
     raw = texts(_read(spark, up[0]), up[0], "").withColumn("outer", F.lit(None).cast("string"))
     steps = {role: nearest(spark, root, name) for role, name in DECLARATIONS.items()}

@@ -45,3 +45,17 @@ def test_below_a_repository(spark, tmp_path):
     assert [r.text for r in project.load(spark, str(tmp_path / "one" / "app")).filter("role = 'schema_rb'").collect()] == ["near"]
     tree(tmp_path, {"one/2/3/4/5/a.rb": ""})
     assert roles(spark, tmp_path / "one/2/3/4/5") == {"a.rb": "project"}
+
+
+def test_gem_sources_of_the_lock(spark, tmp_path, capsys):
+    """Core classes that a locked gem touches are silent; those that only gems outside the lock touch are not."""
+    from factloom import cli
+
+    lock = "GEM\n  remote: https://example.org/\n  specs:\n    more (1.2)\n    sorbet-runtime (0.5)\n\nPLATFORMS\n  ruby\n"
+    tree(tmp_path / "app", {"a.rb": "class A\n  def run\n    'x'.added\n    5.other\n    More::Part\n  end\nend\n", "Gemfile.lock": lock})
+    tree(tmp_path / "gems", {"more-1.2-java/lib/more.rb": "module More\n  class Part\n  end\nend\nclass String\n  def added; end\nend\n", "sorbet-runtime-0.5/lib/t.rb": "module T\nend\n", "other-2.0/lib/o.rb": "class Integer\n  def other; end\nend\n", "more-1.20/lib/bad.rb": "class Integer\n  def other; end\nend\n"})
+    (tmp_path / "core").write_text("String#upcase\nInteger#abs\n")
+    status = cli.main(["check", str(tmp_path / "app"), "--format", "json", "--stats", "--core-inventory", str(tmp_path / "core"), "--gems", str(tmp_path / "gems")])
+    out = capsys.readouterr().out
+    assert "world: closed (every locked gem is accounted for)" in out
+    assert status == 1 and "`other`" in out and "`added`" not in out and "More::Part" not in out
