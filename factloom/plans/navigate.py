@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import terms
+from factloom.operators import resolve, terms
 
 
 def offsets(positions: DataFrame, sources: DataFrame) -> DataFrame:
@@ -31,21 +31,17 @@ def definition(program, positions: DataFrame) -> DataFrame:
     refs = program.table("const_refs")
     first = program.table("fragments").groupBy("class_path").agg(F.min(F.struct("path", "start")).alias("b"))
     consts = refs.join(program.to_class(), ["name", "nesting"]).join(first, "class_path").select("path", "start", "end", F.col("b.path").alias("def_path"), F.col("b.start").alias("def_start"), F.col("class_path").alias("name"))
-    spans = calls.unionByName(consts)
-    hit = at.join(spans, "path", "left").withColumn("in", F.col("offset").between(F.col("start"), F.col("end")))
-    keys = [*positions.columns, "offset"]
-    best = hit.groupBy(*keys).agg(F.min(F.when(F.col("in"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", "def_path", "def_start", "name"))).alias("b"))
-    return best.select(*keys, F.col("b.name").alias("name"), F.col("b.def_path").alias("def_path"), F.col("b.def_start").alias("def_start"))
+    spans = calls.unionByName(consts).select("path", "start", "end", F.struct("def_path", "def_start", "name").alias("b"))
+    best = resolve.point_in_span(at.distinct(), spans, "path", "offset", "start", "end", "b")
+    return best.select(*positions.columns, "offset", F.col("b.name").alias("name"), F.col("b.def_path").alias("def_path"), F.col("b.def_start").alias("def_start"))
 
 
 def hover(program, positions: DataFrame) -> DataFrame:
     """The type of the smallest expression at each position; null where it is unknown."""
     at = offsets(positions, program.project)
     exprs = program.table("exprs").filter("end > start").join(program.types.filter("type <> 'untyped'"), "id").select("path", "start", "end", terms.render(F.col("type")).alias("type"))
-    hit = at.join(exprs, "path", "left").withColumn("in", F.col("offset").between(F.col("start"), F.col("end")))
-    keys = [*positions.columns, "offset"]
-    best = hit.groupBy(*keys).agg(F.min(F.when(F.col("in"), F.struct((F.col("end") - F.col("start")).alias("w"), "start", "type"))).alias("b"))
-    return best.select(*keys, F.col("b.type").alias("type"))
+    best = resolve.point_in_span(at.distinct(), exprs, "path", "offset", "start", "end", "type")
+    return best.select(*positions.columns, "offset", "type")
 
 
 def super_target(program, methods: DataFrame) -> DataFrame:
