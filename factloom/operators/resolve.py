@@ -138,21 +138,32 @@ def candidate_intersection(calls: DataFrame, providers: DataFrame, group: str, n
 
     Fewer than two needs prove nothing; a need nobody answers proves nothing; an empty
     intersection is a contradiction; one provider is inferred, two to four are a union.
+    Groups with the same needs have the same answer, and providers of the same offers answer alike: one of each
+    kind is asked, and counts for all.  Kinds are told by the number and two 64-bit hashes of their members.
     """
-    offers = providers.select(need, F.col(provider).alias("__by")).distinct()
+    kind = [F.count("*").alias("__size"), F.bit_xor(F.xxhash64(need)).alias("__h1"), F.bit_xor(F.xxhash64(F.lit(1), F.col(need))).alias("__h2")]
+    same = ["__size", "__h1", "__h2"]
+    every = calls.select(group, need).distinct()
+    groups = cut(every.groupBy(group).agg(*kind), "groups")
+    asked = groups.groupBy(*same).agg(F.min(group).alias(group))
+    wanted = cut(every.join(asked.select(group), group, "left_semi"), "wanted")
+    offers = cut(providers.select(need, F.col(provider).alias("__by")).distinct().join(wanted.select(need).distinct(), need, "left_semi"), "offers")
+    alike = offers.groupBy("__by").agg(*kind).groupBy(*same).agg(F.min("__by").alias("__by"), F.count("*").alias("__many")).select("__by", "__many")
+    offers = cut(offers.join(alike, "__by"), "kinds")
     count = offers.groupBy(need).agg(F.count("*").alias("__n"))
-    wants = calls.select(group, need).distinct().join(count, need, "left")
-    wants = cut(wants, "wants")
+    wants = cut(wanted.join(count, need, "left"), "wants")
     size = wants.groupBy(group).agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.min(F.struct("__n", need)).alias("__rare"))
     whole = size.filter(F.col("answered") == F.col("needs"))
     # Whoever answers everything answers the rarest need: only its providers are tried on the others.
     tried = whole.select(group, "needs", F.col(f"__rare.{need}").alias("__need"))
     start = tried.join(offers.withColumnRenamed(need, "__need"), "__need")
     rest = wants.join(tried.filter("needs > 1").select(group, "__need"), group).filter(F.col(need) != F.col("__need")).select(group, need)
-    met = start.filter("needs > 1").select(group, "__by", "needs").join(rest, group).join(offers, [need, "__by"], "left_semi")
-    able = met.groupBy(group, "__by").agg(F.count("*").alias("__k"), F.first("needs").alias("needs")).filter("__k = needs - 1").select(group)
-    able = able.unionAll(start.filter("needs = 1").select(group)).groupBy(group).agg(F.count("*").alias("candidates"))
-    got = size.drop("__rare").join(able, group, "left").fillna(0, ["candidates"])
+    met = start.filter("needs > 1").select(group, "__by", "__many", "needs").join(rest, group).join(offers.select(need, "__by"), [need, "__by"], "left_semi")
+    able = met.groupBy(group, "__by").agg(F.count("*").alias("__k"), F.first("needs").alias("needs"), F.first("__many").alias("__many")).filter("__k = needs - 1").select(group, "__many")
+    able = able.unionAll(start.filter("needs = 1").select(group, "__many")).groupBy(group).agg(F.sum("__many").alias("candidates"))
+    told = size.drop("__rare").join(able, group, "left").fillna(0, ["candidates"])
+    told = told.join(groups, group).drop(group)
+    got = groups.join(told, same).select(group, "needs", "answered", "candidates")
     outcome = F.when((F.col("needs") < 2) | (F.col("answered") < F.col("needs")), "nothing").when(F.col("candidates") == 0, "contradiction").when(F.col("candidates") == 1, "inferred").when(F.col("candidates") <= 4, "union").otherwise("nothing")
     return got.withColumn("outcome", outcome)
 
