@@ -98,38 +98,50 @@ def point_in_span(points: DataFrame, spans: DataFrame, key: str, at: str, start:
     return got.select(*points.columns, F.col("__hit.name").alias(name), F.col("__hit.s").alias(start), F.col("__hit.e").alias(end))
 
 
-def suggest(misses: DataFrame, names: DataFrame, typo: str, name: str, within: int = 2, scope: list[str] | None = None) -> DataFrame:
+def suggest(misses: DataFrame, names: DataFrame, typo: str, name: str, within: int = 2, scope: list[str] | None = None, hub: bool = False) -> DataFrame:
     """The closest other name within an edit distance, ties by name; misses without one stay.
 
-    Without a scope, candidates meet on shared deletion variants of the first
-    characters' neighbourhood: two words within distance d agree after deleting at
-    most d characters each, so an equi join on deletion variants finds all of them
-    and no product of the two sides is made.
+    Without a scope, or in one that may have very many names (``hub``), candidates meet on shared deletion
+    variants: two words within distance d agree after deleting at most d characters each, so an
+    equi join on them finds all and no product of the two sides is made.  The nearest words are
+    asked first: a miss that has one takes no part in the next distance, where there are many more variants.
     """
     keys = scope or []
 
-    def variants(col: str) -> Column:
+    def variants(col: str, most: int) -> Column:
         c = F.col(col)
         size = F.length(c)
         drop = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, size)))
         out = F.array(c)
         layer = F.array(c)
-        for _ in range(within):
+        for _ in range(most):
             layer = F.array_distinct(F.flatten(F.transform(layer, drop)))
             out = F.concat(out, layer)
         return F.array_distinct(out)
 
+    def nearest(pairs: DataFrame, most: int) -> DataFrame:
+        near = pairs.withColumn("__d", F.levenshtein(F.col(typo), F.col("__name"), most)).filter((F.col("__d") >= 1) & (F.col(typo) != F.col("__name")))
+        return near.groupBy(*keys, typo).agg(F.min(F.struct("__d", "__name")).alias("b"))
+
     left = misses.select(*keys, typo).distinct().filter(F.col(typo).isNotNull())
     right = names.select(*keys, F.col(name).alias("__name")).distinct().filter("__name is not null")
-    if scope:
-        pairs = left.join(right, keys)
+    if scope and not hub:
+        best = nearest(left.join(right, keys), within)
     else:
-        a = left.withColumn("__v", F.explode(variants(typo)))
-        b = right.withColumn("__v", F.explode(variants("__name")))
-        pairs = a.join(b, "__v").select(typo, "__name").distinct()
-    distance = F.levenshtein(F.col(typo), F.col("__name"), within)
-    near = pairs.withColumn("__d", distance).filter((F.col("__d") >= 1) & (F.col(typo) != F.col("__name")))
-    best = near.groupBy(*keys, typo).agg(F.min(F.struct("__d", "__name")).alias("b")).select(*keys, typo, F.col("b.__name").alias("suggestion"), F.col("b.__d").cast("long").alias("distance"))
+        left, best = cut(left, "typos"), None
+        right = cut(right, "names")
+        for most in range(1, within + 1):
+            # No name is near whose length is not that of a typo, give or take: a few dozen lengths.
+            sizes = left.select(*keys, F.explode(F.sequence(F.length(typo) - most, F.length(typo) + most)).alias("__size")).distinct()
+            able = right.withColumn("__size", F.length("__name")).join(sizes, [*keys, "__size"], "left_semi").drop("__size")
+            # A name becomes very many rows, which no estimate knows: they are never broadcast.
+            spread = able.withColumn("__v", F.explode(variants("__name", most))).hint("merge")
+            found = nearest(left.withColumn("__v", F.explode(variants(typo, most))).join(spread, [*keys, "__v"]), most)
+            best = found if best is None else best.unionAll(found)
+            if most < within:
+                best = cut(best, "near")
+                left = left.join(best.select(*keys, typo), [*keys, typo], "left_anti")
+    best = best.select(*keys, typo, F.col("b.__name").alias("suggestion"), F.col("b.__d").cast("long").alias("distance"))
     return misses.join(best, [*keys, typo], "left")
 
 

@@ -71,7 +71,7 @@ def undefined_core_methods(p) -> DataFrame:
         rows = rows.filter("recv_kind = 'literal'")
     always = p._answered().filter("not singleton").select("name").distinct()
     miss = rows.join(covered, "recv_type", "left_semi").join(opened, "recv_type", "left_anti").join(names_.distinct(), ["recv_type", "name"], "left_anti").join(always, "name", "left_anti")
-    with_names = resolve.suggest(miss.select("path", "start", "end", "recv_type", "name"), names_.withColumnRenamed("name", "candidate").distinct(), "name", "candidate", scope=["recv_type"])
+    with_names = resolve.suggest(miss.select("path", "start", "end", "recv_type", "name"), names_.withColumnRenamed("name", "candidate").distinct(), "name", "candidate", scope=["recv_type"], hub=True)
     return _row(with_names, "E0101", F.concat(F.lit("undefined method `"), "name", F.lit("` for `"), "recv_type", F.lit("`")), suggestion=F.col("suggestion"))
 
 

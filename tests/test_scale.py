@@ -6,6 +6,20 @@ from factloom.operators import resolve
 from factloom.plans.tables import cut
 
 
+def test_suggestions_in_a_scope_of_very_many_names(spark):
+    names = spark.range(3000).select(F.lit("String").alias("c"), F.concat(F.lit("only"), F.col("id").cast("string")).alias("n"))
+    misses = names.select("c", F.regexp_replace("n", "only", "onlyy").alias("w")).unionAll(spark.createDataFrame([("String", "oly12x"), ("String", "far_away"), ("Other", "only1")], "c string, w string"))
+    got = resolve.suggest(misses, names, "w", "n", scope=["c"], hub=True)
+    # Variants are rows that no estimate knows: the side that makes them is not sent to the driver.
+    assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.c, r.w): (r.suggestion, r.distance) for r in got.collect()}
+    assert len(rows) == 3003
+    for k in range(3000):
+        near = [f"only{k}"] + [f"only{d}{k}" for d in range(1, 10) if int(f"{d}{k}") < 3000]
+        assert rows["String", f"onlyy{k}"] == (min(near), 1)
+    assert rows["String", "oly12x"] == ("only12", 2) and rows["String", "far_away"] == (None, None) and rows["Other", "only1"] == (None, None)
+
+
 def test_candidates_of_one_kind_are_asked_once(spark, monkeypatch):
     seen = {}
 
