@@ -6,6 +6,12 @@ from factloom.operators import resolve
 from factloom.plans.tables import cut
 
 
+def test_tables_are_estimated_by_their_rows(spark):
+    table = cut(spark.range(20_000).select(F.concat(F.lit("shop/supplier"), F.col("id").cast("string"), F.lit(".rb")).alias("path"), F.lit("Integer").alias("type")), "estimate")
+    held = table.agg(F.sum(F.length("path") + F.length("type"))).first()[0]
+    assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > held
+
+
 def test_suggestions_in_a_scope_of_very_many_names(spark):
     names = spark.range(3000).select(F.lit("String").alias("c"), F.concat(F.lit("only"), F.col("id").cast("string")).alias("n"))
     misses = names.select("c", F.regexp_replace("n", "only", "onlyy").alias("w")).unionAll(spark.createDataFrame([("String", "oly12x"), ("String", "far_away"), ("Other", "only1")], "c string, w string"))
