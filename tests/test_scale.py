@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import resolve
 from factloom.plans.tables import cut
+from factloom.sources import facts
 
 
 def test_tables_are_estimated_by_their_rows(spark):
@@ -12,6 +13,15 @@ def test_tables_are_estimated_by_their_rows(spark):
     assert int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > held
 
 
+def test_facts_of_a_batch_are_made_in_runs(spark):
+    texts = ["x" * n for n in (0, 10, 700_000, 10, 400_000, 200_000)] + [None] * 1200
+    bounds = list(facts.slices(texts))
+    assert [k for lo, hi in bounds for k in range(lo, hi)] == list(range(len(texts)))
+    for lo, hi in bounds:
+        assert hi - lo <= 500 and (hi - lo == 1 or sum(len(t or "") for t in texts[lo:hi]) <= 500_000)
+    assert list(facts.slices([])) == []
+
+
 def test_suggestions_in_a_scope_of_very_many_names(spark):
     names = spark.range(3000).select(F.lit("String").alias("c"), F.concat(F.lit("only"), F.col("id").cast("string")).alias("n"))
     misses = names.select("c", F.regexp_replace("n", "only", "onlyy").alias("w")).unionAll(spark.createDataFrame([("String", "oly12x"), ("String", "far_away"), ("Other", "only1")], "c string, w string"))
