@@ -156,6 +156,10 @@ def candidate_intersection(calls: DataFrame, providers: DataFrame, group: str, n
     kind = [F.count("*").alias("__size"), F.bit_xor(F.xxhash64(need)).alias("__h1"), F.bit_xor(F.xxhash64(F.lit(1), F.col(need))).alias("__h2")]
     same = ["__size", "__h1", "__h2"]
     every = calls.select(group, need).distinct()
+    # What has no key meets nobody.
+    answered = providers.select(need).distinct().withColumn("__n", F.lit(True))
+    lost = every.filter(F.col(group).isNull()).join(answered, need, "left").groupBy(group).agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.lit(0).cast("long").alias("candidates"))
+    every = every.filter(F.col(group).isNotNull())
     groups = cut(every.groupBy(group).agg(*kind), "groups")
     asked = groups.groupBy(*same).agg(F.min(group).alias(group))
     wanted = cut(every.join(asked.select(group), group, "left_semi"), "wanted")
@@ -175,7 +179,7 @@ def candidate_intersection(calls: DataFrame, providers: DataFrame, group: str, n
     able = able.unionAll(start.filter("needs = 1").select(group, "__many")).groupBy(group).agg(F.sum("__many").alias("candidates"))
     told = size.drop("__rare").join(able, group, "left").fillna(0, ["candidates"])
     told = told.join(groups, group).drop(group)
-    got = groups.join(told, same).select(group, "needs", "answered", "candidates")
+    got = groups.join(told, same).select(group, "needs", "answered", "candidates").unionAll(lost)
     outcome = F.when((F.col("needs") < 2) | (F.col("answered") < F.col("needs")), "nothing").when(F.col("candidates") == 0, "contradiction").when(F.col("candidates") == 1, "inferred").when(F.col("candidates") <= 4, "union").otherwise("nothing")
     return got.withColumn("outcome", outcome)
 

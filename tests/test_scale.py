@@ -54,3 +54,10 @@ def test_candidates_of_one_kind_are_asked_once(spark, monkeypatch):
     want = [(2, 2, n, "nothing"), (2, 2, 0, "contradiction"), (2, 2, 2, "union")]
     assert got == {f"g{k}": want[k % 3] for k in range(n)}
     assert seen["wants"] == 6
+
+
+def test_candidates_of_a_group_without_a_key(spark):
+    calls = spark.createDataFrame([(None, "a"), (None, "b"), ("one", "a"), ("one", "b")], "g string, need string")
+    offers = spark.createDataFrame([("a", "P"), ("b", "P")], "need string, p string")
+    got = {r.g: tuple(r)[1:] for r in resolve.candidate_intersection(calls, offers, "g", "need", "p").collect()}
+    assert got == {None: (2, 2, 0, "contradiction"), "one": (2, 2, 1, "inferred")}
