@@ -11,6 +11,7 @@ from factloom.functions import core
 from factloom.functions import names as text
 from factloom.operators import resolve, sequence
 from factloom.plans.surfaces import core_chain
+from factloom.plans.tables import cut, small
 
 _COLUMNS = ["path", "start", "end", "code", "severity", "message", "suggestion"]
 
@@ -30,11 +31,11 @@ def undefined_methods(p) -> DataFrame:
     """E0101, with the closest name the ancestry has."""
     miss = p.sites.filter("verdict = 'not_found' and not silent").withColumn("of_class", F.col("recv_type").startswith("Class["))
     own = p.methods.filter("not singleton").select(F.col("class_path").alias("node"), F.col("name").alias("candidate"))
-    of_instances = p.mro.join(own, "node").select(F.col("root").alias("class_path"), F.lit(False).alias("of_class"), "candidate")
+    wanted = small(cut(miss.select("class_path", "of_class").distinct(), "misses"))
+    of_instances = p.along(wanted.filter("not of_class"), p.orders).join(own, "node").select("class_path", "of_class", "candidate")
     single = p.methods.filter("singleton").select(F.col("class_path").alias("node"), F.col("name").alias("candidate"))
-    of_classes = p.chain.join(single, "node").select(F.col("root").alias("class_path"), F.lit(True).alias("of_class"), "candidate")
-    wanted = miss.select("class_path", "of_class").distinct()
-    names_ = of_instances.unionAll(of_classes).join(wanted, ["class_path", "of_class"], "left_semi").distinct()
+    of_classes = p.along(wanted.filter("of_class"), p.chains).join(single, "node").select("class_path", "of_class", "candidate")
+    names_ = of_instances.unionAll(of_classes)
     with_names = resolve.suggest(miss, names_, "name", "candidate", scope=["class_path", "of_class"])
     kind = F.when(F.col("of_class"), "class ").otherwise("")
     return _row(with_names, "E0101", F.concat(F.lit("undefined method `"), "name", F.lit("` for "), kind, F.lit("`"), "class_path", F.lit("`")), suggestion=F.col("suggestion"))
@@ -140,17 +141,18 @@ def broken_returns(p) -> DataFrame:
 def unresolved_constants(p) -> DataFrame:
     """E0104: a chain of anti joins; any evidence silences."""
     refs = p.table("const_refs").withColumn("bare", F.regexp_replace("name", "^::", ""))
-    found = p.lexical(refs)
-    rest = refs.join(found.select("name", "nesting"), ["name", "nesting"], "left_anti")
+    # What the program defines is most of it: the rest is a table, in which every look-up below is asked for what is left only.
+    rest = cut(refs.join(p.resolved, ["name", "nesting"], "left_anti"), "unfound")
     spark = p.spark
     first = F.substring_index("bare", "::", 1)
-    always = spark.createDataFrame([(x,) for x in [*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS]], "head string")
+    always = F.broadcast(spark.createDataFrame([(x,) for x in [*core.CORE_CONSTANTS, *core.LIBRARY_CONSTANTS]], "head string"))
     rest = rest.withColumn("head", first).join(always, "head", "left_anti")
     # Inherited constants exist: innermost scope's ancestors.
     # A name from the root has no scope.
     scope = F.element_at(F.when(F.size("nesting") > 0, F.col("nesting")).otherwise(F.array(F.lit(""))), -1)
     inner = rest.withColumn("root", F.when(~F.col("name").startswith("::"), scope))
-    through = inner.select("name", "nesting", "root", "bare").distinct().join(p.mro.select("root", "node"), "root").withColumn("candidate", text.join_path(F.col("node"), F.col("bare"))).join(p.known.select(F.col("name").alias("candidate")), "candidate", "left_semi")
+    scoped = small(cut(inner.select("name", "nesting", F.col("root").alias("class_path"), "bare").distinct(), "scoped"))
+    through = p.along(scoped, p.orders).withColumn("candidate", text.join_path(F.col("node"), F.col("bare"))).join(p.known.select(F.col("name").alias("candidate")), "candidate", "left_semi")
     rest = inner.join(through.select("name", "nesting").distinct(), ["name", "nesting"], "left_anti")
     # A scope whose ancestry is not closed may have it.
     rest = rest.join(p.incomplete.select(F.col("class_path").alias("root")), "root", "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from factloom.functions import core
 from factloom.functions import names as text
 from factloom.operators import resolve, terms
-from factloom.plans.tables import Log, cut, drop, together
+from factloom.plans.tables import FEW, Log, cut, drop, small, together
 from factloom.sources import facts as source_facts
 
 UNTYPED = terms.UNTYPED
@@ -151,61 +151,96 @@ class Program:
     @cached_property
     def _direct(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Edges (node, slot, target), extend edges (node, ord, target), and nodes with an edge that is not known."""
-        frag = self.table("fragments").filter("superclass is not null").select(F.col("class_path").alias("node"), F.col("superclass").alias("name"), "nesting").distinct()
+        frag = self.table("fragments").filter("superclass is not null").select(F.col("class_path").alias("node"), F.col("superclass").alias("name"), "nesting")
         parents = frag.filter(~F.regexp_replace("name", "^::", "").isin(*core.ROOTS)).join(self.to_class(), ["name", "nesting"], "left")
-        conflict = parents.groupBy("node").agg(F.count_distinct("class_path").alias("n")).filter("n > 1").select("node")
+        # All that is asked of the superclasses a class names, in one pass.
+        named, other = F.col("class_path"), F.when(F.col("class_path") != F.col("node"), F.col("class_path"))
+        parents = cut(parents.groupBy("node").agg(F.min(other).alias("c"), (F.count_if(other.isNull()) > 0).alias("vague"), (F.min(named) != F.max(named)).alias("conflict")), "parents")
         mix = self.table("mixins").select(F.col("class_path").alias("node"), "kind", F.col("target").alias("name"), "nesting", "path", "ord")
-        mixed = mix.filter(~F.regexp_replace("name", "^::", "").isin(*core.SIGNATURE_MODULES)).join(self.to_class(), ["name", "nesting"], "left")
+        mix = mix.filter(~F.regexp_replace("name", "^::", "").isin(*core.SIGNATURE_MODULES))
+        spelt = self.to_class().join(small(cut(mix.select("name", "nesting").distinct(), "mixed-names")), ["name", "nesting"], "left_semi")
+        mixed = cut(mix.join(spelt, ["name", "nesting"], "left"), "mixed")
         # `class Scope < Scope` names an inherited class, before the new one is there.
-        unknown = parents.filter("class_path is null or class_path = node").select("node").unionAll(mixed.filter("class_path is null").select("node")).unionAll(conflict).distinct()
+        unknown = parents.filter("vague or conflict").select("node").unionAll(mixed.filter("class_path is null").select("node")).distinct()
         later = F.row_number().over(Window.partitionBy("node", "kind").orderBy(F.desc("path"), F.desc("ord")))
         ranked = mixed.filter("class_path is not null").withColumn("r", later)
         edges = ranked.filter("kind = 'include'").select("node", F.col("r").cast("long").alias("slot"), F.col("class_path").alias("target"))
         edges = edges.unionAll(ranked.filter("kind = 'prepend'").select("node", (F.col("r") - 1_000_000).cast("long"), "class_path"))
-        edges = edges.unionAll(parents.filter("class_path is not null and class_path <> node").groupBy("node").agg(F.min("class_path").alias("c")).select("node", F.lit(1_000_000).cast("long"), "c"))
+        # These are one row for each class already.
+        above = parents.filter("c is not null").select("node", F.lit(1_000_000).cast("long").alias("slot"), F.col("c").alias("target"))
         extends = ranked.filter("kind = 'extend'").select("node", F.col("r").cast("long").alias("ord"), F.col("class_path").alias("target"))
-        return tuple(together(lambda: cut(edges.distinct(), "edges"), lambda: cut(extends.distinct(), "extends"), lambda: cut(unknown, "unknown")))
+        return tuple(together(lambda: cut(edges.distinct().unionAll(above), "edges"), lambda: cut(extends.distinct(), "extends"), lambda: cut(unknown, "unknown")))
 
     def _order(self, edges: DataFrame) -> DataFrame:
-        """(root, node, rank): all that is reached over the edges, in the order in which methods are looked up.
+        """(root, nodes, steps, own): all that is reached over the edges, in the order in which methods are looked up, and where in it the class itself is.
 
         What a class prepends comes before it, then itself, what it includes and its superclass, each with
         its own order in it.  Steps double in each round, so chains of any length take few rounds: the
         best way to a node further than 2^k steps has its 2^k-th node in the last round's order, and the place
-        of a node reached through it is that one's place, then the place relative to it.  A pair is one row
-        in every round, whatever the number of ways between two classes.
+        of a node reached through it is that one's place, then the place relative to it.  A class is one row
+        in every round, whatever the number of ways between two classes: its order is an array, which takes
+        a fraction of what a row for each of its members does in a shuffle.
         """
-        place = Window.partitionBy("root").orderBy("a", "b")
-        own = self.classes.select(F.col("class_path").alias("root"), F.col("class_path").alias("node"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("steps"))
-        first = edges.filter("node <> target").select(F.col("node").alias("root"), F.col("target").alias("node"), F.col("slot").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(1).alias("steps"))
-        reach = 1
-        known = first.groupBy("root", "node").agg(F.min(F.struct("a", "b", "steps")).alias("x")).select("root", "node", "x.*")
-        known = cut(own.unionAll(known).withColumn("rank", F.row_number().over(place).cast("long")).select("root", "node", "rank", "steps"), "order")
-        limit = max(self.classes.count(), 1)
+        way = "array<struct<node: string, a: bigint, b: bigint, steps: int>>"
+
+        def ordered(rows: DataFrame) -> DataFrame:
+            """The best way to each node of ``ways``, in order."""
+            rows = rows.select("root", F.array_sort("ways").alias("ways"))
+            before = F.concat(F.array(F.lit(None).cast("string")), F.slice("ways.node", F.lit(1), F.size("ways") - 1))
+            rows = rows.select("root", F.arrays_zip("ways", before.alias("before")).alias("ways"))
+            best = F.filter("ways", lambda x: x["before"].isNull() | (x["before"] != x["ways"]["node"]))
+            rows = rows.select("root", F.array_sort(F.transform(best, lambda x: F.struct(x["ways"]["a"].alias("a"), x["ways"]["b"].alias("b"), x["ways"]["node"].alias("node"), x["ways"]["steps"].alias("steps")))).alias("ways"))
+            rows = rows.select("root", F.col("ways.node").alias("nodes"), F.col("ways.steps").alias("steps"))
+            return rows.select("root", "nodes", "steps", F.nullif(F.array_position("nodes", F.col("root")), F.lit(0)).cast("int").alias("own"))
+
+        no = F.lit(0).cast("long")
+        own = self.classes.select(F.col("class_path").alias("root"), F.struct(F.col("class_path").alias("node"), no.alias("a"), no.alias("b"), F.lit(0).alias("steps")).alias("way"))
+        first = edges.filter("node <> target").select(F.col("node").alias("root"), F.struct(F.col("target").alias("node"), F.col("slot").alias("a"), no.alias("b"), F.lit(1).alias("steps")).alias("way"))
+        known = cut(ordered(own.unionAll(first).filter("root is not null").groupBy("root").agg(F.collect_list("way").alias("ways"))), "order")
+        limit, reach = max(self.classes.count(), 1), 1
         # A cycle of classes would let ways grow for ever; no way has more steps than there are classes.
-        while reach < limit and known.filter(F.col("steps") == reach).limit(1).count():
-            far = known.filter(F.col("steps") == reach).select("root", F.col("node").alias("via"), F.col("rank").alias("a"))
-            zero = known.filter("root = node").select("root", F.col("rank").alias("zero"))
-            inner = known.filter("root <> node").join(zero, "root").select(F.col("root").alias("via"), "node", (F.col("rank") - F.col("zero")).alias("b"), (F.col("steps") + reach).alias("steps"))
-            more = far.join(inner, "via").filter("root <> node").select("root", "node", "a", "b", "steps")
-            every = known.select("root", "node", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b"), "steps").unionAll(more)
-            best = every.groupBy("root", "node").agg(F.min(F.struct("a", "b", "steps")).alias("x")).select("root", "node", "x.*")
-            new = cut(best.withColumn("rank", F.row_number().over(place).cast("long")).select("root", "node", "rank", "steps"), "order")
+        while reach < limit and known.filter(F.array_contains("steps", reach)).limit(1).count():
+            # Both joins read the same rows by the same key: one exchange.
+            have = known.filter("root is not null").repartition("root")
+            far = known.select("root", F.posexplode(F.arrays_zip("nodes", "steps")).alias("a", "x")).filter(F.col("x.steps") == reach).select("root", F.col("a").cast("long").alias("a"), F.col("x.nodes").alias("via"))
+            inner = have.select(F.col("root").alias("via"), "nodes", "steps", "own")
+            through = far.join(inner, "via").filter("own is not null").select("root", F.struct("a", "nodes", "steps", "own").alias("x"))
+            through = through.groupBy("root").agg(F.collect_list("x").alias("through"))
+            old = F.transform(F.arrays_zip("nodes", "steps"), lambda x, k: F.struct(x["nodes"].alias("node"), k.cast("long").alias("a"), no.alias("b"), x["steps"].alias("steps")))
+            beyond = lambda t: F.transform(F.arrays_zip(t["nodes"].alias("nodes"), t["steps"].alias("steps")), lambda x, k: F.struct(x["nodes"].alias("node"), t["a"].alias("a"), (k + 1 - t["own"]).cast("long").alias("b"), (x["steps"] + reach).alias("steps")))
+            more = F.flatten(F.transform(F.coalesce("through", F.array().cast(through.schema["through"].dataType)), beyond))
+            more = F.filter(more, lambda x: (x["b"] != 0) & (x["node"] != F.col("root")))
+            every = have.join(through, "root", "left").select("root", F.concat(old.cast(way), more.cast(way)).alias("ways"))
+            new = cut(ordered(every), "order")
             drop(known)
             known, reach = new, reach * 2
-        return known.select("root", "node", "rank")
+        return known
 
     @cached_property
-    def mro(self) -> DataFrame:
+    def orders(self) -> DataFrame:
         return self._order(self._direct[0])
 
     @cached_property
-    def chain(self) -> DataFrame:
+    def mro(self) -> DataFrame:
+        """(root, node, rank): the orders as rows."""
+        return _ranks(self.orders)
+
+    @cached_property
+    def chains(self) -> DataFrame:
         """Superclasses only: where class-level methods are looked up; without a mixin that is the whole order."""
         if not self._direct[0].filter("slot <> 1000000").limit(1).count():
-            return self.mro
+            return self.orders
         return self._order(self._direct[0].filter("slot = 1000000"))
 
+    @cached_property
+    def chain(self) -> DataFrame:
+        return _ranks(self.chains)
+
+    def along(self, rows: DataFrame, orders: DataFrame) -> DataFrame:
+        """The rows, with ``class_path``, for each (node, rank) of its order: only what is asked for becomes rows."""
+        asked = rows.join(orders.select(F.col("root").alias("class_path"), "nodes"), "class_path")
+        return asked.select(*rows.columns, F.posexplode("nodes").alias("rank", "node")).withColumn("rank", F.col("rank").cast("long") + 1)
+
     @cached_property
     def incomplete(self) -> DataFrame:
         """(class_path): classes whose ancestry has an open class or an unknown edge."""
@@ -214,11 +249,11 @@ class Program:
         hosts = edges.select("node", "target").unionAll(extends.select("node", "target")).join(hooks, "target", "left_semi").select("node")
         opened = self.anywhere.filter("kind = 'open'")
         opened = self.to_class(opened).select("class_path")
-        # Of two classes that reach each other neither has an order.
-        ways = self.mro.filter("root <> node")
-        cyclic = ways.join(ways.select(F.col("root").alias("node"), F.col("node").alias("root")), ["root", "node"], "left_semi").select(F.col("root").alias("node"))
-        bad = cyclic.unionAll(self._direct[2]).unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct()
-        return cut(self.mro.join(bad.select("node"), "node", "left_semi").select(F.col("root").alias("class_path")).distinct(), "incomplete")
+        # Of two classes that reach each other neither has an order: one of them is what the other has an edge to, or reached from there.
+        ways = edges.filter("node <> target").select("node", F.col("target").alias("root")).distinct()
+        cyclic = ways.join(self.orders.select("root", "nodes"), "root").filter(F.array_contains("nodes", F.col("node"))).select("node")
+        bad = cut(cyclic.unionAll(self._direct[2]).unionAll(self.classes.filter("open").select("class_path")).unionAll(hosts).unionAll(opened).distinct(), "bad")
+        return cut(self.mro.join(small(bad), "node", "left_semi").select(F.col("root").alias("class_path")).distinct(), "incomplete")
 
     @cached_property
     def blockers(self) -> DataFrame:
@@ -262,26 +297,58 @@ class Program:
                 out = out.withColumn(c, F.lit(None).cast(t))
         return out.withColumn("method", F.concat_ws("#", F.lit("(schema)"), "class_path", "name")).select(*m.columns)
 
+    @cached_property
+    def _called(self) -> DataFrame:
+        """(name, singleton): what some method answers; what a class extends itself with answers to the class."""
+        own = self.methods.select("name", "singleton").distinct()
+        if self._direct[1].limit(1).count():
+            own = own.unionAll(own.filter("not singleton").select("name", F.lit(True))).distinct()
+        return small(cut(own, "called"))
+
+    @cached_property
+    def _latest(self) -> DataFrame:
+        """(owner, name, own, method, first): of several definitions in one class the last counts (across files the order is by path); is it asked before all others?"""
+        last = self.methods.groupBy(F.col("class_path").alias("owner"), "name", F.col("singleton").alias("own")).agg(F.max(F.struct("path", "start", "method")).alias("b"))
+        before = self._direct[0].filter("slot < 0 and node <> target").select(F.col("node").alias("owner")).distinct()
+        known = self.classes.select(F.col("class_path").alias("owner")).join(small(cut(before, "prepended")).withColumn("__late", F.lit(True)), "owner", "left")
+        got = last.join(known.withColumn("__known", F.lit(True)), "owner", "left")
+        first = F.coalesce("__known", F.lit(False)) & (F.col("own") | F.col("__late").isNull())
+        return cut(got.select("owner", "name", "own", F.col("b.method").alias("method"), first.alias("first")), "latest")
+
     def find(self, want: DataFrame) -> DataFrame:
-        """(class_path, name, singleton, method, owner) for the wanted (class_path, name, singleton): first along the order."""
-        want = want.select("class_path", "name", "singleton").distinct()
-        m = self.methods.select(F.col("class_path").alias("owner"), F.col("name"), F.col("singleton").alias("own"), "method", "start", "path")
-        # Only what some wanted name is called is looked at.
-        m = m.join(want.select("name").distinct(), "name", "left_semi")
+        """(class_path, name, singleton, method, owner) for the wanted (class_path, name, singleton): first along the order.
+
+        A class that has the method itself and prepends nothing needs no order; the others' orders become rows.
+        """
+        want = want.select("class_path", "name", "singleton").join(self._called, ["name", "singleton"], "left_semi").distinct()
+        m = self._latest
+        own = m.filter("first").select(F.col("owner").alias("class_path"), "name", F.col("own").alias("singleton"), "method")
+        near = cut(want.join(own, ["class_path", "name", "singleton"], "left").select("class_path", "name", "singleton", "method", F.when(F.col("method").isNotNull(), F.col("class_path")).alias("owner")), "near")
+        got, want = near.filter("method is not null"), near.filter("method is null").select("class_path", "name", "singleton")
+        asked = want.count()
+        if not asked:
+            return got
+        if asked <= FEW:
+            want = F.broadcast(want)
+        names_ = small(cut(want.select("name").distinct(), "asked-names"))
+        m = m.join(names_, "name", "left_semi")
         no = F.lit(0).cast("long")
-        on_instances = want.filter("not singleton").join(self.mro.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), F.struct(F.col("rank").alias("r"), no.alias("o"), no.alias("i")).alias("key")), "class_path").join(m.filter("not own"), ["owner", "name"])
-        on_class = want.filter("singleton").join(self.chain.select(F.col("root").alias("class_path"), F.col("node").alias("owner"), "rank"), "class_path")
+        owner = F.col("node").alias("owner")
+        on_instances = self.along(want.filter("not singleton"), self.orders).select("class_path", "name", "singleton", owner, F.struct(F.col("rank").alias("r"), no.alias("o"), no.alias("i")).alias("key")).join(m.filter("not own"), ["owner", "name"])
+        on_class = self.along(want.filter("singleton"), self.chains).select("class_path", "name", "singleton", owner, "rank")
         direct = on_class.withColumn("key", F.struct(F.col("rank").alias("r"), no.alias("o"), no.alias("i"))).join(m.filter("own"), ["owner", "name"])
         # What a class extends itself with comes after its own methods and before those of its superclass.
         ext = self._direct[1].select(F.col("node").alias("owner"), "ord", F.col("target").alias("module"))
-        through = self.mro.select(F.col("root").alias("module"), F.col("node").alias("at"), F.col("rank").alias("inner"))
+        through = self.orders.select(F.col("root").alias("module"), F.posexplode("nodes").alias("inner", "at")).withColumn("inner", F.col("inner").cast("long") + 1)
+        if self._direct[1].limit(1).count():
+            through = through.join(small(cut(ext.select("module").distinct(), "extending")), "module", "left_semi")
         extended = on_class.join(ext, "owner").join(through, "module").withColumn("key", F.struct(F.col("rank").alias("r"), F.col("ord").alias("o"), F.col("inner").alias("i"))).drop("owner").withColumnRenamed("at", "owner").join(m.filter("not own"), ["owner", "name"])
-        cols = ["class_path", "name", "singleton", "key", "owner", "path", "start", "method"]
-        every = on_instances.select(*cols).unionAll(direct.select(*cols)).unionAll(extended.select(*cols))
-        # Of several definitions in one class the last counts; across files the order is by path.
-        last = every.groupBy("class_path", "name", "singleton", "key").agg(F.max(F.struct("path", "start", "method", "owner")).alias("b"))
-        best = last.groupBy("class_path", "name", "singleton").agg(F.min(F.struct("key", "b")).alias("x"))
-        return best.select("class_path", "name", "singleton", F.col("x.b.method").alias("method"), F.col("x.b.owner").alias("owner"))
+        cols = ["class_path", "name", "singleton", "key", "owner", "method"]
+        every = on_instances.select(*cols).unionAll(direct.select(*cols))
+        if self._direct[1].limit(1).count():
+            every = every.unionAll(extended.select(*cols))
+        best = every.groupBy("class_path", "name", "singleton").agg(F.min(F.struct("key", F.struct("method", "owner").alias("b"))).alias("x"))
+        return got.unionAll(best.select("class_path", "name", "singleton", F.col("x.b.method").alias("method"), F.col("x.b.owner").alias("owner")))
 
     # -- declarations -----------------------------------------------------
     @cached_property
@@ -324,14 +391,14 @@ class Program:
         """(id, type, base): terms, with and without what collections hold; what stays unresolved is unknown."""
         self._prepare()
         e = self._exprs
-        core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string")
+        core_names = F.broadcast(self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string").withColumn("__core", F.lit(True)))
         # Declared types: each member is a core name, or a class of the project, or unknown.
         declared = e.filter("op = 'declared'").select("id", "nesting", F.explode(F.split("name", " \\| ")).alias("name"))
-        declared = declared.join(self.to_class(), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left")
+        declared = declared.join(self.to_class(), ["name", "nesting"], "left").join(core_names, "name", "left")
         member = F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED))
         declared = declared.groupBy("id").agg(_union(F.collect_set(member)).alias("type"))
         consts = e.filter("op = 'const'").select("id", "name", "nesting")
-        consts = consts.join(self.to_class(), ["name", "nesting"], "left").join(core_names.withColumn("__core", F.lit(True)), "name", "left").join(self.resolved, ["name", "nesting"], "left")
+        consts = consts.join(self.to_class(), ["name", "nesting"], "left").join(core_names, "name", "left").join(self.resolved, ["name", "nesting"], "left")
         const_type = F.when(F.col("class_path").isNotNull(), F.concat(F.lit("Class["), "class_path", F.lit("]"))).when(F.col("__core") & F.col("target").isNull(), F.concat(F.lit("Class["), "name", F.lit("]"))).otherwise(UNTYPED)
         values = e.filter("op in ('atom', 'self')").select("id", F.col("name").alias("type")).unionAll(declared).unionAll(consts.select("id", const_type.alias("type")))
         writes = self.table("ivars").select(F.concat("class_path", "name").alias("name"), "expr").groupBy("name").agg(F.collect_set(F.coalesce("expr", F.lit(""))).alias("operands"))
@@ -385,7 +452,7 @@ class Program:
         """(method, declared, ret): what a method's result is known by."""
         m = self.methods.select("method", "declared", "ret", "nesting", "class_path")
         names_ = m.filter("declared is not null").select("method", "nesting", F.explode(F.split("declared", " \\| ")).alias("name"))
-        core_names = self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string").withColumn("__core", F.lit(True))
+        core_names = F.broadcast(self.spark.createDataFrame([(x,) for x in core.CORE_TYPES], "name string").withColumn("__core", F.lit(True)))
         got = names_.join(self.to_class(), ["name", "nesting"], "left").join(core_names, "name", "left")
         declared = got.groupBy("method").agg(_union(F.collect_set(F.coalesce("class_path", F.when(F.col("__core"), F.col("name")), F.lit(UNTYPED)))).alias("declared"))
         # A library signature only speaks where inference is silent.
@@ -396,6 +463,7 @@ class Program:
 
     def _round(self, pending: DataFrame, values: DataFrame, result: DataFrame, alias: DataFrame | None) -> DataFrame:
         """(id, type, of): what can be told now, and calls whose type is that of another, pending expression."""
+        values = values.select("id", "type")
         parts = pending.filter("op <> 'call'").select("id", "op", F.posexplode("operands").alias("k", "of"))
         typed = parts.join(values.select(F.col("id").alias("of"), "type"), "of", "left").withColumn("type", F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type")))
         ready = typed.groupBy("id", "op").agg(F.count_if(F.col("type").isNull()).alias("missing"), F.array_sort(F.collect_list(F.struct("k", "type"))).alias("x")).filter("missing = 0").select("id", "op", F.col("x.type").alias("x"))
@@ -421,38 +489,50 @@ class Program:
         )
         simple = ready.select("id", local.alias("type"))
         calls = pending.filter("op = 'call'").select("id", "name", F.element_at("operands", 1).alias("of"), F.try_element_at("operands", F.lit(2)).alias("arg"), F.slice("operands", 2, F.greatest(F.size("operands") - 1, F.lit(0))).alias("given"), "shape")
-        calls = calls.join(values.select(F.col("id").alias("of"), F.col("type").alias("recv"), "base"), "of")
+        # Receivers are met once: look-up, contents and bounds read what is written here.  All who ask for values read the same two columns, so they share an exchange.
+        calls = cut(calls.join(values.select(F.col("id").alias("of"), F.col("type").alias("recv")), "of").drop("of").withColumn("base", terms.erase(F.col("recv"))), "calls")
         calls = calls.withColumn("singleton", F.col("recv").startswith("Class[")).withColumn("class_path", F.regexp_replace("base", r"^Class\[(.*)\]$", "$1"))
         hit = self.find(calls)
-        got = calls.join(hit.select("class_path", "name", "singleton", "method"), ["class_path", "name", "singleton"], "left").join(result, "method", "left").join(values.select(F.col("id").alias("ret"), F.col("type").alias("body")), "ret", "left")
-        table = self.core_table.select(F.col("class").alias("base"), "name", F.col("result").alias("core"), F.col("block").alias("holds"))
-        got = got.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(table, ["base", "name"], "left").join(values.select(F.col("id").alias("arg"), F.col("type").alias("arg_type")), "arg", "left")
-        bounds = self._bounds(calls, values)
-        got = got.join(bounds, "id", "left")
+        # A look-up is told with its result, so that calls, which are more and wider, meet it once.
+        known = hit.join(result, "method", "left").join(values.select(F.col("id").alias("ret"), F.col("type").alias("body")), "ret", "left")
+        plain = calls.filter("singleton and name = 'new'").select("class_path").distinct().join(self.classes.filter("not is_module").select("class_path"), "class_path")
+        known = known.join(plain.select("class_path", F.lit("new").alias("name"), F.lit(True).alias("singleton"), F.lit(True).alias("plain")), ["class_path", "name", "singleton"], "full")
+        got = calls.join(known, ["class_path", "name", "singleton"], "left")
         made = F.col("singleton") & (F.col("name") == "new") & F.col("method").isNull()
         said = self.declared(calls.join(hit, ["class_path", "name", "singleton"], "left_anti"))
         if said is None:
             got = got.withColumn("said", F.lit(None).cast("string"))
         else:
             # Only a single core type, or a closed class of the project, tells anything.
-            plain = F.when(F.col("result").isin(*core.CORE_TYPES), F.col("result"))
+            simply = F.when(F.col("result").isin(*core.CORE_TYPES), F.col("result"))
             own = self.classes.select(F.col("class_path").alias("result"), F.col("class_path").alias("as_class"))
-            said = said.withColumn("result", F.regexp_replace("result", "^::", "")).join(own, "result", "left").select("class_path", "name", "singleton", F.coalesce(plain, "as_class").alias("said"))
+            said = said.withColumn("result", F.regexp_replace("result", "^::", "")).join(own, "result", "left").select("class_path", "name", "singleton", F.coalesce(simply, "as_class").alias("said"))
             got = got.join(said, ["class_path", "name", "singleton"], "left")
+        # Arguments, bounds and contents are read for core values only.
+        table = self.core_table.select(F.col("class").alias("base"), "name", F.col("result").alias("core"), F.col("block").alias("holds"))
+        cored = cut(calls.join(table, ["base", "name"]), "core-calls")
+        any_core = bool(cored.limit(1).count())
+        if any_core:
+            told = cored.select("id", "arg", "core", "holds").join(values.select(F.col("id").alias("arg"), F.col("type").alias("arg_type")), "arg", "left").join(self._bounds(cored, values), "id", "left")
+            got = got.join(told.select("id", "core", "holds", "arg_type", "bounds"), "id", "left")
+        else:
+            got = got.withColumns({"core": F.lit(None).cast("string"), "holds": F.lit(None).cast("boolean"), "arg_type": F.lit(None).cast("string"), "bounds": F.lit(None).cast("boolean")})
         # What a project's method makes of a block is not followed.
         blind = F.col("shape").startswith("b") & ~F.col("name").isin("new", "tap", "times", "each")
         out = (
             F.when(F.col("recv") == UNTYPED, UNTYPED)
             .when(F.col("recv").contains(" | "), UNTYPED)
             .when(blind & (F.col("method").isNotNull() | F.col("core").isNull()), UNTYPED)
-            .when(made, F.when(F.coalesce("is_module", F.lit(True)), UNTYPED).otherwise(F.col("class_path")))
+            .when(made, F.when(F.col("plain"), F.col("class_path")).otherwise(UNTYPED))
             .when(F.col("declared").isNotNull(), F.col("declared"))
             .when(F.col("method").isNotNull(), F.when(F.col("ret").isNull() | (F.col("body") == UNTYPED), F.coalesce("sig", F.lit(UNTYPED))).otherwise(F.col("body")))
             .when(F.col("said").isNotNull(), F.col("said"))
             .otherwise(_core_result())
         )
         same = F.when(out.isNull() & F.col("sig").isNull() & F.col("method").isNotNull(), F.col("ret"))
-        found = simple.unionAll(terms.held(self._held(calls, values))).select("id", "type", F.lit(None).cast("string").alias("of")).unionAll(got.select("id", out.alias("type"), same.alias("of")))
+        if any_core:
+            simple = simple.unionAll(terms.held(self._held(cored, values)))
+        found = simple.select("id", "type", F.lit(None).cast("string").alias("of")).unionAll(got.select("id", out.alias("type"), same.alias("of")))
         if alias is not None:
             found = found.unionAll(alias.join(values.select(F.col("id").alias("of"), "type"), "of").select("id", "type", F.lit(None).cast("string")))
         return found.filter("type is not null or of is not null").select("id", "type", terms.erase(F.col("type")).alias("base"), "of")
@@ -466,7 +546,7 @@ class Program:
     def _held(self, calls: DataFrame, values: DataFrame) -> DataFrame:
         """(id, rule, base, own, type): receivers and arguments of the calls whose result is what collections hold."""
         rules = self.core_table.filter(F.col("result").isin(*core.BY_CONTENT)).select(F.col("class").alias("base"), "name", F.col("result").alias("rule"), "block")
-        wanted = calls.filter(F.col("base").isin("Array", "Hash")).join(rules, ["base", "name"]).filter(_reads_content(F.col("rule"), F.col("block")))
+        wanted = calls.drop("core", "holds").filter(F.col("base").isin("Array", "Hash")).join(rules, ["base", "name"]).filter(_reads_content(F.col("rule"), F.col("block")))
         own = wanted.select("id", "rule", "base", F.lit(True).alias("own"), F.col("recv").alias("type"))
         given = wanted.filter(F.col("rule").isin("plus", "push", "merge")).select("id", "rule", "base", F.explode("given").alias("of")).join(values.select(F.col("id").alias("of"), "type"), "of", "left")
         return own.unionAll(given.select("id", "rule", "base", F.lit(False), F.when(F.col("of") == "", UNTYPED).otherwise(F.col("type"))))
@@ -487,7 +567,9 @@ class Program:
             more = self.inventory.filter("least is not null").select(kind.alias("class"), F.col("method").alias("name"), "least", "most", known.alias("result"), F.when(known.isNotNull(), False).alias("block"))
             more = more.groupBy("class", "name").agg(F.min("least").alias("least"), F.when(F.count("most") == F.count("*"), F.max("most")).alias("most"), F.when((F.count("result") == F.count("*")) & (F.count_distinct("result") == 1), F.min("result")).alias("result"), F.min("block").alias("block"))
             rows = cut(rows.unionByName(more.join(rows.select("class", "name"), ["class", "name"], "left_anti")), "core-table")
-        return rows.join(self.classes.select(F.col("class_path").alias("class")), "class", "left_anti")
+        # Only classes of those names are asked for among the project's.
+        reopened = self.classes.select(F.col("class_path").alias("class")).join(F.broadcast(rows.select("class").distinct()), "class", "left_semi")
+        return small(cut(rows.join(F.broadcast(reopened), "class", "left_anti"), "core-methods"))
 
     # -- call sites -------------------------------------------------------
     @cached_property
@@ -503,13 +585,18 @@ class Program:
         hit = cut(hit, "hits")
         own = hit.select("class_path", F.col("name").alias("asked"), "singleton", "method", "owner")
         made = hit.filter("name = 'initialize' and not singleton").select("class_path", F.col("method").alias("init"))
-        rows = direct.join(own, ["class_path", "asked", "singleton"], "left").join(made, "class_path", "left")
+        # What is known of a class is put together first, so that calls meet it once.
+        about = self.classes.select("class_path", "is_module").join(small(made), "class_path", "full").join(small(self.incomplete).withColumn("__open", F.lit(True)), "class_path", "full")
+        rows = direct.join(own, ["class_path", "asked", "singleton"], "left").join(about, "class_path", "left")
         rows = rows.withColumn("target", F.coalesce("method", F.when(fresh, F.col("init")))).drop("init", "asked")
-        rows = rows.join(self.classes.select("class_path", "is_module"), "class_path", "left").join(self.incomplete.withColumn("__open", F.lit(True)), "class_path", "left")
-        every = self._answered()
-        rows = rows.join(every, ["name", "singleton"], "left")
-        asked = rows.filter(F.col("target").isNull() & F.col("recv_kind").isin("implicit", "self")).select("class_path", "name").distinct()
-        rows = rows.join(self._below(asked), ["class_path", "name"], "left").join(self._loose_below(), "class_path", "left")
+        rows = rows.join(self._answered(), ["name", "singleton"], "left")
+        asked = None
+        if c.filter(F.col("recv_kind").isin("implicit", "self")).limit(1).count():
+            asked = cut(rows.filter(F.col("target").isNull() & F.col("recv_kind").isin("implicit", "self")).select("class_path", "name").distinct(), "asked")
+        if asked is not None and asked.limit(1).count():
+            rows = rows.join(self._below(asked), ["class_path", "name"], "left").join(self._loose_below(), "class_path", "left")
+        else:
+            rows = rows.withColumns({"__below": F.lit(None).cast("boolean"), "__loose": F.lit(None).cast("boolean")})
         on_self = F.col("recv_kind").isin("implicit", "self")
         verdict = (
             F.when(F.col("target").isNotNull(), resolve.FOUND)
@@ -531,7 +618,8 @@ class Program:
         told = F.col("declared_tier").isNotNull() & (F.col("verdict") == resolve.NOT_FOUND)
         return cut(rows.withColumn("verdict", F.when(told, resolve.INCONCLUSIVE).otherwise(F.col("verdict"))), "sites")
 
-    def _answered(self) -> DataFrame:
+    @cached_property
+    def _every(self) -> DataFrame:
         """(name, singleton): answered by every object, or every class object."""
         names_ = [(x, False) for x in [*core.OBJECT_METHODS, *core.MOCK_METHODS]] + [(x, True) for x in {*core.OBJECT_METHODS, *core.MOCK_METHODS, *core.CLASS_METHODS}]
         top = self.methods.filter("class_path in ('Object', 'Kernel', 'BasicObject') and not singleton").select("name", F.explode(F.array(F.lit(False), F.lit(True))).alias("singleton"))
@@ -539,18 +627,21 @@ class Program:
         modules = self.to_class(loose).select("class_path").distinct()
         both = F.explode(F.array(F.lit(False), F.lit(True))).alias("singleton")
         added = self.methods.join(modules, "class_path", "left_semi").select("name", both).unionAll(self.anywhere.filter("kind = 'name'").select("name", both))
-        return self.spark.createDataFrame(names_, "name string, singleton boolean").unionAll(top).unionAll(added).distinct().withColumn("__every", F.lit(True))
+        return cut(self.spark.createDataFrame(names_, "name string, singleton boolean").unionAll(top).unionAll(added).distinct(), "answered")
+
+    def _answered(self) -> DataFrame:
+        return small(self._every).withColumn("__every", F.lit(True))
 
     def _below(self, asked: DataFrame) -> DataFrame:
         """The ``asked`` (class_path, name) that some descendant answers, by itself or through what it mixes in."""
-        m = self.methods.filter("not singleton").select(F.col("class_path").alias("at"), "name").distinct().join(asked.select("name").distinct(), "name", "left_semi")
+        m = self.methods.filter("not singleton").select(F.col("class_path").alias("at"), "name").distinct().join(small(cut(asked.select("name").distinct(), "asked-names")), "name", "left_semi")
         has = self.mro.select("root", F.col("node").alias("at")).join(m, "at").select("root", "name").distinct()
-        under = self.mro.filter("root <> node").select("root", F.col("node").alias("class_path"))
+        under = self.mro.filter("root <> node").select("root", F.col("node").alias("class_path")).join(small(cut(asked.select("class_path").distinct(), "asked-classes")), "class_path", "left_semi")
         return under.join(has, "root").join(asked, ["class_path", "name"], "left_semi").select("class_path", "name").distinct().withColumn("__below", F.lit(True))
 
     def _loose_below(self) -> DataFrame:
         """(class_path): classes with a descendant that is not closed."""
-        return self.mro.filter("root <> node").join(self.incomplete.select(F.col("class_path").alias("root")), "root", "left_semi").select(F.col("node").alias("class_path")).distinct().withColumn("__loose", F.lit(True))
+        return _ranks(self.orders.join(small(self.incomplete).select(F.col("class_path").alias("root")), "root", "left_semi")).filter("root <> node").select(F.col("node").alias("class_path")).distinct().withColumn("__loose", F.lit(True))
 
     # -- diagnostics ------------------------------------------------------
     @cached_property
@@ -564,6 +655,10 @@ class Program:
 _union = terms.union
 
 
+def _ranks(orders: DataFrame) -> DataFrame:
+    return orders.select("root", F.posexplode("nodes").alias("rank", "node")).select("root", "node", (F.col("rank").cast("long") + 1).alias("rank"))
+
+
 def _reads_content(rule, block) -> F.Column:
     """Is the call in the shape in which its rule tells the result by what collections hold?"""
     shown = ~F.col("shape").contains("x") | rule.isin("keys", "values")

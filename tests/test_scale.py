@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.operators import resolve
+from factloom.plans.program import Program
 from factloom.plans.tables import cut
 from factloom.sources import facts
 
@@ -61,3 +62,34 @@ def test_candidates_of_a_group_without_a_key(spark):
     offers = spark.createDataFrame([("a", "P"), ("b", "P")], "need string, p string")
     got = {r.g: tuple(r)[1:] for r in resolve.candidate_intersection(calls, offers, "g", "need", "p").collect()}
     assert got == {None: (2, 2, 0, "contradiction"), "one": (2, 2, 1, "inferred")}
+
+
+def _shuffled(spark):
+    """Records shuffled by all stages so far."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jobs, seen, total = store.jobsList(None), set(), 0
+    for k in range(jobs.size()):
+        stages = jobs.apply(k).stageIds().iterator()
+        while stages.hasNext():
+            seen.add(stages.next())
+    for stage in seen:
+        try:
+            total += store.lastStageAttempt(stage).shuffleWriteRecords()
+        except Exception:  # noqa: BLE001 - the store forgets old stages
+            continue
+    return total
+
+
+def test_orders_and_look_ups_shuffle_classes_not_pairs(spark):
+    n = 400
+    text = lambda k: f"class C{k}{f' < C{k - 1}' if k else ''}\n  def label\n    1\n  end\n  def link\n    C{max(k - 1, 0)}.new.label\n  end\nend\n"
+    p = Program(spark.createDataFrame([(f"{k}.rb", text(k)) for k in range(n)], "path string, text string"))
+    pairs = n * (n + 1) // 2
+    before = _shuffled(spark)
+    assert {(r.root, r.node, r.rank) for r in p.mro.collect()} == {(f"C{k}", f"C{k - j}", j + 1) for k in range(n) for j in range(k + 1)}
+    assert _shuffled(spark) - before < pairs // 2
+    before = _shuffled(spark)
+    rows = p.sites.select("name", "class_path", "target", "verdict").collect()
+    assert _shuffled(spark) - before < pairs // 2
+    assert {(r.class_path, r.verdict) for r in rows if r.name == "label"} == {(f"C{k}", "found") for k in range(n - 1)}
+    assert all(r.target.endswith("#label#false") and r.target.startswith(r.class_path[1:] + ".rb#") for r in rows if r.name == "label")
