@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.plans.tables import cut, drop
+from factloom.plans.tables import cut, drop, small
 
 FOUND, NOT_FOUND, INCONCLUSIVE = "found", "not_found", "inconclusive"
 
@@ -145,41 +145,72 @@ def suggest(misses: DataFrame, names: DataFrame, typo: str, name: str, within: i
     return misses.join(best, [*keys, typo], "left")
 
 
+#: 64-bit words of the bits that stand for the providers of a need, and the one bit of a provider, by its hash.
+MARKS = [f"__m{k}" for k in range(4)]
+BIT = f"cast(pmod(xxhash64(__by), {64 * len(MARKS)}) as int)"
+
+
+def _mark(k: int) -> Column:
+    """Word ``k`` of a provider's bit."""
+    return F.expr(f"if(shiftright({BIT}, 6) = {k}, shiftleft(1L, {BIT} & 63), 0L)")
+
+
+def _marked() -> Column:
+    """Whether a provider's bit is among those of its row."""
+    words = " ".join(f"when {k} then {m}" for k, m in enumerate(MARKS))
+    return F.expr(f"getbit(case shiftright({BIT}, 6) {words} end, {BIT} & 63) = 1")
+
+
 def candidate_intersection(calls: DataFrame, providers: DataFrame, group: str, need: str, provider: str) -> DataFrame:
     """Providers that answer every distinct need of a group, and what that proves.
 
     Fewer than two needs prove nothing; a need nobody answers proves nothing; an empty
     intersection is a contradiction; one provider is inferred, two to four are a union.
+    Providers of a need are first met as a few words of hashed bits.  Groups whose needs have no bit in common have no
+    candidate; of the others only offers whose bit all needs of some group share are looked at, exactly.
     Groups with the same needs have the same answer, and providers of the same offers answer alike: one of each
     kind is asked, and counts for all.  Kinds are told by the number and two 64-bit hashes of their members.
     """
     kind = [F.count("*").alias("__size"), F.bit_xor(F.xxhash64(need)).alias("__h1"), F.bit_xor(F.xxhash64(F.lit(1), F.col(need))).alias("__h2")]
     same = ["__size", "__h1", "__h2"]
-    every = calls.select(group, need).distinct()
+    every = cut(calls.select(group, need).distinct(), "needs")
     # What has no key meets nobody.
-    answered = providers.select(need).distinct().withColumn("__n", F.lit(True))
-    lost = every.filter(F.col(group).isNull()).join(answered, need, "left").groupBy(group).agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.lit(0).cast("long").alias("candidates"))
-    every = every.filter(F.col(group).isNotNull())
-    groups = cut(every.groupBy(group).agg(*kind), "groups")
+    offered = cut(providers.select(need, F.col(provider).alias("__by")).filter("__by is not null").distinct(), "offered")
+    known = offered.groupBy(need).agg(F.count("*").alias("__n"), *(F.bit_or(_mark(k)).alias(m) for k, m in enumerate(MARKS)))
+    # With as many providers as there are bits, these say little: such needs are left to the exact step.
+    known = cut(known.select(need, "__n", *(F.when(F.col("__n") < 64 * len(MARKS), F.col(m)).otherwise(-1).alias(m) for m in MARKS)), "known")
+    told = every.join(small(known), need, "left").groupBy(group)
+    told = cut(told.agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.min("__n").alias("__n"), *(F.bit_and(m).alias(m) for m in MARKS)), "told")
+    drop(known)
+    unsure = told.filter(F.col(group).isNotNull()).filter("needs > 1 and answered = needs").filter(" or ".join(f"{m} <> 0" for m in MARKS))
+    marked = cut(every.join(unsure.select(group, *MARKS), group), "unsure")
+    drop(every)
+    groups = cut(marked.groupBy(group).agg(*kind), "groups")
     asked = groups.groupBy(*same).agg(F.min(group).alias(group))
-    wanted = cut(every.join(asked.select(group), group, "left_semi"), "wanted")
-    offers = cut(providers.select(need, F.col(provider).alias("__by")).distinct().join(wanted.select(need).distinct(), need, "left_semi"), "offers")
-    alike = offers.groupBy("__by").agg(*kind).groupBy(*same).agg(F.min("__by").alias("__by"), F.count("*").alias("__many")).select("__by", "__many")
-    offers = cut(offers.join(alike, "__by"), "kinds")
+    wanted = cut(marked.join(asked.select(group), group, "left_semi"), "wanted")
+    drop(marked)
+    useful = wanted.groupBy(need).agg(*(F.bit_or(m).alias(m) for m in MARKS))
+    offers = cut(offered.join(useful, need).filter(_marked()).select(need, "__by"), "offers")
+    drop(offered)
+    alike = cut(offers.groupBy("__by").agg(*kind), "alike")
+    first = alike.groupBy(*same).agg(F.min("__by").alias("__first"), F.count("*").alias("__many")).filter("__many > 1")
+    copies = cut(alike.join(first, same).select("__by", "__first", "__many"), "copies")
+    if not copies.isEmpty():
+        offers = cut(offers.join(copies.filter("__by <> __first").select("__by"), "__by", "left_anti"), "kinds")
     count = offers.groupBy(need).agg(F.count("*").alias("__n"))
     wants = cut(wanted.join(count, need, "left"), "wants")
-    size = wants.groupBy(group).agg(F.count("*").alias("needs"), F.count("__n").alias("answered"), F.min(F.struct("__n", need)).alias("__rare"))
-    whole = size.filter(F.col("answered") == F.col("needs"))
+    drop(wanted)
+    size = wants.groupBy(group, *MARKS).agg(F.count("*").alias("__needs"), F.count("__n").alias("__answered"), F.min(F.struct("__n", need)).alias("__rare"))
     # Whoever answers everything answers the rarest need: only its providers are tried on the others.
-    tried = whole.select(group, "needs", F.col(f"__rare.{need}").alias("__need"))
-    start = tried.join(offers.withColumnRenamed(need, "__need"), "__need")
-    rest = wants.join(tried.filter("needs > 1").select(group, "__need"), group).filter(F.col(need) != F.col("__need")).select(group, need)
-    met = start.filter("needs > 1").select(group, "__by", "__many", "needs").join(rest, group).join(offers.select(need, "__by"), [need, "__by"], "left_semi")
-    able = met.groupBy(group, "__by").agg(F.count("*").alias("__k"), F.first("needs").alias("needs"), F.first("__many").alias("__many")).filter("__k = needs - 1").select(group, "__many")
-    able = able.unionAll(start.filter("needs = 1").select(group, "__many")).groupBy(group).agg(F.sum("__many").alias("candidates"))
-    told = size.drop("__rare").join(able, group, "left").fillna(0, ["candidates"])
-    told = told.join(groups, group).drop(group)
-    got = groups.join(told, same).select(group, "needs", "answered", "candidates").unionAll(lost)
+    tried = cut(size.filter("__answered = __needs").select(group, "__needs", F.col(f"__rare.{need}").alias("__need"), *MARKS), "tried")
+    start = tried.join(offers.withColumnRenamed(need, "__need"), "__need").filter(_marked()).select(group, "__by", "__needs")
+    rest = wants.join(tried.select(group, "__need"), group).filter(F.col(need) != F.col("__need")).select(group, need)
+    able = start.join(rest, group).join(offers.select(need, "__by"), [need, "__by"], "left_semi")
+    able = able.groupBy(group, "__by", "__needs").agg(F.count("*").alias("__k")).filter("__k = __needs - 1").select(group, "__by")
+    able = able.join(copies.select("__by", "__many"), "__by", "left").groupBy(group).agg(F.sum(F.coalesce("__many", F.lit(1).cast("long"))).alias("candidates"))
+    able = groups.join(able.join(groups, group).drop(group), same).select(group, "candidates")
+    alone = F.when((F.col("needs") == 1) & F.col(group).isNotNull(), F.col("__n"))
+    got = told.join(able, group, "left").select(group, "needs", "answered", F.coalesce("candidates", alone, F.lit(0).cast("long")).alias("candidates"))
     outcome = F.when((F.col("needs") < 2) | (F.col("answered") < F.col("needs")), "nothing").when(F.col("candidates") == 0, "contradiction").when(F.col("candidates") == 1, "inferred").when(F.col("candidates") <= 4, "union").otherwise("nothing")
     return got.withColumn("outcome", outcome)
 

@@ -1,5 +1,7 @@
 """What grows with the input: estimates of tables, facts held at a time, suggestions and candidates among very many names."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import resolve
@@ -80,6 +82,34 @@ def _shuffled(spark):
     return total
 
 
+def test_candidates_are_sought_among_what_all_needs_share(spark, monkeypatch):
+    limits = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    rng = random.Random(4)
+    offers = {k: set(rng.sample(range(2000), 40)) for k in range(200)}
+    calls = {g: set(rng.sample(range(200), 3)) for g in range(3000)}
+    # Some share a provider, or five.
+    for g in range(0, 100, 2):
+        for k in calls[g]:
+            offers[k] |= {5000} if g < 50 else set(range(5000 + g, 5005 + g))
+    make = lambda d, names: spark.createDataFrame([(k, x) for k, v in d.items() for x in sorted(v)], names).repartition(4)
+    asked, offered = cut(make(calls, "g long, need long"), "asked"), cut(make(offers, "need long, p long"), "offered")
+    before = _shuffled(spark)
+    # As with tables too large to broadcast.
+    monkeypatch.setattr(resolve, "small", lambda df: df)
+    had = [spark.conf.get(c, None) for c in limits]
+    for c in limits:
+        spark.conf.set(c, "-1")
+    try:
+        got = {r.g: (r.needs, r.answered, r.candidates) for r in resolve.candidate_intersection(asked, offered, "g", "need", "p").collect()}
+    finally:
+        for c, old in zip(limits, had):
+            spark.conf.unset(c) if old is None else spark.conf.set(c, old)
+    want = {g: (3, 3, len(set.intersection(*(offers[k] for k in needs)))) for g, needs in calls.items()}
+    assert got == want and len({n for _, _, n in want.values()}) > 2
+    # The providers of a need do not go with every group that has it, once and again for its other needs.
+    assert _shuffled(spark) - before < 2 * len(calls) * 40
+
+
 def test_orders_and_look_ups_shuffle_classes_not_pairs(spark):
     n = 400
     text = lambda k: f"class C{k}{f' < C{k - 1}' if k else ''}\n  def label\n    1\n  end\n  def link\n    C{max(k - 1, 0)}.new.label\n  end\nend\n"
